@@ -7,7 +7,8 @@ data.  ``running_totals`` keeps the result exact without that bottleneck:
 1. range-partition on (group keys, order keys) so a hot group is cut into many
    contiguous slices, and sort each slice;
 2. one Arrow pass per slice computes the rank and running sums inside the
-   slice (vectorised pandas cumsum, state carried across batches);
+   slice (vectorised pandas cumsum, state carried across batches); the result
+   is checkpointed once to the shared checkpoint folder;
 3. a tiny table of per-(slice, group) totals -- at most ``partitions + groups``
    rows -- is turned into offsets with a per-group window;
 4. offsets are joined back on (slice, group); the adaptive planner broadcasts
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mathtide.session import checkpoint_dir
+
 _PID = "__slice"
 _LRANK = "__lrank"
 _GROUP = "__group"
@@ -57,8 +60,8 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     else:
         data = data.withColumn(_GROUP, F.lit(0).cast("long"))
     keys = partition_by + order_by
-    ranged = data.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys]) \
-        .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    ordered = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
 
     vcols = [f"__v_{s}" for s in sums]
     local_sum_cols = [f"__l_{s}" for s in sums]
@@ -103,7 +106,12 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
             carry_sums = [int(pdf[c].iloc[-1]) for c in local_sum_cols]
             yield pdf
 
-    local = ranged.mapInPandas(slice_totals, out_schema)
+    # The slices are read twice (totals, then the offset join).  Range bounds
+    # come from a sample that depends on arrival order, so two evaluations may
+    # cut different slices; a reliable checkpoint in the shared folder fixes
+    # one cut for both reads and for any rerun after an executor loss.
+    checkpoint_dir(df.sparkSession)
+    local = ranged.mapInPandas(slice_totals, out_schema).checkpoint(eager=True)
 
     group_cols = [_GROUP] + partition_by
     totals = local.groupBy(_PID, *group_cols).agg(

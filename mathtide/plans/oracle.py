@@ -186,3 +186,261 @@ SELECT run, question_id, l_linenumber, l_partkey, l_suppkey,
        {extract_keyword('response')} AS keyword_answer,
        {clean('response')} AS cleaned
 FROM responses"""
+
+
+# ---------------------------------------------------------- completions ----
+
+def _piece(x: str, delim_sql: str, i: int) -> str:
+    """Python text.split(delim)[i] (0-based, negative from the end)."""
+    return f"string_split({x}, {delim_sql})[{i + 1 if i >= 0 else i}]"
+
+
+NL = "chr(10)"
+
+
+def completions_sql() -> str:
+    decoded = (f"('Q: question ' || question_id || {NL} || 'A: ' || response || {NL} || {NL} || "
+               f"'Q: next one #### 7' || {NL} || {NL} || 'A: 8</s>')")
+    chat = f"('Question: ' || question_id || {NL} || 'Answer: ' || response || '  ')"
+    prompt = f"('Question: ' || question_id || {NL} || 'Answer: ')"
+    post = (f"CASE WHEN contains(d, '####') THEN {_piece('d', q('####'), 0)} || '####' || "
+            f"{_piece(_piece('d', q('####'), 1), f'{NL} || {NL}', 0)} ELSE d END")
+    last_a = strip(_piece('d', q('A:'), -1))
+    after = (f"CASE WHEN len(string_split(d, 'A:')) > 1 THEN (CASE WHEN contains({last_a}, 'Q:') "
+             f"THEN {strip(_piece(last_a, q('Q:'), 0))} ELSE {last_a} END) ELSE '' END")
+    after_uncut = f"CASE WHEN len(string_split(d, 'A:')) > 1 THEN {last_a} ELSE '' END"
+    cut = r"regexp_split_to_array(response || ' Q: again', 'Q:|</s>|<\|im_end\|>')[1]"
+    completion = (f"CASE WHEN (CASE WHEN l_partkey % 2 = 0 THEN 'qwen' ELSE 'gpt2' END) IN ('llama', 'deepseek', 'qwen') "
+                  f"THEN {strip(_piece(chat, q('Answer:'), -1))} "
+                  f"ELSE {strip(f'substr({chat}, length({prompt}) + 1)')} END")
+    eos_cut = f"CASE WHEN contains(d, '</s>') THEN {strip(_piece('d', q('</s>'), 0))} ELSE d END"
+    return with_views(V_RESPONSES, f"""
+dec AS (SELECT *, {decoded} AS d FROM responses)""") + f"""
+SELECT run, question_id, l_linenumber, l_partkey, l_suppkey,
+       {post} AS post_processed, {after} AS after_last_a, {after_uncut} AS after_last_a_uncut,
+       {cut} AS cut, {completion} AS completion,
+       {extract_answer(f'({eos_cut})')} AS extracted_eos
+FROM dec"""
+
+
+PY_FLOAT_SQL = (r"[-+]?(?:(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)"
+                r"(?:[eE][-+]?\d(?:_?\d)*)?|(?i:inf|infinity|nan))")
+
+
+def number_parsing_sql() -> str:
+    s = strip("token")
+    value = f"CASE WHEN regexp_full_match({s}, {q(PY_FLOAT_SQL)}) THEN CAST(replace({s}, '_', '') AS DOUBLE) END"
+    return with_views(V_RESPONSES, """
+toks AS (
+  SELECT question_id, l_linenumber, l_partkey, l_suppkey,
+         unnest(string_split(response, ' ')) AS token,
+         generate_subscripts(string_split(response, ' '), 1) - 1 AS pos
+  FROM responses)""", f"""
+parsed AS (SELECT *, {value} AS value FROM toks)""") + f"""
+SELECT question_id, l_linenumber, l_partkey, l_suppkey, CAST(pos AS INTEGER) AS pos, token, value,
+       {whole('value')} AS is_whole
+FROM parsed"""
+
+
+# ----------------------------------------------------------- curriculum ----
+
+V_PROBLEMS = f"""
+problems AS (
+  SELECT p_partkey AS pid,
+         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS body,
+         '  How many ' || p_type || ' parts?' || {NL} AS question,
+         CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_size || '*2' END AS equation,
+         CAST(p_size * 2 AS VARCHAR) AS answer,
+         [CAST(p_size * 2 AS VARCHAR), CAST(p_size * 2 + 1 AS VARCHAR), CAST(p_size * 3 AS VARCHAR), p_brand] AS options,
+         CASE WHEN p_partkey % 11 = 0 THEN 'Double it. Answer: ' || (p_size * 2)
+              ELSE 'Double ' || p_size || ' to get ' || (p_size * 2) || '.' END AS rationale,
+         ['A', 'B', 'C', 'D'][p_partkey % 4 + 1] AS correct
+  FROM part)"""
+
+
+def _t(x):
+    return strip(f"coalesce({x}, '')")
+
+
+V_RENDERED = f"""
+rendered AS (
+  SELECT 'ASDiv' AS dataset, 1 AS stage, pid AS row_key,
+         'Question: ' || CASE WHEN {_t('body')} <> '' THEN {_t('body')} || ' ' ELSE '' END || {_t('question')} || {NL}
+         || CASE WHEN {_t('equation')} <> '' THEN 'Solution: ' || {_t('equation')} || {NL} ELSE '' END
+         || 'Answer: ' || {_t('answer')} AS text
+  FROM problems
+  UNION ALL
+  SELECT 'ParaMAWPS', 2, pid, 'Question: ' || {_t('question')} || {NL} || 'Equation: ' || {_t('equation')}
+         || {NL} || 'Answer: ' || {_t('answer')}
+  FROM problems
+  UNION ALL
+  SELECT 'SVAMP', 3, pid, 'Question: ' || {strip("coalesce(body, '') || ' ' || coalesce(question, '')")}
+         || CASE WHEN {_t('equation')} <> '' THEN {NL} || 'Equation: ' || {_t('equation')} ELSE '' END
+         || {NL} || 'Answer: ' || {_t('answer')}
+  FROM problems
+  UNION ALL
+  SELECT 'DMath', 4, pid, 'Question: ' || {_t('question')} || {NL} || 'Solution: ' || {_t('equation')}
+         || {NL} || 'Answer: ' || {_t('answer')}
+  FROM problems
+  UNION ALL
+  SELECT 'AQuA', 5, pid, 'Question: ' || {_t('question')} || {NL} || 'Options:' || {NL}
+         || array_to_string(list_transform(options, lambda o, i: chr(CAST(64 + i AS INTEGER)) || '. ' || o || {NL}), '')
+         || 'Rationale: ' || {_t('rationale')} || {NL} || 'Answer: ' || coalesce(correct, '')
+  FROM problems)"""
+
+SOLVED = "'Let me solve this step by step.' || chr(10) || {s} || chr(10) || 'Therefore, the answer is ' || {a} || '.'"
+
+V_STANDARD = f"""
+split1 AS (
+  SELECT *, {_piece('text', q('Question: '), 1)} AS body,
+         CASE WHEN dataset IN ('ASDiv', 'DMath') THEN 'Solution' ELSE 'Equation' END AS skey
+  FROM rendered),
+split2 AS (SELECT *, string_split(body, {NL} || skey || ':') AS qp FROM split1),
+split3 AS (SELECT *, string_split(qp[2], {NL} || 'Answer:') AS sa FROM split2),
+aqua AS (
+  SELECT *, {strip(_piece(_piece('text', q('Question: '), 1), q('Rationale:'), 0))} AS qpart FROM rendered
+  WHERE dataset = 'AQuA'),
+aqua_std AS (
+  SELECT dataset, stage, row_key, text,
+         CASE WHEN qpart IS NULL THEN NULL
+              WHEN contains(qpart, 'Options:') THEN {strip(_piece('qpart', q('Options:'), 0))} || {NL} || 'Options:' || {NL} || {strip(_piece('qpart', q('Options:'), 1))}
+              ELSE qpart END AS question,
+         CASE WHEN qpart IS NULL THEN NULL ELSE
+           {SOLVED.format(
+               s=f"(CASE WHEN contains(text, 'Rationale:') THEN {strip(_piece(_piece('text', q('Rationale:'), 1), q('Answer:'), 0))} ELSE '' END)",
+               a=f"(CASE WHEN contains(text, 'Answer:') THEN {strip(_piece('text', q('Answer:'), 1))} ELSE '' END)")}
+         END AS answer
+  FROM aqua),
+standard AS (
+  SELECT dataset, stage, row_key, text,
+         CASE WHEN qp[1] IS NOT NULL AND sa[1] IS NOT NULL AND sa[2] IS NOT NULL THEN {strip('qp[1]')} END AS question,
+         CASE WHEN qp[1] IS NOT NULL AND sa[1] IS NOT NULL AND sa[2] IS NOT NULL
+              THEN {SOLVED.format(s=strip('sa[1]'), a=strip('sa[2]'))} END AS answer
+  FROM split3 WHERE dataset <> 'AQuA'
+  UNION ALL
+  SELECT * FROM aqua_std)"""
+
+
+def curriculum_standardised_sql() -> str:
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD) + """
+SELECT dataset, stage, row_key, text, question, answer FROM standard"""
+
+
+def curriculum_counts_sql() -> str:
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD) + """
+SELECT dataset, CAST(count(*) AS BIGINT) AS n_raw,
+       CAST(sum(CASE WHEN question IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
+FROM standard GROUP BY ROLLUP (dataset)"""
+
+
+def curriculum_splits_sql() -> str:
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD, """
+kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY row_key) AS rn
+    FROM standard WHERE question IS NOT NULL)
+  WHERE dataset <> 'AQuA' OR rn <= 15000),
+shuffled AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || row_key), row_key) - 1 AS pos,
+         count(*) OVER (PARTITION BY dataset) AS n
+  FROM kept)""") + f"""
+SELECT dataset, stage, row_key, question, answer,
+       '###Question: ' || question || {NL} || '###Answer: ' || answer AS prompt,
+       CASE WHEN pos < ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split,
+       CAST(pos AS BIGINT) AS shuffle_pos
+FROM shuffled"""
+
+
+# ------------------------------------------------------------- sampling ----
+
+def corpus_shuffle_sql() -> str:
+    return """
+SELECT doc_id, lang, source,
+       CAST(row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS BIGINT) AS shuffle_pos
+FROM documents"""
+
+
+def corpus_sample_sql() -> str:
+    return """
+SELECT doc_id, lang, source FROM (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos,
+         floor(count(*) OVER () * 0.05) AS n
+  FROM documents) WHERE pos < n"""
+
+
+def corpus_split_sql() -> str:
+    return """
+SELECT doc_id, lang, CASE WHEN pos < ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split,
+       CAST(pos AS BIGINT) AS shuffle_pos
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n FROM documents)"""
+
+
+def corpus_head_sql() -> str:
+    return "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100"
+
+
+def corpus_nth_sql() -> str:
+    return "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 1 OFFSET 5"
+
+
+# -------------------------------------------------------------- prompts ----
+
+def few_shot_prompts_sql() -> str:
+    from mathtide.operators.shape import (CHAT_ZERO_SHOT_INSTRUCTION, EIGHT_SHOT_PROMPT,
+                                          FEW_SHOT_INSTRUCTION, STEP_BY_STEP_HEAD, STEP_BY_STEP_TAIL,
+                                          THINK_INSTRUCTION, ZERO_SHOT_INSTRUCTION)
+    head, tail = EIGHT_SHOT_PROMPT.split("{question}")
+    p = f"(b.block || 'Question: ' || d.text || {NL} || {q(FEW_SHOT_INSTRUCTION)})"
+    excerpt = (f"CASE WHEN length({p}) > 500 THEN left({p}, 250) || '...' || {NL} || '...' || right({p}, 250) "
+               f"ELSE {p} END")
+    return f"""
+WITH shots AS (
+  SELECT item_id, text, md5('42:' || item_id) AS h FROM benchmark ORDER BY h, item_id LIMIT 5),
+block AS (
+  SELECT string_agg('Question: ' || text || {NL} || 'Answer: ' || '#### ' || item_id || {NL} || {NL}, ''
+                    ORDER BY h, item_id) AS block FROM shots)
+SELECT d.doc_id AS qid, {p} AS prompt,
+       md5('Question: ' || b.block || ' ' || {q(THINK_INSTRUCTION)}) AS shots_only_md5,
+       md5({NL} || b.block || {NL} || {NL} || 'Question: ' || d.text || {NL} || {q(THINK_INSTRUCTION)}) AS shots_then_question_md5,
+       md5({q(head)} || d.text || {q(tail)}) AS eight_shot_md5,
+       md5(d.text || {q(ZERO_SHOT_INSTRUCTION)}) AS zero_shot_md5,
+       md5(d.text || {q(CHAT_ZERO_SHOT_INSTRUCTION)}) AS chat_zero_shot_md5,
+       md5({q(STEP_BY_STEP_HEAD)} || d.text || {q(STEP_BY_STEP_TAIL)}) AS step_by_step_md5,
+       {excerpt} AS prompt_excerpt
+FROM documents d CROSS JOIN block b"""
+
+
+V_INSTRUCTIONS = """
+ins AS (
+  SELECT u.conv_id, u.turn, u.text AS instruction, a.text AS output,
+         CASE WHEN u.conv_id % 3 = 0 THEN 'data/PoT/' ELSE 'data/CoT/' END || (u.conv_id % 5) AS source
+  FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+
+def instruction_prompts_sql() -> str:
+    return with_views(V_INSTRUCTIONS) + f"""
+SELECT conv_id, turn, source,
+       'Instruction' || {NL} || coalesce(instruction, '') || {NL} || 'Response' || {NL} || coalesce(output, '') AS formatted_text
+FROM ins WHERE source IS NOT NULL AND NOT starts_with(source, 'data/PoT/')"""
+
+
+def source_counts_sql() -> str:
+    return with_views(V_INSTRUCTIONS) + """
+SELECT source, CAST(count(*) AS BIGINT) AS n FROM ins GROUP BY source"""
+
+
+def source_counts_peek_sql() -> str:
+    return with_views(V_INSTRUCTIONS) + """
+SELECT source, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT * FROM ins ORDER BY conv_id, turn LIMIT 1000) GROUP BY source"""
+
+
+def chat_prompts_sql() -> str:
+    turn = f"'<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}"
+    return f"""
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       coalesce(string_agg({turn}, '' ORDER BY turn, {turn}), '') || '<|im_start|>assistant' || {NL} AS prompt
+FROM conversations GROUP BY conv_id"""

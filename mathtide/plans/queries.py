@@ -59,3 +59,140 @@ def answer_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         A.extract_ground_truth(t).alias("ground_truth"),
         A.extract_keyword_answer(t).alias("keyword_answer"),
         A.clean_number_text(t).alias("cleaned"))
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I11-I13 and B18 on decoded outputs built from the responses."""
+    r = V.responses(spark, sf_dir)
+    decoded = F.concat(F.lit("Q: question "), F.col("question_id").cast("string"), F.lit("\nA: "),
+                       F.col("response"), F.lit("\n\nQ: next one #### 7\n\nA: 8</s>"))
+    chat = F.concat(F.lit("Question: "), F.col("question_id").cast("string"), F.lit("\nAnswer: "),
+                    F.col("response"), F.lit("  "))
+    kind = F.when(F.col("vote.l_partkey") % 2 == 0, F.lit("qwen")).otherwise(F.lit("gpt2"))
+    prompt = F.concat(F.lit("Question: "), F.col("question_id").cast("string"), F.lit("\nAnswer: "))
+    return r.select(
+        "run", "question_id", "vote.l_linenumber", "vote.l_partkey", "vote.l_suppkey",
+        A.post_process_response(decoded).alias("post_processed"),
+        A.completion_after_last_a(decoded).alias("after_last_a"),
+        A.completion_after_last_a(decoded, cut_at_question=False).alias("after_last_a_uncut"),
+        A.cut_at_stop(F.concat(F.col("response"), F.lit(" Q: again"))).alias("cut"),
+        A.completion_text(chat, prompt, kind).alias("completion"),
+        A.extract_answer(decoded, eos="</s>").alias("extracted_eos"))
+
+
+def number_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """to_number over every number-like token of the responses and gold texts."""
+    r = V.responses(spark, sf_dir)
+    tokens = r.select("question_id", "vote.l_linenumber", "vote.l_partkey", "vote.l_suppkey",
+                      F.posexplode(F.split(F.col("response"), " ")).alias("pos", "token"))
+    parsed = tokens.select("question_id", "l_linenumber", "l_partkey", "l_suppkey", "pos",
+                           "token", A.to_number("token").alias("num"))
+    return parsed.select("question_id", "l_linenumber", "l_partkey", "l_suppkey", "pos", "token",
+                         F.col("num.value").alias("value"), F.col("num.is_whole").alias("is_whole"))
+
+
+# ------------------------------------------------------------ curriculum ---
+
+def curriculum_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five renderers and their standardisers; failed rows keep nulls (Q1-Q3)."""
+    from mathtide.plans import curriculum as C
+    rendered = C.render_problems(V.problems(spark, sf_dir))
+    return rendered.withColumn("__std", C.standardise_text()).select(
+        "dataset", "stage", "row_key", "text",
+        F.col("__std.question").alias("question"), F.col("__std.answer").alias("answer"))
+
+
+def curriculum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 (+C3): raw and kept rows per dataset and in total."""
+    from mathtide.plans import curriculum as C
+    return C.dataset_counts(C.render_problems(V.problems(spark, sf_dir)))
+
+
+def curriculum_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: standardise, drop failures, cap AQuA, SFT prompt, seeded shuffle + 10 % split."""
+    from mathtide.plans import curriculum as C
+    out = C.prepare(C.render_problems(V.problems(spark, sf_dir)))
+    return out.select("dataset", "stage", "row_key", "question", "answer", "prompt", "split", "shuffle_pos")
+
+
+# -------------------------------------------------------------- sampling ---
+
+def corpus_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full seeded shuffle of the corpus with each row's position."""
+    from mathtide.operators import sampling as S
+    return S.shuffle(V.corpus(spark, sf_dir).select("doc_id", "lang", "source"), 42, "doc_id")
+
+
+def corpus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-size seeded fraction sample of the corpus (5 %)."""
+    from mathtide.operators import sampling as S
+    return S.sample_fraction(V.corpus(spark, sf_dir).select("doc_id", "lang", "source"), 0.05, 42, "doc_id")
+
+
+def corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-count 10 % test split per language after a seeded shuffle."""
+    from mathtide.operators import sampling as S
+    docs = V.corpus(spark, sf_dir).select("doc_id", "lang")
+    return S.train_test_split(docs, 0.1, 42, key="doc_id", group="lang")
+
+
+def corpus_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 documents in key order."""
+    from mathtide.operators import sampling as S
+    return S.take(V.corpus(spark, sf_dir).select("doc_id", "lang", "source"), 100, ["doc_id"])
+
+
+def corpus_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document at position 5 in key order."""
+    from mathtide.operators import sampling as S
+    return S.nth_row(V.corpus(spark, sf_dir).select("doc_id", "lang", "source"), 5, ["doc_id"])
+
+
+# --------------------------------------------------------------- prompts ---
+
+def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B11 + B12 + D1: 5 seeded shots before every test question, all styles."""
+    from mathtide.operators import sampling as S
+    from mathtide.operators import shape as B
+    shots = S.sample_n(V.qa_train(spark, sf_dir), 5, 42, "qid", rank_col="shot_rank")
+    block = B.few_shot_block(shots, "shot_rank").scalar()
+    test = V.qa_test(spark, sf_dir)
+    q = F.col("question")
+    return test.select(
+        "qid",
+        B.eval_prompt(q, "question", block).alias("prompt"),
+        F.md5(B.eval_prompt(q, "shots_only", block)).alias("shots_only_md5"),
+        F.md5(B.eval_prompt(q, "shots_then_question", block)).alias("shots_then_question_md5"),
+        F.md5(B.eval_prompt(q, "eight_shot")).alias("eight_shot_md5"),
+        F.md5(B.eval_prompt(q, "zero_shot")).alias("zero_shot_md5"),
+        F.md5(B.eval_prompt(q, "chat_zero_shot")).alias("chat_zero_shot_md5"),
+        F.md5(B.eval_prompt(q, "step_by_step")).alias("step_by_step_md5"),
+        B.excerpt(B.eval_prompt(q, "question", block)).alias("prompt_excerpt"))
+
+
+def instruction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + B9: drop 'data/PoT/' sources, format instruction / response text."""
+    from mathtide.operators import filters as C1
+    from mathtide.operators import shape as B
+    ins = C1.exclude_sources(V.instructions(spark, sf_dir), ["data/PoT/"])
+    return ins.select("conv_id", "turn", "source",
+                      B.instruction_prompt("instruction", "output").alias("formatted_text"))
+
+
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency of every source over the whole instruction table."""
+    from mathtide.operators import runlog as R
+    return R.source_counts(V.instructions(spark, sf_dir))
+
+
+def source_counts_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 sampled: source frequency in a peek at the first 1000 records (key order)."""
+    from mathtide.operators import runlog as R
+    return R.source_counts(V.instructions(spark, sf_dir), sample=1000, order_by=["conv_id", "turn"])
+
+
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one chat prompt with a generation mark."""
+    from mathtide.operators import shape as B
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return B.chat_prompt(turns)
