@@ -25,6 +25,10 @@ def source_counts(df: DataFrame, source: str = "source", sample: int | None = No
     return data.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _seconds(c) -> F.Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+
+
 def step_index(log: DataFrame, run: str = "run", order_by: Sequence[str] = ("ts", "event_id"),
                step: str = "step") -> DataFrame:
     """1-based step number per run in time order (skew-safe, exact)."""
@@ -32,34 +36,40 @@ def step_index(log: DataFrame, run: str = "run", order_by: Sequence[str] = ("ts"
     return ranked.withColumn(step, F.col("__r") + 1).drop("__r")
 
 
-def training_speed(log: DataFrame, run: str = "run", step: str = "step", ts: str = "ts",
-                   batch: str = "batch", accumulation: str = "accumulation",
+def training_speed(log: DataFrame, run: str = "run", order_by: Sequence[str] = ("ts", "event_id"),
+                   ts: str = "ts", batch: str = "batch", accumulation: str = "accumulation",
                    world_size: int = 1, every: int = 10) -> DataFrame:
     """F2 + C6: every ``every`` steps, samples/second and seconds/step so far.
 
-    Samples per step = device batch x accumulation x ``world_size`` (the
-    reference counts one device, Q18).  The clock starts at the run's first
-    step; elapsed = ts - first ts.
+    Steps are numbered per run in ``order_by`` order.  Samples per step =
+    device batch x accumulation x ``world_size`` (the reference counts one
+    device, Q18).  The clock starts at the run's first step: elapsed = ts -
+    first ts.  Step numbers and sample totals come from one skew-safe pass.
     """
     per_step = (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long")
     data = log.withColumn("__samples", per_step)
-    ranked = running_totals(data, order_by=[step], partition_by=[run], sums=["__samples"],
+    ranked = running_totals(data, order_by=list(order_by), partition_by=[run], sums=["__samples"],
                             rank_col="__r", sum_prefix="total")
     starts = log.groupBy(run).agg(F.min(ts).alias("__start"))
-    out = (ranked.where((F.col(step) % every) == 0)
+    out = (ranked.withColumn("step", F.col("__r") + 1)
+           .where((F.col("step") % every) == 0)
            .join(starts, on=run, how="inner")
-           .withColumn("elapsed_s", F.col(ts).cast("double") - F.col("__start").cast("double")))
+           .withColumn("elapsed_s", _seconds(ts) - _seconds("__start")))
     return out.select(
-        run, step, F.col("total__samples").alias("total_samples"), "elapsed_s",
+        run, "step", F.col("total__samples").alias("total_samples"), "elapsed_s",
         F.when(F.col("elapsed_s") > 0, F.col("total__samples") / F.col("elapsed_s")).alias("samples_per_second"),
-        (F.col("elapsed_s") / F.col(step)).alias("seconds_per_step"))
+        (F.col("elapsed_s") / F.col("step")).alias("seconds_per_step"))
 
 
-def run_summary(log: DataFrame, run: str = "run", step: str = "step", ts: str = "ts",
+def run_summary(log: DataFrame, run: str = "run", ts: str = "ts", step: str | None = None,
                 memory: str | None = None) -> DataFrame:
-    """Per run total time, steps, steps/second (and peak memory if logged)."""
-    aggs = [(F.max(ts).cast("double") - F.min(ts).cast("double")).alias("total_time_s"),
-            F.max(step).alias("max_steps"), F.count(F.lit(1)).alias("n_rows")]
+    """Per run total time, steps, steps/second (and peak memory if logged).
+
+    Without a ``step`` column every log row is one step.
+    """
+    steps = F.max(step) if step else F.count(F.lit(1))
+    aggs = [(F.max(_seconds(ts)) - F.min(_seconds(ts))).alias("total_time_s"),
+            steps.cast("long").alias("max_steps"), F.count(F.lit(1)).alias("n_rows")]
     if memory:
         aggs.append(F.max(memory).alias("peak_memory"))
     out = log.groupBy(run).agg(*aggs)

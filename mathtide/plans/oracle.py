@@ -444,3 +444,120 @@ def chat_prompts_sql() -> str:
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        coalesce(string_agg({turn}, '' ORDER BY turn, {turn}), '') || '<|im_start|>assistant' || {NL} AS prompt
 FROM conversations GROUP BY conv_id"""
+
+
+# ---------------------------------------------------------- leaderboard ----
+
+NUMERIC_TEXT_SQL = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+
+def _num(x):
+    return f"CASE WHEN regexp_full_match({x}, {q(NUMERIC_TEXT_SQL)}) THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+
+
+def _v_leaderboard(metric: str = "score_txt") -> str:
+    return f"""
+lb AS (
+  SELECT p_partkey AS row_key, p_name AS "Name", p_brand AS "Family",
+         strftime(date '2022-01-01' + to_months(CAST(p_partkey % 40 AS INTEGER)), '%y-%b') AS published,
+         CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN ''
+              ELSE CAST(floor(p_size / 4) AS BIGINT) || '.' || ((p_size % 4) * 25) END AS size_txt,
+         CASE WHEN p_partkey % 11 = 0 THEN ''
+              ELSE ((p_partkey * 37) % 100) || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END END AS score_txt
+  FROM part),
+typed AS (
+  SELECT row_key, "Name", "Family", CAST(strptime(published || '-01', '%y-%b-%d') AS DATE) AS "Date",
+         {_num('size_txt')} AS size, {_num(metric)} AS score
+  FROM lb),
+typed2 AS (
+  SELECT *, size IS NOT NULL AS has_size,
+         CASE WHEN size IS NOT NULL THEN log10(size) * 200 ELSE 100.0 END AS size_normalised,
+         CASE WHEN size IS NOT NULL THEN "Name" || ' (' || CAST(trunc(size) AS BIGINT) || 'B)' ELSE "Name" END AS label
+  FROM typed),
+fam AS (
+  SELECT "Family", first_date, first_key,
+         CAST(row_number() OVER (ORDER BY first_date, first_key) - 1 AS BIGINT) AS family_idx
+  FROM (SELECT "Family", "Date" AS first_date, row_key AS first_key,
+               row_number() OVER (PARTITION BY "Family" ORDER BY "Date", row_key) AS r FROM typed2)
+  WHERE r = 1),
+palette AS (
+  SELECT *, ['#1f77b4', '#ff7f0e', '#2ca02c', '#d62728', '#9467bd', '#8c564b', '#e377c2',
+             '#7f7f7f', '#bcbd22', '#17becf'][family_idx % 10 + 1] AS colour FROM fam)"""
+
+
+def leaderboard_zoom_sql() -> str:
+    return with_views(_v_leaderboard()) + """
+SELECT t.row_key, t."Name", t."Family", t."Date", t.size, t.has_size,
+       round(t.size_normalised, 6) AS size_normalised, t.score, t.label,
+       COALESCE(t."Date" BETWEEN DATE '2024-01-01' AND DATE '2025-03-01' AND t.score BETWEEN 40 AND 80, false) AS in_box,
+       p.family_idx, p.colour
+FROM typed2 t LEFT JOIN palette p USING ("Family")
+WHERE t."Date" >= DATE '2024-01-01' AND t.score >= 40"""
+
+
+def leaderboard_axis_sql() -> str:
+    return with_views(_v_leaderboard()) + """
+SELECT CAST(min("Date") - INTERVAL 15 DAY AS DATE) AS min_date,
+       CAST(max("Date") + INTERVAL 15 DAY AS DATE) AS max_date,
+       CAST(38.0 AS DOUBLE) AS min_score, max(score) + 2.0 AS max_score, CAST(count(*) AS BIGINT) AS n_points
+FROM typed2 WHERE "Date" >= DATE '2024-01-01' AND score >= 40"""
+
+
+def leaderboard_families_sql() -> str:
+    return with_views(_v_leaderboard()) + """
+SELECT "Family", first_date, first_key, family_idx, colour FROM palette"""
+
+
+def leaderboard_size_split_sql() -> str:
+    return with_views(_v_leaderboard("score_txt")) + """
+SELECT "Family", CAST(sum(CASE WHEN has_size THEN 1 ELSE 0 END) AS BIGINT) AS n_with_size,
+       CAST(sum(CASE WHEN has_size THEN 0 ELSE 1 END) AS BIGINT) AS n_without_size
+FROM typed2 GROUP BY "Family" """
+
+
+def leaderboard_thresholds_sql() -> str:
+    def n(c):
+        return f"CAST(sum(CASE WHEN COALESCE({c}, false) THEN 1 ELSE 0 END) AS BIGINT)"
+    s24 = "\"Date\" >= DATE '2024-01-01'"
+    return with_views(_v_leaderboard()) + f"""
+SELECT {n(f'{s24} AND score >= 40')} AS n_40, {n(f'{s24} AND score >= 70')} AS n_70,
+       {n(f'{s24} AND score >= 75')} AS n_75, {n(f'{s24} AND score >= 79')} AS n_79,
+       {n("\"Date\" >= DATE '2022-01-01'")} AS n_since_2022, {n(f'{s24} AND score >= 101')} AS n_101,
+       {n(f'{s24} AND score >= 101')} = 0 AS empty_101
+FROM typed2"""
+
+
+# --------------------------------------------------------------- runlog ----
+
+V_STEPS = """
+steps AS (
+  SELECT event_type AS run, event_id, ts, value, 4 AS batch, length(event_type) % 4 + 1 AS accumulation,
+         row_number() OVER w AS step,
+         sum(4 * (length(event_type) % 4 + 1)) OVER w AS total_samples,
+         min(ts) OVER (PARTITION BY event_type) AS start_ts
+  FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def training_speed_sql() -> str:
+    return with_views(V_STEPS) + """
+SELECT run, CAST(step AS BIGINT) AS step, CAST(total_samples AS BIGINT) AS total_samples,
+       round((epoch_us(ts) - epoch_us(start_ts)) / 1e6, 6) AS elapsed_s,
+       round(CASE WHEN epoch_us(ts) > epoch_us(start_ts)
+                  THEN total_samples / ((epoch_us(ts) - epoch_us(start_ts)) / 1e6) END, 6) AS samples_per_second,
+       round((epoch_us(ts) - epoch_us(start_ts)) / 1e6 / step, 6) AS seconds_per_step
+FROM steps WHERE step % 10 = 0"""
+
+
+def run_summary_sql() -> str:
+    return """
+SELECT event_type AS run, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS total_time_s,
+       CAST(count(*) AS BIGINT) AS max_steps, CAST(count(*) AS BIGINT) AS n_rows, max(value) AS peak_memory,
+       round(CASE WHEN max(ts) > min(ts) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) END, 6)
+         AS steps_per_second
+FROM events GROUP BY event_type"""
+
+
+def checkpoint_steps_sql() -> str:
+    return with_views(V_STEPS) + """
+SELECT run, CAST(step AS BIGINT) AS step, event_id FROM steps WHERE step % 100 = 0 AND step > 0"""

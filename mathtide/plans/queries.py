@@ -196,3 +196,84 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import shape as B
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return B.chat_prompt(turns)
+
+
+# ----------------------------------------------------------- leaderboard ---
+
+def leaderboard_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 (I14-I19, C4, G1, E6, F4, D2): zoomed MATH leaderboard with colours."""
+    from mathtide.operators import leaderboard as LB
+    out = LB.leaderboard(V.leaderboard(spark, sf_dir))
+    return out.select("row_key", "Name", "Family", "Date", "size", "has_size",
+                      _r6("size_normalised").alias("size_normalised"), "score", "label", "in_box",
+                      "family_idx", "colour")
+
+
+def leaderboard_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: axis limits of the zoomed view."""
+    from mathtide.operators import leaderboard as LB
+    typed = LB.prepare(V.leaderboard(spark, sf_dir))
+    return LB.axis_bounds(LB.zoom(typed))
+
+
+def leaderboard_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 + F4: families in first-appearance order with palette index and colour."""
+    from mathtide.operators import leaderboard as LB
+    return LB.family_palette(LB.prepare(V.leaderboard(spark, sf_dir)))
+
+
+def leaderboard_size_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per family, rows with and without a known size (GSM8K metric)."""
+    from mathtide.operators import leaderboard as LB
+    typed = LB.prepare(V.leaderboard(spark, sf_dir), metric="GSM8K Performance")
+    with_size, without = LB.split_by_size(typed)
+    a = with_size.groupBy("Family").agg(F.count(F.lit(1)).alias("n_with_size"))
+    b = without.groupBy("Family").agg(F.count(F.lit(1)).alias("n_without_size"))
+    return a.join(b, "Family", "full").select(
+        "Family", F.coalesce("n_with_size", F.lit(0)).alias("n_with_size"),
+        F.coalesce("n_without_size", F.lit(0)).alias("n_without_size"))
+
+
+def leaderboard_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 variants + E9: zoom sizes for each published threshold, and the empty case."""
+    from mathtide.operators import leaderboard as LB
+    typed = LB.prepare(V.leaderboard(spark, sf_dir), metric="GSM8K Performance")
+    since24 = F.col("Date") >= F.lit("2024-01-01").cast("date")
+    since22 = F.col("Date") >= F.lit("2022-01-01").cast("date")
+
+    def n(cond):
+        return F.sum(F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)).cast("long")
+    out = typed.agg(n(since24 & (F.col("score") >= 40)).alias("n_40"),
+                    n(since24 & (F.col("score") >= 70)).alias("n_70"),
+                    n(since24 & (F.col("score") >= 75)).alias("n_75"),
+                    n(since24 & (F.col("score") >= 79)).alias("n_79"),
+                    n(since22).alias("n_since_2022"),
+                    n(since24 & (F.col("score") >= 101)).alias("n_101"))
+    return out.withColumn("empty_101", F.col("n_101") == 0)
+
+
+# ---------------------------------------------------------------- runlog ---
+
+def training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + C6: samples/second and seconds/step every 10 steps per run."""
+    from mathtide.operators import runlog as R
+    out = R.training_speed(V.step_log(spark, sf_dir))
+    return out.select("run", "step", "total_samples", _r6("elapsed_s").alias("elapsed_s"),
+                      _r6("samples_per_second").alias("samples_per_second"),
+                      _r6("seconds_per_step").alias("seconds_per_step"))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total time, steps, steps/second and peak value per run."""
+    from mathtide.operators import runlog as R
+    out = R.run_summary(V.step_log(spark, sf_dir), memory="value")
+    return out.select("run", _r6("total_time_s").alias("total_time_s"), "max_steps", "n_rows",
+                      "peak_memory", _r6("steps_per_second").alias("steps_per_second"))
+
+
+def checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 (save form): steps with step % 100 = 0 and step > 0."""
+    from mathtide.operators import filters as Fl
+    from mathtide.operators import runlog as R
+    steps = R.step_index(V.step_log(spark, sf_dir))
+    return Fl.every_k_steps(steps, "step", 100, positive=True).select("run", "step", "event_id")
