@@ -561,3 +561,71 @@ FROM events GROUP BY event_type"""
 def checkpoint_steps_sql() -> str:
     return with_views(V_STEPS) + """
 SELECT run, CAST(step AS BIGINT) AS step, event_id FROM steps WHERE step % 100 = 0 AND step > 0"""
+
+
+# --------------------------------------------------------------- tokens ----
+
+def _vocab_cte(k: int = 997) -> str:
+    from mathtide.operators.tokens import TOKEN_PATTERN
+    return f"""
+toks AS (SELECT doc_id, regexp_extract_all(text, {q(TOKEN_PATTERN)}) AS t FROM documents),
+counts AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok),
+vocab AS (
+  SELECT tok, CAST(row_number() OVER (ORDER BY cnt DESC, tok) + 2 AS BIGINT) AS id, CAST(cnt AS BIGINT) AS cnt
+  FROM counts ORDER BY cnt DESC, tok LIMIT {k})"""
+
+
+def vocabulary_sql() -> str:
+    return with_views(_vocab_cte()) + """
+SELECT tok AS token, id, cnt AS count FROM vocab"""
+
+
+def tokenise_sql() -> str:
+    return with_views(_vocab_cte(), """
+pos AS (
+  SELECT doc_id, unnest(t[1:512]) AS tok, generate_subscripts(t[1:512], 1) AS p FROM toks),
+enc AS (
+  SELECT pos.doc_id, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY p) AS ids
+  FROM pos LEFT JOIN vocab v USING (tok) GROUP BY pos.doc_id),
+full_ AS (
+  SELECT toks.doc_id, coalesce(enc.ids, []::INTEGER[]) AS ids, len(toks.t) AS n_full
+  FROM toks LEFT JOIN enc USING (doc_id))""") + """
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens,
+       array_to_string(list_resize(ids, 512, 0), ' ') AS input_ids,
+       array_to_string(list_concat(ids, list_transform(range(512 - len(ids)), lambda x: -100)), ' ') AS labels,
+       CAST(least(512, 1024 - n_full) AS INTEGER) AS gpt2_new_tokens,
+       CAST(least(2048, 4096 - n_full) AS INTEGER) AS deepseek_new_tokens
+FROM full_"""
+
+
+# ------------------------------------------------------------ user code ----
+
+def generated_eval_sql() -> str:
+    from mathtide.operators.shape import ZERO_SHOT_INSTRUCTION
+    return with_views(V_GOLD, f"""
+votes AS (
+  SELECT g.question_id, v.vote,
+         'The answer is ' || ((length(g.question || {q(ZERO_SHOT_INSTRUCTION)}) + v.vote) % 50 + 1) || '.' AS response
+  FROM gold g CROSS JOIN range(4) AS v(vote)),
+ext AS (SELECT question_id, vote, {extract_predicted('response')} AS numeric FROM votes),
+tally AS (
+  SELECT question_id, numeric, count(*) AS c, min(vote) AS first_vote
+  FROM ext WHERE numeric IS NOT NULL GROUP BY ALL),
+winner AS (
+  SELECT question_id, numeric AS majority_answer FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY c DESC, first_vote) AS r FROM tally)
+  WHERE r = 1),
+per_q AS (SELECT question_id, CAST(count(*) AS BIGINT) AS n_votes FROM ext GROUP BY question_id),
+res AS (
+  SELECT p.question_id, p.n_votes, w.majority_answer, {extract_answer('g.answer')} AS gold_answer
+  FROM per_q p LEFT JOIN winner w USING (question_id) LEFT JOIN gold g USING (question_id))""") + f"""
+SELECT question_id, n_votes, majority_answer, gold_answer,
+       {is_correct('majority_answer', 'gold_answer')} AS correct
+FROM res"""
+
+
+def user_functions_sql() -> str:
+    return """
+SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars,
+       CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines
+FROM documents WHERE lang IN ('en', 'de')"""

@@ -277,3 +277,61 @@ def checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import runlog as R
     steps = R.step_index(V.step_log(spark, sf_dir))
     return Fl.every_k_steps(steps, "step", 100, positive=True).select("run", "step", "event_id")
+
+
+# ---------------------------------------------------------------- tokens ---
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B13 (fit): corpus vocabulary of 1000 ids, specials first."""
+    from mathtide.operators import tokens as T
+    return T.fit_vocabulary(V.corpus(spark, sf_dir), "text", 1000)
+
+
+def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode the whole corpus to 512 padded ids, mask, labels, budget."""
+    from mathtide.operators import tokens as T
+    docs = V.corpus(spark, sf_dir).select("doc_id", "text")
+    vocab = T.fit_vocabulary(docs, "text", 1000)
+    enc = T.encode(docs, vocab, "text", 512, pad=True)
+    n_full = F.size(T.tokens("text"))
+    return enc.select(
+        "doc_id",
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
+        F.array_join("input_ids", " ").alias("input_ids"),
+        F.array_join(T.causal_labels(), " ").alias("labels"),
+        T.token_budget(n_full, "gpt2", 512).alias("gpt2_new_tokens"),
+        T.token_budget(n_full, "deepseek-r1", 2048).alias("deepseek_new_tokens"))
+
+
+# ------------------------------------------------------------ user code ----
+
+def stub_generator(prompts, votes):
+    """Deterministic stand-in for a model: 'The answer is N.' from prompt length."""
+    n = prompts.str.len()
+    return "The answer is " + ((n + votes) % 50 + 1).astype(str) + "."
+
+
+def generated_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + K4: 4 generated votes per gold question, 'The answer is' rule, majority."""
+    from mathtide.operators import shape as B
+    from mathtide.operators import udf as U
+    gold = V.gold(spark, sf_dir)
+    prompts = gold.select("question_id", B.eval_prompt(F.col("question"), "zero_shot").alias("prompt"))
+    responses = U.batch_generate(prompts, stub_generator, "prompt", n_votes=4, batch_size=64)
+    res = E.evaluate(responses, gold, run=None, extractor=A.extract_predicted_answer)
+    return res.select("question_id", "n_votes", "majority_answer", "gold_answer", "correct")
+
+
+def _text_stats(pdf):
+    out = pdf[["doc_id", "lang"]].copy()
+    out["n_chars"] = pdf["text"].str.len().astype("int64")
+    out["n_lines"] = (pdf["text"].str.count("\n") + 1).astype("int64")
+    return out
+
+
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K2: vectorised row filter, then a batch function in batches of 64."""
+    from mathtide.operators import udf as U
+    docs = V.corpus(spark, sf_dir).select("doc_id", "lang", "text")
+    kept = U.filter_rows(docs, lambda pdf: pdf["lang"].isin(["en", "de"]))
+    return U.map_batches(kept, _text_stats, "doc_id long, lang string, n_chars long, n_lines long", 64)
