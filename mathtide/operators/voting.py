@@ -73,7 +73,9 @@ def collect_votes(votes: DataFrame, question: str | Sequence[str], order: str,
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"),
                                                   *[F.col(f) for f in fields])))
     out = votes.groupBy(*q).agg(packed.alias("__votes"))
-    return out.select(*q, *[F.transform("__votes", lambda x, f=f: x[f]).alias(f"{f}s") for f in fields])
+    def field(name):
+        return F.transform("__votes", lambda x: x[name]).alias(f"{name}s")
+    return out.select(*q, *[field(f) for f in fields])
 
 
 def running_accuracy(examples: DataFrame, correct: str, order_by: Sequence[str],

@@ -629,3 +629,88 @@ def user_functions_sql() -> str:
 SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars,
        CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines
 FROM documents WHERE lang IN ('en', 'de')"""
+
+
+# -------------------------------------------------------------- sources ----
+
+def qa_jsonl_roundtrip_sql() -> str:
+    return """
+SELECT item_id AS qid, 'train' AS split, text AS question, '#### ' || item_id AS answer FROM benchmark
+UNION ALL
+SELECT doc_id, 'test', text, '#### ' || doc_id FROM documents"""
+
+
+def _rendered_sql(where: str, cols: str = "row_key AS pid, text") -> str:
+    return with_views(V_PROBLEMS, V_RENDERED) + f"\nSELECT {cols} FROM rendered WHERE {where}"
+
+
+def asdiv_xml_roundtrip_sql() -> str:
+    return _rendered_sql("dataset = 'ASDiv' AND row_key % 17 <> 0")
+
+
+def json_array_roundtrip_sql() -> str:
+    return _rendered_sql("dataset IN ('ParaMAWPS', 'SVAMP')", "dataset, row_key AS pid, text")
+
+
+def keyed_json_roundtrip_sql() -> str:
+    return _rendered_sql("dataset = 'DMath'")
+
+
+def aqua_jsonl_roundtrip_sql() -> str:
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD) + """
+SELECT row_key AS pid, text, question, answer FROM standard WHERE dataset = 'AQuA'"""
+
+
+def leaderboard_csv_roundtrip_sql() -> str:
+    return leaderboard_zoom_sql()
+
+
+def curriculum_files_sql() -> str:
+    return curriculum_splits_sql()
+
+
+def saved_splits_sql() -> str:
+    return f"SELECT * FROM ({curriculum_splits_sql()}) WHERE split = 'test'"
+
+
+def results_files_sql() -> str:
+    return _vote_results() + f""",
+r AS (
+  SELECT run, question_id, n_votes, majority_answer, gold_answer,
+         {is_correct('majority_answer', 'gold_answer')} AS correct FROM res),
+acc AS (
+  SELECT run, round(sum(CASE WHEN correct THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM r GROUP BY run)
+SELECT r.*, acc.accuracy FROM r LEFT JOIN acc USING (run)"""
+
+
+def collect_votes_sql() -> str:
+    order = "ORDER BY l_linenumber, l_partkey, l_suppkey"
+    return with_views(V_RESPONSES) + f"""
+SELECT run, question_id,
+       string_agg(response, ' | ' {order}) AS model_answers_text,
+       string_agg(coalesce(CAST(numeric AS VARCHAR), 'null'), ',' {order}) AS extracted_model_answers
+FROM (SELECT *, {extract_answer('response')} AS numeric FROM responses)
+GROUP BY run, question_id"""
+
+
+def dataset_sizes_sql() -> str:
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD, """
+cnt AS (
+  SELECT dataset, CAST(sum(CASE WHEN question IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
+  FROM standard GROUP BY dataset)""") + """
+SELECT n.dataset, n.stage, c.n_kept
+FROM (VALUES ('ASDiv', 1), ('ParaMAWPS', 2), ('SVAMP', 3), ('DMath', 4), ('AQuA', 5)) AS n(dataset, stage)
+LEFT JOIN cnt c USING (dataset)"""
+
+
+def dataset_profile_sql() -> str:
+    return f"""
+WITH s AS ({corpus_split_sql()}),
+first5 AS (
+  SELECT split, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sample_keys
+  FROM (SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM s)
+  WHERE rn <= 5 GROUP BY split)
+SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, f.sample_keys,
+       'lang,doc_id,shuffle_pos,split' AS column_names,
+       'struct<lang:string,doc_id:bigint,shuffle_pos:bigint,split:string>' AS features
+FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys"""

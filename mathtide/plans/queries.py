@@ -335,3 +335,205 @@ def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.corpus(spark, sf_dir).select("doc_id", "lang", "text")
     kept = U.filter_rows(docs, lambda pdf: pdf["lang"].isin(["en", "de"]))
     return U.map_batches(kept, _text_stats, "doc_id long, lang string, n_chars long, n_lines long", 64)
+
+
+# --------------------------------------------------------------- sources ---
+# Round trips: a view of the driver tables is written in the source format
+# into the shared checkpoint folder and read back with the library reader.
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    from mathtide.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def qa_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: train/test JSONL files -> question, answer, split."""
+    from pyspark.sql import types as T
+    from mathtide.sources import readers as R
+    base = _scratch(spark, "qa-jsonl")
+    V.qa_train(spark, sf_dir).write.mode("overwrite").json(f"{base}/train")
+    V.qa_test(spark, sf_dir).write.mode("overwrite").json(f"{base}/test")
+    schema = T.StructType(R.QA_SCHEMA.fields + [T.StructField("qid", T.LongType())])
+    train = R.read_qa_jsonl(spark, f"{base}/train", "train", schema)
+    test = R.read_qa_jsonl(spark, f"{base}/test", "test", schema)
+    return train.unionByName(test).select("qid", "split", "question", "answer")
+
+
+def _asdiv_fixture(spark, sf_dir, some_without_question: bool = True):
+    """Problems as ASDiv elements; optional fields absent when empty, and
+    (for the C2 check) no Question element on every 17th problem."""
+    p = V.problems(spark, sf_dir)
+    question = F.col("question")
+    if some_without_question:
+        question = F.when(F.col("pid") % 17 != 0, question)
+    return p.select(F.col("pid").cast("string").alias("_id"),
+                    F.when(F.col("body") != "", F.col("body")).alias("Body"),
+                    question.alias("Question"),
+                    F.col("answer").alias("Answer"),
+                    F.when(F.col("equation") != "", F.col("equation")).alias("Formula"))
+
+
+def asdiv_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + C2 + B1: <Problem> elements (some without Question) -> rendered text."""
+    from mathtide.sources import readers as R
+    path = _scratch(spark, "asdiv-xml")
+    (_asdiv_fixture(spark, sf_dir).write.format("xml").option("rowTag", "Problem")
+     .option("rootTag", "Machine-Reading-Corpus-File").mode("overwrite").save(path))
+    df = R.render_source("ASDiv", R.read_asdiv_xml(spark, path))
+    return df.select(F.col("row_key").cast("long").alias("pid"), "text")
+
+
+def _paramawps_fixture(spark, sf_dir):
+    p = V.problems(spark, sf_dir)
+    return p.select(F.col("pid").cast("string").alias("id"), F.col("question").alias("original_text"),
+                    "equation", (F.col("answer").cast("int")).alias("ans"))
+
+
+def _svamp_fixture(spark, sf_dir):
+    p = V.problems(spark, sf_dir)
+    return p.select(F.col("pid").cast("string").alias("ID"), F.col("body").alias("Body"),
+                    F.col("question").alias("Question"), F.col("equation").alias("Equation"),
+                    F.col("answer").cast("int").alias("Answer"))
+
+
+def _dmath_fixture(spark, sf_dir):
+    p = V.problems(spark, sf_dir)
+    return p.select("pid", F.col("question").alias("question_en"),
+                    F.col("equation").alias("solution_code_en"), F.col("answer").alias("answer_en"))
+
+
+def _aqua_fixture(spark, sf_dir):
+    p = V.problems(spark, sf_dir)
+    return p.select(F.col("pid").cast("string").alias("id"), "question", "options", "rationale", "correct")
+
+
+def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + B2 + B3: JSON-array files (numbers read as text) -> rendered text."""
+    from mathtide.sources import readers as R
+    from mathtide.sources import writers as W
+    base = _scratch(spark, "json-array")
+    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", key="id")
+    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", key="ID")
+    pm = R.render_source("ParaMAWPS", R.read_json_array(spark, f"{base}/paramawps", R.PARAMAWPS_SCHEMA)
+                         .withColumnRenamed("id", "order_key"))
+    sv = R.render_source("SVAMP", R.read_json_array(spark, f"{base}/svamp", R.SVAMP_SCHEMA)
+                         .withColumnRenamed("ID", "order_key"))
+    return (pm.select(F.lit("ParaMAWPS").alias("dataset"), "row_key", "text")
+            .unionByName(sv.select(F.lit("SVAMP").alias("dataset"), "row_key", "text"))
+            .select("dataset", F.col("row_key").cast("long").alias("pid"), "text"))
+
+
+def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 + B4: id-keyed JSON objects -> rendered text."""
+    from mathtide.sources import readers as R
+    from mathtide.sources import writers as W
+    path = _scratch(spark, "keyed-json")
+    W.write_keyed_json(_dmath_fixture(spark, sf_dir), path, key="pid")
+    df = R.render_source("DMath", R.read_keyed_json(spark, path))
+    return df.select(F.col("row_key").cast("long").alias("pid"), "text")
+
+
+def aqua_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + B5 + B7: JSONL with option arrays -> rendered and standardised."""
+    from mathtide.operators import shape as B
+    from mathtide.sources import readers as R
+    path = _scratch(spark, "aqua-jsonl")
+    _aqua_fixture(spark, sf_dir).write.mode("overwrite").json(path)
+    raw = R.read_aqua_jsonl(spark, path).drop("order_key").withColumnRenamed("id", "order_key")
+    df = R.render_source("AQuA", raw).withColumn("__s", B.standardise_aqua(F.col("text")))
+    return df.select(F.col("row_key").cast("long").alias("pid"), "text",
+                     F.col("__s.question").alias("question"), F.col("__s.answer").alias("answer"))
+
+
+def leaderboard_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + K6: leaderboard written as CSV, read back as text, zoomed view."""
+    from mathtide.operators import leaderboard as LB
+    from mathtide.sources import readers as R
+    path = _scratch(spark, "leaderboard-csv")
+    V.leaderboard(spark, sf_dir).select(*R.LEADERBOARD_COLUMNS, "row_key") \
+        .write.mode("overwrite").option("header", True).csv(path)
+    out = LB.leaderboard(R.read_leaderboard_csv(spark, path))
+    return out.select("row_key", "Name", "Family", "Date", "size", "has_size",
+                      _r6("size_normalised").alias("size_normalised"), "score", "label", "in_box",
+                      "family_idx", "colour")
+
+
+def curriculum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 + H1 + K5: five source files in five formats -> one prepared curriculum."""
+    from mathtide.plans import curriculum as C
+    from mathtide.sources import readers as R
+    from mathtide.sources import writers as W
+    base = _scratch(spark, "curriculum")
+    (_asdiv_fixture(spark, sf_dir, some_without_question=False)
+     .write.format("xml").option("rowTag", "Problem").mode("overwrite").save(f"{base}/asdiv"))
+    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", key="id")
+    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", key="ID")
+    W.write_keyed_json(_dmath_fixture(spark, sf_dir), f"{base}/dmath", key="pid")
+    _aqua_fixture(spark, sf_dir).write.mode("overwrite").json(f"{base}/aqua")
+    rendered = R.load_curriculum(spark, {
+        "ASDiv": f"{base}/asdiv", "ParaMAWPS": f"{base}/paramawps", "SVAMP": f"{base}/svamp",
+        "DMath": f"{base}/dmath", "AQuA": f"{base}/aqua"})
+    rendered = rendered.withColumn("row_key", F.col("row_key").cast("long"))
+    out = C.prepare(rendered)
+    return out.select("dataset", "stage", "row_key", "question", "answer", "prompt", "split", "shuffle_pos")
+
+
+def saved_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + A8: curriculum saved one folder per split; the test split read back."""
+    from mathtide.sources import readers as R
+    from mathtide.sources import writers as W
+    path = _scratch(spark, "splits")
+    W.save_splits(curriculum_splits(spark, sf_dir), path, "parquet")
+    return R.load_corpus(spark, path, "test").select(
+        "dataset", "stage", "row_key", "question", "answer", "prompt", "split", "shuffle_pos")
+
+
+def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: per split rows, columns, types and the first five keys."""
+    from mathtide.sources import profile as P
+    return P.dataset_profile(corpus_split(spark, sf_dir), "split", "doc_id")
+
+
+def parquet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footer-only rows / row groups / size of the corpus and lineitem files."""
+    from mathtide.sources import profile as P
+    parts = [P.parquet_stats(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(t))
+             for t in ("documents", "lineitem", "conversations")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("table", "num_files", "num_rows", "num_row_groups", "size_bytes", "size_text")
+
+
+def results_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 + A13: per-question results to CSV and JSON (+ accuracy summary), read back."""
+    from mathtide.sources import writers as W
+    base = _scratch(spark, "results")
+    res = vote_results(spark, sf_dir).select("run", "question_id", "n_votes", "majority_answer",
+                                            "gold_answer", "correct")
+    W.write_results_csv(res, f"{base}/csv")
+    summary = eval_accuracy(spark, sf_dir).withColumn("majority_method", F.lit("all"))
+    W.write_results_json(res, summary, f"{base}/json")
+    schema = "run string, question_id long, n_votes long, majority_answer double, gold_answer double, correct boolean"
+    back = spark.read.option("header", True).schema(schema).csv(f"{base}/csv")
+    acc = spark.read.schema("run string, accuracy double").json(f"{base}/json/summary")
+    return back.join(acc, "run", "left").select(*res.columns, "accuracy")
+
+
+def collect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (run, question) the response texts and numbers in vote order."""
+    from mathtide.operators import voting as VT
+    r = V.responses(spark, sf_dir).withColumn("numeric", A.extract_answer("response"))
+    out = VT.collect_votes(r, ["run", "question_id"], "vote", ["response", "numeric"])
+    return out.select("run", "question_id",
+                      F.array_join("responses", " | ").alias("model_answers_text"),
+                      F.array_join(F.transform("numerics", lambda x: F.coalesce(x.cast("string"), F.lit("null"))),
+                                   ",").alias("extracted_model_answers"))
+
+
+def dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset names joined to their kept counts by name (not by position)."""
+    from mathtide.plans import curriculum as C
+    names = spark.createDataFrame([(n, s) for n, s, _ in C.CURRICULUM], "dataset string, stage int")
+    counts = C.dataset_counts(C.render_problems(V.problems(spark, sf_dir))).where(F.col("dataset").isNotNull())
+    return names.join(counts, "dataset", "left").select("dataset", "stage", "n_kept")
