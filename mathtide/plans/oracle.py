@@ -714,3 +714,49 @@ SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, f.sample_keys,
        'lang,doc_id,shuffle_pos,split' AS column_names,
        'struct<lang:string,doc_id:bigint,shuffle_pos:bigint,split:string>' AS features
 FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys"""
+
+
+# ------------------------------------------------------------ streaming ----
+
+def stream_corpus_filter_sql() -> str:
+    from mathtide.operators.tokens import TOKEN_PATTERN
+    return f"""
+SELECT doc_id, source, CAST(len(regexp_extract_all(text, {q(TOKEN_PATTERN)})) AS INTEGER) AS n_tokens,
+       md5('Instruction' || {NL} || coalesce(lang, '') || {NL} || 'Response' || {NL} || coalesce(text, '')) AS prompt_md5
+FROM documents WHERE source IS NOT NULL AND NOT starts_with(source, 'src1')"""
+
+
+def stream_shuffle_sql() -> str:
+    return """
+SELECT doc_id, lang, CAST(0 AS BIGINT) AS batch_id,
+       CAST(row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS BIGINT) AS shuffle_pos
+FROM documents"""
+
+
+def stream_head_sql() -> str:
+    return "SELECT doc_id, source FROM documents LIMIT 100"
+
+
+def stream_source_counts_sql() -> str:
+    return "SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source"
+
+
+def stream_accuracy_sql() -> str:
+    return with_views(V_RESPONSES, V_GOLD, f"""
+judged AS (
+  SELECT r.run, {is_correct(extract_answer('r.response'), extract_answer('g.answer'))} AS ok
+  FROM responses r LEFT JOIN gold g USING (question_id))""") + """
+SELECT run, CAST(count(*) AS BIGINT) AS n_total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+FROM judged GROUP BY run"""
+
+
+def stream_training_speed_sql() -> str:
+    return """
+SELECT event_type AS run, CAST(count(*) AS BIGINT) AS n_steps,
+       CAST(sum(4 * (length(event_type) % 4 + 1)) AS BIGINT) AS total_samples,
+       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS elapsed_s,
+       round(CASE WHEN max(ts) > min(ts)
+                  THEN sum(4 * (length(event_type) % 4 + 1)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) END, 6)
+         AS samples_per_second
+FROM events GROUP BY event_type"""

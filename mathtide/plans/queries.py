@@ -537,3 +537,60 @@ def dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(n, s) for n, s, _ in C.CURRICULUM], "dataset string, stage int")
     counts = C.dataset_counts(C.render_problems(V.problems(spark, sf_dir))).where(F.col("dataset").isNotNull())
     return names.join(counts, "dataset", "left").select("dataset", "stage", "n_kept")
+
+
+# ------------------------------------------------------------- streaming ---
+
+def stream_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + J1: corpus stream, sources 'src1*' excluded, token counts and prompts."""
+    from mathtide.operators import shape as B
+    from mathtide.operators import tokens as T
+    from mathtide.streaming import jobs as J
+    stream = J.file_stream(spark, sf_dir, "documents.parquet")
+
+    def project(df):
+        return df.select("doc_id", "source", F.size(T.tokens("text")).alias("n_tokens"),
+                         F.md5(B.instruction_prompt("lang", "text")).alias("prompt_md5"))
+    return J.run_to_table(J.stream_filter_map(stream, ["src1"], "source", project), "j1")
+
+
+def stream_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffered (per micro-batch) seeded shuffle of the corpus stream."""
+    from mathtide.streaming import jobs as J
+    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "lang")
+    out = J.run_to_table(stream, "j2", batch_fn=J.buffer_shuffle(42, "doc_id"))
+    return out.select("doc_id", "lang", "batch_id", "shuffle_pos")
+
+
+def stream_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 records of the corpus stream."""
+    from mathtide.streaming import jobs as J
+    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
+    return J.run_to_table(J.stream_take(stream, 100), "j3")
+
+
+def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-source counts over the corpus stream."""
+    from mathtide.streaming import jobs as J
+    stream = J.file_stream(spark, sf_dir, "documents.parquet")
+    return J.run_to_table(J.stream_source_counts(stream), "j4", mode="complete")
+
+
+def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-run response accuracy over the lineitem stream joined to static gold."""
+    from mathtide.streaming import jobs as J
+    stream = V.responses_from(J.file_stream(spark, sf_dir, "lineitem.parquet"))
+    out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir)), "j5", mode="complete")
+    return out.select("run", "n_total", "n_correct",
+                      _r6(F.col("n_correct") / F.col("n_total")).alias("accuracy"))
+
+
+def stream_training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-run steps, samples and samples/second over the event stream."""
+    from mathtide.streaming import jobs as J
+    stream = V.step_log_from(J.file_stream(spark, sf_dir, "events.parquet"))
+    out = J.run_to_table(J.stream_training_speed(stream), "j6", mode="complete")
+    elapsed = (F.unix_micros(F.col("last_ts").cast("timestamp"))
+               - F.unix_micros(F.col("first_ts").cast("timestamp"))) / F.lit(1e6)
+    return out.select("run", "n_steps", "total_samples", _r6(elapsed).alias("elapsed_s"),
+                      _r6(F.when(elapsed > 0, F.col("total_samples") / elapsed)).alias("samples_per_second"))

@@ -19,12 +19,17 @@ def _s(c) -> F.Column:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: one model response per lineitem.
+    """V1: one model response per lineitem (see ``responses_from``)."""
+    return responses_from(read_table(spark, sf_dir, "lineitem"))
+
+
+def responses_from(lineitem: DataFrame) -> DataFrame:
+    """V1 over a lineitem frame (batch or stream).
 
     run = l_linestatus, question_id = l_orderkey, the vote position is
     (l_linenumber, l_partkey, l_suppkey); the text form depends on l_partkey % 6.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus")
     n = F.floor("l_quantity").cast("long")
     m = F.col("l_suppkey") % 10
@@ -137,10 +142,13 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V7: events as a training step log (run = event_type, ordered by ts, event_id).
+    """V7: events as a training step log (see ``step_log_from``)."""
+    return step_log_from(read_table(spark, sf_dir, "events"))
 
-    Device batch 4; gradient accumulation length(run) % 4 + 1, fixed per run.
-    """
-    e = read_table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("run"), "event_id", "ts", "value",
-                    F.lit(4).alias("batch"), (F.length("event_type") % 4 + 1).cast("int").alias("accumulation"))
+
+def step_log_from(events: DataFrame) -> DataFrame:
+    """V7 over an events frame (batch or stream): run = event_type, ordered
+    by (ts, event_id); device batch 4; accumulation length(run) % 4 + 1."""
+    return events.select(F.col("event_type").alias("run"), "event_id", "ts", "value",
+                         F.lit(4).alias("batch"),
+                         (F.length("event_type") % 4 + 1).cast("int").alias("accumulation"))
