@@ -74,17 +74,21 @@ def extract_answer(c, eos: str | None = None) -> Column:
     (0) cut at ``eos`` if given and present; (1) after the last '####', cleaned,
     first number; (2) end-of-text parts walked from the end, first part with a
     number gives its first number; (3) last number of the cleaned text.
+
+    The text is cleaned once: cleaning only deletes characters and unit words
+    right after digits, so no change crosses a '####' or end-of-text marker
+    and cleaning the whole text equals cleaning each piece.
     """
     t = col_of(c)
     if eos:
         t = F.when(t.contains(eos), py_strip(piece(t, eos, 0))).otherwise(t)
-    after_mark = F.split_part(t, F.lit(ANSWER_MARK), F.lit(-1))
-    by_mark = F.when(t.contains(ANSWER_MARK), _first(_numbers(clean_number_text(after_mark))))
-    parts = F.reverse(F.split(t, quote_regex(END_OF_TEXT)))
-    found = F.filter(F.transform(parts, lambda p: _numbers(clean_number_text(p))),
-                     lambda a: F.size(a) > 0)
+    cleaned = clean_number_text(t)
+    after_mark = F.split_part(cleaned, F.lit(ANSWER_MARK), F.lit(-1))
+    by_mark = F.when(t.contains(ANSWER_MARK), _first(_numbers(after_mark)))
+    parts = F.reverse(F.split(cleaned, quote_regex(END_OF_TEXT)))
+    found = F.filter(F.transform(parts, lambda p: _numbers(p)), lambda a: F.size(a) > 0)
     by_end_marker = F.when(t.contains(END_OF_TEXT), _first(_first(found)))
-    by_last = _last(_numbers(clean_number_text(t)))
+    by_last = _last(_numbers(cleaned))
     return _to_double(F.coalesce(by_mark, by_end_marker, by_last))
 
 

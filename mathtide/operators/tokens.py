@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mathtide.functions.text import col_of
-from mathtide.operators.ranking import global_rank
 
 # Word runs or single other non-space characters (ASCII classes, as both
 # Java and RE2 read them).
@@ -48,10 +47,10 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -
     k = max(vocab_size - len(SPECIALS), 0)
     counts = (df.select(F.explode(tokens(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k) \
-        .withColumn("__neg", -F.col("count"))
-    ranked = global_rank(top, ["__neg", "token"], "__r")
-    return ranked.select("token", (F.col("__r") + len(SPECIALS)).alias("id"), "count")
+    # top-k is bounded by vocab_size (checked above); ids follow its order
+    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k).collect()
+    rows = [(r["token"], i + len(SPECIALS), r["count"]) for i, r in enumerate(top)]
+    return df.sparkSession.createDataFrame(rows, "token string, id long, count long")
 
 
 def _vocab_list(vocab: DataFrame) -> list[str]:

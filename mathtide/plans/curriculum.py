@@ -69,13 +69,20 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
     caps = {"AQuA": 15000} if caps is None else caps
     std = standardised(rendered).where(F.col("question").isNotNull())
     if caps:
-        limit = F.lit(None)
-        for name, n in caps.items():
-            limit = F.when(F.col("dataset") == name, F.lit(n)).otherwise(limit)
-        ranked = running_totals(std.where(F.col("dataset").isin(*caps)), ["row_key"], ["dataset"],
-                                  rank_col="__pos")
-        capped = ranked.where(F.col("__pos") < limit).drop("__pos")
-        std = std.where(~F.col("dataset").isin(*caps)).unionByName(capped)
+        # one small aggregate (a row per capped dataset) decides which
+        # datasets are over their cap; only those are ranked.
+        sizes = {r["dataset"]: r["n"] for r in
+                 std.where(F.col("dataset").isin(*caps)).groupBy("dataset")
+                 .agg(F.count(F.lit(1)).alias("n")).collect()}
+        over = {name: n for name, n in caps.items() if sizes.get(name, 0) > n}
+        if over:
+            limit = F.lit(None)
+            for name, n in over.items():
+                limit = F.when(F.col("dataset") == name, F.lit(n)).otherwise(limit)
+            ranked = running_totals(std.where(F.col("dataset").isin(*over)), ["row_key"], ["dataset"],
+                                    rank_col="__pos")
+            capped = ranked.where(F.col("__pos") < limit).drop("__pos")
+            std = std.where(~F.col("dataset").isin(*over)).unionByName(capped)
     prompted = std.withColumn("prompt", B.sft_prompt("question", "answer"))
     return S.train_test_split(prompted, test_size, seed, key="row_key", group="dataset")
 
