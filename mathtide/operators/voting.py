@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mathtide.operators.ranking import running_totals
 
@@ -19,21 +20,45 @@ def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+_SHIFT = "1" + "0" * 28          # 10^28: count and first position share one decimal key
+_DEC = "decimal(38,0)"
+
+
+def _packable(dtype: T.DataType) -> bool:
+    """Integral positions, or decimal positions of at most 27 digits."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.scale == 0 and dtype.precision <= 27
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def majority_vote(votes: DataFrame, question: str | Sequence[str], answer: str,
                   order: str | Column, out: str = "majority_answer") -> DataFrame:
     """Most common non-null answer per question; tie -> seen first.
 
-    ``order`` is the vote position (any orderable column, e.g. a struct of the
-    generation index).  Questions whose votes are all null keep a row with a
-    null majority.  Output: question keys, ``n_votes``, ``n_answered``,
-    ``majority_votes`` and ``out``.
+    ``order`` is the vote position.  Two decomposable aggregates: per
+    (question, answer) the count and first position, then per question the
+    answer with the largest count and earliest first position.  When the
+    position is an integer (or a decimal of at most 27 digits) that choice is
+    one ``min_by`` over a packed decimal key (-count * 10^28 + first), so both
+    levels run as hash aggregates with map-side partial aggregation; any other
+    orderable position (e.g. a struct) uses a struct key.  Questions whose
+    votes are all null keep a row with a null majority.  Output: question
+    keys, ``n_votes``, ``n_answered``, ``majority_votes`` and ``out``.
     """
     q = _cols(question)
     order_col = F.col(order) if isinstance(order, str) else order
-    per_answer = (votes.select(*q, F.col(answer).alias("__a"), order_col.alias("__o"))
-                  .groupBy(*q, "__a")
+    data = votes.select(*q, F.col(answer).alias("__a"), order_col.alias("__o"))
+    packed = _packable(data.schema["__o"].dataType)
+    if packed:
+        data = data.withColumn("__o", F.col("__o").cast(_DEC))
+    per_answer = (data.groupBy(*q, "__a")
                   .agg(F.count(F.lit(1)).alias("__c"), F.min("__o").alias("__first")))
-    ranked = F.when(F.col("__a").isNotNull(), F.struct((-F.col("__c")).alias("c"), F.col("__first").alias("f")))
+    if packed:
+        key = (-(F.col("__c").cast(_DEC)) * F.lit(_SHIFT).cast(_DEC)).cast(_DEC) + F.col("__first")
+        ranked = F.when(F.col("__a").isNotNull(), key.cast(_DEC))
+    else:
+        ranked = F.when(F.col("__a").isNotNull(),
+                        F.struct((-F.col("__c")).alias("c"), F.col("__first").alias("f")))
     return (per_answer.groupBy(*q)
             .agg(F.sum("__c").alias("n_votes"),
                  F.sum(F.when(F.col("__a").isNotNull(), F.col("__c")).otherwise(0)).alias("n_answered"),
@@ -41,6 +66,21 @@ def majority_vote(votes: DataFrame, question: str | Sequence[str], answer: str,
                  F.max(F.when(F.col("__a").isNotNull(), F.col("__c"))).alias("majority_votes")))
 
 
+def first_vote(votes: DataFrame, question: str | Sequence[str], answer: str,
+               order: str, out: str = "majority_answer") -> DataFrame:
+    """The answer of each question's first vote (method 'none'), one partial
+    aggregate: ``min_by`` over the vote position (packed when integral)."""
+    q = _cols(question)
+    data = votes.select(*q, F.col(answer).alias("__a"), F.col(order).alias("__o"))
+    if _packable(data.schema["__o"].dataType):
+        data = data.withColumn("__o", F.col("__o").cast(_DEC))
+    return data.groupBy(*q).agg(
+        F.lit(1).cast("long").alias("n_votes"),
+        F.min_by(F.col("__a").isNotNull().cast("long"), "__o").alias("n_answered"),
+        F.min_by("__a", "__o").alias(out),
+        F.lit(1).cast("long").alias("majority_votes"))
+
+
 def pair_with_gold(results: DataFrame, gold: DataFrame, question: str | Sequence[str],
                    how: str = "inner") -> DataFrame:
     """D3: each result next to the gold answer of its question (equi-join).

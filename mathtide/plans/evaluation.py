@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
 from mathtide.operators.ranking import running_totals
-from mathtide.operators.voting import accuracy, majority_vote, running_accuracy
+from mathtide.operators.voting import accuracy, first_vote, majority_vote, running_accuracy
 
 METHODS = ("none", "maj@8", "maj@k", "all")
 
@@ -20,7 +20,8 @@ def votes_for_method(votes: DataFrame, question: Sequence[str], order: str,
 
     'none' keeps the first vote per question, 'maj@8' the first 8, 'maj@k' the
     first ``n_votes``; 'all' keeps every vote.  The vote rank comes from the
-    skew-safe ``running_totals`` (a question may hold any number of votes).
+    skew-safe ``running_totals`` (a question may hold any number of votes);
+    ``evaluate`` answers 'none' with one aggregate instead (``first_vote``).
     """
     if method not in METHODS:
         raise ValueError(f"unknown majority method {method!r}; expected one of {METHODS}")
@@ -46,9 +47,13 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
     """
     keys = ([run] if run else []) + [question]
     text = F.col(response) if cut is None else cut(F.col(response))
-    votes = votes_for_method(responses, keys, vote, method, n_votes)
-    votes = votes.select(*keys, vote, extractor(text).alias("numeric"))
-    maj = majority_vote(votes, keys, "numeric", vote)
+    if method == "none":
+        votes = responses.select(*keys, vote, extractor(text).alias("numeric"))
+        maj = first_vote(votes, keys, "numeric", vote)
+    else:
+        votes = votes_for_method(responses, keys, vote, method, n_votes)
+        votes = votes.select(*keys, vote, extractor(text).alias("numeric"))
+        maj = majority_vote(votes, keys, "numeric", vote)
     g = gold.select(question, gold_extractor(F.col(gold_text)).alias("gold_answer"))
     paired = maj.join(g, on=question, how="right" if keep_unanswered else "left")
     return paired.select(

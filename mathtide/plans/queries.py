@@ -23,7 +23,7 @@ def _r6(c):
 
 def vote_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 detail: per (run, question) votes, majority, gold and verdicts."""
-    return E.evaluate(V.responses(spark, sf_dir), V.gold(spark, sf_dir))
+    return E.evaluate(V.responses(spark, sf_dir), V.gold(spark, sf_dir), vote="vote_pos")
 
 
 def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_vote_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 with method 'none': the first vote of every question only."""
-    res = E.evaluate(V.responses(spark, sf_dir), V.gold(spark, sf_dir), method="none")
+    res = E.evaluate(V.responses(spark, sf_dir), V.gold(spark, sf_dir), vote="vote_pos", method="none")
     acc = E.accuracy_by_run(res)
     return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
 

@@ -27,7 +27,8 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
     """V1 over a lineitem frame (batch or stream).
 
     run = l_linestatus, question_id = l_orderkey, the vote position is
-    (l_linenumber, l_partkey, l_suppkey); the text form depends on l_partkey % 6.
+    (l_linenumber, l_partkey, l_suppkey) -- as a struct ``vote`` and packed in
+    ``vote_pos``; the text form depends on l_partkey % 6.
     """
     li = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus")
@@ -41,10 +42,15 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
             .when(kind == 3, F.concat(_s(n), F.lit("<|endoftext|>"), _s(m), F.lit(" dollars")))
             .when(kind == 4, F.concat(F.lit("total = "), _s(n), F.lit(" kg")))
             .otherwise(F.lit("I am not sure.")))
+    # the vote position packed into one decimal: line * 10^24 + part * 10^12 + supplier
+    pos = (F.col("l_linenumber").cast("decimal(27,0)") * F.lit("1" + "0" * 24).cast("decimal(27,0)")
+           + F.col("l_partkey").cast("decimal(27,0)") * F.lit("1" + "0" * 12).cast("decimal(27,0)")
+           + F.col("l_suppkey").cast("decimal(27,0)")).cast("decimal(27,0)")
     return li.select(
         F.col("l_linestatus").alias("run"),
         F.col("l_orderkey").alias("question_id"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("vote"),
+        pos.alias("vote_pos"),
         text.alias("response"))
 
 
