@@ -28,8 +28,13 @@ def votes_for_method(votes: DataFrame, question: Sequence[str], order: str,
     if method == "all":
         return votes
     k = 1 if method == "none" else 8 if method == "maj@8" else int(n_votes)
-    ranked = running_totals(votes, order_by=[order], partition_by=list(question), rank_col="__vote_rank")
-    return ranked.where(F.col("__vote_rank") < k).drop("__vote_rank")
+    keys = list(question) + [order]
+    # rank only the key columns (cheap to re-read for the range sampling),
+    # then keep the chosen votes with a semi-join spread over (question, position)
+    ranked = running_totals(votes.select(*keys), order_by=[order], partition_by=list(question),
+                            rank_col="__vote_rank")
+    chosen = ranked.where(F.col("__vote_rank") < k).select(*keys)
+    return votes.join(chosen, on=keys, how="left_semi")
 
 
 def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id",
@@ -46,14 +51,18 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
     response stay in the result as wrong (right join on the question).
     """
     keys = ([run] if run else []) + [question]
-    text = F.col(response) if cut is None else cut(F.col(response))
+    if cut is not None:
+        # its own projection: the optimizer keeps an expensive column computed
+        # once instead of inlining it into every use
+        responses = responses.withColumn("__completion", cut(F.col(response)))
+        response = "__completion"
+    text = F.col(response)
+    # extract first: only (keys, position, number) travel through any shuffle
+    votes = responses.select(*keys, vote, extractor(text).alias("numeric"))
     if method == "none":
-        votes = responses.select(*keys, vote, extractor(text).alias("numeric"))
         maj = first_vote(votes, keys, "numeric", vote)
     else:
-        votes = votes_for_method(responses, keys, vote, method, n_votes)
-        votes = votes.select(*keys, vote, extractor(text).alias("numeric"))
-        maj = majority_vote(votes, keys, "numeric", vote)
+        maj = majority_vote(votes_for_method(votes, keys, vote, method, n_votes), keys, "numeric", vote)
     g = gold.select(question, gold_extractor(F.col(gold_text)).alias("gold_answer"))
     paired = maj.join(g, on=question, how="right" if keep_unanswered else "left")
     return paired.select(

@@ -760,3 +760,32 @@ SELECT event_type AS run, CAST(count(*) AS BIGINT) AS n_steps,
                   THEN sum(4 * (length(event_type) % 4 + 1)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) END, 6)
          AS samples_per_second
 FROM events GROUP BY event_type"""
+
+
+def eight_shot_eval_sql() -> str:
+    from mathtide.operators.shape import EIGHT_SHOT_PROMPT
+    head, tail = EIGHT_SHOT_PROMPT.split("{question}")
+    decoded = (f"({q(head)} || 'How much is order ' || question_id || '?' || {q(tail)} || ' ' || response "
+               f"|| {NL} || {NL} || 'Q: next question')")
+    last_a = strip(f"string_split({decoded}, 'A:')[-1]")
+    cut = (f"CASE WHEN len(string_split({decoded}, 'A:')) > 1 THEN (CASE WHEN contains({last_a}, 'Q:') "
+           f"THEN {strip(f'string_split({last_a}, {q(chr(81) + chr(58))})[1]')} ELSE {last_a} END) ELSE '' END")
+    return with_views(V_RESPONSES, V_GOLD, f"""
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run, question_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos
+  FROM responses),
+ext AS (SELECT run, question_id, pos, {extract_predicted(f'({cut})')} AS numeric FROM ranked WHERE pos <= 8),
+tally AS (
+  SELECT run, question_id, numeric, count(*) AS c, min(pos) AS first_pos
+  FROM ext WHERE numeric IS NOT NULL GROUP BY ALL),
+winner AS (
+  SELECT run, question_id, numeric AS majority_answer FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, question_id ORDER BY c DESC, first_pos) AS r FROM tally)
+  WHERE r = 1),
+per_q AS (SELECT DISTINCT run, question_id FROM ext),
+res AS (
+  SELECT p.run, {is_correct('w.majority_answer', extract_answer('g.answer'))} AS ok
+  FROM per_q p LEFT JOIN winner w USING (run, question_id) LEFT JOIN gold g ON g.question_id = p.question_id)""") + """
+SELECT run, CAST(count(*) AS BIGINT) AS n_total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+FROM res GROUP BY run"""

@@ -594,3 +594,19 @@ def stream_training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
                - F.unix_micros(F.col("first_ts").cast("timestamp"))) / F.lit(1e6)
     return out.select("run", "n_steps", "total_samples", _r6(elapsed).alias("elapsed_s"),
                       _r6(F.when(elapsed > 0, F.col("total_samples") / elapsed)).alias("samples_per_second"))
+
+
+def eight_shot_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, 8-shot form: decoded text = fixed 8-shot prompt + generation; the
+    completion after the last 'A:' cut at 'Q:' (I12), 'The answer is' rule with
+    fallback (I4), maj@8 over the first 8 votes, gold by I1, accuracy per run."""
+    from mathtide.operators import shape as B
+    r = V.responses(spark, sf_dir)
+    question = F.concat(F.lit("How much is order "), F.col("question_id").cast("string"), F.lit("?"))
+    decoded = F.concat(B.eval_prompt(question, "eight_shot"), F.lit(" "), F.col("response"),
+                       F.lit("\n\nQ: next question"))
+    res = E.evaluate(r.withColumn("decoded", decoded), V.gold(spark, sf_dir), response="decoded",
+                     vote="vote_pos", extractor=A.extract_predicted_answer, method="maj@8",
+                     cut=A.completion_after_last_a)
+    acc = E.accuracy_by_run(res)
+    return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
