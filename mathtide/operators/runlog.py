@@ -51,9 +51,10 @@ def training_speed(log: DataFrame, run: str = "run", order_by: Sequence[str] = (
     ranked = running_totals(data, order_by=list(order_by), partition_by=[run], sums=["__samples"],
                             rank_col="__r", sum_prefix="total")
     starts = log.groupBy(run).agg(F.min(ts).alias("__start"))
-    out = (ranked.withColumn("step", F.col("__r") + 1)
-           .where((F.col("step") % every) == 0)
-           .join(starts, on=run, how="inner")
+    stepped = ranked.withColumn("step", F.col("__r") + 1).where((F.col("step") % every) == 0)
+    # null-safe: a log row without a run id still belongs to the (null) run
+    out = (stepped.alias("__a").join(starts.alias("__b"), F.col(f"__a.{run}").eqNullSafe(F.col(f"__b.{run}")))
+           .select("__a.*", "__b.__start")
            .withColumn("elapsed_s", _seconds(ts) - _seconds("__start")))
     return out.select(
         run, "step", F.col("total__samples").alias("total_samples"), "elapsed_s",

@@ -10,13 +10,13 @@ never from a window without a partition key.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathtide.operators.ranking import global_rank, running_totals
+from mathtide.operators.selection import hash_smallest
 
 # Above this many rows a sample is cut by global rank instead of a
 # TakeOrderedAndProject, whose final merge runs in one task.
@@ -70,17 +70,20 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "
             # at most n rows here (n is small by the branch)
             return global_rank(picked, [HASH_COL] + keys, rank_col).drop(HASH_COL)
         return picked.drop(HASH_COL)
-    ranked = global_rank(h, [HASH_COL] + keys, "__pos").where(F.col("__pos") < n)
     if rank_col:
-        ranked = ranked.withColumnRenamed("__pos", rank_col)
-    return ranked.drop(HASH_COL, "__pos")
+        ranked = global_rank(h, [HASH_COL] + keys, "__pos").where(F.col("__pos") < n)
+        return ranked.withColumnRenamed("__pos", rank_col).drop(HASH_COL)
+    # large n: exact selection by hash digits, no row is shuffled
+    return hash_smallest(df, keys, hash_order(seed, keys), n, flag="__in").where("__in").drop("__in")
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42,
                     key: str | Sequence[str] = "id") -> DataFrame:
-    """Exactly ``int(size * fraction)`` rows (one distributed count first)."""
-    n = int(df.count() * fraction)
-    return sample_n(df, n, seed, key)
+    """Exactly ``int(size * fraction)`` rows, chosen by hash digits
+    (aggregates over the key columns; the table is scanned, never shuffled)."""
+    keys = _keys(key)
+    return hash_smallest(df, keys, hash_order(seed, keys), lambda n: int(n * fraction),
+                         flag="__in").where("__in").drop("__in")
 
 
 def shuffle(df: DataFrame, seed: int = 42, key: str | Sequence[str] = "id",
@@ -99,14 +102,23 @@ def shuffle(df: DataFrame, seed: int = 42, key: str | Sequence[str] = "id",
 
 def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
                      key: str | Sequence[str] = "id", group: str | Sequence[str] | None = None,
-                     split_col: str = "split") -> DataFrame:
+                     split_col: str = "split", positions: bool = True) -> DataFrame:
     """Disjoint exact-count split after a seeded shuffle.
 
     Test takes the first ``ceil(test_size * n)`` rows of the shuffled order
     (per ``group`` when given, e.g. per curriculum stage); the rest is train.
+    With ``positions`` each row also gets ``shuffle_pos`` (its place in the
+    shuffled order of its group, via the slice-ranking helper); without, the
+    split is decided by hash digits and no row is shuffled.
     """
     keys = _keys(key)
     groups = _keys(group) if group else []
+    if not positions:
+        # same double arithmetic as ceil(test_size * n) in Python
+        out = hash_smallest(df, keys, hash_order(seed, keys),
+                            lambda n: int(-(-(test_size * n) // 1)), groups, "__test")
+        return out.withColumn(split_col, F.when(F.col("__test"), F.lit("test")).otherwise(F.lit("train"))) \
+            .drop("__test")
     h = df.withColumn(HASH_COL, hash_order(seed, keys)).withColumn("__one", F.lit(1))
     ranked = running_totals(h, [HASH_COL] + keys, groups, (), "__pos")
     sizes = h.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")) if groups else \
@@ -114,7 +126,8 @@ def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
     # same double arithmetic as ceil(test_size * n) in Python
     n_test = F.ceil(F.lit(test_size) * F.col("__n"))
     if groups:
-        ranked = ranked.join(sizes, on=groups, how="inner")
+        cond = [F.col(f"__r.{g}").eqNullSafe(F.col(f"__z.{g}")) for g in groups]
+        ranked = ranked.alias("__r").join(sizes.alias("__z"), cond, "inner").select("__r.*", "__z.__n")
     else:
         ranked = ranked.withColumn("__n", sizes.scalar())
     out = ranked.withColumn(split_col, F.when(F.col("__pos") < n_test, F.lit("test")).otherwise(F.lit("train")))

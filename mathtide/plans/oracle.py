@@ -711,8 +711,8 @@ first5 AS (
   FROM (SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM s)
   WHERE rn <= 5 GROUP BY split)
 SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, f.sample_keys,
-       'lang,doc_id,shuffle_pos,split' AS column_names,
-       'struct<lang:string,doc_id:bigint,shuffle_pos:bigint,split:string>' AS features
+       'doc_id,lang,shuffle_pos,split' AS column_names,
+       'struct<doc_id:bigint,lang:string,shuffle_pos:bigint,split:string>' AS features
 FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys"""
 
 
@@ -789,3 +789,10 @@ res AS (
 SELECT run, CAST(count(*) AS BIGINT) AS n_total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
 FROM res GROUP BY run"""
+
+
+def corpus_split_flags_sql() -> str:
+    return """
+SELECT doc_id, lang, CASE WHEN pos < ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n FROM documents)"""

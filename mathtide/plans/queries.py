@@ -610,3 +610,11 @@ def eight_shot_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
                      cut=A.completion_after_last_a)
     acc = E.accuracy_by_run(res)
     return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
+
+
+def corpus_split_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 without positions: the exact 10 % test split per language decided by
+    hash digits (aggregates over keys only; rows are never shuffled)."""
+    from mathtide.operators import sampling as S
+    docs = V.corpus(spark, sf_dir).select("doc_id", "lang")
+    return S.train_test_split(docs, 0.1, 42, key="doc_id", group="lang", positions=False)

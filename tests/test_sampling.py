@@ -47,3 +47,18 @@ def test_take_per_group_and_nth(spark):
 def test_sample_uses_take_ordered(spark):
     plan = S.sample_n(spark.range(0, 50), 5, 1, "id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_hash_selection_matches_ranking_through_digit_levels(spark, monkeypatch):
+    import mathtide.operators.selection as SEL
+    monkeypatch.setattr(SEL, "FINAL_LIMIT", 40)          # force the digit levels on small data
+    df = spark.range(0, 5000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.when(F.col("id") % 7 == 0, None).otherwise("cold")))
+    fast = S.train_test_split(df, 0.1, 5, key="id", group="g", positions=False)
+    slow = S.train_test_split(df, 0.1, 5, key="id", group="g", positions=True)
+    a = sorted((r.id, r.split) for r in fast.collect())
+    b = sorted((r.id, r.split) for r in slow.collect())
+    assert a == b
+    got = S.sample_fraction(df, 0.03, 9, "id")
+    want = S.shuffle(df, 9, "id").where(F.col("shuffle_pos") < 150)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
