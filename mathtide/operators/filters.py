@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathtide.functions.text import col_of
@@ -33,16 +33,17 @@ def has_required(df: DataFrame, *cols: str) -> DataFrame:
     return df.where(cond)
 
 
-def drop_unparseable(df: DataFrame, col: str, name: str = "unparseable") -> tuple[DataFrame, Observation]:
-    """Drop rows whose formatter gave null; the observation counts them.
+def drop_unparseable(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """Drop rows whose formatter gave null, and report how many.
 
-    ``obs.get`` holds ``{'kept': n, 'dropped': m}`` after the first action on
-    the returned frame.
+    Returns (kept rows, one-row counts ``seen`` / ``dropped``).  The counts are
+    their own partial aggregate rather than an ``observe`` metric, which would
+    count twice wherever the plan is evaluated more than once (a range
+    partitioner samples its input in a separate pass).
     """
-    obs = Observation(name)
-    counted = df.observe(obs, F.count(F.lit(1)).alias("seen"),
-                         F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).alias("dropped"))
-    return counted.where(F.col(col).isNotNull()), obs
+    counts = df.agg(F.count(F.lit(1)).alias("seen"),
+                    F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("long").alias("dropped"))
+    return df.where(F.col(col).isNotNull()), counts
 
 
 def split_by_flag(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:

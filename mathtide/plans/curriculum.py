@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mathtide.operators import sampling as S
 from mathtide.operators import shape as B
+from mathtide.operators.filters import drop_unparseable
 from mathtide.operators.ranking import running_totals
 
 # Dataset names in curriculum order, and the formatter's
@@ -64,10 +65,12 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
             test_size: float = 0.1) -> DataFrame:
     """K5: standardise -> drop failures -> cap -> prompt -> seeded shuffle + split.
 
-    ``caps`` maps a dataset to its first-n cap (the reference cuts AQuA at 15000).
+    ``caps`` maps a dataset to its first-n cap (the reference cuts AQuA at
+    15000).  Rows whose formatter fails are dropped (C3); ``dataset_counts``
+    reports raw and kept rows per dataset.
     """
     caps = {"AQuA": 15000} if caps is None else caps
-    std = standardised(rendered).where(F.col("question").isNotNull())
+    std, _ = drop_unparseable(standardised(rendered), "question")
     if caps:
         # one small aggregate (a row per capped dataset) decides which
         # datasets are over their cap; only those are ranked.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
 from mathtide.operators.ranking import running_totals
-from mathtide.operators.voting import accuracy, first_vote, majority_vote, running_accuracy
+from mathtide.operators.voting import (accuracy, first_vote, majority_vote, pair_with_gold,
+                                       running_accuracy)
 
 METHODS = ("none", "maj@8", "maj@k", "all")
 
@@ -64,7 +65,7 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
     else:
         maj = majority_vote(votes_for_method(votes, keys, vote, method, n_votes), keys, "numeric", vote)
     g = gold.select(question, gold_extractor(F.col(gold_text)).alias("gold_answer"))
-    paired = maj.join(g, on=question, how="right" if keep_unanswered else "left")
+    paired = pair_with_gold(maj, g, question, how="right" if keep_unanswered else "left")
     return paired.select(
         *keys, "n_votes", "n_answered", "majority_answer", "gold_answer",
         A.is_correct("majority_answer", "gold_answer").alias("correct"),

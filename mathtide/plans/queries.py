@@ -290,17 +290,19 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode the whole corpus to 512 padded ids, mask, labels, budget."""
     from mathtide.operators import tokens as T
-    docs = V.corpus(spark, sf_dir).select("doc_id", "text")
+    from mathtide.operators import shape as B
+    docs = B.require_columns(V.corpus(spark, sf_dir), "text").select("doc_id", "text")
     vocab = T.fit_vocabulary(docs, "text", 1000)
     enc = T.encode(docs, vocab, "text", 512, pad=True)
     n_full = F.size(T.tokens("text"))
+    enc = B.prune_columns(enc.withColumn("__n_full", n_full), "text")
     return enc.select(
         "doc_id",
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
         F.array_join("input_ids", " ").alias("input_ids"),
         F.array_join(T.causal_labels(), " ").alias("labels"),
-        T.token_budget(n_full, "gpt2", 512).alias("gpt2_new_tokens"),
-        T.token_budget(n_full, "deepseek-r1", 2048).alias("deepseek_new_tokens"))
+        T.token_budget(F.col("__n_full"), "gpt2", 512).alias("gpt2_new_tokens"),
+        T.token_budget(F.col("__n_full"), "deepseek-r1", 2048).alias("deepseek_new_tokens"))
 
 
 # ------------------------------------------------------------ user code ----

@@ -85,3 +85,23 @@ def test_curriculum_cap(spark):
     assert out.count() == 12
     assert sorted(r.row_key for r in out.collect()) == list(range(12))
     assert out.where(F.col("split") == "test").count() == 2
+
+
+def test_drop_unparseable_counts(spark):
+    from mathtide.operators.filters import drop_unparseable
+    rendered = spark.createDataFrame(
+        [("SVAMP", 3, 1, "Question: q\nEquation: e\nAnswer: 1"), ("SVAMP", 3, 2, "Question: q\nAnswer: 1")],
+        "dataset string, stage int, row_key long, text string")
+    kept, counts = drop_unparseable(C.standardised(rendered), "question")
+    assert kept.count() == 1
+    assert counts.first().asDict() == {"seen": 2, "dropped": 1}
+    assert C.prepare(rendered, caps={}).count() == 1
+
+
+def test_map_rows_and_batches(spark):
+    from mathtide.operators import udf as U
+    df = spark.range(0, 10)
+    rows = U.map_rows(df, lambda r: {"id": r["id"], "sq": r["id"] ** 2}, "id long, sq long").collect()
+    assert sorted(r.sq for r in rows) == [i * i for i in range(10)]
+    sizes = U.map_batches(df.repartition(1), lambda pdf: pdf.assign(n=len(pdf)), "id long, n long", 4).collect()
+    assert sorted({r.n for r in sizes}) == [2, 4]
