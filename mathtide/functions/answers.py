@@ -185,7 +185,7 @@ def completion_text(response, prompt=None, kind: str | Column = "default") -> Co
     ``len(prompt)`` characters.  Both are stripped.
     """
     r = col_of(response)
-    after_answer = py_strip(F.try_element_at(F.split(r, quote_regex("Answer:")), F.lit(-1)))
+    after_answer = py_strip(piece(r, "Answer:", -1))
     if prompt is None:
         dropped = py_strip(r)
     else:
@@ -198,11 +198,10 @@ def completion_after_last_a(response, cut_at_question: bool = True) -> Column:
     """I12, 8-shot form: text after the last 'A:' (stripped), '' without one;
     with ``cut_at_question`` cut at the first 'Q:' and strip again."""
     r = col_of(response)
-    parts = F.split(r, quote_regex("A:"))
-    out = py_strip(F.try_element_at(parts, F.lit(-1)))
+    out = py_strip(piece(r, "A:", -1))
     if cut_at_question:
         out = F.when(out.contains("Q:"), py_strip(piece(out, "Q:", 0))).otherwise(out)
-    return F.when(F.size(parts) > 1, out).otherwise(F.lit(""))
+    return F.when(r.contains("A:"), out).otherwise(F.lit(""))
 
 
 def cut_at_stop(c, stops=None) -> Column:

@@ -24,13 +24,25 @@ def py_strip(c) -> Column:
     return F.btrim(col_of(c), F.lit(PY_WHITESPACE))
 
 
+def self_overlaps(delimiter: str) -> bool:
+    """True when two occurrences of ``delimiter`` can overlap (e.g. '####')."""
+    return any(delimiter[i:] == delimiter[:len(delimiter) - i] for i in range(1, len(delimiter)))
+
+
 def piece(c, delimiter: str, index: int) -> Column:
     """Python ``text.split(delimiter)[index]``; null where the piece is absent.
 
     ``index`` is 0-based, negative counts from the end.  The delimiter is a
-    literal string, not a pattern.
+    literal string, not a pattern.  The first piece, and the last one for a
+    delimiter that cannot overlap itself, are cut with ``substring_index``
+    (no array is built); other pieces come from a split.
     """
-    parts = F.split(col_of(c), F.lit(_quote(delimiter)))
+    t = col_of(c)
+    if index == 0:
+        return F.substring_index(t, delimiter, 1)
+    if index == -1 and not self_overlaps(delimiter):
+        return F.substring_index(t, delimiter, -1)
+    parts = F.split(t, F.lit(_quote(delimiter)))
     if index >= 0:
         return F.get(parts, index)
     return F.try_element_at(parts, F.lit(index))
