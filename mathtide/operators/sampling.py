@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathtide.operators.ranking import global_rank, running_totals
-from mathtide.operators.selection import hash_smallest
+from mathtide.operators.selection import hash_smallest, ordered_hex
 
 # Above this many rows a sample is cut by global rank instead of a
 # TakeOrderedAndProject, whose final merge runs in one task.
@@ -42,17 +42,30 @@ def take(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
     names = [c for c in order_by if isinstance(c, str)]
     if len(names) != len(order_by):
         raise ValueError("large takes need column names as the order")
+    if len(names) == 1 and _integral(df, names[0]):
+        out = hash_smallest(df, names, ordered_hex(names[0]), n, (), "__in", hash_len=16)
+        return out.where("__in").drop("__in")
     return global_rank(df, names, "__pos").where(F.col("__pos") < n).drop("__pos")
 
 
+def _integral(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def take_per_group(df: DataFrame, n: int, group: str | Sequence[str],
                    order_by: Sequence[str]) -> DataFrame:
     """G2 per dataset: first ``n`` rows of every group (a cap such as 15000).
 
-    Exact and skew-safe: a group holding a third of the rows is ranked across
-    many tasks by ``running_totals``.
+    Exact and skew-safe.  With one integral order key the rows are chosen by
+    the digit selection over the key's ordered hex form (aggregates only, no
+    row moves); otherwise they are ranked by ``running_totals``.
     """
-    ranked = running_totals(df, order_by=list(order_by), partition_by=_keys(group), rank_col="__pos")
+    order_by = list(order_by)
+    if len(order_by) == 1 and _integral(df, order_by[0]):
+        out = hash_smallest(df, order_by, ordered_hex(order_by[0]), n, _keys(group), "__in", hash_len=16)
+        return out.where("__in").drop("__in")
+    ranked = running_totals(df, order_by=order_by, partition_by=_keys(group), rank_col="__pos")
     return ranked.where(F.col("__pos") < n).drop("__pos")
 
 

@@ -49,13 +49,22 @@ def _with_state(left: DataFrame, state: DataFrame, state_rows: list, groups: lis
             .select("__l.*", "__s.__prefix", "__s.__need"))
 
 
+def ordered_hex(c) -> F.Column:
+    """A long as 16 hex digits whose text order is the number order (sign bit
+    flipped, so negatives sort first)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.lpad(F.lower(F.hex(col.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+
+
 def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
                   k: int | Callable[[int], int], groups: str | Sequence[str] = (),
-                  flag: str = "selected") -> DataFrame:
+                  flag: str = "selected", hash_len: int = HASH_LEN) -> DataFrame:
     """Add boolean ``flag``: row is among its group's ``k`` smallest (hash, keys).
 
-    ``k`` is a count, or a function of the group size (e.g. ceil(0.1 * n)).
-    Keys must be unique within a group.
+    ``hash_col`` is any fixed-width lowercase hex text (an md5, or
+    ``ordered_hex`` of a numeric key) of ``hash_len`` digits.  ``k`` is a
+    count, or a function of the group size (e.g. ceil(0.1 * n)).  Keys must be
+    unique within a group.
     """
     keys, groups = _cols(keys), _cols(groups)
     spark = df.sparkSession
@@ -82,7 +91,7 @@ def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
         return spark.createDataFrame([(*g, v[0], v[1]) for g, v in rows], schema)
 
     level = 0
-    while level * DIGITS < HASH_LEN and sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
+    while level * DIGITS < hash_len and sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
         active = [(g, v) for g, v in state.items() if v[1] > 0 and v[2] > FINAL_LIMIT // max(len(state), 1)]
         if not active:
             break

@@ -66,43 +66,61 @@ def _vocab_list(vocab: DataFrame) -> list[str]:
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int = 512,
-           pad: bool = True, ids_col: str = "input_ids", mask_col: str = "attention_mask") -> DataFrame:
+           pad: bool = True, ids_col: str = "input_ids", mask_col: str = "attention_mask",
+           keep_text: bool = False, n_input_col: str | None = None) -> DataFrame:
     """Ids truncated to ``max_length`` (and padded to it when ``pad``).
 
     The token array is sliced *before* lookup, so no row carries more than
-    ``max_length`` tokens past the regex.
+    ``max_length`` tokens into the Python worker.  Lookup and padding are
+    vectorised Arrow / numpy work per batch (``index_in`` against the
+    broadcast vocabulary).  The text column is dropped, as a tokenising map
+    does, unless ``keep_text``; ``n_input_col`` adds the untruncated token
+    count (computed from the same token array).
     """
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_vocab_list(vocab))
     n_special = len(SPECIALS)
-    data = df.withColumn("__tok", F.slice(tokens(text), 1, max_length))
+    data = df.withColumn("__all", tokens(text))
+    data = data.withColumn("__tok", F.slice("__all", 1, max_length))
+    if n_input_col:
+        data = data.withColumn(n_input_col, F.size("__all"))
+    data = data.drop("__all") if keep_text else data.drop("__all", text)
     schema = T.StructType([f for f in data.schema.fields if f.name != "__tok"]
                           + [T.StructField(ids_col, T.ArrayType(T.IntegerType()), False),
                              T.StructField(mask_col, T.ArrayType(T.IntegerType()), False)])
+    tok_name = "__tok"
 
     def encode_batches(batches):
-        index = pd.Index(bc.value)
-        for pdf in batches:
-            toks = pdf.pop("__tok")
-            lengths = np.fromiter((0 if t is None else len(t) for t in toks), dtype=np.int64,
-                                  count=len(toks))
-            flat = [x for t in toks if t is not None for x in t]
-            pos = index.get_indexer(flat) if flat else np.empty(0, dtype=np.int64)
-            ids = np.where(pos >= 0, pos + n_special, UNK_ID).astype(np.int32)
-            pieces = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
-            out_ids, out_mask = [], []
-            for piece, n in zip(pieces, lengths):
-                if pad:
-                    out_ids.append(np.concatenate([piece, np.full(max_length - n, PAD_ID, np.int32)]))
-                    out_mask.append(np.concatenate([np.ones(n, np.int32), np.zeros(max_length - n, np.int32)]))
-                else:
-                    out_ids.append(piece)
-                    out_mask.append(np.ones(n, np.int32))
-            pdf[ids_col] = out_ids
-            pdf[mask_col] = out_mask
-            yield pdf
-
-    return data.mapInPandas(encode_batches, schema)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        vocab_arr = pa.array(bc.value, pa.string())
+        for rb in batches:
+            toks = rb.column(rb.schema.get_field_index(tok_name))
+            lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(toks)
+            pos = pc.index_in(flat, value_set=vocab_arr)
+            ids = pc.fill_null(pc.add(pos.cast(pa.int32()), pa.scalar(n_special, pa.int32())),
+                               pa.scalar(UNK_ID, pa.int32())).to_numpy(zero_copy_only=False)
+            n = len(lengths)
+            if pad:
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if n else np.zeros(0, np.int64)
+                rows = np.repeat(np.arange(n), lengths)
+                slots = rows * max_length + (np.arange(len(ids)) - np.repeat(starts, lengths))
+                flat_ids = np.full(n * max_length, PAD_ID, np.int32)
+                flat_ids[slots] = ids
+                flat_mask = np.zeros(n * max_length, np.int32)
+                flat_mask[slots] = 1
+                offsets = pa.array(np.arange(0, n * max_length + 1, max_length, dtype=np.int32))
+            else:
+                flat_ids, flat_mask = ids.astype(np.int32), np.ones(len(ids), np.int32)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            cols = [rb.column(i) for i, f in enumerate(rb.schema) if f.name != tok_name]
+            names = [f.name for f in rb.schema if f.name != tok_name]
+            cols += [pa.ListArray.from_arrays(offsets, pa.array(flat_ids, pa.int32())),
+                     pa.ListArray.from_arrays(offsets, pa.array(flat_mask, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=names + [ids_col, mask_col])
+
+    return data.mapInArrow(encode_batches, schema)
 
 
 def causal_labels(ids: str = "input_ids", mask: str = "attention_mask") -> Column:

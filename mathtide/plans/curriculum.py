@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mathtide.operators import sampling as S
 from mathtide.operators import shape as B
 from mathtide.operators.filters import drop_unparseable
-from mathtide.operators.ranking import running_totals
+from mathtide.session import checkpoint_dir
 
 # Dataset names in curriculum order, and the formatter's
 # solution key per dataset.
@@ -71,6 +71,11 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
     """
     caps = {"AQuA": 15000} if caps is None else caps
     std, _ = drop_unparseable(standardised(rendered), "question")
+    # the cap, the split's range sampling and its ranking pass each read the
+    # standardised rows; one reliable checkpoint (shared folder) computes the
+    # string work once and fixes the input for reruns
+    checkpoint_dir(std.sparkSession)
+    std = std.checkpoint(eager=True)
     if caps:
         # one small aggregate (a row per capped dataset) decides which
         # datasets are over their cap; only those are ranked.
@@ -79,12 +84,10 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
                  .agg(F.count(F.lit(1)).alias("n")).collect()}
         over = {name: n for name, n in caps.items() if sizes.get(name, 0) > n}
         if over:
-            limit = F.lit(None)
+            capped = None
             for name, n in over.items():
-                limit = F.when(F.col("dataset") == name, F.lit(n)).otherwise(limit)
-            ranked = running_totals(std.where(F.col("dataset").isin(*over)), ["row_key"], ["dataset"],
-                                    rank_col="__pos")
-            capped = ranked.where(F.col("__pos") < limit).drop("__pos")
+                part = S.take_per_group(std.where(F.col("dataset") == name), n, "dataset", ["row_key"])
+                capped = part if capped is None else capped.unionByName(part)
             std = std.where(~F.col("dataset").isin(*over)).unionByName(capped)
     prompted = std.withColumn("prompt", B.sft_prompt("question", "answer"))
     return S.train_test_split(prompted, test_size, seed, key="row_key", group="dataset")

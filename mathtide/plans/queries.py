@@ -293,9 +293,8 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import shape as B
     docs = B.require_columns(V.corpus(spark, sf_dir), "text").select("doc_id", "text")
     vocab = T.fit_vocabulary(docs, "text", 1000)
-    enc = T.encode(docs, vocab, "text", 512, pad=True)
-    n_full = F.size(T.tokens("text"))
-    enc = B.prune_columns(enc.withColumn("__n_full", n_full), "text")
+    enc = T.encode(docs, vocab, "text", 512, pad=True, n_input_col="__n_full")
+    enc = B.prune_columns(enc, "text")
     return enc.select(
         "doc_id",
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),

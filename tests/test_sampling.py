@@ -62,3 +62,12 @@ def test_hash_selection_matches_ranking_through_digit_levels(spark, monkeypatch)
     got = S.sample_fraction(df, 0.03, 9, "id")
     want = S.shuffle(df, 9, "id").where(F.col("shuffle_pos") < 150)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_first_n_by_key_matches_ranking(spark, monkeypatch):
+    import mathtide.operators.selection as SEL
+    monkeypatch.setattr(SEL, "FINAL_LIMIT", 30)
+    df = spark.range(-2000, 3000).withColumn("g", (F.abs(F.col("id")) % 4).cast("string"))
+    got = sorted(r.id for r in S.take_per_group(df, 77, "g", ["id"]).collect())
+    want = sorted(r.id for r in S.running_totals(df, ["id"], ["g"], rank_col="p").where("p < 77").collect())
+    assert got == want and len(got) == 4 * 77
