@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathtide.functions.text import col_of, excerpt, piece, py_strip  # noqa: F401 (excerpt re-exported)
+from mathtide.functions.text import col_of, excerpt, piece, py_strip, quote_regex  # noqa: F401 (re-exported)
 
 # ---------------------------------------------------------------------------
 # Prompt templates and instructions used by the evaluations.

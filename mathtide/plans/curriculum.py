@@ -47,10 +47,36 @@ def union_datasets(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def standardised(rendered: DataFrame) -> DataFrame:
-    """Rendered texts -> dataset, stage, row_key, question, answer (failed rows kept as null)."""
-    return rendered.withColumn("__std", standardise_text()).select(
-        "dataset", "stage", "row_key", F.col("__std.question").alias("question"),
-        F.col("__std.answer").alias("answer"))
+    """Rendered texts -> dataset, stage, row_key, question, answer (failed rows kept as null).
+
+    Same rules as ``standardise`` / ``standardise_aqua``, computed in stages:
+    each split is its own column, so a piece used by the null check and by the
+    output is cut once per row.
+    """
+    from mathtide.functions.text import piece, py_strip
+    d, t = F.col("dataset"), F.col("text")
+    solution_sets = {key for _, _, key in CURRICULUM if key}
+    key_of = F.lit(None).cast("string")
+    for name, _, key in CURRICULUM:
+        if key:
+            key_of = F.when(d == name, F.lit(key)).otherwise(key_of)
+    aqua = d == "AQuA"
+    body = piece(t, "Question: ", 1)
+    stage1 = rendered.withColumn("__key", key_of).withColumn("__body", body)
+    parts = F.lit(None).cast("array<string>")
+    for key in sorted(solution_sets):
+        parts = F.when(F.col("__key") == key,
+                       F.split(F.col("__body"), B.quote_regex(f"\n{key}:"))).otherwise(parts)
+    stage2 = stage1.withColumn("__parts", parts)
+    stage3 = stage2.withColumn("__sa", F.split(F.get(F.col("__parts"), 1), B.quote_regex("\nAnswer:")))
+    q_part, solution, answer = F.get("__parts", 0), F.get("__sa", 0), F.get("__sa", 1)
+    ok = q_part.isNotNull() & solution.isNotNull() & answer.isNotNull()
+    generic = F.when(ok, F.struct(py_strip(q_part).alias("question"),
+                                  B._solved(py_strip(solution), py_strip(answer)).alias("answer")))
+    std = F.when(aqua, B.standardise_aqua(t)).otherwise(generic)
+    out = stage3.withColumn("__std", std)
+    return out.select("dataset", "stage", "row_key", F.col("__std.question").alias("question"),
+                      F.col("__std.answer").alias("answer"))
 
 
 def dataset_counts(rendered: DataFrame) -> DataFrame:
