@@ -580,7 +580,7 @@ def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response accuracy over the lineitem stream joined to static gold."""
     from mathtide.streaming import jobs as J
-    stream = V.responses_from(J.file_stream(spark, sf_dir, "lineitem.parquet"))
+    stream = V.responses_from(J.spread_stream(J.file_stream(spark, sf_dir, "lineitem.parquet")))
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir)), "j5", mode="complete")
     return out.select("run", "n_total", "n_correct",
                       _r6(F.col("n_correct") / F.col("n_total")).alias("accuracy"))

@@ -74,5 +74,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df, spark: SparkSession | None = None):
+    """Round-robin rebalance when a scan yields fewer partitions than cores.
+
+    Few, large row groups (or one small file) leave most cores idle for the
+    CPU-heavy string work before the first shuffle.  On cluster-sized inputs
+    the scan already has more partitions than the parallelism and this is a
+    no-op.  Spark sorts rows locally before a round-robin repartition, so a
+    retried task sends every row to the same partition again.
+    """
+    spark = spark or df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)), spark)

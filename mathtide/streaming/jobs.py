@@ -28,6 +28,12 @@ def file_stream(spark: SparkSession, directory: str, file_glob: str,
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
 
 
+def spread_stream(stream: DataFrame) -> DataFrame:
+    """Spread each micro-batch over the cores (a file source gives one
+    partition per file split) before CPU-heavy per-row work."""
+    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  batch_fn: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Drain a stream (availableNow) into parquet in the shared folder; return it as a table.
