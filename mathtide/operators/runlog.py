@@ -25,13 +25,14 @@ def source_counts(df: DataFrame, source: str = "source", sample: int | None = No
     return data.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _micros(c) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+def _col(c) -> F.Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def _elapsed_s(later, earlier) -> F.Column:
-    """Seconds between two timestamps (difference taken in microseconds first)."""
-    return (later - earlier) / F.lit(1e6)
+    """Seconds between two timestamps, exact in microseconds and independent
+    of the session time zone (log timestamps carry none)."""
+    return F.timestamp_diff("MICROSECOND", _col(earlier), _col(later)) / F.lit(1e6)
 
 
 def step_index(log: DataFrame, run: str = "run", order_by: Sequence[str] = ("ts", "event_id"),
@@ -60,7 +61,7 @@ def training_speed(log: DataFrame, run: str = "run", order_by: Sequence[str] = (
     # null-safe: a log row without a run id still belongs to the (null) run
     out = (stepped.alias("__a").join(starts.alias("__b"), F.col(f"__a.{run}").eqNullSafe(F.col(f"__b.{run}")))
            .select("__a.*", "__b.__start")
-           .withColumn("elapsed_s", _elapsed_s(_micros(ts), _micros("__start"))))
+           .withColumn("elapsed_s", _elapsed_s(ts, "__start")))
     return out.select(
         run, "step", F.col("total__samples").alias("total_samples"), "elapsed_s",
         F.when(F.col("elapsed_s") > 0, F.col("total__samples") / F.col("elapsed_s")).alias("samples_per_second"),
@@ -74,7 +75,7 @@ def run_summary(log: DataFrame, run: str = "run", ts: str = "ts", step: str | No
     Without a ``step`` column every log row is one step.
     """
     steps = F.max(step) if step else F.count(F.lit(1))
-    aggs = [_elapsed_s(F.max(_micros(ts)), F.min(_micros(ts))).alias("total_time_s"),
+    aggs = [_elapsed_s(F.max(ts), F.min(ts)).alias("total_time_s"),
             steps.cast("long").alias("max_steps"), F.count(F.lit(1)).alias("n_rows")]
     if memory:
         aggs.append(F.max(memory).alias("peak_memory"))

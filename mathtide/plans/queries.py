@@ -591,8 +591,7 @@ def stream_training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.streaming import jobs as J
     stream = V.step_log_from(J.file_stream(spark, sf_dir, "events.parquet"))
     out = J.run_to_table(J.stream_training_speed(stream), "j6", mode="complete")
-    elapsed = (F.unix_micros(F.col("last_ts").cast("timestamp"))
-               - F.unix_micros(F.col("first_ts").cast("timestamp"))) / F.lit(1e6)
+    elapsed = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / F.lit(1e6)
     return out.select("run", "n_steps", "total_samples", _r6(elapsed).alias("elapsed_s"),
                       _r6(F.when(elapsed > 0, F.col("total_samples") / elapsed)).alias("samples_per_second"))
 

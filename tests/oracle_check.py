@@ -86,7 +86,14 @@ def main(argv):
     import __spark_entry__ as entry
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("ORACLE_PLAIN_SESSION"):
+        # a session like a bare driver's: default partitions, another time zone
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", "America/New_York").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8)
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in names or list(qs):
