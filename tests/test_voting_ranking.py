@@ -63,3 +63,13 @@ def test_running_accuracy(spark):
     got = {(r.run, r.q): (r.example_idx, r.running_accuracy)
            for r in VT.running_accuracy(df, "correct", ["q"], "run").collect()}
     assert got[("r", 3)] == (2, 2 / 3) and got[("s", 1)] == (0, 0.0)
+
+
+def test_collect_votes_chunked(spark):
+    rows = [("hot", i, float(i % 3)) for i in range(25)] + [("cold", 0, 1.0)]
+    df = spark.createDataFrame(rows, "q string, idx int, a double")
+    whole = {r.q: r["as"] for r in VT.collect_votes(df, "q", "idx", ["a"]).collect()}
+    assert whole["hot"] == [float(i % 3) for i in range(25)]
+    chunks = VT.collect_votes(df, "q", "idx", ["a"], chunk_size=10).collect()
+    hot = sorted((r.chunk, r["as"]) for r in chunks if r.q == "hot")
+    assert [c for c, _ in hot] == [0, 1, 2] and sum((a for _, a in hot), []) == whole["hot"]
