@@ -36,9 +36,31 @@ _LRANK = "__lrank"
 _GROUP = "__group"
 
 
+SLICE_BYTES = 64 << 20
+
+
 def _default_slices(df: DataFrame) -> int:
+    """At least one slice per core, about SLICE_BYTES per slice by the
+    optimizer's size estimate, at most ``spark.sql.shuffle.partitions``.
+
+    Slices are streamed through the Arrow pass batch by batch, so a large
+    slice costs time, not memory; the count only sets the parallelism.
+    """
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    def as_int(size):
+        return int(size if isinstance(size, int) else size.toString())
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        est = as_int(plan.stats().sizeInBytes())
+        # join estimates can multiply far beyond the data; the leaf scans bound it
+        leaves = plan.collectLeaves()
+        scanned = sum(as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+        est = min(est, scanned)
+    except Exception:  # estimate unavailable: use the configured partition count
+        return max(cap, cores)
+    return max(cores, min(cap, -(-est // SLICE_BYTES)))
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
