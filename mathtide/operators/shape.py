@@ -62,7 +62,7 @@ CHAT_GENERATION_MARK = "<|im_start|>assistant\n"
 # ---------------------------------------------------------------------------
 
 PROMPT_STYLES = ("question", "shots_only", "shots_then_question", "eight_shot", "zero_shot",
-                 "chat_zero_shot", "step_by_step")
+                 "chat_zero_shot", "step_by_step", "multiple_choice")
 
 
 def _s(c) -> Column:
@@ -200,12 +200,22 @@ def few_shot_block(shots: DataFrame, rank: str, question: str = "question",
     return shots.agg(F.array_join(F.transform(packed, lambda x: x["t"]), "").alias("shots"))
 
 
-def eval_prompt(question, style: str = "question", shots: Column | None = None) -> Column:
+def multiple_choice_text(question, options) -> Column:
+    """B12 multiple-choice form: '{q} \n Options:\n a) ..\n b) ..\n'."""
+    opts = F.coalesce(col_of(options), F.array().cast("array<string>"))
+    lettered = F.array_join(F.transform(opts, lambda o, i: F.concat(
+        F.lit(" "), F.char(F.lit(97) + i), F.lit(") "), F.coalesce(o, F.lit("None")), F.lit("\n"))), "")
+    return F.concat(_s(question), F.lit(" \n Options:\n"), lettered)
+
+
+def eval_prompt(question, style: str = "question", shots: Column | None = None,
+                options: Column | None = None) -> Column:
     """Evaluation prompt for a test question.
 
     Styles: 'question' (shots, question, instruction), 'shots_only' (shots and
     instruction without the question, Q4), 'shots_then_question', 'eight_shot'
-    (fixed 8 worked examples), 'zero_shot', 'chat_zero_shot', 'step_by_step'.
+    (fixed 8 worked examples), 'zero_shot', 'chat_zero_shot', 'step_by_step',
+    'multiple_choice' (needs ``options``).
     ``shots`` is the block column, e.g. ``few_shot_block(...).scalar()``.
     """
     q = _s(question)
@@ -225,6 +235,8 @@ def eval_prompt(question, style: str = "question", shots: Column | None = None)
         return F.concat(q, F.lit(CHAT_ZERO_SHOT_INSTRUCTION))
     if style == "step_by_step":
         return F.concat(F.lit(STEP_BY_STEP_HEAD), q, F.lit(STEP_BY_STEP_TAIL))
+    if style == "multiple_choice":
+        return multiple_choice_text(q, options)
     raise ValueError(f"unknown prompt style {style!r}; expected one of {PROMPT_STYLES}")
 
 

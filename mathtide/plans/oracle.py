@@ -796,3 +796,16 @@ def corpus_split_flags_sql() -> str:
 SELECT doc_id, lang, CASE WHEN pos < ceil(0.1 * n) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos,
              count(*) OVER (PARTITION BY lang) AS n FROM documents)"""
+
+
+def multiple_choice_prompts_sql() -> str:
+    return with_views(V_PROBLEMS) + f"""
+SELECT pid, {_t('question')} || ' ' || {NL} || ' Options:' || {NL}
+       || array_to_string(list_transform(options, lambda o, i: ' ' || chr(CAST(96 + i AS INTEGER)) || ') ' || o || {NL}), '')
+       AS prompt
+FROM problems"""
+
+
+def stream_source_peek_sql() -> str:
+    return """
+SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT source FROM documents LIMIT 1000) GROUP BY source"""

@@ -618,3 +618,19 @@ def corpus_split_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import sampling as S
     docs = V.corpus(spark, sf_dir).select("doc_id", "lang")
     return S.train_test_split(docs, 0.1, 42, key="doc_id", group="lang", positions=False)
+
+
+def multiple_choice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 multiple-choice style over every problem's options."""
+    from mathtide.operators import shape as B
+    p = V.problems(spark, sf_dir)
+    return p.select("pid", B.eval_prompt(B.py_strip("question"), "multiple_choice",
+                                         options=F.col("options")).alias("prompt"))
+
+
+def stream_source_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 peek form: source counts over the first 1000 records of the stream (J3 then count)."""
+    from mathtide.streaming import jobs as J
+    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
+    head = J.run_to_table(J.stream_take(stream, 1000), "j4peek")
+    return head.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
