@@ -21,7 +21,8 @@ def source_counts(df: DataFrame, source: str = "source", sample: int | None = No
     if sample is not None:
         if not order_by:
             raise ValueError("a sampled count needs a key order")
-        data = df.orderBy(*order_by).limit(sample)
+        from mathtide.operators.sampling import take
+        data = take(df, sample, list(order_by))
     return data.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 

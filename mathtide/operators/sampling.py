@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from mathtide.operators.ranking import global_rank, running_totals
 from mathtide.operators.selection import hash_smallest, ordered_hex
 
-# Above this many rows a sample is cut by global rank instead of a
-# TakeOrderedAndProject, whose final merge runs in one task.
-TAKE_ORDERED_MAX = 100_000
+# A TakeOrderedAndProject merges (input partitions x n) rows in one task; it
+# is used only while that merge stays under this many rows, otherwise the
+# rows are chosen by the hash-digit selection or ranked.
+TAKE_ORDERED_ROWS = 10_000_000
 
 HASH_COL = "__hash"
 
@@ -35,9 +36,15 @@ def hash_order(seed: int, key: str | Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def small_take(df: DataFrame, n: int) -> bool:
+    """Whether a TakeOrderedAndProject's single-task merge stays bounded."""
+    return n * max(df.rdd.getNumPartitions(), 1) <= TAKE_ORDERED_ROWS
+
+
 def take(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """First ``n`` rows in a key order (TakeOrderedAndProject for small n)."""
-    if n <= TAKE_ORDERED_MAX:
+    """First ``n`` rows in a key order (TakeOrderedAndProject when its
+    single-task merge is bounded, else selection by key digits or rank)."""
+    if small_take(df, n):
         return df.orderBy(*order_by).limit(n)
     names = [c for c in order_by if isinstance(c, str)]
     if len(names) != len(order_by):
@@ -77,7 +84,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "
     """
     keys = _keys(key)
     h = df.withColumn(HASH_COL, hash_order(seed, keys))
-    if n <= TAKE_ORDERED_MAX:
+    if small_take(df, n):
         picked = h.orderBy(HASH_COL, *keys).limit(n)
         if rank_col:
             # at most n rows here (n is small by the branch)

@@ -56,15 +56,23 @@ def ordered_hex(c) -> F.Column:
     return F.lpad(F.lower(F.hex(col.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
 
 
+def ordered_text_hex(c) -> F.Column:
+    """A string as lowercase hex of its UTF-8 bytes: text order = byte order,
+    a prefix sorts before its extensions."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.lower(F.hex(F.encode(col, "UTF-8")))
+
+
 def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
                   k: int | Callable[[int], int], groups: str | Sequence[str] = (),
-                  flag: str = "selected", hash_len: int = HASH_LEN) -> DataFrame:
+                  flag: str = "selected", hash_len: int | None = HASH_LEN) -> DataFrame:
     """Add boolean ``flag``: row is among its group's ``k`` smallest (hash, keys).
 
-    ``hash_col`` is any fixed-width lowercase hex text (an md5, or
-    ``ordered_hex`` of a numeric key) of ``hash_len`` digits.  ``k`` is a
-    count, or a function of the group size (e.g. ceil(0.1 * n)).  Keys must be
-    unique within a group.
+    ``hash_col`` is lowercase hex text whose string order is the wanted order:
+    an md5, ``ordered_hex`` of a number, or a concatenation ending in
+    ``ordered_text_hex`` (then ``hash_len=None``: variable length, the walk
+    stops for a group where its strings end).  ``k`` is a count, or a function
+    of the group size (e.g. ceil(0.1 * n)).  Keys must be unique within a group.
     """
     keys, groups = _cols(keys), _cols(groups)
     spark = df.sparkSession
@@ -91,8 +99,12 @@ def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
         return spark.createDataFrame([(*g, v[0], v[1]) for g, v in rows], schema)
 
     level = 0
-    while level * DIGITS < hash_len and sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
-        active = [(g, v) for g, v in state.items() if v[1] > 0 and v[2] > FINAL_LIMIT // max(len(state), 1)]
+    ended = set()    # groups whose undecided rows all hold the same full string
+    while sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
+        if hash_len is not None and level * DIGITS >= hash_len:
+            break
+        active = [(g, v) for g, v in state.items()
+                  if v[1] > 0 and g not in ended and v[2] > FINAL_LIMIT // max(len(state), 1)]
         if not active:
             break
         cand = _with_state(hashed.select(*groups, _H), state_frame(active), active, groups) \
@@ -107,6 +119,8 @@ def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
             v = state[g]
             before = r["__cum"] - r["__c"]
             state[g] = [v[0] + r["__d"], v[1] - before, r["__c"]]
+            if len(r["__d"]) < DIGITS:
+                ended.add(g)
         level += 1
 
     undecided = [(g, v) for g, v in state.items() if v[1] > 0]

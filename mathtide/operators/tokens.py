@@ -47,8 +47,23 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -
     k = max(vocab_size - len(SPECIALS), 0)
     counts = (df.select(F.explode(tokens(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+    from mathtide.operators.sampling import small_take
+    if small_take(counts, k):
+        top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k).collect()
+    else:
+        # many partitions x a large k: choose the k most frequent by digits of
+        # the (descending) count over the materialised token table instead of
+        # merging partitions x k rows in one task
+        from mathtide.operators.selection import hash_smallest, ordered_hex, ordered_text_hex
+        from mathtide.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        counts = counts.checkpoint(eager=True)
+        # (count descending, token) as one order text: many tokens share a count
+        order = F.concat(ordered_hex(-F.col("count")), ordered_text_hex("token"))
+        top = hash_smallest(counts, ["token"], order, k, flag="__in",
+                            hash_len=None).where("__in").drop("__in").collect()
+        top = sorted(top, key=lambda r: (-r["count"], r["token"].encode("utf-8")))
     # top-k is bounded by vocab_size (checked above); ids follow its order
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k).collect()
     rows = [(r["token"], i + len(SPECIALS), r["count"]) for i, r in enumerate(top)]
     return df.sparkSession.createDataFrame(rows, "token string, id long, count long")
 
