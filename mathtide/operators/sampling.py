@@ -77,10 +77,12 @@ def take_per_group(df: DataFrame, n: int, group: str | Sequence[str],
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id",
-             rank_col: str | None = None) -> DataFrame:
+             rank_col: str | None = None, order_col: str | None = None) -> DataFrame:
     """``min(n, size)`` rows without replacement, seeded.
 
-    With ``rank_col`` the 0-based draw order is kept (shots are laid out in it).
+    The draw order is (hash, key): ``order_col`` keeps the hash under that
+    name (sort by it and the key to lay shots out), ``rank_col`` adds the
+    0-based draw position.
     """
     keys = _keys(key)
     h = df.withColumn(HASH_COL, hash_order(seed, keys))
@@ -88,13 +90,15 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "
         picked = h.orderBy(HASH_COL, *keys).limit(n)
         if rank_col:
             # at most n rows here (n is small by the branch)
-            return global_rank(picked, [HASH_COL] + keys, rank_col).drop(HASH_COL)
-        return picked.drop(HASH_COL)
+            picked = global_rank(picked, [HASH_COL] + keys, rank_col)
+        return picked.withColumnRenamed(HASH_COL, order_col) if order_col else picked.drop(HASH_COL)
     if rank_col:
         ranked = global_rank(h, [HASH_COL] + keys, "__pos").where(F.col("__pos") < n)
-        return ranked.withColumnRenamed("__pos", rank_col).drop(HASH_COL)
+        ranked = ranked.withColumnRenamed("__pos", rank_col)
+        return ranked.withColumnRenamed(HASH_COL, order_col) if order_col else ranked.drop(HASH_COL)
     # large n: exact selection by hash digits, no row is shuffled
-    return hash_smallest(df, keys, hash_order(seed, keys), n, flag="__in").where("__in").drop("__in")
+    out = hash_smallest(df, keys, hash_order(seed, keys), n, flag="__in").where("__in").drop("__in")
+    return out.withColumn(order_col, hash_order(seed, keys)) if order_col else out
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42,

@@ -188,15 +188,17 @@ def shot_text(question, answer) -> Column:
     return F.concat(F.lit("Question: "), _s(question), F.lit("\nAnswer: "), _s(answer), F.lit("\n\n"))
 
 
-def few_shot_block(shots: DataFrame, rank: str, question: str = "question",
+def few_shot_block(shots: DataFrame, order: str | Sequence[str], question: str = "question",
                    answer: str = "answer") -> DataFrame:
     """One row, the shots laid out in draw order.
 
-    ``shots`` is the output of ``sample_n(..., rank_col=rank)``: n rows, n a
-    small parameter, so the single group is bounded by n.
+    ``shots`` is a seeded sample of n rows (n a small parameter, so the single
+    group is bounded by n); ``order`` names its draw-order column(s), e.g. the
+    kept hash and the key from ``sample_n(..., order_col=...)``, or a rank.
     """
-    packed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"),
-                                                  shot_text(question, answer).alias("t"))))
+    order = [order] if isinstance(order, str) else list(order)
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    packed = F.array_sort(F.collect_list(F.struct(key.alias("r"), shot_text(question, answer).alias("t"))))
     return shots.agg(F.array_join(F.transform(packed, lambda x: x["t"]), "").alias("shots"))
 
 

@@ -154,8 +154,8 @@ def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B11 + B12 + D1: 5 seeded shots before every test question, all styles."""
     from mathtide.operators import sampling as S
     from mathtide.operators import shape as B
-    shots = S.sample_n(V.qa_train(spark, sf_dir), 5, 42, "qid", rank_col="shot_rank")
-    block = B.few_shot_block(shots, "shot_rank").scalar()
+    shots = S.sample_n(V.qa_train(spark, sf_dir), 5, 42, "qid", order_col="draw")
+    block = B.few_shot_block(shots, ["draw", "qid"]).scalar()
     test = V.qa_test(spark, sf_dir)
     q = F.col("question")
     return test.select(
