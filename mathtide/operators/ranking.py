@@ -85,6 +85,9 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     ordered = [F.col(k).asc_nulls_first() for k in keys]
     ranged = data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
 
+    if not sums:
+        return _ranks_only(df.sparkSession, data, partition_by, keys, ordered, n, rank_col)
+
     vcols = [f"__v_{s}" for s in sums]
     local_sum_cols = [f"__l_{s}" for s in sums]
     out_schema = T.StructType(ranged.schema.fields
@@ -159,6 +162,39 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     return result.drop(*drop)
 
 
+_MID = "__mid"
+_LOW_BITS = (1 << 33) - 1      # monotonically_increasing_id: partition id << 33 | row index
+
+
+def _ranks_only(spark, data: DataFrame, partition_by: list[str], keys: list[str], ordered, n: int,
+                rank_col: str) -> DataFrame:
+    """Ranks without running sums, all in the JVM.
+
+    After the range exchange and the in-slice sort, ``monotonically_increasing_id``
+    numbers rows in sorted order (slice id in the high bits, row index in the
+    low bits); the per-(slice, group) first index and count give the offsets.
+    """
+    numbered = (data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
+                .withColumn(_MID, F.monotonically_increasing_id()))
+    checkpoint_dir(spark)
+    local = (numbered.withColumn(_PID, F.shiftright(F.col(_MID), 33).cast("int"))
+             .withColumn(_LRANK, F.col(_MID).bitwiseAND(F.lit(_LOW_BITS)))
+             .drop(_MID).checkpoint(eager=True))
+    group_cols = [_GROUP] + partition_by
+    totals = local.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias("__cnt"),
+                                                   F.min(_LRANK).alias("__first"))
+    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PID, *group_cols, "__first",
+                            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off_rank"))
+    cond = [F.col(f"__l.{_PID}") == F.col(f"__o.{_PID}"),
+            F.col(f"__l.{_GROUP}") == F.col(f"__o.{_GROUP}")]
+    cond += [F.col(f"__l.{c}").eqNullSafe(F.col(f"__o.{c}")) for c in partition_by]
+    joined = local.alias("__l").join(offsets.alias("__o"), on=cond, how="inner") \
+        .select("__l.*", "__o.__first", "__o.__off_rank")
+    return (joined.withColumn(rank_col, F.col(_LRANK) - F.col("__first") + F.col("__off_rank"))
+            .drop(_PID, _LRANK, _GROUP, "__first", "__off_rank"))
+
+
 def global_rank(df: DataFrame, order_by: Sequence[str], rank_col: str = "row_idx",
                 partition_by: Sequence[str] = (), num_slices: int | None = None) -> DataFrame:
     """0-based position of every row in ``order_by`` order (per group)."""
