@@ -47,12 +47,18 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         data = batch_fn(batch, batch_id) if batch_fn else batch
-        data.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        if mode == "complete":
+            data.write.mode("overwrite").parquet(out)
+        else:
+            # one folder per micro-batch, overwritten if the batch is replayed
+            # after a failure: appends stay exactly-once
+            data.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
              .foreachBatch(write_batch).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(out)
+    table = spark.read.parquet(out)
+    return table.drop("_batch") if "_batch" in table.columns else table
 
 
 def stream_filter_map(stream: DataFrame, exclude_prefixes: Sequence[str], source: str,

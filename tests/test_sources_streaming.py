@@ -80,3 +80,22 @@ def test_stream_equals_batch(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     batch = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
     assert stream == batch
+
+
+def test_multi_batch_stream_equals_batch(spark, tmp_dir):
+    from mathtide.streaming import jobs as J
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "lang")
+    folder = os.path.join(tmp_dir, "docs")
+    docs.repartition(3, "doc_id").write.parquet(folder)          # three files -> three micro-batches
+    stream = J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1)
+    counts = J.run_to_table(J.stream_source_counts(stream), "t-counts", mode="complete")
+    want = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    assert {r.source: r.n for r in counts.collect()} == want
+    kept = J.run_to_table(J.stream_filter_map(J.file_stream(spark, folder, "*.parquet"), ["src1"], "source",
+                                              lambda d: d.select("doc_id")), "t-filter")
+    expected = docs.where(~F.col("source").startswith("src1")).select("doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in expected.collect())
+    shuffled = J.run_to_table(J.file_stream(spark, folder, "*.parquet").select("doc_id"), "t-shuffle",
+                              batch_fn=J.buffer_shuffle(42, "doc_id"))
+    per_batch = shuffled.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("shuffle_pos").alias("m")).collect()
+    assert len(per_batch) == 3 and all(r.m == r.n - 1 for r in per_batch)
