@@ -75,16 +75,17 @@ def extract_answer(c, eos: str | None = None) -> Column:
     first number; (2) end-of-text parts walked from the end, first part with a
     number gives its first number; (3) last number of the cleaned text.
 
-    The text is cleaned once: cleaning only deletes characters and unit words
-    right after digits, so no change crosses a '####' or end-of-text marker
-    and cleaning the whole text equals cleaning each piece.
+    Cleaning only deletes characters and unit words right after digits, so no
+    change crosses a '####' or end-of-text marker: the '####' branch cleans
+    just the tail it reads, and the whole text is cleaned only when that
+    branch finds nothing (branches are evaluated lazily, in order).
     """
     t = col_of(c)
     if eos:
         t = F.when(t.contains(eos), py_strip(piece(t, eos, 0))).otherwise(t)
-    cleaned = clean_number_text(t)
-    after_mark = F.split_part(cleaned, F.lit(ANSWER_MARK), F.lit(-1))
+    after_mark = clean_number_text(F.split_part(t, F.lit(ANSWER_MARK), F.lit(-1)))
     by_mark = F.when(t.contains(ANSWER_MARK), _first(_numbers(after_mark)))
+    cleaned = clean_number_text(t)
     parts = F.reverse(F.split(cleaned, quote_regex(END_OF_TEXT)))
     found = F.filter(F.transform(parts, lambda p: _numbers(p)), lambda a: F.size(a) > 0)
     by_end_marker = F.when(t.contains(END_OF_TEXT), _first(_first(found)))

@@ -54,9 +54,10 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
         text.alias("response"))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1g: gold solution per order, ending in '#### N'."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+def gold(spark: SparkSession, sf_dir: str, rebalance: bool = True) -> DataFrame:
+    """V1g: gold solution per order, ending in '#### N' (``rebalance=False`` for
+    the static side of a stream join)."""
+    o = read_table(spark, sf_dir, "orders", rebalance).select("o_orderkey", "o_totalprice")
     g = F.floor("o_totalprice").cast("long") % 50 + 1
     return o.select(
         F.col("o_orderkey").alias("question_id"),

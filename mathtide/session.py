@@ -82,15 +82,22 @@ def spread(df, spark: SparkSession | None = None):
     Few, large row groups (or one small file) leave most cores idle for the
     CPU-heavy string work before the first shuffle.  On cluster-sized inputs
     the scan already has more partitions than the parallelism and this is a
-    no-op.  Spark sorts rows locally before a round-robin repartition, so a
-    retried task sends every row to the same partition again.
+    no-op.  Rows are spread by their number within the scan (deterministic
+    there), so a retried task sends every row to the same partition again
+    without the local sort a round-robin repartition needs for that.
     """
+    from pyspark.sql import functions as F
     spark = spark or df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        # straight after a scan the row order is fixed, so the row number is a
+        # deterministic spreading key: no sort, and no data column is named
+        # (column pruning still reaches the scan)
+        return (df.withColumn("__row", F.monotonically_increasing_id())
+                .repartition(cores, "__row").drop("__row"))
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spread(spark.read.parquet(table_path(sf_dir, name)), spark)
+def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True):
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df, spark) if rebalance else df
