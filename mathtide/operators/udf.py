@@ -45,12 +45,13 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
     """K2: a row function (dict -> dict) for foreign code; prefer Column expressions."""
+    names = (schema if isinstance(schema, T.StructType)
+             else df.sparkSession.createDataFrame([], schema).schema).fieldNames()
+
     def run(batches):
         for pdf in batches:
             rows = [fn(r) for r in pdf.to_dict("records")]
-            yield pd.DataFrame.from_records(rows) if rows else pd.DataFrame(
-                columns=[f.name for f in (T._parse_datatype_string(schema) if isinstance(schema, str)
-                                          else schema).fields])
+            yield pd.DataFrame.from_records(rows, columns=names) if rows else pd.DataFrame(columns=names)
     return df.mapInPandas(run, schema)
 
 

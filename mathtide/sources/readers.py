@@ -152,10 +152,13 @@ _LOADERS = {
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    """Whether a source path exists (file listing happens when a reader is built)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.format("text").load(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def load_curriculum(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
