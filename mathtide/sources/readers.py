@@ -49,8 +49,11 @@ CORPUS_SCHEMA = T.StructType([T.StructField("url", T.StringType()),
 
 
 def _with_line_order(df: DataFrame) -> DataFrame:
-    """(file, position) order for line formats, fixed at read."""
+    """Line order for line formats, fixed at read: (file, start offset of the
+    file split, row number within the split) -- splits of one large file may
+    land in tasks in any order, rows inside a split keep their order."""
     return df.withColumn("order_key", F.struct(F.col("_metadata.file_path").alias("file"),
+                                               F.col("_metadata.file_block_start").alias("block"),
                                                F.monotonically_increasing_id().alias("pos")))
 
 
@@ -78,11 +81,16 @@ def read_asdiv_xml(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A3: files whose top level is an array of objects (ParaMAWPS, SVAMP).
 
-    Numbers read into string fields keep their JSON text, as ``str()`` does.
-    A JSON array is one document, so a file is read by one task; large
-    sources come as many files.
+    Adds ``array_pos`` = (file, position in the array), the order the
+    reference iterates in.  Numbers read into string fields keep their JSON
+    text, as ``str()`` does.  A JSON array is one document, so a file is read
+    by one task; large sources come as many files.
     """
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    whole = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("__file"), "value")
+    items = whole.select("__file", F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("__pos", "__r"))
+    return items.select(F.struct(F.col("__file").alias("file"), F.col("__pos").alias("pos")).alias("array_pos"),
+                        "__r.*")
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType = DMATH_VALUE) -> DataFrame:

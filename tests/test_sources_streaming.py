@@ -35,8 +35,9 @@ def test_json_array_numbers_as_text(spark, tmp_dir):
     p = os.path.join(tmp_dir, "pm", "a.json")
     _write(p, '[{"id": "1", "original_text": " q ", "equation": "x=1", "ans": 5.0},'
               ' {"id": "2", "original_text": "r", "ans": 7}]')
-    rows = sorted(tuple(r) for r in R.read_json_array(spark, os.path.dirname(p), R.PARAMAWPS_SCHEMA).collect())
-    assert rows == [("1", " q ", "x=1", "5.0"), ("2", "r", None, "7")]
+    df = R.read_json_array(spark, os.path.dirname(p), R.PARAMAWPS_SCHEMA)
+    rows = sorted((r.array_pos.pos, r.id, r.original_text, r.equation, r.ans) for r in df.collect())
+    assert rows == [(0, "1", " q ", "x=1", "5.0"), (1, "2", "r", None, "7")]
 
 
 def test_keyed_json(spark, tmp_dir):
@@ -99,3 +100,19 @@ def test_multi_batch_stream_equals_batch(spark, tmp_dir):
                               batch_fn=J.buffer_shuffle(42, "doc_id"))
     per_batch = shuffled.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("shuffle_pos").alias("m")).collect()
     assert len(per_batch) == 3 and all(r.m == r.n - 1 for r in per_batch)
+
+
+def test_jsonl_line_order_across_splits(tmp_dir):
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    p = os.path.join(tmp_dir, "big", "a.jsonl")
+    _write(p, "".join('{"question": "q%06d", "answer": "a"}\n' % i for i in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")          # many splits of one file
+    try:
+        df = R.read_qa_jsonl(spark, os.path.dirname(p))
+        assert df.rdd.getNumPartitions() > 3
+        got = [r.question for r in df.orderBy("order_key").select("question").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == ["q%06d" % i for i in range(20000)]
