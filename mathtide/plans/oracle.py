@@ -809,3 +809,22 @@ FROM problems"""
 def stream_source_peek_sql() -> str:
     return """
 SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT source FROM documents LIMIT 1000) GROUP BY source"""
+
+
+def curriculum_tokens_sql() -> str:
+    from mathtide.operators.tokens import TOKEN_PATTERN
+    return f"""
+WITH splits AS ({curriculum_splits_sql()}),
+toks AS (SELECT dataset, row_key, split, regexp_extract_all(prompt, {q(TOKEN_PATTERN)}) AS t FROM splits),
+counts AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok),
+vocab AS (
+  SELECT tok, row_number() OVER (ORDER BY cnt DESC, tok) + 2 AS id
+  FROM counts ORDER BY cnt DESC, tok LIMIT 997),
+pos AS (
+  SELECT dataset, row_key, unnest(t[1:512]) AS tok, generate_subscripts(t[1:512], 1) AS p FROM toks),
+enc AS (
+  SELECT pos.dataset, pos.row_key, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY p) AS ids
+  FROM pos LEFT JOIN vocab v USING (tok) GROUP BY pos.dataset, pos.row_key)
+SELECT toks.dataset, toks.row_key, toks.split, CAST(len(coalesce(enc.ids, [])) AS INTEGER) AS n_tokens,
+       array_to_string(coalesce(enc.ids, []::INTEGER[]), ' ') AS input_ids, CAST(len(toks.t) AS INTEGER) AS n_input
+FROM toks LEFT JOIN enc ON enc.dataset = toks.dataset AND enc.row_key = toks.row_key"""

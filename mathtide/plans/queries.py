@@ -635,3 +635,15 @@ def stream_source_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
     head = J.run_to_table(J.stream_take(stream, 1000), "j4peek")
     return head.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def curriculum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 last step: the curriculum prompts tokenised to at most 512 ids, unpadded
+    (vocabulary of 1000 fitted on the prompts)."""
+    from mathtide.operators import tokens as T
+    from mathtide.plans import curriculum as C
+    out = C.prepare(C.render_problems(V.problems(spark, sf_dir))).select("dataset", "row_key", "split", "prompt")
+    vocab = T.fit_vocabulary(out, "prompt", 1000)
+    enc = T.encode(out, vocab, "prompt", 512, pad=False, n_input_col="n_input")
+    return enc.select("dataset", "row_key", "split", F.size("input_ids").alias("n_tokens"),
+                      F.array_join("input_ids", " ").alias("input_ids"), "n_input")
