@@ -828,3 +828,18 @@ enc AS (
 SELECT toks.dataset, toks.row_key, toks.split, CAST(len(coalesce(enc.ids, [])) AS INTEGER) AS n_tokens,
        array_to_string(coalesce(enc.ids, []::INTEGER[]), ' ') AS input_ids, CAST(len(toks.t) AS INTEGER) AS n_input
 FROM toks LEFT JOIN enc ON enc.dataset = toks.dataset AND enc.row_key = toks.row_key"""
+
+
+def stream_tokenise_sql() -> str:
+    return with_views(_vocab_cte(), """
+pos AS (
+  SELECT doc_id, unnest(t[1:1024]) AS tok, generate_subscripts(t[1:1024], 1) AS p FROM toks),
+enc AS (
+  SELECT pos.doc_id, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY p) AS ids
+  FROM pos LEFT JOIN vocab v USING (tok) GROUP BY pos.doc_id),
+full_ AS (
+  SELECT toks.doc_id, coalesce(enc.ids, []::INTEGER[]) AS ids FROM toks LEFT JOIN enc USING (doc_id))""") + """
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens,
+       array_to_string(list_resize(ids, 1024, 0), ' ') AS input_ids,
+       array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: -100)), ' ') AS labels
+FROM full_"""

@@ -647,3 +647,17 @@ def curriculum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = T.encode(out, vocab, "prompt", 512, pad=False, n_input_col="n_input")
     return enc.select("dataset", "row_key", "split", F.size("input_ids").alias("n_tokens"),
                       F.array_join("input_ids", " ").alias("input_ids"), "n_input")
+
+
+def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 pre-training form: the corpus stream encoded to 1024 padded ids with
+    causal labels (vocabulary of 1000 fitted on the corpus table)."""
+    from mathtide.operators import tokens as T
+    from mathtide.streaming import jobs as J
+    vocab = T.fit_vocabulary(V.corpus(spark, sf_dir), "text", 1000)
+    stream = J.spread_stream(J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text"))
+    enc = T.encode(stream, vocab, "text", 1024, pad=True)
+    out = enc.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
+                     F.array_join("input_ids", " ").alias("input_ids"),
+                     F.array_join(T.causal_labels(), " ").alias("labels"))
+    return J.run_to_table(out, "jtok")
