@@ -40,3 +40,12 @@ def test_vocabulary_by_selection_matches_take(spark, monkeypatch):
     monkeypatch.setattr(SEL, "FINAL_LIMIT", 5)          # and its digit levels
     got = [(r.token, r.id, r["count"]) for r in T.fit_vocabulary(docs, "text", 20).collect()]
     assert got == want
+
+
+def test_arrow_tokens_equal_jvm_rule(spark):
+    import pyarrow as pa
+    texts = ["Héllo, wörld!! a_b 12.5\tx\x0by z", "", None, "¿Qué? ... ok\n\nEnd", "ｘ　ｙ", "a b"]
+    jvm = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string")
+           .select(T.tokens("t")).collect()]
+    arrow = T.arrow_token_lists(pa.array(texts, pa.string())).to_pylist()
+    assert [j if j is not None else [] for j in jvm] == arrow
