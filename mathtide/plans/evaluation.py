@@ -29,6 +29,11 @@ def votes_for_method(votes: DataFrame, question: Sequence[str], order: str,
     if method == "all":
         return votes
     k = 1 if method == "none" else 8 if method == "maj@8" else int(n_votes)
+    # one partial aggregate: if no question holds more than k votes, the first
+    # k votes are all votes and no ranking is needed
+    most = votes.groupBy(*question).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
+    if most is None or most <= k:
+        return votes
     keys = list(question) + [order]
     # rank only the key columns (cheap to re-read for the range sampling),
     # then keep the chosen votes with a semi-join spread over (question, position)

@@ -73,3 +73,13 @@ def test_collect_votes_chunked(spark):
     chunks = VT.collect_votes(df, "q", "idx", ["a"], chunk_size=10).collect()
     hot = sorted((r.chunk, r["as"]) for r in chunks if r.q == "hot")
     assert [c for c, _ in hot] == [0, 1, 2] and sum((a for _, a in hot), []) == whole["hot"]
+
+
+def test_votes_for_method_caps_only_when_needed(spark):
+    from mathtide.plans import evaluation as EV
+    rows = [("q1", i, float(i)) for i in range(12)] + [("q2", 0, 1.0)]
+    df = spark.createDataFrame(rows, "q string, v int, a double")
+    kept = EV.votes_for_method(df, ["q"], "v", "maj@8")
+    assert sorted(r.v for r in kept.where("q = 'q1'").collect()) == list(range(8))
+    assert EV.votes_for_method(df, ["q"], "v", "maj@k", n_votes=20).count() == 13
+    assert EV.votes_for_method(df, ["q"], "v", "none").where("q = 'q1'").count() == 1
