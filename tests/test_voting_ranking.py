@@ -83,3 +83,22 @@ def test_votes_for_method_caps_only_when_needed(spark):
     assert sorted(r.v for r in kept.where("q = 'q1'").collect()) == list(range(8))
     assert EV.votes_for_method(df, ["q"], "v", "maj@k", n_votes=20).count() == 13
     assert EV.votes_for_method(df, ["q"], "v", "none").where("q = 'q1'").count() == 1
+
+
+def test_majority_vote_hot_question_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = 9000
+    q = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 400, n))      # question 0 holds a third
+    pdf = pd.DataFrame({"q": q, "pos": np.arange(n), "a": rng.integers(0, 5, n).astype(float)})
+    pdf.loc[rng.random(n) < 0.1, "a"] = np.nan
+    spark_df = spark.createDataFrame(pdf.astype({"q": "int64", "pos": "int64"}))
+    got = {r.q: r.majority_answer for r in VT.majority_vote(spark_df.repartition(7), "q", "a", "pos").collect()}
+
+    def brute(g):
+        g = g.sort_values("pos").dropna(subset=["a"])
+        if g.empty:
+            return None
+        counts = g.groupby("a").agg(c=("pos", "size"), first=("pos", "min")).reset_index()
+        return float(counts.sort_values(["c", "first"], ascending=[False, True]).iloc[0]["a"])
+    want = {k: brute(g) for k, g in pdf.groupby("q")}
+    assert got == want
