@@ -98,6 +98,14 @@ def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
         schema = ", ".join(schema_groups + ["__prefix string", "__need long"])
         return spark.createDataFrame([(*g, v[0], v[1]) for g, v in rows], schema)
 
+    if sum(v[2] for v in state.values() if v[1] > 0) <= FINAL_LIMIT and \
+            sum(r["__n"] for r in sizes) <= FINAL_LIMIT:
+        # the whole input is within the exact-rank bound: rank in place
+        marked = _with_state(hashed, state_frame(list(state.items())), list(state.items()), groups, "left")
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(_H, *keys))
+        selected = (F.col("__prefix") == "g") | ((F.col("__need") > 0) & (rank <= F.col("__need")))
+        return marked.withColumn(flag, selected).drop(_H, "__prefix", "__need")
+
     level = 0
     ended = set()    # groups whose undecided rows all hold the same full string
     while sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
