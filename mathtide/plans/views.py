@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathtide.session import read_table
+from mathtide.session import read_table, spread
 
 
 def _s(c) -> F.Column:
@@ -20,7 +20,7 @@ def _s(c) -> F.Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: one model response per lineitem (see ``responses_from``)."""
-    return responses_from(read_table(spark, sf_dir, "lineitem"))
+    return spread(responses_from(read_table(spark, sf_dir, "lineitem")))
 
 
 def responses_from(lineitem: DataFrame) -> DataFrame:
@@ -57,26 +57,27 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str, rebalance: bool = True) -> DataFrame:
     """V1g: gold solution per order, ending in '#### N' (``rebalance=False`` for
     the static side of a stream join)."""
-    o = read_table(spark, sf_dir, "orders", rebalance).select("o_orderkey", "o_totalprice")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     g = F.floor("o_totalprice").cast("long") % 50 + 1
-    return o.select(
+    out = o.select(
         F.col("o_orderkey").alias("question_id"),
         F.concat(F.lit("How much is order "), _s("o_orderkey"), F.lit("?")).alias("question"),
         F.concat(F.lit("The items add up. #### "), _s(g)).alias("answer"))
+    return spread(out) if rebalance else out
 
 
 def qa_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 train split: benchmark items as question / '#### id' answers."""
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"),
-                    F.concat(F.lit("#### "), _s("item_id")).alias("answer"))
+    return spread(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"),
+                           F.concat(F.lit("#### "), _s("item_id")).alias("answer")))
 
 
 def qa_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2 test split: documents as questions."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("qid"), F.col("text").alias("question"),
-                    F.concat(F.lit("#### "), _s("doc_id")).alias("answer"))
+    return spread(d.select(F.col("doc_id").alias("qid"), F.col("text").alias("question"),
+                           F.concat(F.lit("#### "), _s("doc_id")).alias("answer")))
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
     k = F.col("p_partkey")
     size = F.col("p_size")
-    return p.select(
+    return spread(p.select(
         k.alias("pid"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.col("p_name")).alias("body"),
         F.concat(F.lit("  How many "), F.col("p_type"), F.lit(" parts?\n")).alias("question"),
@@ -100,13 +101,13 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("Double "), _s(size), F.lit(" to get "), _s(size * 2), F.lit(".")))
          .alias("rationale"),
         F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")),
-                     (k % 4 + 1).cast("int")).alias("correct"))
+                     (k % 4 + 1).cast("int")).alias("correct")))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: documents as a pre-training corpus (text, lang, source, key)."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", "text", "lang", "source")
+    return spread(d.select("doc_id", "text", "lang", "source"))
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,16 +142,16 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(k % 11 == 0, F.lit("")).otherwise(
         F.concat(_s((k * 37) % 100), F.when(k % 3 == 0, F.lit(".5")).otherwise(F.lit(""))))
     published = F.date_format(F.add_months(F.lit("2022-01-01").cast("date"), (k % 40).cast("int")), "yy-MMM")
-    return p.select(
+    return spread(p.select(
         k.alias("row_key"),
         F.col("p_name").alias("Name"), F.col("p_brand").alias("Family"),
         published.alias("Published"), size.alias("Size (in Billion)"),
-        score.alias("GSM8K Performance"), score.alias("MATH Performance"))
+        score.alias("GSM8K Performance"), score.alias("MATH Performance")))
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: events as a training step log (see ``step_log_from``)."""
-    return step_log_from(read_table(spark, sf_dir, "events"))
+    return spread(step_log_from(read_table(spark, sf_dir, "events")))
 
 
 def step_log_from(events: DataFrame) -> DataFrame:

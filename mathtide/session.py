@@ -80,7 +80,9 @@ def spread(df, spark: SparkSession | None = None):
     """Round-robin rebalance when a scan yields fewer partitions than cores.
 
     Few, large row groups (or one small file) leave most cores idle for the
-    CPU-heavy string work before the first shuffle.  On cluster-sized inputs
+    CPU-heavy string work before the first shuffle.  Apply it after a view's
+    own filters and projection: filters below it reach the scan, and unused
+    columns are still pruned through it.  On cluster-sized inputs
     the scan already has more partitions than the parallelism and this is a
     no-op.  Rows are spread by their number within the scan (deterministic
     there), so a retried task sends every row to the same partition again
@@ -98,6 +100,5 @@ def spread(df, spark: SparkSession | None = None):
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True):
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df, spark) if rebalance else df
+def read_table(spark: SparkSession, sf_dir: str, name: str):
+    return spark.read.parquet(table_path(sf_dir, name))

@@ -40,3 +40,9 @@ def test_answer_rules_codegen(spark):
     plan = _plan(df)
     assert "WholeStageCodegen" in df._jdf.queryExecution().executedPlan().toString() or "*(" in plan
     assert "PythonUDF" not in plan
+
+
+def test_view_filters_reach_the_scan(spark):
+    plan = _plan(E.queries()["instruction_prompts"](spark, SF))
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "conversations" in line]
+    assert scans and all("PushedFilters: [" in s and "role" in s for s in scans)
