@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from mathtide.session import read_table, spread
 
 
+_LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus"]
+
+
 def _s(c) -> F.Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: one model response per lineitem (see ``responses_from``)."""
-    return spread(responses_from(read_table(spark, sf_dir, "lineitem")))
+    raw = read_table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLUMNS)
+    return responses_from(spread(raw))     # spread the narrow raw columns, then derive
 
 
 def responses_from(lineitem: DataFrame) -> DataFrame:
@@ -30,8 +34,7 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
     (l_linenumber, l_partkey, l_suppkey) -- as a struct ``vote`` and packed in
     ``vote_pos``; the text form depends on l_partkey % 6.
     """
-    li = lineitem.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus")
+    li = lineitem.select(*_LINEITEM_COLUMNS)
     n = F.floor("l_quantity").cast("long")
     m = F.col("l_suppkey") % 10
     kind = F.col("l_partkey") % 6
@@ -58,12 +61,12 @@ def gold(spark: SparkSession, sf_dir: str, rebalance: bool = True) -> DataFrame:
     """V1g: gold solution per order, ending in '#### N' (``rebalance=False`` for
     the static side of a stream join)."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    o = spread(o) if rebalance else o
     g = F.floor("o_totalprice").cast("long") % 50 + 1
-    out = o.select(
+    return o.select(
         F.col("o_orderkey").alias("question_id"),
         F.concat(F.lit("How much is order "), _s("o_orderkey"), F.lit("?")).alias("question"),
         F.concat(F.lit("The items add up. #### "), _s(g)).alias("answer"))
-    return spread(out) if rebalance else out
 
 
 def qa_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +154,8 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: events as a training step log (see ``step_log_from``)."""
-    return spread(step_log_from(read_table(spark, sf_dir, "events")))
+    raw = read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    return step_log_from(spread(raw))
 
 
 def step_log_from(events: DataFrame) -> DataFrame:
