@@ -32,3 +32,25 @@ def test_extractors_agree_with_sql(spark, sample):
                            FROM x ORDER BY i""").fetchall()
     for g, w in zip(got, want):
         assert tuple(g) == tuple(w), (sample[g.i], tuple(g), w)
+
+
+SHAPE_PIECES = ["Question: ", "\nSolution:", "\nEquation:", "\nAnswer:", "Answer:", "Rationale:", "Options:",
+                "\n", " ", "  x ", "y", "12", "A. 3\n"]
+shape_texts = st.lists(st.tuples(st.sampled_from(["ASDiv", "ParaMAWPS", "SVAMP", "DMath", "AQuA"]),
+                                 st.lists(st.sampled_from(SHAPE_PIECES), min_size=0, max_size=10).map("".join)),
+                       min_size=20, max_size=40)
+
+
+@settings(max_examples=6, deadline=None)
+@given(shape_texts)
+def test_standardise_agrees_with_sql(spark, sample):
+    from mathtide.plans import curriculum as CU
+    rows = [(d, 0, i, t) for i, (d, t) in enumerate(sample)]
+    df = spark.createDataFrame(rows, "dataset string, stage int, row_key long, text string")
+    got = sorted(tuple(r) for r in CU.standardised(df).select("row_key", "question", "answer").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rendered (dataset VARCHAR, stage INTEGER, row_key BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO rendered VALUES (?, ?, ?, ?)", rows)
+    want = sorted(con.execute(O.with_views(O.V_STANDARD) + " SELECT row_key, question, answer FROM standard")
+                  .fetchall())
+    assert got == want
