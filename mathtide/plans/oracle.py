@@ -843,3 +843,10 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens,
        array_to_string(list_resize(ids, 1024, 0), ' ') AS input_ids,
        array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: -100)), ' ') AS labels
 FROM full_"""
+
+
+def parquet_footer_rows_sql() -> str:
+    return """
+SELECT 'documents' AS "table", CAST(count(*) AS BIGINT) AS num_rows FROM documents
+UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'conversations', CAST(count(*) AS BIGINT) FROM conversations"""
