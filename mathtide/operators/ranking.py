@@ -6,9 +6,11 @@ data.  ``running_totals`` keeps the result exact without that bottleneck:
 
 1. range-partition on (group keys, order keys) so a hot group is cut into many
    contiguous slices, and sort each slice;
-2. one Arrow pass per slice computes the rank and running sums inside the
-   slice (vectorised pandas cumsum, state carried across batches); the result
-   is checkpointed once to the shared checkpoint folder;
+2. in-slice positions come from ``monotonically_increasing_id`` right after
+   the sort (JVM only); when running sums are asked for, one Arrow pass per
+   slice computes positions and sums instead (vectorised pandas cumsum, state
+   carried across batches); the result is checkpointed once to the shared
+   checkpoint folder;
 3. a tiny table of per-(slice, group) totals -- at most ``partitions + groups``
    rows -- is turned into offsets with a per-group window;
 4. offsets are joined back on (slice, group); the adaptive planner broadcasts
@@ -43,8 +45,8 @@ def _default_slices(df: DataFrame) -> int:
     """At least one slice per core, about SLICE_BYTES per slice by the
     optimizer's size estimate, at most ``spark.sql.shuffle.partitions``.
 
-    Slices are streamed through the Arrow pass batch by batch, so a large
-    slice costs time, not memory; the count only sets the parallelism.
+    Slices are sorted (spilling as needed) and streamed batch by batch, so a
+    large slice costs time, not memory; the count only sets the parallelism.
     """
     spark = df.sparkSession
     cap = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)

@@ -2,11 +2,11 @@
 
 The reference's byte-pair vocabularies are downloaded files, so ids cannot be
 equal; the contract kept is shape, truncation, padding, mask and labels.  The
-vocabulary is fitted on the corpus itself: tokens are counted with a partial
-(map-side) aggregate and the ``vocab_size`` most frequent kept.  Encoding is
-narrow: every task looks tokens up in the broadcast vocabulary (its size is
-bounded by ``vocab_size`` and checked) with a vectorised hash index over
-Arrow batches -- no shuffle of token rows.
+vocabulary is fitted on the corpus itself: tokens are counted per Arrow batch
+and summed by a partial (map-side) aggregate, and the ``vocab_size`` most
+frequent kept.  Encoding is narrow: every task tokenises and looks tokens up
+in the broadcast vocabulary (its size is bounded by ``vocab_size`` and
+checked) with vectorised Arrow kernels -- no shuffle of token rows.
 """
 
 from __future__ import annotations
