@@ -580,7 +580,8 @@ def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response accuracy over the lineitem stream joined to static gold."""
     from mathtide.streaming import jobs as J
-    stream = V.responses_from(J.spread_stream(J.file_stream(spark, sf_dir, "lineitem.parquet")))
+    raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
+    stream = V.responses_from(J.spread_stream(raw))
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir, rebalance=False)), "j5",
                          mode="complete")
     return out.select("run", "n_total", "n_correct",
