@@ -850,3 +850,19 @@ def parquet_footer_rows_sql() -> str:
 SELECT 'documents' AS "table", CAST(count(*) AS BIGINT) AS num_rows FROM documents
 UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT) FROM lineitem
 UNION ALL SELECT 'conversations', CAST(count(*) AS BIGINT) FROM conversations"""
+
+
+def stream_running_accuracy_sql() -> str:
+    ok = "CASE WHEN correct THEN 1 ELSE 0 END"
+    return with_views(V_RESPONSES, V_GOLD, f"""
+judged AS (
+  SELECT r.run, r.question_id, r.l_linenumber, r.l_partkey, r.l_suppkey,
+         {is_correct(extract_answer('r.response'), extract_answer('g.answer'))} AS correct
+  FROM responses r LEFT JOIN gold g USING (question_id))""") + f"""
+SELECT run, question_id, l_linenumber, l_partkey, l_suppkey, correct,
+       CAST(row_number() OVER w - 1 AS BIGINT) AS example_idx,
+       CAST(sum({ok}) OVER w AS BIGINT) AS running_correct,
+       round(sum({ok}) OVER w / row_number() OVER w, 6) AS running_accuracy
+FROM judged
+WINDOW w AS (PARTITION BY run ORDER BY question_id, l_linenumber, l_partkey, l_suppkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

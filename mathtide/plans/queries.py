@@ -667,3 +667,21 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parquet_footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11 row counts read from Parquet footers only (no data pages)."""
     return parquet_stats(spark, sf_dir).select("table", "num_rows")
+
+
+def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 per example: running accuracy after every response of the lineitem
+    stream (judged against static gold), carried across micro-batches."""
+    from mathtide.session import scratch_path
+    from mathtide.streaming import jobs as J
+    raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
+    resp = V.responses_from(J.spread_stream(raw))
+    gold = V.gold(spark, sf_dir, rebalance=False).select(
+        "question_id", A.extract_answer("answer").alias("gold_answer"))
+    judged = resp.join(gold, "question_id", "left").select(
+        "run", "question_id", "vote.l_linenumber", "vote.l_partkey", "vote.l_suppkey", "vote_pos",
+        A.is_correct(A.extract_answer("response"), F.col("gold_answer")).alias("correct"))
+    step = J.running_accuracy_batches(scratch_path(spark, "j5-state"), "run", ["question_id", "vote_pos"], "correct")
+    out = J.run_to_table(judged, "j5-running", batch_fn=step)
+    return out.select("run", "question_id", "l_linenumber", "l_partkey", "l_suppkey", "correct",
+                      "example_idx", "running_correct", _r6("running_accuracy").alias("running_accuracy"))

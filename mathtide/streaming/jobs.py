@@ -112,3 +112,53 @@ def stream_training_speed(log: DataFrame, run: str = "run", ts: str = "ts", batc
     samples = (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long")
     return log.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps"), F.sum(samples).alias("total_samples"),
                                 F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def running_accuracy_batches(state_dir: str, run: str = "run", order_by: Sequence[str] = ("question_id",),
+                             correct: str = "correct") -> Callable[[DataFrame, int], DataFrame]:
+    """J5, per example: running accuracy after every example across micro-batches.
+
+    Inside a batch the positions and running counts come from the skew-safe
+    ranking (a run may hold most rows); earlier batches enter through a small
+    per-run totals table (one row per run) kept under ``state_dir`` by batch
+    id.  A replayed batch reads the same earlier state and overwrites its own,
+    so the output stays exactly-once.  Examples arrive in stream order: a later
+    batch's examples come after every earlier batch's.
+    """
+    from mathtide.operators.voting import running_accuracy as batch_running_accuracy
+
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        ranked = batch_running_accuracy(batch, correct, list(order_by), run)
+        prev = None
+        try:
+            states = spark.read.parquet(state_dir).where(F.col("_state") < batch_id)
+            if states.limit(1).count():
+                prev = states.groupBy(run).agg(F.max_by("n_seen", "_state").alias("__seen"),
+                                               F.max_by("n_correct", "_state").alias("__ok"))
+        except Exception:  # no state yet: first batch
+            prev = None
+        if prev is not None:
+            cond = F.col(f"__b.{run}").eqNullSafe(F.col(f"__p.{run}"))
+            ranked = (ranked.alias("__b").join(prev.alias("__p"), cond, "left")
+                      .select("__b.*", "__p.__seen", "__p.__ok"))
+        else:
+            ranked = ranked.withColumn("__seen", F.lit(0).cast("long")).withColumn("__ok", F.lit(0).cast("long"))
+        seen, ok = F.coalesce("__seen", F.lit(0)), F.coalesce("__ok", F.lit(0))
+        out = (ranked.withColumn("example_idx", F.col("example_idx") + seen)
+               .withColumn("running_correct", F.col("running_correct") + ok)
+               .withColumn("running_accuracy", F.col("running_correct") / (F.col("example_idx") + 1))
+               .drop("__seen", "__ok"))
+        # new cumulative state: last example of each run in this batch, plus
+        # runs that were not in this batch
+        now = out.groupBy(run).agg((F.max("example_idx") + 1).alias("n_seen"),
+                                   F.max("running_correct").alias("n_correct"))
+        if prev is not None:
+            carried = prev.alias("__p").join(now.alias("__n"), F.col(f"__p.{run}").eqNullSafe(F.col(f"__n.{run}")),
+                                             "left_anti").select(run, F.col("__seen").alias("n_seen"),
+                                                                 F.col("__ok").alias("n_correct"))
+            now = now.unionByName(carried)
+        now.write.mode("overwrite").parquet(f"{state_dir}/_state={batch_id}")     # batch id from the folder
+        return out
+
+    return fn

@@ -102,9 +102,7 @@ def test_multi_batch_stream_equals_batch(spark, tmp_dir):
     assert len(per_batch) == 3 and all(r.m == r.n - 1 for r in per_batch)
 
 
-def test_jsonl_line_order_across_splits(tmp_dir):
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def test_jsonl_line_order_across_splits(spark, tmp_dir):
     p = os.path.join(tmp_dir, "big", "a.jsonl")
     _write(p, "".join('{"question": "q%06d", "answer": "a"}\n' % i for i in range(20000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -116,3 +114,24 @@ def test_jsonl_line_order_across_splits(tmp_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == ["q%06d" % i for i in range(20000)]
+
+
+def test_stream_running_accuracy_across_batches(spark, tmp_dir):
+    import time
+    from mathtide.operators import voting as VT
+    from mathtide.session import scratch_path
+    from mathtide.streaming import jobs as J
+    folder = os.path.join(tmp_dir, "examples")
+    for part in range(3):                      # one file per micro-batch, keys ascending across files
+        (spark.range(part * 100, part * 100 + 100)
+         .select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("run"), F.col("id").alias("k"),
+                 (F.col("id") % 3 == 0).alias("correct"))
+         .coalesce(1).write.mode("append").parquet(folder))
+        time.sleep(1.1)
+    step = J.running_accuracy_batches(scratch_path(spark, "t-state"), "run", ["k"], "correct")
+    got = J.run_to_table(J.file_stream(spark, folder, "*.parquet", 1), "t-running", batch_fn=step)
+    want = VT.running_accuracy(spark.read.parquet(folder), "correct", ["k"], "run")
+    cols = ["run", "k", "example_idx", "running_correct"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
+        sorted(tuple(r) for r in want.select(*cols).collect())
+    assert got.count() == 300
