@@ -102,3 +102,15 @@ def test_majority_vote_hot_question_brute_force(spark):
         return float(counts.sort_values(["c", "first"], ascending=[False, True]).iloc[0]["a"])
     want = {k: brute(g) for k, g in pdf.groupby("q")}
     assert got == want
+
+
+def test_evaluate_keeps_unanswered_as_wrong(spark):
+    from mathtide.plans import evaluation as EV
+    gold = spark.createDataFrame([(1, "#### 3"), (2, "#### 4"), (3, "#### 5")], "question_id long, answer string")
+    resp = spark.createDataFrame([(1, 0, "so #### 3"), (1, 1, "#### 9"), (2, 0, "it is 4")],
+                                 "question_id long, vote int, response string")
+    res = EV.evaluate(resp, gold, run=None, keep_unanswered=True)
+    got = {r.question_id: (r.majority_answer, r.correct) for r in res.collect()}
+    assert got == {1: (3.0, True), 2: (4.0, True), 3: (None, False)}
+    acc = EV.accuracy_by_run(res, None).first()
+    assert (acc.n_total, acc.n_correct) == (3, 2)
