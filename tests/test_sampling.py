@@ -71,3 +71,13 @@ def test_first_n_by_key_matches_ranking(spark, monkeypatch):
     got = sorted(r.id for r in S.take_per_group(df, 77, "g", ["id"]).collect())
     want = sorted(r.id for r in S.running_totals(df, ["id"], ["g"], rank_col="p").where("p < 77").collect())
     assert got == want and len(got) == 4 * 77
+
+
+def test_selection_edge_cases(spark):
+    df = spark.range(0, 50)
+    assert S.sample_fraction(df, 0.0, 1, "id").count() == 0
+    assert S.sample_fraction(df, 1.0, 1, "id").count() == 50
+    assert S.sample_fraction(df.where("id < 0"), 0.5, 1, "id").count() == 0
+    tiny = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, g string")
+    split = {r.id: r.split for r in S.train_test_split(tiny, 0.1, 7, "id", "g", positions=False).collect()}
+    assert split[1] == "test" and sorted(split[i] for i in (2, 3)) == ["test", "train"]
