@@ -707,13 +707,15 @@ def dataset_profile_sql() -> str:
     return f"""
 WITH s AS ({corpus_split_sql()}),
 first5 AS (
-  SELECT split, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sample_keys
-  FROM (SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM s)
+  SELECT split, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sample_keys,
+         '[' || string_agg(to_json(struct_pack(doc_id := doc_id, lang := lang, shuffle_pos := shuffle_pos, split := split)),
+                           ',' ORDER BY doc_id) || ']' AS sample_rows
+  FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM s)
   WHERE rn <= 5 GROUP BY split)
-SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, f.sample_keys,
+SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, f.sample_keys, f.sample_rows,
        'doc_id,lang,shuffle_pos,split' AS column_names,
        'struct<doc_id:bigint,lang:string,shuffle_pos:bigint,split:string>' AS features
-FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys"""
+FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys, f.sample_rows"""
 
 
 # ------------------------------------------------------------ streaming ----

@@ -11,7 +11,8 @@ from mathtide.operators.sampling import take_per_group
 
 
 def dataset_profile(df: DataFrame, split: str = "split", key: str = "row_key", n_sample: int = 5) -> DataFrame:
-    """A10: per split -- rows, column names, types, and the first rows' keys.
+    """A10: per split -- rows, column names, types, and the first rows (keys
+    and the rows themselves as JSON).
 
     Counts are a partial aggregate; the sample is the first ``n_sample`` keys
     of every split through the skew-safe per-group take.
@@ -19,10 +20,15 @@ def dataset_profile(df: DataFrame, split: str = "split", key: str = "row_key", n
     names = ",".join(c for c in df.columns)
     features = df.schema.simpleString()
     counts = df.groupBy(split).agg(F.count(F.lit(1)).alias("num_examples"))
-    first = take_per_group(df.select(split, key), n_sample, split, [key])
-    sample = first.groupBy(split).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.col(key))), lambda x: x.cast("string")), ",")
-        .alias("sample_keys"))
+    first = take_per_group(df, n_sample, split, [key])
+    # at most n_sample rows per split reach these lists
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("__k"),
+                                                F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("__j"))))
+    sample = first.groupBy(split).agg(rows.alias("__rows")).select(
+        split,
+        F.array_join(F.transform("__rows", lambda x: x["__k"].cast("string")), ",").alias("sample_keys"),
+        F.concat(F.lit("["), F.array_join(F.transform("__rows", lambda x: x["__j"]), ","), F.lit("]"))
+        .alias("sample_rows"))
     return (counts.join(sample, split, "left")
             .withColumn("column_names", F.lit(names)).withColumn("features", F.lit(features)))
 
