@@ -8,6 +8,23 @@ from pyspark.sql import types as T
 
 SPLIT_FORMATS = {"parquet": "parquet", "json": "json", "jsonl": "json", "csv": "csv"}
 
+# Result names -- per-example CSV "{model}_gsm8k_{n_shot}shot_results.csv";
+# vote results "{model basename}[_maj1@{n_votes}_temp{temperature}]_results.json".
+SINGLE_RESULTS_NAME = "{model}_gsm8k_{n_shot}shot_results.csv"
+VOTE_RESULTS_NAME = "{model}{majority}_results.json"
+VOTE_SUFFIX = "_maj1@{n_votes}_temp{temperature}"
+
+
+def single_results_name(model: str, n_shot: int) -> str:
+    """Output name of the per-example results."""
+    return SINGLE_RESULTS_NAME.format(model=model, n_shot=n_shot)
+
+
+def vote_results_name(model: str, use_majority_vote: bool, n_votes: int, temperature: float) -> str:
+    """Output name of the vote results (model basename, votes, temperature)."""
+    majority = VOTE_SUFFIX.format(n_votes=n_votes, temperature=temperature) if use_majority_vote else ""
+    return VOTE_RESULTS_NAME.format(model=model.split("/")[-1], majority=majority)
+
 
 def _flatten_for_csv(df: DataFrame) -> DataFrame:
     """CSV holds no arrays or structs: encode them as JSON text."""

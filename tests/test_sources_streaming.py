@@ -135,3 +135,9 @@ def test_stream_running_accuracy_across_batches(spark, tmp_dir):
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
         sorted(tuple(r) for r in want.select(*cols).collect())
     assert got.count() == 300
+
+
+def test_result_names():
+    assert W.single_results_name("gpt2", 4) == "gpt2_gsm8k_4shot_results.csv"
+    assert W.vote_results_name("org/model-7b", True, 8, 0.7) == "model-7b_maj1@8_temp0.7_results.json"
+    assert W.vote_results_name("org/model-7b", False, 8, 0.7) == "model-7b_results.json"
