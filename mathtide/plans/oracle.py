@@ -868,3 +868,7 @@ SELECT run, question_id, l_linenumber, l_partkey, l_suppkey, correct,
 FROM judged
 WINDOW w AS (PARTITION BY run ORDER BY question_id, l_linenumber, l_partkey, l_suppkey
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def stream_training_speed_steps_sql() -> str:
+    return training_speed_sql()

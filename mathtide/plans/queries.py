@@ -685,3 +685,16 @@ def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = J.run_to_table(judged, "j5-running", batch_fn=step)
     return out.select("run", "question_id", "l_linenumber", "l_partkey", "l_suppkey", "correct",
                       "example_idx", "running_correct", _r6("running_accuracy").alias("running_accuracy"))
+
+
+def stream_training_speed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 every 10 steps: the step log as a stream, speed metrics carried across micro-batches."""
+    from mathtide.session import scratch_path
+    from mathtide.streaming import jobs as J
+    raw = J.file_stream(spark, sf_dir, "events.parquet").select("event_type", "event_id", "ts", "value")
+    log = V.step_log_from(J.spread_stream(raw))
+    step = J.training_speed_batches(scratch_path(spark, "j6-state"))
+    out = J.run_to_table(log, "j6-steps", batch_fn=step)
+    return out.select("run", "step", "total_samples", _r6("elapsed_s").alias("elapsed_s"),
+                      _r6("samples_per_second").alias("samples_per_second"),
+                      _r6("seconds_per_step").alias("seconds_per_step"))

@@ -162,3 +162,61 @@ def running_accuracy_batches(state_dir: str, run: str = "run", order_by: Sequenc
         return out
 
     return fn
+
+
+def training_speed_batches(state_dir: str, run: str = "run", order_by: Sequence[str] = ("ts", "event_id"),
+                           ts: str = "ts", batch: str = "batch", accumulation: str = "accumulation",
+                           world_size: int = 1, every: int = 10) -> Callable[[DataFrame, int], DataFrame]:
+    """J6, every ``every`` steps: samples/second and seconds/step across micro-batches.
+
+    Same pattern as ``running_accuracy_batches``: step numbers and sample
+    totals inside a batch from the skew-safe ranking, earlier batches through
+    a per-run state row (steps, samples, first timestamp) kept by batch id.
+    """
+    from mathtide.operators.ranking import running_totals
+
+    def fn(data: DataFrame, batch_id: int) -> DataFrame:
+        spark = data.sparkSession
+        samples = (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long")
+        ranked = running_totals(data.withColumn("__s", samples), list(order_by), [run], ["__s"], "__r", "cum")
+        first = data.groupBy(run).agg(F.min(ts).alias("__bstart"))
+        cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__f.{run}"))
+        ranked = ranked.alias("__x").join(first.alias("__f"), cond, "left").select("__x.*", "__f.__bstart")
+        prev = None
+        try:
+            states = spark.read.parquet(state_dir).where(F.col("_state") < batch_id)
+            if states.limit(1).count():
+                prev = states.groupBy(run).agg(F.max_by("n_steps", "_state").alias("__ps"),
+                                               F.max_by("n_samples", "_state").alias("__pn"),
+                                               F.max_by("start_ts", "_state").alias("__pt"))
+        except Exception:  # no state yet: first batch
+            prev = None
+        if prev is not None:
+            cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__p.{run}"))
+            ranked = ranked.alias("__x").join(prev.alias("__p"), cond, "left").select(
+                "__x.*", "__p.__ps", "__p.__pn", "__p.__pt")
+        else:
+            ranked = (ranked.withColumn("__ps", F.lit(None).cast("long")).withColumn("__pn", F.lit(None).cast("long"))
+                      .withColumn("__pt", F.lit(None).cast(data.schema[ts].dataType)))
+        steps = ranked.select(
+            run, ts, (F.col("__r") + 1 + F.coalesce("__ps", F.lit(0))).alias("step"),
+            (F.col("cum__s") + F.coalesce("__pn", F.lit(0))).alias("total_samples"),
+            F.coalesce("__pt", "__bstart").alias("start_ts"))
+        elapsed = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col(ts)) / F.lit(1e6)
+        out = (steps.where((F.col("step") % every) == 0).withColumn("elapsed_s", elapsed)
+               .select(run, "step", "total_samples", "elapsed_s",
+                       F.when(F.col("elapsed_s") > 0, F.col("total_samples") / F.col("elapsed_s"))
+                       .alias("samples_per_second"),
+                       (F.col("elapsed_s") / F.col("step")).alias("seconds_per_step")))
+        now = steps.groupBy(run).agg(F.max("step").alias("n_steps"), F.max("total_samples").alias("n_samples"),
+                                     F.min("start_ts").alias("start_ts"))
+        if prev is not None:
+            carried = (prev.alias("__p").join(now.alias("__n"), F.col(f"__p.{run}").eqNullSafe(F.col(f"__n.{run}")),
+                                              "left_anti")
+                       .select(run, F.col("__ps").alias("n_steps"), F.col("__pn").alias("n_samples"),
+                               F.col("__pt").alias("start_ts")))
+            now = now.unionByName(carried)
+        now.write.mode("overwrite").parquet(f"{state_dir}/_state={batch_id}")     # batch id from the folder
+        return out
+
+    return fn

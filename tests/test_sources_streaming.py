@@ -141,3 +141,25 @@ def test_result_names():
     assert W.single_results_name("gpt2", 4) == "gpt2_gsm8k_4shot_results.csv"
     assert W.vote_results_name("org/model-7b", True, 8, 0.7) == "model-7b_maj1@8_temp0.7_results.json"
     assert W.vote_results_name("org/model-7b", False, 8, 0.7) == "model-7b_results.json"
+
+
+def test_stream_training_speed_across_batches(spark, tmp_dir):
+    import datetime as dt
+    import time
+    from mathtide.operators import runlog as R
+    from mathtide.session import scratch_path
+    from mathtide.streaming import jobs as J
+    folder = os.path.join(tmp_dir, "steps")
+    t0 = dt.datetime(2024, 1, 1)
+    for part in range(3):
+        rows = [("r" if i % 3 else "s", i, t0 + dt.timedelta(seconds=3 * i), 4, 2)
+                for i in range(part * 40, part * 40 + 40)]
+        spark.createDataFrame(rows, "run string, event_id long, ts timestamp_ntz, batch int, accumulation int") \
+            .coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    step = J.training_speed_batches(scratch_path(spark, "t-j6"))
+    got = J.run_to_table(J.file_stream(spark, folder, "*.parquet", 1), "t-j6-out", batch_fn=step)
+    want = R.training_speed(spark.read.parquet(folder))
+    cols = ["run", "step", "total_samples", "elapsed_s"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+    assert got.count() == want.count() > 0
