@@ -46,3 +46,9 @@ def test_view_filters_reach_the_scan(spark):
     plan = _plan(E.queries()["instruction_prompts"](spark, SF))
     scans = [line for line in plan.split("\n") if "FileScan" in line and "conversations" in line]
     assert scans and all("PushedFilters: [" in s and "role" in s for s in scans)
+
+
+def test_running_accuracy_has_no_single_partition_window(spark):
+    plan = _plan(E.queries()["running_accuracy"](spark, SF))
+    assert "SinglePartition" not in plan
+    assert "Window" in plan                          # only the per-group offsets window
