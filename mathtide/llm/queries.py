@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mathtide.llm import decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from mathtide.llm import decontaminate, lm, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
 from mathtide.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_shards": op7_shards,
+    "op8_lm_scores": op8_lm_scores,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_classifier": op10_quality_classifier,
 }
