@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mathtide.llm import decontaminate, lm, mixing, quality_classifier, quality_rules, sharding, simhash, \
+from mathtide.llm import decontaminate, lm, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, \
     token_output, toxicity
 from mathtide.llm.common import table
 
@@ -13,6 +13,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.materialise(table(spark, sf_dir, "documents")).drop("path")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_secrets": op2_secrets,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
