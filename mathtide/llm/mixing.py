@@ -80,7 +80,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def taken_documents(docs: DataFrame, mixed: DataFrame, key: list[str]) -> DataFrame:
     """The mix as documents: ``docs`` joined with ``mixed`` on ``key`` (which
     names a row), each repeated once per whole epoch, plus the part of one more
-    epoch: whole, or for the one document at a source's cut its first words.
+    epoch: whole, or for the one document at a source's cut its first words (its
+n_chars, if there is such a column, follows).
     Documents without words take no budget and stay once."""
     words_taken = F.when(F.col("__size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
         F.transform(F.sequence(F.lit(0), F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int")),
@@ -91,5 +92,9 @@ def taken_documents(docs: DataFrame, mixed: DataFrame, key: list[str]) -> DataFr
     # cut behind each word; the pieces keep their blanks
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("__n").cast("int")), "")
-    return rows.withColumn("text", F.when(F.col("__n") < F.col("__size"), head).otherwise(F.col("text"))).drop(
-        "__n", "__size", "__taken")
+    cut = F.col("__n") < F.col("__size")
+    rows = rows.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType))
+                               .otherwise(F.col("n_chars")))
+    return rows.drop("__n", "__size", "__taken")

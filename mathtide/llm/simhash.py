@@ -174,14 +174,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, id_column: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of ``prints``:
-    the least ``id_column`` reachable over links."""
+    """(fp, root, component_id) for every distinct fingerprint of ``prints``:
+    its group's least fingerprint, and the least ``id_column`` of the group."""
     distinct = keep(prints.groupBy("fp").agg(F.min(id_column).alias("least")), "distinct")
     roots = components(links(distinct, distance)).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
-    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "root", "component_id")
+    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select(
+        "fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     return linked.unionByName(alone)
 
 
@@ -190,3 +191,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     prints = keep(fingerprints(docs, shingle=shingle), "prints")
     return prints.join(grouped(prints, distance=distance), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def surplus(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """Places (__file, __pos) of the rows of ``docs`` (with both columns) that
+    are not the one row kept of their group: the least doc_id, nulls last, then
+    the first place."""
+    prints = keep(fingerprints(docs, ("doc_id", "__file", "__pos"), shingle), "prints")
+    rows = prints.join(grouped(prints, distance=distance).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__pos")
+    first = rows.groupBy("root").agg(F.min_by(F.struct("__file", "__pos"), order).alias("kept"))
+    return rows.join(first, "root").where(F.struct("__file", "__pos") != F.col("kept")).select("__file", "__pos")

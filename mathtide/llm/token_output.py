@@ -144,7 +144,7 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
     stride = length * tokens.dtype.itemsize
 
     def runs(batches):
-        """(file, first row, sequences) of every run of consecutive rows."""
+        """(file, first row, sequences) of every run of rows as they follow in a file."""
         encode, file, first, last, count = tokens.encoder(), None, 0, -2, 0
         found = []
         for b in batches:
@@ -153,7 +153,7 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
             else:
                 sizes = np.array([len(encode(t.as_py() or "")) + 1 for t in b.column("text")])
             for f, pos, n in zip(b.column("__file").to_pylist(), b.column("__pos").to_pylist(), sizes.tolist()):
-                if f != file or pos != last + 1:
+                if f != file or pos <= last:
                     if file is not None:
                         found.append((file, first, count))
                     file, first, count = f, pos, 0
@@ -188,7 +188,7 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
                 ids, numbers, seq, sizes, data = [], [], [], [], []
                 for k, (f, pos, t) in enumerate(zip(piece.column("__file").to_pylist(),
                                                     piece.column("__pos").to_pylist(), piece.column("text"))):
-                    if f != file or pos != last + 1:
+                    if f != file or pos <= last:
                         file, at_run = f, shared.value[f]
                         where = int(np.searchsorted(at_run[:, 0], pos))
                         if where == len(at_run) or at_run[where, 0] != pos:
