@@ -24,13 +24,17 @@ from mathtide.sources import profile as P
 from mathtide.sources import readers as RD
 from mathtide.sources import writers as W
 
+#: draws go by the record itself: a file position would change with the folder
+CONTENT = ("question", "answer")
+
 # ------------------------------------------------------------------ load ---
 
 
 def load_gsm8k(spark: SparkSession, train_path: str, test_path: str, num_samples: int | None = None,
-               seed: int = 42, key: str = "order_key") -> tuple[DataFrame, DataFrame]:
+               seed: int = 42, key: Sequence[str] = CONTENT) -> tuple[DataFrame, DataFrame]:
     """Train and test question/answer tables; optionally a seeded sample of
-    ``min(num_samples, size)`` test rows."""
+    ``min(num_samples, size)`` test rows, drawn by the record's content, so the
+    same records give the same sample from any folder and at any split size."""
     train = RD.read_qa_jsonl(spark, train_path, "train")
     test = RD.read_qa_jsonl(spark, test_path, "test")
     if num_samples:
@@ -39,26 +43,23 @@ def load_gsm8k(spark: SparkSession, train_path: str, test_path: str, num_samples
 
 
 def load_asdiv_data(spark: SparkSession, path: str) -> DataFrame:
-    return RD.render_source("ASDiv", RD.read_asdiv_xml(spark, path))
+    return RD.load_source(spark, "ASDiv", path)
 
 
 def load_paramawps_data(spark: SparkSession, path: str) -> DataFrame:
-    raw = RD.read_json_array(spark, path, RD.PARAMAWPS_SCHEMA).withColumnRenamed("id", "order_key")
-    return RD.render_source("ParaMAWPS", raw)
+    return RD.load_source(spark, "ParaMAWPS", path)
 
 
 def load_svamp_data(spark: SparkSession, path: str) -> DataFrame:
-    raw = RD.read_json_array(spark, path, RD.SVAMP_SCHEMA).withColumnRenamed("ID", "order_key")
-    return RD.render_source("SVAMP", raw)
+    return RD.load_source(spark, "SVAMP", path)
 
 
 def load_dmath_data(spark: SparkSession, path: str) -> DataFrame:
-    return RD.render_source("DMath", RD.read_keyed_json(spark, path))
+    return RD.load_source(spark, "DMath", path)
 
 
 def load_aqua_data(spark: SparkSession, path: str) -> DataFrame:
-    raw = RD.read_aqua_jsonl(spark, path).drop("order_key").withColumnRenamed("id", "order_key")
-    return RD.render_source("AQuA", raw)
+    return RD.load_source(spark, "AQuA", path)
 
 
 def get_cl_learning_data(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -89,14 +90,16 @@ def exclude_sources_by_prefix(df: DataFrame, prefixes: Sequence[str], source: st
     return C.exclude_sources(df, prefixes, source)
 
 
-def create_cot_prompt(train: DataFrame, n_shot: int = 8, seed: int = 42, key: str = "order_key") -> DataFrame:
+def create_cot_prompt(train: DataFrame, n_shot: int = 8, seed: int = 42,
+                      key: Sequence[str] = CONTENT) -> DataFrame:
     """One row: ``n_shot`` seeded examples as a chain-of-thought block."""
+    key = [key] if isinstance(key, str) else list(key)
     shots = S.sample_n(train, n_shot, seed, key, order_col="__draw")
-    return B.few_shot_block(shots, ["__draw", key])
+    return B.few_shot_block(shots, ["__draw", *key])
 
 
 def create_five_shot_prompt(train: DataFrame, test: DataFrame, seed: int = 42,
-                            key: str = "order_key") -> DataFrame:
+                            key: Sequence[str] = CONTENT) -> DataFrame:
     """Every test question with the same five seeded shots before it."""
     return B.attach_shots(test, create_cot_prompt(train, 5, seed, key))
 
@@ -120,10 +123,11 @@ post_process_response = A.post_process_response
 
 def evaluate_model(responses: DataFrame, gold: DataFrame, majority_method: str = "none",
                    n_votes: int = 8, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """Per-question results and accuracy (methods 'none', 'maj@8', 'maj@k')."""
+    """Per-question results and accuracy over all gold questions (methods
+    'none', 'maj@8', 'maj@k')."""
     results = EV.evaluate(responses, gold, method=majority_method, n_votes=n_votes, **kwargs)
     run = kwargs.get("run", "run")
-    return results, EV.accuracy_by_run(results, run)
+    return results, EV.accuracy_by_run(results, run, gold=gold)
 
 
 # ------------------------------------------------------------ files, logs ---

@@ -46,12 +46,6 @@ def drop_unparseable(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(col).isNotNull()), counts
 
 
-def split_by_flag(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with and without the flag (e.g. a known model size)."""
-    f = F.coalesce(F.col(flag), F.lit(False))
-    return df.where(f), df.where(~f)
-
-
 def every_k_steps(df: DataFrame, step: str = "step", k: int = 10, positive: bool = False) -> DataFrame:
     """Step % k = 0 (and step > 0 for saves)."""
     cond = (F.col(step) % k) == 0

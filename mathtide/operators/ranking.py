@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,17 +40,18 @@ _GROUP = "__group"
 
 
 SLICE_BYTES = 64 << 20
+# an unbounded size estimate (joins multiply them) must not ask for a task each
+MAX_SLICES = 1 << 20
 
 
 def _default_slices(df: DataFrame) -> int:
     """At least one slice per core, about SLICE_BYTES per slice by the
-    optimizer's size estimate, at most ``spark.sql.shuffle.partitions``.
+    optimizer's size estimate.
 
     Slices are sorted (spilling as needed) and streamed batch by batch, so a
     large slice costs time, not memory; the count only sets the parallelism.
     """
     spark = df.sparkSession
-    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     cores = max(spark.sparkContext.defaultParallelism, 1)
     def as_int(size):
         return int(size if isinstance(size, int) else size.toString())
@@ -60,9 +62,9 @@ def _default_slices(df: DataFrame) -> int:
         leaves = plan.collectLeaves()
         scanned = sum(as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
         est = min(est, scanned)
-    except Exception:  # estimate unavailable: use the configured partition count
-        return max(cap, cores)
-    return max(cores, min(cap, -(-est // SLICE_BYTES)))
+    except Py4JError:  # no estimate: the configured partition count
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
+    return max(cores, min(MAX_SLICES, -(-est // SLICE_BYTES)))
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),

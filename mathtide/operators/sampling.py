@@ -12,16 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathtide.operators.ranking import global_rank, running_totals
-from mathtide.operators.selection import hash_smallest, ordered_hex
+from mathtide.operators.selection import hash_smallest, ordered_hex, row_hash
 
-# A TakeOrderedAndProject merges (input partitions x n) rows in one task; it
-# is used only while that merge stays under this many rows, otherwise the
-# rows are chosen by the hash-digit selection or ranked.
-TAKE_ORDERED_ROWS = 10_000_000
+# A take keeps n rows per partition and merges them in one task.  A sample of
+# more rows than this is chosen by hash digits instead: the same rows.
+MERGED_SAMPLE = 100_000
 
 HASH_COL = "__hash"
 
@@ -36,23 +35,10 @@ def hash_order(seed: int, key: str | Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def small_take(df: DataFrame, n: int) -> bool:
-    """Whether a TakeOrderedAndProject's single-task merge stays bounded."""
-    return n * max(df.rdd.getNumPartitions(), 1) <= TAKE_ORDERED_ROWS
-
-
 def take(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """First ``n`` rows in a key order (TakeOrderedAndProject when its
-    single-task merge is bounded, else selection by key digits or rank)."""
-    if small_take(df, n):
-        return df.orderBy(*order_by).limit(n)
-    names = [c for c in order_by if isinstance(c, str)]
-    if len(names) != len(order_by):
-        raise ValueError("large takes need column names as the order")
-    if len(names) == 1 and _integral(df, names[0]):
-        out = hash_smallest(df, names, ordered_hex(names[0]), n, (), "__in", hash_len=16)
-        return out.where("__in").drop("__in")
-    return global_rank(df, names, "__pos").where(F.col("__pos") < n).drop("__pos")
+    """First ``n`` rows in a key order (each partition keeps n rows, then
+    they are merged).  Ties beyond the order are broken by a hash of the row."""
+    return df.withColumn("__row", row_hash(df)).orderBy(*order_by, "__row").limit(n).drop("__row")
 
 
 def _integral(df: DataFrame, col: str) -> bool:
@@ -66,14 +52,16 @@ def take_per_group(df: DataFrame, n: int, group: str | Sequence[str],
 
     Exact and skew-safe.  With one integral order key the rows are chosen by
     the digit selection over the key's ordered hex form (aggregates only, no
-    row moves); otherwise they are ranked by ``running_totals``.
+    row moves); otherwise they are ranked by ``running_totals``.  Null keys come
+    first; ties are broken by a hash of the row.
     """
     order_by = list(order_by)
     if len(order_by) == 1 and _integral(df, order_by[0]):
-        out = hash_smallest(df, order_by, ordered_hex(order_by[0]), n, _keys(group), "__in", hash_len=16)
+        out = hash_smallest(df, order_by, ordered_hex(order_by[0]), n, _keys(group), "__in", levels=4)
         return out.where("__in").drop("__in")
-    ranked = running_totals(df, order_by=order_by, partition_by=_keys(group), rank_col="__pos")
-    return ranked.where(F.col("__pos") < n).drop("__pos")
+    ranked = running_totals(df.withColumn("__row", row_hash(df)), order_by=[*order_by, "__row"],
+                            partition_by=_keys(group), rank_col="__pos")
+    return ranked.where(F.col("__pos") < n).drop("__pos", "__row")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id",
@@ -85,20 +73,16 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "
     0-based draw position.
     """
     keys = _keys(key)
-    h = df.withColumn(HASH_COL, hash_order(seed, keys))
-    if small_take(df, n):
-        picked = h.orderBy(HASH_COL, *keys).limit(n)
-        if rank_col:
-            # at most n rows here (n is small by the branch)
-            picked = global_rank(picked, [HASH_COL] + keys, rank_col)
-        return picked.withColumnRenamed(HASH_COL, order_col) if order_col else picked.drop(HASH_COL)
+    if n > MERGED_SAMPLE:
+        picked = hash_smallest(df, keys, hash_order(seed, keys), n, flag="__in").where("__in").drop("__in")
+        picked = picked.withColumn(HASH_COL, hash_order(seed, keys))
+    else:
+        picked = df.withColumns({HASH_COL: hash_order(seed, keys), "__row": row_hash(df)}) \
+            .orderBy(HASH_COL, *keys, "__row").limit(n).drop("__row")
     if rank_col:
-        ranked = global_rank(h, [HASH_COL] + keys, "__pos").where(F.col("__pos") < n)
-        ranked = ranked.withColumnRenamed("__pos", rank_col)
-        return ranked.withColumnRenamed(HASH_COL, order_col) if order_col else ranked.drop(HASH_COL)
-    # large n: exact selection by hash digits, no row is shuffled
-    out = hash_smallest(df, keys, hash_order(seed, keys), n, flag="__in").where("__in").drop("__in")
-    return out.withColumn(order_col, hash_order(seed, keys)) if order_col else out
+        picked = picked.withColumn("__row", row_hash(df))
+        picked = global_rank(picked, [HASH_COL, *keys, "__row"], rank_col).drop("__row")
+    return picked.withColumnRenamed(HASH_COL, order_col) if order_col else picked.drop(HASH_COL)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42,
@@ -106,7 +90,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42,
     """Exactly ``int(size * fraction)`` rows, chosen by hash digits
     (aggregates over the key columns; the table is scanned, never shuffled)."""
     keys = _keys(key)
-    return hash_smallest(df, keys, hash_order(seed, keys), lambda n: int(n * fraction),
+    return hash_smallest(df, keys, hash_order(seed, keys), lambda n: F.floor(n * F.lit(float(fraction))),
                          flag="__in").where("__in").drop("__in")
 
 
@@ -120,7 +104,8 @@ def shuffle(df: DataFrame, seed: int = 42, key: str | Sequence[str] = "id",
     keys = _keys(key)
     h = df.withColumn(HASH_COL, hash_order(seed, keys))
     if position:
-        return global_rank(h, [HASH_COL] + keys, position).drop(HASH_COL)
+        h = h.withColumn("__row", row_hash(df))
+        return global_rank(h, [HASH_COL, *keys, "__row"], position).drop(HASH_COL, "__row")
     return h.orderBy(HASH_COL, *keys).drop(HASH_COL)
 
 
@@ -140,11 +125,11 @@ def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
     if not positions:
         # same double arithmetic as ceil(test_size * n) in Python
         out = hash_smallest(df, keys, hash_order(seed, keys),
-                            lambda n: int(-(-(test_size * n) // 1)), groups, "__test")
+                            lambda n: F.ceil(F.lit(float(test_size)) * n), groups, "__test")
         return out.withColumn(split_col, F.when(F.col("__test"), F.lit("test")).otherwise(F.lit("train"))) \
             .drop("__test")
-    h = df.withColumn(HASH_COL, hash_order(seed, keys)).withColumn("__one", F.lit(1))
-    ranked = running_totals(h, [HASH_COL] + keys, groups, (), "__pos")
+    h = df.withColumns({HASH_COL: hash_order(seed, keys), "__row": row_hash(df)})
+    ranked = running_totals(h, [HASH_COL, *keys, "__row"], groups, (), "__pos").drop("__row")
     sizes = h.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")) if groups else \
         h.agg(F.count(F.lit(1)).alias("__n"))
     # same double arithmetic as ceil(test_size * n) in Python
@@ -155,14 +140,12 @@ def train_test_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
     else:
         ranked = ranked.withColumn("__n", sizes.scalar())
     out = ranked.withColumn(split_col, F.when(F.col("__pos") < n_test, F.lit("test")).otherwise(F.lit("train")))
-    return out.drop(HASH_COL, "__one", "__n").withColumnRenamed("__pos", "shuffle_pos")
+    return out.drop(HASH_COL, "__n").withColumnRenamed("__pos", "shuffle_pos")
 
 
 def nth_row(df: DataFrame, i: int, order_by: Sequence[str]) -> DataFrame:
-    """The row at 0-based position ``i`` in key order."""
-    return global_rank(df, list(order_by), "__pos").where(F.col("__pos") == i).drop("__pos")
-
-
-def sort_by(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """G1: ascending sort (range-partitioned by Spark)."""
-    return df.orderBy(*cols)
+    """The row at 0-based position ``i`` in key order: the last of the first
+    i + 1 rows (only those are numbered)."""
+    w = Window.orderBy(*order_by, "__row")
+    first = df.withColumn("__row", row_hash(df)).orderBy(*order_by, "__row").limit(i + 1)
+    return first.withColumn("__pos", F.row_number().over(w)).where(F.col("__pos") == i + 1).drop("__pos", "__row")

@@ -1,35 +1,39 @@
-"""Exact k-smallest-by-hash selection without moving rows.
-
-A seeded sample or a train/test split keeps, per group, the ``k`` rows with
-the smallest ``md5('seed:key')`` (key as tie-break).  Ranking every row would
-shuffle the whole table; instead the threshold is found digit by digit:
-
-* per level, one aggregate counts the undecided rows of each group by the
-  next 4 hex digits of the hash (at most 65 536 buckets per group, partial
-  aggregation on the map side), a per-group window over that small table
-  finds the bucket holding the k-th row, and the driver keeps one
-  (prefix, still-needed) pair per group;
-* rows below a group's prefix are in, rows above are out, rows starting with
-  it stay undecided; after one or two levels only a few rows are undecided,
-  and those (at most ``FINAL_LIMIT``, checked) are ranked exactly;
-* the answer is a filter against two broadcast tables of checked size (group
-  prefixes, the few undecided winners): the data itself is only scanned.
-
-Each level re-reads the input, so an expensive upstream plan is best
-checkpointed by the caller first.
+"""Exact k-smallest selection without moving rows.
+
+A seeded sample or a train/test split keeps, per group, the ``k`` rows with the
+smallest ``md5('seed:key')``.  Ranking every row would shuffle the whole table;
+instead the threshold is found digit by digit, the same way at every size:
+
+* per level one partial aggregate counts each group's undecided rows by the next
+  4 hex digits of the order text (65 536 buckets at most), and a per-group window
+  over that small table finds the bucket holding the k-th row;
+* rows whose text starts below the chosen digits are in, rows above are out;
+  only rows inside the chosen bucket (one in 65 536 per level unless many share
+  a text) are ranked exactly by (text, keys, hash of the whole row), in slices,
+  so a text that a third of the rows share is no single task;
+* the answer is the union of the decided rows and the ranked ones.  Nothing is
+  joined on keys, so repeated keys keep their number; a null order text is the
+  empty text and comes first.
+
+The per-group thresholds are joined by a broadcast while they are few, which is
+counted first, and by an ordinary join beyond that; the rows are the same.  Each
+level reads the input once, so an expensive upstream plan is best checkpointed
+by the caller.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_GROUPS = 10_000        # groups whose state is kept on the driver and broadcast
-FINAL_LIMIT = 100_000      # undecided rows ranked exactly at the end
-DIGITS = 4                 # hex digits per level (65 536 buckets)
-HASH_LEN = 32
+from mathtide.operators.ranking import global_rank
+from mathtide.session import checkpoint_dir
+
+DIGITS = 4                     # hex digits per level (65 536 buckets)
+BROADCAST_GROUPS = 1_000_000   # thresholds shipped to every task; more are joined by a shuffle
 _H = "__h"
 
 
@@ -37,118 +41,69 @@ def _cols(c) -> list[str]:
     return [c] if isinstance(c, str) else list(c)
 
 
-def _with_state(left: DataFrame, state: DataFrame, state_rows: list, groups: list[str],
-                how: str = "inner") -> DataFrame:
-    """Attach per-group state (__prefix, __need): an equi-join on the group
-    columns with the small broadcast state table, or literals without groups."""
-    if not groups:
-        prefix, need = state_rows[0][1][0], state_rows[0][1][1]
-        return left.withColumn("__prefix", F.lit(prefix)).withColumn("__need", F.lit(need).cast("long"))
-    cond = [F.col(f"__l.{g}").eqNullSafe(F.col(f"__s.{g}")) for g in groups]
-    return (left.alias("__l").join(F.broadcast(state.alias("__s")), cond, how)
-            .select("__l.*", "__s.__prefix", "__s.__need"))
-
-
-def ordered_hex(c) -> F.Column:
+def ordered_hex(c) -> Column:
     """A long as 16 hex digits whose text order is the number order (sign bit
-    flipped, so negatives sort first)."""
+    flipped, so negatives sort first); null stays null."""
     col = F.col(c) if isinstance(c, str) else c
     return F.lpad(F.lower(F.hex(col.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
 
 
-def ordered_text_hex(c) -> F.Column:
-    """A string as lowercase hex of its UTF-8 bytes: text order = byte order,
-    a prefix sorts before its extensions."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.hex(F.encode(col, "UTF-8")))
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows that differ get an order
+    of their own, whatever partition they come from."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
 
 
-def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: F.Column,
-                  k: int | Callable[[int], int], groups: str | Sequence[str] = (),
-                  flag: str = "selected", hash_len: int | None = HASH_LEN) -> DataFrame:
-    """Add boolean ``flag``: row is among its group's ``k`` smallest (hash, keys).
+def hash_smallest(df: DataFrame, keys: str | Sequence[str], hash_col: Column,
+                  k: int | Callable[[Column], Column], groups: str | Sequence[str] = (),
+                  flag: str = "selected", levels: int = 1) -> DataFrame:
+    """Add boolean ``flag``: row is among its group's ``k`` first by
+    (``hash_col``, ``keys``, hash of the row).
 
-    ``hash_col`` is lowercase hex text whose string order is the wanted order:
-    an md5, ``ordered_hex`` of a number, or a concatenation ending in
-    ``ordered_text_hex`` (then ``hash_len=None``: variable length, the walk
-    stops for a group where its strings end).  ``k`` is a count, or a function
-    of the group size (e.g. ceil(0.1 * n)).  Keys must be unique within a group.
+    ``hash_col`` is text whose string order is the wanted order: an md5, or
+    ``ordered_hex`` of a number (then ``levels=4``).  ``k`` is a count or maps the
+    column of a group's size to its count.  Exactly min(k, size) rows per group
+    are flagged, also where keys or whole rows repeat.
     """
     keys, groups = _cols(keys), _cols(groups)
-    spark = df.sparkSession
-    hashed = df.withColumn(_H, hash_col)
-    sizes = hashed.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).limit(MAX_GROUPS + 1).collect()
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; use a rank-based split")
-    state = {}   # group tuple -> [prefix, need, undecided]
-    for r in sizes:
-        g = tuple(r[c] for c in groups)
-        n = r["__n"]
-        want = k(n) if callable(k) else int(k)
-        want = max(0, min(want, n))
-        if want == n:
-            state[g] = ["g", 0, 0]          # every hex hash sorts below 'g'
-        elif want == 0:
-            state[g] = ["", 0, 0]           # nothing sorts below ''
+    hashed = df.withColumn(_H, F.coalesce(hash_col, F.lit("")))
+    checkpoint_dir(df.sparkSession)
+    state = None
+    for level in range(levels):
+        rows = hashed.select(*groups, _H)
+        if state is not None:
+            rows = _with_state(rows, state, groups, "inner").where(F.substring(_H, 1, level * DIGITS) == F.col("__p"))
+        counts = rows.groupBy(*groups, F.substring(_H, 1, (level + 1) * DIGITS).alias("__d")).agg(
+            F.count(F.lit(1)).alias("__c"))
+        per_group = Window.partitionBy(*groups)
+        running = per_group.orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumns({"__cum": F.sum("__c").over(running), "__n": F.sum("__c").over(per_group)})
+        if state is None:
+            want = k(F.col("__n")) if callable(k) else F.lit(int(k))
+            counts = counts.withColumn("__need", F.least(want.cast("long"), F.col("__n")))
         else:
-            state[g] = ["", want, n]
-
-    def state_frame(rows):
-        schema_groups = [f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in groups]
-        schema = ", ".join(schema_groups + ["__prefix string", "__need long"])
-        return spark.createDataFrame([(*g, v[0], v[1]) for g, v in rows], schema)
-
-    if sum(v[2] for v in state.values() if v[1] > 0) <= FINAL_LIMIT and \
-            sum(r["__n"] for r in sizes) <= FINAL_LIMIT:
-        # the whole input is within the exact-rank bound: rank in place
-        marked = _with_state(hashed, state_frame(list(state.items())), list(state.items()), groups, "left")
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(_H, *keys))
-        selected = (F.col("__prefix") == "g") | ((F.col("__need") > 0) & (rank <= F.col("__need")))
-        return marked.withColumn(flag, selected).drop(_H, "__prefix", "__need")
-
-    level = 0
-    ended = set()    # groups whose undecided rows all hold the same full string
-    while sum(v[2] for v in state.values() if v[1] > 0) > FINAL_LIMIT:
-        if hash_len is not None and level * DIGITS >= hash_len:
-            break
-        active = [(g, v) for g, v in state.items()
-                  if v[1] > 0 and g not in ended and v[2] > FINAL_LIMIT // max(len(state), 1)]
-        if not active:
-            break
-        cand = _with_state(hashed.select(*groups, _H), state_frame(active), active, groups) \
-            .where(F.col(_H).startswith(F.col("__prefix")))
-        digit = F.substring(F.col(_H), level * DIGITS + 1, DIGITS)
-        counts = cand.groupBy(*groups, digit.alias("__d"), "__need").agg(F.count(F.lit(1)).alias("__c"))
-        w = Window.partitionBy(*groups).orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
-        cum = counts.withColumn("__cum", F.sum("__c").over(w))
-        chosen = cum.where((F.col("__cum") >= F.col("__need")) & (F.col("__cum") - F.col("__c") < F.col("__need")))
-        for r in chosen.collect():
-            g = tuple(r[c] for c in groups)
-            v = state[g]
-            before = r["__cum"] - r["__c"]
-            state[g] = [v[0] + r["__d"], v[1] - before, r["__c"]]
-            if len(r["__d"]) < DIGITS:
-                ended.add(g)
-        level += 1
-
-    undecided = [(g, v) for g, v in state.items() if v[1] > 0]
-    total = sum(v[2] for _, v in undecided)
-    if total > FINAL_LIMIT:
-        raise ValueError("too many rows share a hash prefix; are the keys unique?")
-    final_state = state_frame(list(state.items()))
-    if undecided:
-        tied = _with_state(hashed.select(*groups, *keys, _H), state_frame(undecided), undecided, groups) \
-            .where(F.col(_H).startswith(F.col("__prefix")))
-        # at most FINAL_LIMIT rows in total (checked above), per group when grouped
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(_H, *keys))
-        winners = tied.withColumn("__r", rank).where(F.col("__r") <= F.col("__need")) \
-            .select(*groups, *keys, F.lit(True).alias("__win"))
-    else:
-        winners = spark.createDataFrame([], ", ".join(
-            [f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in groups + keys] + ["__win boolean"]))
-    marked = _with_state(hashed, final_state, list(state.items()), groups, "left").drop("__need")
-    cond = [F.col(f"__m.{c}").eqNullSafe(F.col(f"__w.{c}")) for c in groups + keys]
-    marked = (marked.alias("__m").join(F.broadcast(winners.alias("__w")), cond, "left")
-              .select("__m.*", "__w.__win"))
-    selected = (F.col(_H) < F.col("__prefix")) | F.coalesce(F.col("__win"), F.lit(False))
-    return marked.withColumn(flag, selected).drop(_H, "__prefix", "__win")
+            counts = _with_state(counts, state, groups, "inner").drop("__p")
+        before = F.col("__cum") - F.col("__c")
+        state = counts.where((F.col("__cum") >= F.col("__need")) & (before < F.col("__need"))).select(
+            *groups, F.col("__d").alias("__p"), (F.col("__need") - before).alias("__need")).checkpoint()
+    marked = _with_state(hashed, state, groups, "left")
+    text = F.substring(_H, 1, levels * DIGITS)
+    inside = F.coalesce(text == F.col("__p"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    decided = marked.where(~inside).select(*columns, F.coalesce(text < F.col("__p"), F.lit(False)).alias(flag))
+    open_rows = marked.where(inside).withColumn("__row", row_hash(df)).checkpoint()
+    ranked = global_rank(open_rows, [_H, *keys, "__row"], "__r", groups)
+    return decided.unionByName(ranked.select(*columns, (F.col("__r") < F.col("__need")).alias(flag)))
+
+
+def _with_state(left: DataFrame, state: DataFrame, groups: list[str], how: str) -> DataFrame:
+    """Attach the groups' (__p, __need): one row without groups, else an
+    equi-join on the group columns."""
+    if not groups:
+        one = F.broadcast(state.withColumn("__one", F.lit(1)))       # at most one row
+        return left.withColumn("__one", F.lit(1)).join(one, "__one", how).drop("__one")
+    small = state.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    right = F.broadcast(state.alias("__s")) if small else state.alias("__s")
+    cond = [F.col(f"__l.{g}").eqNullSafe(F.col(f"__s.{g}")) for g in groups]
+    return left.alias("__l").join(right, cond, how).select("__l.*", "__s.__p", "__s.__need")

@@ -265,8 +265,3 @@ def require_columns(df: DataFrame, *cols: str) -> DataFrame:
     if missing:
         raise KeyError(f"{missing[0]!r} column not found. Available columns: {df.columns}")
     return df
-
-
-def with_fields(df: DataFrame, struct_col: str, fields: Sequence[str]) -> DataFrame:
-    """Flatten a standardised struct into top-level columns."""
-    return df.select("*", *[F.col(f"{struct_col}.{f}").alias(f) for f in fields]).drop(struct_col)

@@ -64,7 +64,9 @@ def arrow_token_lists(text):
 
 def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -> DataFrame:
     """token, id, count: specials first, then the most frequent tokens
-    (ties by token) up to ``vocab_size`` ids in total."""
+    (ties by token) up to ``vocab_size`` ids in total, at most ``MAX_VOCAB``
+    (2^21), since the vocabulary is shipped to every task.  The corpus is
+    tokenised once."""
     if not 0 < vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must be in 1..{MAX_VOCAB}")
     k = max(vocab_size - len(SPECIALS), 0)
@@ -78,33 +80,18 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -
     # tokens counted per Arrow batch, then summed by a partial aggregate
     counts = (df.select(text).mapInArrow(batch_counts, "token string, n long")
               .groupBy("token").agg(F.sum("n").alias("count")))
-    from mathtide.operators.sampling import small_take
-    if small_take(counts, k):
-        top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k).collect()
-    else:
-        # many partitions x a large k: choose the k most frequent by digits of
-        # the (descending) count over the materialised token table instead of
-        # merging partitions x k rows in one task
-        from mathtide.operators.selection import hash_smallest, ordered_hex, ordered_text_hex
-        from mathtide.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        counts = counts.checkpoint(eager=True)
-        # (count descending, token) as one order text: many tokens share a count
-        order = F.concat(ordered_hex(-F.col("count")), ordered_text_hex("token"))
-        top = hash_smallest(counts, ["token"], order, k, flag="__in",
-                            hash_len=None).where("__in").drop("__in").collect()
-        top = sorted(top, key=lambda r: (-r["count"], r["token"].encode("utf-8")))
+    # every partition keeps its k first; k is bounded by MAX_VOCAB
+    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(k).collect()
     # top-k is bounded by vocab_size (checked above); ids follow its order
     rows = [(r["token"], i + len(SPECIALS), r["count"]) for i, r in enumerate(top)]
     return df.sparkSession.createDataFrame(rows, "token string, id long, count long")
 
 
 def _vocab_list(vocab: DataFrame) -> list[str]:
-    """Token strings in id order (specials excluded); bounded by MAX_VOCAB."""
-    n = vocab.count()
-    if n > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries is over the broadcast bound {MAX_VOCAB}")
-    rows = vocab.where(F.col("id") >= len(SPECIALS)).select("token", "id").collect()
+    """Token strings in id order (specials excluded); at most MAX_VOCAB are read."""
+    rows = vocab.where(F.col("id") >= len(SPECIALS)).select("token", "id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCAB} entries is not broadcast")
     ordered = [None] * len(rows)
     for r in rows:
         ordered[r["id"] - len(SPECIALS)] = r["token"]

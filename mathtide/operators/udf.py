@@ -20,18 +20,16 @@ def _rebatch(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.D
     if not size:
         yield from batches
         return
-    buf: list[pd.DataFrame] = []
-    held = 0
+    held: pd.DataFrame | None = None
     for pdf in batches:
-        buf.append(pdf)
-        held += len(pdf)
-        while held >= size:
-            joined = pd.concat(buf, ignore_index=True)
-            yield joined.iloc[:size].reset_index(drop=True)
-            rest = joined.iloc[size:].reset_index(drop=True)
-            buf, held = ([rest] if len(rest) else []), len(rest)
-    if held:
-        yield pd.concat(buf, ignore_index=True)
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        whole = len(pdf) - len(pdf) % size
+        for at in range(0, whole, size):
+            yield pdf.iloc[at:at + size].reset_index(drop=True)
+        held = pdf.iloc[whole:] if whole < len(pdf) else None
+    if held is not None:
+        yield held.reset_index(drop=True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],

@@ -102,22 +102,18 @@ def accuracy(df: DataFrame, correct: str, group_by: str | Sequence[str] = ()) ->
 
 
 def collect_votes(votes: DataFrame, question: str | Sequence[str], order: str,
-                  fields: Sequence[str], chunk_size: int | None = None) -> DataFrame:
+                  fields: Sequence[str], chunk_size: int = 1000) -> DataFrame:
     """Per question, arrays of each field in vote order.
 
-    The arrays are the result record of a majority-vote evaluation; their
-    length is the generator's vote count per question.  With ``chunk_size`` a
-    question's votes are cut into records of at most that many votes
+    The arrays are the result record of a majority-vote evaluation.  A
+    question's votes are cut into records of at most ``chunk_size`` votes
     (``chunk`` = position // chunk_size, positions from the skew-safe ranking),
     so even a question holding a third of all votes never forms one array.
     """
     q = _cols(question)
-    data = votes
-    keys = list(q)
-    if chunk_size:
-        data = running_totals(votes, order_by=[order], partition_by=q, rank_col="__pos") \
-            .withColumn("chunk", (F.col("__pos") / F.lit(chunk_size)).cast("long")).drop("__pos")
-        keys = q + ["chunk"]
+    data = running_totals(votes, order_by=[order], partition_by=q, rank_col="__pos") \
+        .withColumn("chunk", F.floor(F.col("__pos") / F.lit(chunk_size))).drop("__pos")
+    keys = q + ["chunk"]
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"),
                                                   *[F.col(f) for f in fields])))
     out = data.groupBy(*keys).agg(packed.alias("__votes"))

@@ -28,25 +28,7 @@ CURRICULUM = [
 STANDARD_COLUMNS = ["dataset", "stage", "row_key", "question", "answer"]
 
 
-def standardise_text(text_col: str = "text", dataset_col: str = "dataset"):
-    """The per-dataset formatter as one expression: struct(question, answer) or null."""
-    d = F.col(dataset_col)
-    expr = B.standardise_aqua(F.col(text_col))
-    for name, _, key in CURRICULUM:
-        if key is not None:
-            expr = F.when(d == name, B.standardise(F.col(text_col), key)).otherwise(expr)
-    return expr
-
-
-def union_datasets(frames: dict[str, DataFrame]) -> DataFrame:
-    """H1: rendered (row_key, text) frames by dataset name, side by side with stage."""
-    stage = {name: s for name, s, _ in CURRICULUM}
-    parts = [df.select(F.lit(name).alias("dataset"), F.lit(stage.get(name, 0)).alias("stage"),
-                       "row_key", "text") for name, df in frames.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def standardised(rendered: DataFrame) -> DataFrame:
+def standardised(rendered: DataFrame, keep_text: bool = False) -> DataFrame:
     """Rendered texts -> dataset, stage, row_key, question, answer (failed rows kept as null).
 
     Same rules as ``standardise`` / ``standardise_aqua``, computed in stages:
@@ -75,16 +57,14 @@ def standardised(rendered: DataFrame) -> DataFrame:
                                   B._solved(py_strip(solution), py_strip(answer)).alias("answer")))
     std = F.when(aqua, B.standardise_aqua(t)).otherwise(generic)
     out = stage3.withColumn("__std", std)
-    return out.select("dataset", "stage", "row_key", F.col("__std.question").alias("question"),
-                      F.col("__std.answer").alias("answer"))
+    return out.select("dataset", "stage", "row_key", *(["text"] if keep_text else []),
+                      F.col("__std.question").alias("question"), F.col("__std.answer").alias("answer"))
 
 
 def dataset_counts(rendered: DataFrame) -> DataFrame:
     """Raw and kept rows per dataset plus a total row (dataset null), Q6."""
-    std = rendered.withColumn("__ok", standardise_text().isNotNull())
-    return (std.rollup("dataset")
-            .agg(F.count(F.lit(1)).alias("n_raw"),
-                 F.sum(F.when(F.col("__ok"), 1).otherwise(0)).cast("long").alias("n_kept")))
+    return standardised(rendered).rollup("dataset").agg(
+        F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("question").isNotNull()).alias("n_kept"))
 
 
 def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int = 42,
@@ -93,30 +73,24 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
 
     ``caps`` maps a dataset to its first-n cap (the reference cuts AQuA at
     15000).  Rows whose formatter fails are dropped (C3); ``dataset_counts``
-    reports raw and kept rows per dataset.
+    reports raw and kept rows per dataset.  ``row_key`` must be unique in its
+    dataset, as a position is.
+
+    Cap, split and place are decided on (dataset, row_key) alone, which is
+    checkpointed; the texts meet that decision in one join and are never
+    checkpointed themselves.
     """
     caps = {"AQuA": 15000} if caps is None else caps
     std, _ = drop_unparseable(standardised(rendered), "question")
-    # the cap, the split's range sampling and its ranking pass each read the
-    # standardised rows; one reliable checkpoint (shared folder) computes the
-    # string work once and fixes the input for reruns
     checkpoint_dir(std.sparkSession)
-    std = std.checkpoint(eager=True)
-    if caps:
-        # one small aggregate (a row per capped dataset) decides which
-        # datasets are over their cap; only those are ranked.
-        sizes = {r["dataset"]: r["n"] for r in
-                 std.where(F.col("dataset").isin(*caps)).groupBy("dataset")
-                 .agg(F.count(F.lit(1)).alias("n")).collect()}
-        over = {name: n for name, n in caps.items() if sizes.get(name, 0) > n}
-        if over:
-            capped = None
-            for name, n in over.items():
-                part = S.take_per_group(std.where(F.col("dataset") == name), n, "dataset", ["row_key"])
-                capped = part if capped is None else capped.unionByName(part)
-            std = std.where(~F.col("dataset").isin(*over)).unionByName(capped)
-    prompted = std.withColumn("prompt", B.sft_prompt("question", "answer"))
-    return S.train_test_split(prompted, test_size, seed, key="row_key", group="dataset")
+    keys = std.select("dataset", "row_key").checkpoint()
+    parts = [keys.where(~F.col("dataset").isin(*caps))] if caps else [keys]
+    parts += [S.take_per_group(keys.where(F.col("dataset") == name), n, "dataset", ["row_key"])
+              for name, n in caps.items()]
+    decided = S.train_test_split(reduce(lambda a, b: a.unionByName(b), parts), test_size, seed,
+                                 key="row_key", group="dataset")
+    out = std.join(decided, ["dataset", "row_key"]).withColumn("prompt", B.sft_prompt("question", "answer"))
+    return out.select(*STANDARD_COLUMNS, "prompt", "split", "shuffle_pos")
 
 
 def render_problems(problems: DataFrame) -> DataFrame:

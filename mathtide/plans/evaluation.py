@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
-from mathtide.operators.ranking import running_totals
 from mathtide.operators.voting import (accuracy, first_vote, majority_vote, pair_with_gold,
                                        running_accuracy)
 
@@ -20,27 +19,19 @@ def votes_for_method(votes: DataFrame, question: Sequence[str], order: str,
     """Keep the votes a method looks at.
 
     'none' keeps the first vote per question, 'maj@8' the first 8, 'maj@k' the
-    first ``n_votes``; 'all' keeps every vote.  The vote rank comes from the
-    skew-safe ``running_totals`` (a question may hold any number of votes);
-    ``evaluate`` answers 'none' with one aggregate instead (``first_vote``).
+    first ``n_votes``; 'all' keeps every vote.  Spark turns the bounded row number
+    into a group limit before the shuffle, so each task sends at most k votes of
+    a question; null keys are questions like others.  ``evaluate`` answers 'none'
+    with one aggregate instead (``first_vote``).
     """
     if method not in METHODS:
         raise ValueError(f"unknown majority method {method!r}; expected one of {METHODS}")
     if method == "all":
         return votes
     k = 1 if method == "none" else 8 if method == "maj@8" else int(n_votes)
-    # one partial aggregate: if no question holds more than k votes, the first
-    # k votes are all votes and no ranking is needed
-    most = votes.groupBy(*question).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
-    if most is None or most <= k:
-        return votes
-    keys = list(question) + [order]
-    # rank only the key columns (cheap to re-read for the range sampling),
-    # then keep the chosen votes with a semi-join spread over (question, position)
-    ranked = running_totals(votes.select(*keys), order_by=[order], partition_by=list(question),
-                            rank_col="__vote_rank")
-    chosen = ranked.where(F.col("__vote_rank") < k).select(*keys)
-    return votes.join(chosen, on=keys, how="left_semi")
+    first = Window.partitionBy(*question).orderBy(F.col(order).asc_nulls_first())
+    return votes.withColumn("__vote_rank", F.row_number().over(first)).where(F.col("__vote_rank") <= k) \
+        .drop("__vote_rank")
 
 
 def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id",
@@ -48,13 +39,13 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
              gold_text: str = "answer",
              extractor: Callable[[Column], Column] = A.extract_answer,
              gold_extractor: Callable[[Column], Column] = A.extract_answer,
-             method: str = "all", n_votes: int = 8, cut: Callable[[Column], Column] | None = None,
-             keep_unanswered: bool = False) -> DataFrame:
+             method: str = "all", n_votes: int = 8,
+             cut: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per (run, question): votes, majority answer, gold answer and verdicts.
 
     ``cut`` optionally turns a decoded response into the completion (I12/I13)
-    before extraction.  With ``keep_unanswered`` gold questions without any
-    response stay in the result as wrong (right join on the question).
+    before extraction.  Questions that a run left unanswered have no row here;
+    ``accuracy_by_run`` counts them as wrong when it is given the gold table.
     """
     keys = ([run] if run else []) + [question]
     if cut is not None:
@@ -70,7 +61,7 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
     else:
         maj = majority_vote(votes_for_method(votes, keys, vote, method, n_votes), keys, "numeric", vote)
     g = gold.select(question, gold_extractor(F.col(gold_text)).alias("gold_answer"))
-    paired = pair_with_gold(maj, g, question, how="right" if keep_unanswered else "left")
+    paired = pair_with_gold(maj, g, question, how="left")
     return paired.select(
         *keys, "n_votes", "n_answered", "majority_answer", "gold_answer",
         A.is_correct("majority_answer", "gold_answer").alias("correct"),
@@ -78,8 +69,17 @@ def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id
         A.closeness("majority_answer", "gold_answer").alias("closeness"))
 
 
-def accuracy_by_run(results: DataFrame, run: str | None = "run", correct: str = "correct") -> DataFrame:
-    return accuracy(results, correct, [run] if run else [])
+def accuracy_by_run(results: DataFrame, run: str | None = "run", correct: str = "correct",
+                    gold: DataFrame | None = None) -> DataFrame:
+    """E3 per run.  With ``gold`` (one row per question) the denominator is all
+    gold questions, so a question without a response counts as wrong; without
+    it, the questions answered."""
+    out = accuracy(results, correct, [run] if run else [])
+    if gold is None:
+        return out
+    total = gold.agg(F.count(F.lit(1)).alias("n")).scalar()
+    out = out.withColumn("n_total", total)
+    return out.withColumn("accuracy", F.when(F.col("n_total") > 0, F.col("n_correct") / F.col("n_total")))
 
 
 def running_accuracy_by_run(results: DataFrame, run: str = "run", question: str = "question_id",

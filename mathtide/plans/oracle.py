@@ -8,9 +8,52 @@ both sides; counts are cast to BIGINT.
 
 from __future__ import annotations
 
-from mathtide.functions.answers import (ANSWER_IS, CURRENCY_CHARS, KEYWORD_ANSWER, NUMBER,
-                                        UNIT_WORDS, UNSIGNED_NUMBER)
-from mathtide.functions.text import PY_WHITESPACE
+# Fixed values, written out here so that a wrong constant in the library shows.
+ANSWER_IS = r"The answer is\s+(\d+\.?\d*|\d*\.\d+)"
+CURRENCY_CHARS = "[$€£¥,]"
+KEYWORD_ANSWER = (r"(?i)(?:answer|result|total|sum)(?:\s+is|\s*=|\s*:)\s*(\d+\.?\d*)"
+                  r"|(\d+\.?\d*)(?:\s*is the answer)")
+NUMBER = r"[-+]?\d*\.?\d+"
+UNSIGNED_NUMBER = r"(\d+\.?\d*|\d*\.\d+)"
+UNIT_WORDS = ("dollars USD euros EUR pounds GBP yen JPY yuan CNY rupees INR % percent units kg g mg m cm mm km mph lbs oz "
+              "inches feet ft tons hours hrs minutes mins seconds secs").split()
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                 "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+CHAT_ZERO_SHOT_INSTRUCTION = "Let's solve it step by step. You must give your final answer as an integer after '####'"
+FEW_SHOT_INSTRUCTION = "Answer: Let's solve this step by step. I'll write the final answer after ####.\n"
+STEP_BY_STEP_HEAD = 'Solve this step-by-step:\n'
+STEP_BY_STEP_TAIL = '\n\nThink through this carefully:\n1. '
+THINK_INSTRUCTION = """Let's think step by step. At the end, you MUST write the answer as an integer after '####'. Ensure your answer is fully written before stopping.
+"""
+ZERO_SHOT_INSTRUCTION = "Let's solve it step by step. Make sure to stop immediately after writing the final answer. You MUST write the final answer as an integer after '####'."
+EIGHT_SHOT_PROMPT = """Q: There are 15 trees in the grove. Grove workers will plant trees in the grove today. After they are done, there will be 21 trees. How many trees did the grove workers plant today?
+A: There are 15 trees originally. Then there were 21 trees after some more were planted. So there must have been 21 - 15 = 6. The answer is 6.
+
+Q: If there are 3 cars in the parking lot and 2 more cars arrive, how many cars are in the parking lot?
+A: There are originally 3 cars. 2 more cars arrive. 3 + 2 = 5. The answer is 5.
+
+Q: Leah had 32 chocolates and her sister had 42. If they ate 35, how many pieces do they have left in total?
+A: Originally, Leah had 32 chocolates. Her sister had 42. So in total they had 32 + 42 = 74. After eating 35, they had 74 - 35 = 39. The answer is 39.
+
+Q: Jason had 20 lollipops. He gave Denny some lollipops. Now Jason has 12 lollipops. How many lollipops did Jason give to Denny?
+A: Jason started with 20 lollipops. Then he had 12 after giving some to Denny. So he gave Denny 20 - 12 = 8. The answer is 8.
+
+Q: Shawn has five toys. For Christmas, he got two toys each from his mom and dad. How many toys does he have now?
+A: Shawn started with 5 toys. If he got 2 toys each from his mom and dad, then that is 4 more toys. 5 + 4 = 9. The answer is 9.
+
+Q: There were nine computers in the server room. Five more computers were installed each day, from monday to thursday. How many computers are now in the server room?
+A: There were originally 9 computers. For each of 4 days, 5 more computers were added. So 5 * 4 = 20 computers were added. 9 + 20 is 29. The answer is 29.
+
+Q: Michael had 58 golf balls. On tuesday, he lost
+23 golf balls. On wednesday, he lost 2 more. How many golf balls did he have at the end of wednesday?
+A: Michael started with 58 golf balls. After losing 23 on tuesday, he had 58 - 23 = 35. After losing 2 more, he had 35 - 2 = 33 golf balls. The answer is 33.
+
+Q: Olivia has $23. She bought five bagels for $3 each. How much money does she have left?
+A: Olivia had 23 dollars. 5 bagels for 3 dollars each will be 5 x 3 = 15 dollars. So she has 23 - 15 dollars left. 23 - 15 is 8. The answer is 8.
+
+Q: {question}
+A:"""
+TOKEN_PATTERN = '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f\\x0B]'
 
 
 def q(s: str) -> str:
@@ -142,9 +185,10 @@ FROM res"""
 
 def eval_accuracy_sql() -> str:
     return _vote_results() + f"""
-SELECT run, CAST(count(*) AS BIGINT) AS n_total,
+SELECT run, (SELECT count(*) FROM gold) AS n_total,
        CAST(sum(CASE WHEN {is_correct('majority_answer', 'gold_answer')} THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
-       round(sum(CASE WHEN {is_correct('majority_answer', 'gold_answer')} THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+       round(sum(CASE WHEN {is_correct('majority_answer', 'gold_answer')} THEN 1 ELSE 0 END)
+             / (SELECT count(*) FROM gold), 6) AS accuracy
 FROM res GROUP BY run"""
 
 
@@ -159,9 +203,10 @@ res AS (
   SELECT f.run, f.question_id, {extract_answer('f.response')} AS pred,
          {extract_answer('g.answer')} AS gold_answer
   FROM first_votes f LEFT JOIN gold g USING (question_id))""") + f"""
-SELECT run, CAST(count(*) AS BIGINT) AS n_total,
+SELECT run, (SELECT count(*) FROM gold) AS n_total,
        CAST(sum(CASE WHEN {is_correct('pred', 'gold_answer')} THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
-       round(sum(CASE WHEN {is_correct('pred', 'gold_answer')} THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+       round(sum(CASE WHEN {is_correct('pred', 'gold_answer')} THEN 1 ELSE 0 END)
+             / (SELECT count(*) FROM gold), 6) AS accuracy
 FROM res GROUP BY run"""
 
 
@@ -387,9 +432,6 @@ def corpus_nth_sql() -> str:
 # -------------------------------------------------------------- prompts ----
 
 def few_shot_prompts_sql() -> str:
-    from mathtide.operators.shape import (CHAT_ZERO_SHOT_INSTRUCTION, EIGHT_SHOT_PROMPT,
-                                          FEW_SHOT_INSTRUCTION, STEP_BY_STEP_HEAD, STEP_BY_STEP_TAIL,
-                                          THINK_INSTRUCTION, ZERO_SHOT_INSTRUCTION)
     head, tail = EIGHT_SHOT_PROMPT.split("{question}")
     p = f"(b.block || 'Question: ' || d.text || {NL} || {q(FEW_SHOT_INSTRUCTION)})"
     excerpt = (f"CASE WHEN length({p}) > 500 THEN left({p}, 250) || '...' || {NL} || '...' || right({p}, 250) "
@@ -566,7 +608,6 @@ SELECT run, CAST(step AS BIGINT) AS step, event_id FROM steps WHERE step % 100 =
 # --------------------------------------------------------------- tokens ----
 
 def _vocab_cte(k: int = 997) -> str:
-    from mathtide.operators.tokens import TOKEN_PATTERN
     return f"""
 toks AS (SELECT doc_id, regexp_extract_all(text, {q(TOKEN_PATTERN)}) AS t FROM documents),
 counts AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest(t) AS tok FROM toks) GROUP BY tok),
@@ -601,7 +642,6 @@ FROM full_"""
 # ------------------------------------------------------------ user code ----
 
 def generated_eval_sql() -> str:
-    from mathtide.operators.shape import ZERO_SHOT_INSTRUCTION
     return with_views(V_GOLD, f"""
 votes AS (
   SELECT g.question_id, v.vote,
@@ -631,6 +671,42 @@ SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS n_chars,
 FROM documents WHERE lang IN ('en', 'de')"""
 
 
+def row_functions_sql() -> str:
+    return r"""
+SELECT conv_id, turn, CAST(len(regexp_extract_all(coalesce(text, ''), '\S+')) AS BIGINT) AS n_words,
+       upper(coalesce(role, '')) AS loud
+FROM conversations"""
+
+
+def cut_inputs_sql() -> str:
+    return with_views(_vocab_cte(), """
+pos AS (
+  SELECT doc_id, unnest(t[1:100]) AS tok, generate_subscripts(t[1:100], 1) AS p FROM toks),
+enc AS (
+  SELECT pos.doc_id, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY p) AS ids
+  FROM pos LEFT JOIN vocab v USING (tok) GROUP BY pos.doc_id)""") + """
+SELECT toks.doc_id, CAST(len(toks.t) AS INTEGER) AS n_input,
+       array_to_string(coalesce(enc.ids, []::INTEGER[]), ' ') AS cut_ids
+FROM toks LEFT JOIN enc USING (doc_id)"""
+
+
+def repeated_key_sample_sql() -> str:
+    return """
+WITH h AS (SELECT l_orderkey, md5('42:' || l_orderkey) AS h, floor(count(*) OVER () * 0.05) AS n FROM lineitem),
+r AS (SELECT *, row_number() OVER (ORDER BY h, l_orderkey) AS p FROM h)
+SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_orders, max(h) AS last_hash FROM r WHERE p <= n"""
+
+
+def lineitem_split_flags_sql() -> str:
+    return """
+WITH h AS (
+  SELECT l_linestatus, md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) AS h,
+         count(*) OVER (PARTITION BY l_linestatus) AS n FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY h) <= ceil(0.1 * n) AS test FROM h)
+SELECT l_linestatus, count(*) AS n, count(*) FILTER (WHERE test) AS n_test, max(h) FILTER (WHERE test) AS last_hash
+FROM r GROUP BY l_linestatus"""
+
+
 # -------------------------------------------------------------- sources ----
 
 def qa_jsonl_roundtrip_sql() -> str:
@@ -640,7 +716,12 @@ UNION ALL
 SELECT doc_id, 'test', text, '#### ' || doc_id FROM documents"""
 
 
-def _rendered_sql(where: str, cols: str = "row_key AS pid, text") -> str:
+POSITION = "CAST(row_number() OVER (PARTITION BY dataset ORDER BY row_key) - 1 AS BIGINT) AS row_key"
+
+
+def _rendered_sql(where: str, cols: str = f"{POSITION}, text") -> str:
+    """Rendered rows of the problems read back from files: their key is the
+    position in the source."""
     return with_views(V_PROBLEMS, V_RENDERED) + f"\nSELECT {cols} FROM rendered WHERE {where}"
 
 
@@ -649,7 +730,7 @@ def asdiv_xml_roundtrip_sql() -> str:
 
 
 def json_array_roundtrip_sql() -> str:
-    return _rendered_sql("dataset IN ('ParaMAWPS', 'SVAMP')", "dataset, row_key AS pid, text")
+    return _rendered_sql("dataset IN ('ParaMAWPS', 'SVAMP')", f"dataset, {POSITION}, text")
 
 
 def keyed_json_roundtrip_sql() -> str:
@@ -657,16 +738,18 @@ def keyed_json_roundtrip_sql() -> str:
 
 
 def aqua_jsonl_roundtrip_sql() -> str:
-    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD) + """
-SELECT row_key AS pid, text, question, answer FROM standard WHERE dataset = 'AQuA'"""
+    return with_views(V_PROBLEMS, V_RENDERED, V_STANDARD) + f"""
+SELECT {POSITION}, text, question, answer FROM standard WHERE dataset = 'AQuA'"""
 
 
 def leaderboard_csv_roundtrip_sql() -> str:
-    return leaderboard_zoom_sql()
+    return leaderboard_zoom_sql().replace(
+        "SELECT p_partkey AS row_key", "SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS row_key")
 
 
 def curriculum_files_sql() -> str:
-    return curriculum_splits_sql()
+    return curriculum_splits_sql().replace(
+        "p_partkey AS pid", "CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS pid")
 
 
 def saved_splits_sql() -> str:
@@ -679,18 +762,20 @@ r AS (
   SELECT run, question_id, n_votes, majority_answer, gold_answer,
          {is_correct('majority_answer', 'gold_answer')} AS correct FROM res),
 acc AS (
-  SELECT run, round(sum(CASE WHEN correct THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM r GROUP BY run)
+  SELECT run, round(sum(CASE WHEN correct THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold), 6) AS accuracy
+  FROM r GROUP BY run)
 SELECT r.*, acc.accuracy FROM r LEFT JOIN acc USING (run)"""
 
 
 def collect_votes_sql() -> str:
     order = "ORDER BY l_linenumber, l_partkey, l_suppkey"
     return with_views(V_RESPONSES) + f"""
-SELECT run, question_id,
+SELECT run, question_id, chunk,
        string_agg(response, ' | ' {order}) AS model_answers_text,
        string_agg(coalesce(CAST(numeric AS VARCHAR), 'null'), ',' {order}) AS extracted_model_answers
-FROM (SELECT *, {extract_answer('response')} AS numeric FROM responses)
-GROUP BY run, question_id"""
+FROM (SELECT *, {extract_answer('response')} AS numeric,
+             (row_number() OVER (PARTITION BY run, question_id {order}) - 1) // 4 AS chunk FROM responses)
+GROUP BY run, question_id, chunk"""
 
 
 def dataset_sizes_sql() -> str:
@@ -721,7 +806,6 @@ FROM s JOIN first5 f USING (split) GROUP BY s.split, f.sample_keys, f.sample_row
 # ------------------------------------------------------------ streaming ----
 
 def stream_corpus_filter_sql() -> str:
-    from mathtide.operators.tokens import TOKEN_PATTERN
     return f"""
 SELECT doc_id, source, CAST(len(regexp_extract_all(text, {q(TOKEN_PATTERN)})) AS INTEGER) AS n_tokens,
        md5('Instruction' || {NL} || coalesce(lang, '') || {NL} || 'Response' || {NL} || coalesce(text, '')) AS prompt_md5
@@ -731,12 +815,13 @@ FROM documents WHERE source IS NOT NULL AND NOT starts_with(source, 'src1')"""
 def stream_shuffle_sql() -> str:
     return """
 SELECT doc_id, lang, CAST(0 AS BIGINT) AS batch_id,
-       CAST(row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS BIGINT) AS shuffle_pos
-FROM documents"""
+       CAST(buffer * 64 + row_number() OVER (PARTITION BY buffer ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS BIGINT)
+         AS shuffle_pos
+FROM (SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS buffer FROM documents)"""
 
 
 def stream_head_sql() -> str:
-    return "SELECT doc_id, source FROM documents LIMIT 100"
+    return "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100"
 
 
 def stream_source_counts_sql() -> str:
@@ -765,7 +850,6 @@ FROM events GROUP BY event_type"""
 
 
 def eight_shot_eval_sql() -> str:
-    from mathtide.operators.shape import EIGHT_SHOT_PROMPT
     head, tail = EIGHT_SHOT_PROMPT.split("{question}")
     decoded = (f"({q(head)} || 'How much is order ' || question_id || '?' || {q(tail)} || ' ' || response "
                f"|| {NL} || {NL} || 'Q: next question')")
@@ -788,8 +872,8 @@ per_q AS (SELECT DISTINCT run, question_id FROM ext),
 res AS (
   SELECT p.run, {is_correct('w.majority_answer', extract_answer('g.answer'))} AS ok
   FROM per_q p LEFT JOIN winner w USING (run, question_id) LEFT JOIN gold g ON g.question_id = p.question_id)""") + """
-SELECT run, CAST(count(*) AS BIGINT) AS n_total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
-       round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+SELECT run, (SELECT count(*) FROM gold) AS n_total, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold), 6) AS accuracy
 FROM res GROUP BY run"""
 
 
@@ -810,11 +894,10 @@ FROM problems"""
 
 def stream_source_peek_sql() -> str:
     return """
-SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT source FROM documents LIMIT 1000) GROUP BY source"""
+SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT source FROM documents ORDER BY doc_id LIMIT 400) GROUP BY source"""
 
 
 def curriculum_tokens_sql() -> str:
-    from mathtide.operators.tokens import TOKEN_PATTERN
     return f"""
 WITH splits AS ({curriculum_splits_sql()}),
 toks AS (SELECT dataset, row_key, split, regexp_extract_all(prompt, {q(TOKEN_PATTERN)}) AS t FROM splits),

@@ -28,14 +28,14 @@ def vote_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship (K4 + E3): accuracy per run after majority voting."""
-    acc = E.accuracy_by_run(vote_results(spark, sf_dir))
+    acc = E.accuracy_by_run(vote_results(spark, sf_dir), gold=V.gold(spark, sf_dir, rebalance=False))
     return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
 
 
 def first_vote_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 with method 'none': the first vote of every question only."""
     res = E.evaluate(V.responses(spark, sf_dir), V.gold(spark, sf_dir), vote="vote_pos", method="none")
-    acc = E.accuracy_by_run(res)
+    acc = E.accuracy_by_run(res, gold=V.gold(spark, sf_dir, rebalance=False))
     return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
 
 
@@ -97,9 +97,7 @@ def curriculum_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five renderers and their standardisers; failed rows keep nulls (Q1-Q3)."""
     from mathtide.plans import curriculum as C
     rendered = C.render_problems(V.problems(spark, sf_dir))
-    return rendered.withColumn("__std", C.standardise_text()).select(
-        "dataset", "stage", "row_key", "text",
-        F.col("__std.question").alias("question"), F.col("__std.answer").alias("answer"))
+    return C.standardised(rendered, keep_text=True)
 
 
 def curriculum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +336,48 @@ def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.map_batches(kept, _text_stats, "doc_id long, lang string, n_chars long, n_lines long", 64)
 
 
+def _shout(row: dict) -> dict:
+    return {"conv_id": row["conv_id"], "turn": row["turn"], "n_words": len((row["text"] or "").split()),
+            "loud": (row["role"] or "").upper()}
+
+
+def row_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 map_rows: a plain function of one record over the whole conversations table."""
+    from mathtide.operators import udf as U
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return U.map_rows(turns, _shout, "conv_id long, turn long, n_words long, loud string")
+
+
+def cut_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B15 cut: unpadded ids of every document cut to the 100 that a budget leaves."""
+    from mathtide.operators import tokens as T
+    docs = V.corpus(spark, sf_dir).select("doc_id", "text")
+    enc = T.encode(docs, T.fit_vocabulary(docs, "text", 1000), "text", 512, pad=False, n_input_col="n_input")
+    return enc.select("doc_id", "n_input", F.array_join(T.cut_input("input_ids", 100), " ").alias("cut_ids"))
+
+
+def repeated_key_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 by a key that repeats: how many lineitems the 5 % sample by order holds
+    (exactly 5 % of all), and the least hash left out."""
+    from mathtide.operators import sampling as S
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    picked = S.sample_fraction(li, 0.05, 42, "l_orderkey")
+    return picked.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_orderkey").alias("n_orders"),
+                      F.max(S.hash_order(42, "l_orderkey")).alias("last_hash"))
+
+
+def lineitem_split_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 without positions over lineitem, per line status: rows in the test split
+    and the last hash in it."""
+    from mathtide.operators import sampling as S
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*key, "l_linestatus")
+    out = S.train_test_split(li, 0.1, 42, key=key, group="l_linestatus", positions=False)
+    test = F.col("split") == "test"
+    return out.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_if(test).alias("n_test"),
+                                           F.max(F.when(test, S.hash_order(42, key))).alias("last_hash"))
+
+
 # --------------------------------------------------------------- sources ---
 # Round trips: a view of the driver tables is written in the source format
 # into the shared checkpoint folder and read back with the library reader.
@@ -367,32 +407,35 @@ def _asdiv_fixture(spark, sf_dir, some_without_question: bool = True):
     question = F.col("question")
     if some_without_question:
         question = F.when(F.col("pid") % 17 != 0, question)
-    return p.select(F.col("pid").cast("string").alias("_id"),
-                    F.when(F.col("body") != "", F.col("body")).alias("Body"),
+    return p.select("pid", F.when(F.col("body") != "", F.col("body")).alias("Body"),
                     question.alias("Question"),
                     F.col("answer").alias("Answer"),
                     F.when(F.col("equation") != "", F.col("equation")).alias("Formula"))
 
 
+def _in_order(df: DataFrame, key: str = "pid") -> DataFrame:
+    """Part files in key order (names sort as the rows do), without the key."""
+    return df.orderBy(key).drop(key)
+
+
 def asdiv_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + C2 + B1: <Problem> elements (some without Question) -> rendered text."""
     from mathtide.sources import readers as R
     path = _scratch(spark, "asdiv-xml")
-    (_asdiv_fixture(spark, sf_dir).write.format("xml").option("rowTag", "Problem")
+    (_in_order(_asdiv_fixture(spark, sf_dir)).write.format("xml").option("rowTag", "Problem")
      .option("rootTag", "Machine-Reading-Corpus-File").mode("overwrite").save(path))
-    df = R.render_source("ASDiv", R.read_asdiv_xml(spark, path))
-    return df.select(F.col("row_key").cast("long").alias("pid"), "text")
+    return R.load_source(spark, "ASDiv", path)
 
 
 def _paramawps_fixture(spark, sf_dir):
     p = V.problems(spark, sf_dir)
-    return p.select(F.col("pid").cast("string").alias("id"), F.col("question").alias("original_text"),
+    return p.select("pid", F.col("question").alias("original_text"),
                     "equation", (F.col("answer").cast("int")).alias("ans"))
 
 
 def _svamp_fixture(spark, sf_dir):
     p = V.problems(spark, sf_dir)
-    return p.select(F.col("pid").cast("string").alias("ID"), F.col("body").alias("Body"),
+    return p.select("pid", F.col("body").alias("Body"),
                     F.col("question").alias("Question"), F.col("equation").alias("Equation"),
                     F.col("answer").cast("int").alias("Answer"))
 
@@ -405,7 +448,7 @@ def _dmath_fixture(spark, sf_dir):
 
 def _aqua_fixture(spark, sf_dir):
     p = V.problems(spark, sf_dir)
-    return p.select(F.col("pid").cast("string").alias("id"), "question", "options", "rationale", "correct")
+    return p.select("pid", "question", "options", "rationale", "correct")
 
 
 def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,15 +456,11 @@ def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     base = _scratch(spark, "json-array")
-    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", key="id")
-    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", key="ID")
-    pm = R.render_source("ParaMAWPS", R.read_json_array(spark, f"{base}/paramawps", R.PARAMAWPS_SCHEMA)
-                         .withColumnRenamed("id", "order_key"))
-    sv = R.render_source("SVAMP", R.read_json_array(spark, f"{base}/svamp", R.SVAMP_SCHEMA)
-                         .withColumnRenamed("ID", "order_key"))
-    return (pm.select(F.lit("ParaMAWPS").alias("dataset"), "row_key", "text")
-            .unionByName(sv.select(F.lit("SVAMP").alias("dataset"), "row_key", "text"))
-            .select("dataset", F.col("row_key").cast("long").alias("pid"), "text"))
+    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", "pid")
+    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", "pid")
+    parts = [R.load_source(spark, n, f"{base}/{n.lower()}").select(F.lit(n).alias("dataset"), "row_key", "text")
+             for n in ("ParaMAWPS", "SVAMP")]
+    return parts[0].unionByName(parts[1])
 
 
 def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,8 +469,7 @@ def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.sources import writers as W
     path = _scratch(spark, "keyed-json")
     W.write_keyed_json(_dmath_fixture(spark, sf_dir), path, key="pid")
-    df = R.render_source("DMath", R.read_keyed_json(spark, path))
-    return df.select(F.col("row_key").cast("long").alias("pid"), "text")
+    return R.load_source(spark, "DMath", path)
 
 
 def aqua_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,11 +477,9 @@ def aqua_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import shape as B
     from mathtide.sources import readers as R
     path = _scratch(spark, "aqua-jsonl")
-    _aqua_fixture(spark, sf_dir).write.mode("overwrite").json(path)
-    raw = R.read_aqua_jsonl(spark, path).drop("order_key").withColumnRenamed("id", "order_key")
-    df = R.render_source("AQuA", raw).withColumn("__s", B.standardise_aqua(F.col("text")))
-    return df.select(F.col("row_key").cast("long").alias("pid"), "text",
-                     F.col("__s.question").alias("question"), F.col("__s.answer").alias("answer"))
+    _in_order(_aqua_fixture(spark, sf_dir)).write.mode("overwrite").json(path)
+    df = R.load_source(spark, "AQuA", path).withColumn("__s", B.standardise_aqua(F.col("text")))
+    return df.select("row_key", "text", F.col("__s.question").alias("question"), F.col("__s.answer").alias("answer"))
 
 
 def leaderboard_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +487,8 @@ def leaderboard_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import leaderboard as LB
     from mathtide.sources import readers as R
     path = _scratch(spark, "leaderboard-csv")
-    V.leaderboard(spark, sf_dir).select(*R.LEADERBOARD_COLUMNS, "row_key") \
+    shuffled = ["MATH Performance", "Name", "Published", "Size (in Billion)", "Family", "GSM8K Performance", "row_key"]
+    _in_order(V.leaderboard(spark, sf_dir).select(*shuffled), "row_key") \
         .write.mode("overwrite").option("header", True).csv(path)
     out = LB.leaderboard(R.read_leaderboard_csv(spark, path))
     return out.select("row_key", "Name", "Family", "Date", "size", "has_size",
@@ -465,16 +502,15 @@ def curriculum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     base = _scratch(spark, "curriculum")
-    (_asdiv_fixture(spark, sf_dir, some_without_question=False)
+    (_in_order(_asdiv_fixture(spark, sf_dir, some_without_question=False))
      .write.format("xml").option("rowTag", "Problem").mode("overwrite").save(f"{base}/asdiv"))
-    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", key="id")
-    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", key="ID")
-    W.write_keyed_json(_dmath_fixture(spark, sf_dir), f"{base}/dmath", key="pid")
-    _aqua_fixture(spark, sf_dir).write.mode("overwrite").json(f"{base}/aqua")
+    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", "pid")
+    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", "pid")
+    W.write_keyed_json(_dmath_fixture(spark, sf_dir), f"{base}/dmath", "pid")
+    _in_order(_aqua_fixture(spark, sf_dir)).write.mode("overwrite").json(f"{base}/aqua")
     rendered = R.load_curriculum(spark, {
         "ASDiv": f"{base}/asdiv", "ParaMAWPS": f"{base}/paramawps", "SVAMP": f"{base}/svamp",
         "DMath": f"{base}/dmath", "AQuA": f"{base}/aqua"})
-    rendered = rendered.withColumn("row_key", F.col("row_key").cast("long"))
     out = C.prepare(rendered)
     return out.select("dataset", "stage", "row_key", "question", "answer", "prompt", "split", "shuffle_pos")
 
@@ -495,17 +531,6 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dataset_profile(corpus_split(spark, sf_dir), "split", "doc_id")
 
 
-def parquet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footer-only rows / row groups / size of the corpus and lineitem files."""
-    from mathtide.sources import profile as P
-    parts = [P.parquet_stats(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(t))
-             for t in ("documents", "lineitem", "conversations")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("table", "num_files", "num_rows", "num_row_groups", "size_bytes", "size_text")
-
-
 def results_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 + A13: per-question results to CSV and JSON (+ accuracy summary), read back."""
     from mathtide.sources import writers as W
@@ -522,11 +547,13 @@ def results_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (run, question) the response texts and numbers in vote order."""
+    """Per (run, question) the response texts and numbers in vote order, in
+    records of at most four votes."""
     from mathtide.operators import voting as VT
     r = V.responses(spark, sf_dir).withColumn("numeric", A.extract_answer("response"))
-    out = VT.collect_votes(r, ["run", "question_id"], "vote", ["response", "numeric"])
-    return out.select("run", "question_id",
+    out = VT.collect_votes(r, ["run", "question_id"], "vote", ["response", "numeric"],
+                           chunk_size=4)
+    return out.select("run", "question_id", "chunk",
                       F.array_join("responses", " | ").alias("model_answers_text"),
                       F.array_join(F.transform("numerics", lambda x: F.coalesce(x.cast("string"), F.lit("null"))),
                                    ",").alias("extracted_model_answers"))
@@ -556,10 +583,10 @@ def stream_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buffered (per micro-batch) seeded shuffle of the corpus stream."""
+    """Seeded shuffle of the corpus stream within buffers of 64 records."""
     from mathtide.streaming import jobs as J
     stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "lang")
-    out = J.run_to_table(stream, "j2", batch_fn=J.buffer_shuffle(42, "doc_id"))
+    out = J.run_to_table(stream, "j2", batch_fn=J.buffer_shuffle(42, "doc_id", buffer_size=64))
     return out.select("doc_id", "lang", "batch_id", "shuffle_pos")
 
 
@@ -567,7 +594,7 @@ def stream_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 records of the corpus stream."""
     from mathtide.streaming import jobs as J
     stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
-    return J.run_to_table(J.stream_take(stream, 100), "j3")
+    return J.run_head(stream, 100, "j3", ["doc_id"])
 
 
 def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,7 +608,7 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response accuracy over the lineitem stream joined to static gold."""
     from mathtide.streaming import jobs as J
     raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
-    stream = V.responses_from(J.spread_stream(raw))
+    stream = V.responses_from(raw)
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir, rebalance=False)), "j5",
                          mode="complete")
     return out.select("run", "n_total", "n_correct",
@@ -610,7 +637,7 @@ def eight_shot_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = E.evaluate(r.withColumn("decoded", decoded), V.gold(spark, sf_dir), response="decoded",
                      vote="vote_pos", extractor=A.extract_predicted_answer, method="maj@8",
                      cut=A.completion_after_last_a)
-    acc = E.accuracy_by_run(res)
+    acc = E.accuracy_by_run(res, gold=V.gold(spark, sf_dir, rebalance=False))
     return acc.select("run", "n_total", "n_correct", _r6("accuracy").alias("accuracy"))
 
 
@@ -631,10 +658,10 @@ def multiple_choice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_source_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4 peek form: source counts over the first 1000 records of the stream (J3 then count)."""
+    """J4 peek form: source counts over the first 400 records of the stream (J3 then count)."""
     from mathtide.streaming import jobs as J
     stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
-    head = J.run_to_table(J.stream_take(stream, 1000), "j4peek")
+    head = J.run_head(stream, 400, "j4peek", ["doc_id"])
     return head.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -656,7 +683,7 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import tokens as T
     from mathtide.streaming import jobs as J
     vocab = T.fit_vocabulary(V.corpus(spark, sf_dir), "text", 1000)
-    stream = J.spread_stream(J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text"))
+    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text")
     enc = T.encode(stream, vocab, "text", 1024, pad=True)
     out = enc.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
                      F.array_join("input_ids", " ").alias("input_ids"),
@@ -665,17 +692,29 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11 row counts read from Parquet footers only (no data pages)."""
-    return parquet_stats(spark, sf_dir).select("table", "num_rows")
+    """Files and rows of three tables, counted without reading a column."""
+    from mathtide.sources import profile as P
+    parts = [P.parquet_stats(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table"), "num_rows")
+             for t in ("documents", "lineitem", "conversations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _staged(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order) -> DataFrame:
+    """A whole table as a stream of several micro-batches in the given order."""
+    from mathtide.streaming import jobs as J
+    path = _scratch(spark, f"staged-{name}")
+    J.stage_in_order(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), order, path, parts=3, files=2)
+    return J.file_stream(spark, path, max_files_per_trigger=2)
 
 
 def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 per example: running accuracy after every response of the lineitem
-    stream (judged against static gold), carried across micro-batches."""
+    stream (judged against static gold), carried across micro-batches: the table
+    arrives as three groups of files in question order."""
     from mathtide.session import scratch_path
     from mathtide.streaming import jobs as J
-    raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
-    resp = V.responses_from(J.spread_stream(raw))
+    raw = _staged(spark, sf_dir, "lineitem", V._LINEITEM_COLUMNS, F.col("l_orderkey"))
+    resp = V.responses_from(raw)
     gold = V.gold(spark, sf_dir, rebalance=False).select(
         "question_id", A.extract_answer("answer").alias("gold_answer"))
     judged = resp.join(gold, "question_id", "left").select(
@@ -688,11 +727,12 @@ def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_training_speed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6 every 10 steps: the step log as a stream, speed metrics carried across micro-batches."""
+    """J6 every 10 steps: the step log as a stream of three groups of files in time
+    order, speed metrics carried across micro-batches."""
     from mathtide.session import scratch_path
     from mathtide.streaming import jobs as J
-    raw = J.file_stream(spark, sf_dir, "events.parquet").select("event_type", "event_id", "ts", "value")
-    log = V.step_log_from(J.spread_stream(raw))
+    seconds = F.timestamp_diff("SECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("ts"))
+    log = V.step_log_from(_staged(spark, sf_dir, "events", ["event_type", "event_id", "ts", "value"], seconds))
     step = J.training_speed_batches(scratch_path(spark, "j6-state"))
     out = J.run_to_table(log, "j6-steps", batch_fn=step)
     return out.select("run", "step", "total_samples", _r6("elapsed_s").alias("elapsed_s"),

@@ -52,8 +52,9 @@ def get_session(master: str | None = None, app: str = "mathtide",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and round-trip files.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a folder under the system temp dir is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    single-process ``local`` master gets a temporary folder; any other master is
+    an error, since executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="mathtide-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mathtide.operators.sampling import take_per_group
 
@@ -33,41 +31,16 @@ def dataset_profile(df: DataFrame, split: str = "split", key: str = "row_key", n
             .withColumn("column_names", F.lit(names)).withColumn("features", F.lit(features)))
 
 
-FOOTER_SCHEMA = T.StructType([T.StructField("file", T.StringType()),
-                              T.StructField("num_rows", T.LongType()),
-                              T.StructField("num_row_groups", T.LongType()),
-                              T.StructField("size_bytes", T.LongType())])
+def parquet_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Files, rows and size of a Parquet dataset.
 
-
-def _read_footers(batches):
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-    for pdf in batches:
-        rows = []
-        for f in pdf["file"]:
-            fs, p = pafs.FileSystem.from_uri(f)
-            with fs.open_input_file(p) as fh:
-                md = pq.ParquetFile(fh).metadata
-                size = fs.get_file_info(p).size
-            rows.append((f, md.num_rows, md.num_row_groups, size))
-        yield pd.DataFrame(rows, columns=["file", "num_rows", "num_row_groups", "size_bytes"])
-
-
-def parquet_stats(spark: SparkSession, path: str, files_per_task: int = 64) -> DataFrame:
-    """Rows, row groups and size of a Parquet dataset from footers only.
-
-    The file list comes from Spark's own listing; footers are read by tasks
-    (a handful of files each), never by scanning data pages.  Size is shown
-    in GB when at least 1 GB, else in MB.
+    No column is read: Spark counts the rows of the footers' row groups and
+    names each file's size.  Size is shown in GB when at least 1 GB, else in MB.
     """
-    files = spark.read.parquet(path).inputFiles()
-    listing = spark.createDataFrame([(f,) for f in files], "file string")
-    n_tasks = max(1, -(-len(files) // files_per_task))
-    per_file = listing.repartition(n_tasks).mapInPandas(_read_footers, FOOTER_SCHEMA)
-    total = per_file.agg(F.count(F.lit(1)).alias("num_files"),
-                         F.sum("num_rows").alias("num_rows"),
-                         F.sum("num_row_groups").alias("num_row_groups"),
-                         F.sum("size_bytes").alias("size_bytes"))
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size")
+    per_file = files.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
+    total = per_file.agg(F.count(F.lit(1)).alias("num_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("num_rows"),
+                         F.coalesce(F.sum("size"), F.lit(0)).alias("size_bytes"))
     gb = F.col("size_bytes") / F.lit(1024 ** 3)
     mb = F.col("size_bytes") / F.lit(1024 ** 2)
     return total.withColumn("size_text", F.when(gb >= 1, F.concat(F.format_number(gb, 2), F.lit(" GB")))

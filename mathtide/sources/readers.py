@@ -1,8 +1,9 @@
 """Readers for word-problem sources, corpora and tables.
 
 Every reader uses a fixed schema (no inference pass over the data) and adds
-``order_key`` where the reference relies on list order: the array position
-for JSON arrays, the id for keyed JSON, (file, position) for line formats.
+``order_key`` = (file, start of the file split, row number in it) where list
+order matters.  ``load_source`` turns that into a row's 0-based position in its
+source, the row key of datasets that carry no id.
 """
 
 from __future__ import annotations
@@ -15,28 +16,25 @@ from pyspark.sql import types as T
 
 from mathtide.operators import filters as C
 from mathtide.operators import shape as B
+from mathtide.operators.ranking import global_rank
 
 QA_SCHEMA = T.StructType([T.StructField("question", T.StringType()),
                           T.StructField("answer", T.StringType())])
-ASDIV_SCHEMA = T.StructType([T.StructField("_id", T.StringType()),
-                             T.StructField("Body", T.StringType()),
+ASDIV_SCHEMA = T.StructType([T.StructField("Body", T.StringType()),
                              T.StructField("Question", T.StringType()),
                              T.StructField("Answer", T.StringType()),
                              T.StructField("Formula", T.StringType())])
-PARAMAWPS_SCHEMA = T.StructType([T.StructField("id", T.StringType()),
-                                 T.StructField("original_text", T.StringType()),
+PARAMAWPS_SCHEMA = T.StructType([T.StructField("original_text", T.StringType()),
                                  T.StructField("equation", T.StringType()),
                                  T.StructField("ans", T.StringType())])
-SVAMP_SCHEMA = T.StructType([T.StructField("ID", T.StringType()),
-                             T.StructField("Body", T.StringType()),
+SVAMP_SCHEMA = T.StructType([T.StructField("Body", T.StringType()),
                              T.StructField("Question", T.StringType()),
                              T.StructField("Equation", T.StringType()),
                              T.StructField("Answer", T.StringType())])
 DMATH_VALUE = T.StructType([T.StructField("question_en", T.StringType()),
                             T.StructField("solution_code_en", T.StringType()),
                             T.StructField("answer_en", T.StringType())])
-AQUA_SCHEMA = T.StructType([T.StructField("id", T.StringType()),
-                            T.StructField("question", T.StringType()),
+AQUA_SCHEMA = T.StructType([T.StructField("question", T.StringType()),
                             T.StructField("options", T.ArrayType(T.StringType())),
                             T.StructField("rationale", T.StringType()),
                             T.StructField("correct", T.StringType())])
@@ -67,38 +65,36 @@ def read_qa_jsonl(spark: SparkSession, path: str, split: str | None = None,
 def read_asdiv_xml(spark: SparkSession, path: str) -> DataFrame:
     """A2 + C2: every <Problem> at any depth; needs Question and Answer.
 
-    Output: order_key (the id attribute), body, question, answer, formula
-    (stripped, missing optional fields as '').
+    Output: order_key, body, question, answer, formula (stripped, missing
+    optional fields as '').
     """
-    raw = (spark.read.format("xml").option("rowTag", "Problem").schema(ASDIV_SCHEMA).load(path))
+    raw = _with_line_order(spark.read.format("xml").option("rowTag", "Problem").schema(ASDIV_SCHEMA).load(path))
     kept = C.has_required(raw, "Question", "Answer")
     s = B.py_strip
-    return kept.select(F.col("_id").alias("order_key"),
-                       s(F.coalesce("Body", F.lit(""))).alias("body"), s("Question").alias("question"),
+    return kept.select("order_key", s(F.coalesce("Body", F.lit(""))).alias("body"), s("Question").alias("question"),
                        s("Answer").alias("answer"), s(F.coalesce("Formula", F.lit(""))).alias("formula"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A3: files whose top level is an array of objects (ParaMAWPS, SVAMP).
 
-    Adds ``array_pos`` = (file, position in the array), the order the
-    reference iterates in.  Numbers read into string fields keep their JSON
-    text, as ``str()`` does.  A JSON array is one document, so a file is read
-    by one task; large sources come as many files.
+    Spark's multi-line JSON reader parses each file as a stream; numbers read
+    into string fields keep their JSON text, as ``str()`` does.  A JSON array is
+    one document, so a file is read by one task; large sources come as many
+    files.  A file that is no JSON gives one row of nulls.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("__file"), "value")
-    items = whole.select("__file", F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("__pos", "__r"))
-    return items.select(F.struct(F.col("__file").alias("file"), F.col("__pos").alias("pos")).alias("array_pos"),
-                        "__r.*")
+    return _with_line_order(spark.read.schema(schema).option("multiLine", True).json(path))
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType = DMATH_VALUE) -> DataFrame:
-    """A4: files holding one object id -> record (DMath); one row per id."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), value_schema)))
-                          .alias("order_key", "rec"))
-    return parsed.select("order_key", "rec.*")
+    """A4: files holding one object id -> record (DMath); one row per id (``key``)
+    in the object's order."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__file"), "value")
+    parsed = whole.select("__file", F.posexplode(F.from_json("value", T.MapType(T.StringType(), value_schema)))
+                          .alias("__pos", "key", "rec"))
+    order = F.struct(F.col("__file").alias("file"), F.lit(0).cast("long").alias("block"),
+                     F.col("__pos").cast("long").alias("pos"))
+    return parsed.select(order.alias("order_key"), "key", "rec.*")
 
 
 def read_aqua_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -107,20 +103,11 @@ def read_aqua_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_leaderboard_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Leaderboard CSV with a header; every column read as text."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in LEADERBOARD_COLUMNS]
-                          + [T.StructField("row_key", T.StringType())])
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
-    return df.withColumn("row_key", F.col("row_key").cast("long"))
-
-
-def stream_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCHEMA,
-                  max_files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
-    """Lazy one-pass scan of a large corpus as a stream of parquet files."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
+    """Leaderboard CSV with a header, columns in any order; the six columns
+    as text, missing ones null, and ``row_key``, the row's 0-based position."""
+    df = spark.read.option("header", True).csv(path)       # without a schema every column is text
+    cols = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in LEADERBOARD_COLUMNS]
+    return _positioned(_with_line_order(df).select(*cols, "order_key"), "row_key")
 
 
 def load_corpus(spark: SparkSession, path: str, split: str | None = None,
@@ -132,8 +119,15 @@ def load_corpus(spark: SparkSession, path: str, split: str | None = None,
 
 # ---------------------------------------------------------------- A14 ------
 
+def _positioned(df: DataFrame, name: str) -> DataFrame:
+    """Replace ``order_key`` by the row's 0-based position in its source: never
+    null, and the same at any split size."""
+    return global_rank(df, ["order_key"], name).drop("order_key")
+
+
 def render_source(name: str, df: DataFrame) -> DataFrame:
-    """Source rows -> (row_key, text) in the dataset's rendered form."""
+    """Source rows -> (row_key, text) in the dataset's rendered form; the row key
+    is the row's position in the source."""
     if name == "ASDiv":
         text = B.render_asdiv("body", "question", "answer", "formula")
     elif name == "ParaMAWPS":
@@ -146,19 +140,23 @@ def render_source(name: str, df: DataFrame) -> DataFrame:
         text = B.render_aqua("question", "options", "rationale", "correct")
     else:
         raise ValueError(f"unknown dataset {name!r}")
-    return df.select(F.col("order_key").alias("row_key"), text.alias("text"))
+    return _positioned(df.select("order_key", text.alias("text")), "row_key").select("row_key", "text")
 
 
-_LOADERS = {
-    "ASDiv": lambda spark, p: read_asdiv_xml(spark, p),
-    "ParaMAWPS": lambda spark, p: read_json_array(spark, p, PARAMAWPS_SCHEMA)
-    .withColumnRenamed("id", "order_key"),
-    "SVAMP": lambda spark, p: read_json_array(spark, p, SVAMP_SCHEMA).withColumnRenamed("ID", "order_key"),
-    "DMath": lambda spark, p: read_keyed_json(spark, p),
-    "AQuA": lambda spark, p: read_aqua_jsonl(spark, p).drop("order_key").withColumnRenamed("id", "order_key"),
+_READERS = {
+    "ASDiv": read_asdiv_xml,
+    "ParaMAWPS": lambda spark, p: read_json_array(spark, p, PARAMAWPS_SCHEMA),
+    "SVAMP": lambda spark, p: read_json_array(spark, p, SVAMP_SCHEMA),
+    "DMath": read_keyed_json,
+    "AQuA": read_aqua_jsonl,
 }
 
 
+def load_source(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """One curriculum source by name -> (row_key, text)."""
+    return render_source(name, _READERS[name](spark, path))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a source path exists (file listing happens when a reader is built)."""
     from pyspark.errors import AnalysisException
@@ -170,7 +168,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_curriculum(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """Read the curriculum sources by name -> (dataset, stage, row_key, text).
+    """A14 + H1: read the curriculum sources by name -> (dataset, stage, row_key,
+    text), the row key being the position in the source.
 
     A missing source contributes no rows (the reference gives an empty
     dataset); rows whose formatter fails are dropped later by the
@@ -178,14 +177,9 @@ def load_curriculum(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """
     from mathtide.plans.curriculum import CURRICULUM
     stage = {n: s for n, s, _ in CURRICULUM}
-    parts = []
-    for name, path in sources.items():
-        if name not in _LOADERS or not _exists(spark, path):
-            continue
-        rendered = render_source(name, _LOADERS[name](spark, path))
-        parts.append(rendered.select(F.lit(name).alias("dataset"), F.lit(stage[name]).alias("stage"),
-                                     F.col("row_key").cast("string").alias("row_key"), "text"))
+    parts = [load_source(spark, name, path).select(F.lit(name).alias("dataset"), F.lit(stage[name]).alias("stage"),
+                                                   "row_key", "text")
+             for name, path in sources.items() if name in _READERS and _exists(spark, path)]
     if not parts:
-        schema = "dataset string, stage int, row_key string, text string"
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "dataset string, stage int, row_key long, text string")
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from mathtide.operators.ranking import global_rank
 from pyspark.sql import types as T
 
 SPLIT_FORMATS = {"parquet": "parquet", "json": "json", "jsonl": "json", "csv": "csv"}
@@ -64,27 +66,29 @@ def write_results_json(results: DataFrame, summary: DataFrame, path: str, mode:
 
 # ----------------------------------------------------- fixture writers ----
 
-def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 5000, key: str | None = None) -> None:
-    """Write rows as files whose top level is a JSON array (ParaMAWPS/SVAMP form).
-
-    Rows are grouped into buckets of about ``rows_per_file`` rows; each bucket
-    becomes one file holding one array.
-    """
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
-    k = F.col(key) if key else F.monotonically_increasing_id()
-    grouped = (df.withColumn("__b", F.pmod(F.xxhash64(k), F.lit(buckets)))
-               .groupBy("__b").agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")))
+def _in_files(df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
+    """Add ``__b``, a folder name per ``rows_per_file`` rows in key order; names
+    sort as the rows do."""
+    ranked = global_rank(df, [key], "__rank")
+    return ranked.withColumn("__b", F.lpad(F.floor(F.col("__rank") / rows_per_file).cast("string"), 8, "0"))
+
+
+def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = 500) -> None:
+    """Write rows in ``key`` order as files whose top level is a JSON array
+    (ParaMAWPS/SVAMP form); the key itself is not written."""
+    fields = [c for c in df.columns if c != key]
+    rows = F.array_sort(F.collect_list(F.struct(F.col("__rank"), F.struct(*fields).alias("r"))))
+    grouped = _in_files(df, key, rows_per_file).groupBy("__b").agg(
+        F.to_json(F.transform(rows, lambda x: x["r"])).alias("value"))
     grouped.write.mode("overwrite").partitionBy("__b").text(path)
 
 
-def write_keyed_json(df: DataFrame, path: str, key: str, rows_per_file: int = 5000) -> None:
-    """Write rows as files each holding one object keyed by ``key`` (DMath form)."""
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
-    value_cols = [c for c in df.columns if c != key]
-    entries = F.collect_list(F.struct(F.col(key).cast("string").alias("k"),
-                                      F.struct(*value_cols).alias("v")))
-    grouped = (df.withColumn("__b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
-               .groupBy("__b").agg(F.to_json(F.map_from_entries(entries)).alias("value")))
+def write_keyed_json(df: DataFrame, path: str, key: str, rows_per_file: int = 500) -> None:
+    """Write rows in ``key`` order as files each holding one object keyed by
+    ``key`` (DMath form)."""
+    fields = [c for c in df.columns if c != key]
+    rows = F.array_sort(F.collect_list(F.struct(F.col("__rank"), F.col(key).cast("string").alias("k"),
+                                                F.struct(*fields).alias("v"))))
+    grouped = _in_files(df, key, rows_per_file).groupBy("__b").agg(
+        F.to_json(F.map_from_entries(F.transform(rows, lambda x: F.struct(x["k"], x["v"])))).alias("value"))
     grouped.write.mode("overwrite").partitionBy("__b").text(path)

@@ -11,32 +11,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
 from mathtide.operators import filters as C
 from mathtide.operators import sampling as S
-from mathtide.session import scratch_path
+from mathtide.operators.ranking import global_rank
+from mathtide.session import checkpoint_dir, scratch_path
 
 
-def file_stream(spark: SparkSession, directory: str, file_glob: str,
-                max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream (schema from the footers)."""
+def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", max_bytes_per_trigger: int = 8 << 30,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream (schema from the footers), in
+    micro-batches of about ``max_bytes_per_trigger``, or of a number of files."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
-
-
-def spread_stream(stream: DataFrame) -> DataFrame:
-    """Spread each micro-batch over the cores (a file source gives one
-    partition per file split) before CPU-heavy per-row work.
-
-    Rows go by a hash of all their columns -- pass the narrow projection the
-    work needs -- which is deterministic on retry without the local sort a
-    round-robin repartition adds."""
-    cols = [F.col(f"`{c}`") for c in stream.columns]
-    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*cols))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
+    return reader.parquet(directory)
+
+
+def stage_in_order(df: DataFrame, order: Column, path: str, parts: int = 3, files: int = 2) -> None:
+    """Write ``df`` as ``parts`` x ``files`` Parquet files that a stream reads in
+    ``order``: part by part, each a range of the order, later parts later.  With
+    ``max_files_per_trigger=files`` a part is a micro-batch."""
+    ranked = df.withColumn("__o", order.cast("double"))
+    bounds = ranked.approxQuantile("__o", [i / parts for i in range(1, parts)], 0.01) or [0.0]
+    last = F.lit(False)
+    for bound in [*bounds, float("inf")]:
+        inside = F.coalesce(F.col("__o") <= bound, F.lit(bound == float("inf")))
+        ranked.where(inside & ~last).drop("__o").repartition(files).write.mode("append").parquet(path)
+        last = last | F.coalesce(F.col("__o") <= bound, F.lit(False))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
@@ -72,22 +80,46 @@ def stream_filter_map(stream: DataFrame, exclude_prefixes: Sequence[str], source
     return project(C.exclude_sources(stream, exclude_prefixes, source))
 
 
-def buffer_shuffle(seed: int = 42, key: str | Sequence[str] = "id") -> Callable[[DataFrame, int], DataFrame]:
-    """Per micro-batch seeded shuffle (the stream is never sorted as a whole).
+def buffer_shuffle(seed: int = 42, key: str | Sequence[str] = "id", buffer_size: int = 10_000,
+                   order_by: str | Sequence[str] | None = None) -> Callable[[DataFrame, int], DataFrame]:
+    """Seeded shuffle within buffers of ``buffer_size`` consecutive records
+    (the stream is never shuffled as a whole).
 
-    Each batch gets positions in md5('seed:batch:key') order.
+    A micro-batch's records in ``order_by`` order (default: the key) are cut into
+    buffers; within each the positions follow md5('seed:batch:key').
     """
     keys = [key] if isinstance(key, str) else list(key)
+    order = keys if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
 
     def shuffle_batch(batch: DataFrame, batch_id: int) -> DataFrame:
-        tagged = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        return S.shuffle(tagged, f"{seed}:{batch_id}", keys, position="shuffle_pos")
+        tagged = batch.withColumns({"batch_id": F.lit(batch_id).cast("long"),
+                                    "__h": S.hash_order(f"{seed}:{batch_id}", keys)})
+        placed = global_rank(tagged, order, "__p").withColumn("__buffer", F.floor(F.col("__p") / buffer_size))
+        inside = Window.partitionBy("__buffer").orderBy("__h", *keys)       # at most buffer_size rows
+        return placed.withColumn("shuffle_pos", F.col("__buffer") * buffer_size + F.row_number().over(inside) - 1) \
+            .drop("__p", "__buffer", "__h")
     return shuffle_batch
 
 
-def stream_take(stream: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` records of the stream, then nothing more."""
-    return stream.limit(n)
+def run_head(stream: DataFrame, n: int, name: str, order_by: Sequence[str]) -> DataFrame:
+    """The first ``n`` records of the stream as a table; the query is stopped
+    once it has them.  Records of a micro-batch count in ``order_by`` order."""
+    spark = stream.sparkSession
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    have = {"n": 0}
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if have["n"] < n:
+            path = f"{out}/_batch={batch_id}"
+            S.take(batch, n - have["n"], order_by).write.mode("overwrite").parquet(path)
+            have["n"] += spark.read.parquet(path).count()
+
+    query = (stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(write_batch)
+             .trigger(availableNow=True).start())
+    while not query.awaitTermination(0.2):
+        if have["n"] >= n:
+            query.stop()
+    return spark.read.parquet(out).drop("_batch")
 
 
 def stream_source_counts(stream: DataFrame, source: str = "source") -> DataFrame:
@@ -98,8 +130,10 @@ def stream_source_counts(stream: DataFrame, source: str = "source") -> DataFrame
 def stream_accuracy(responses: DataFrame, gold: DataFrame, run: str = "run",
                     question: str = "question_id", response: str = "response",
                     gold_text: str = "answer") -> DataFrame:
-    """Per run, responses and correct responses so far (stream-static join)."""
-    g = gold.select(question, A.extract_answer(F.col(gold_text)).alias("__gold"))
+    """Per run, responses and correct responses so far (stream-static join;
+    the gold answers are extracted once, not per micro-batch)."""
+    checkpoint_dir(gold.sparkSession)
+    g = gold.select(question, A.extract_answer(F.col(gold_text)).alias("__gold")).checkpoint()
     judged = responses.join(g, question, "left").withColumn(
         "__ok", A.is_correct(A.extract_answer(F.col(response)), F.col("__gold")))
     return judged.groupBy(run).agg(F.count(F.lit(1)).alias("n_total"),
@@ -130,14 +164,9 @@ def running_accuracy_batches(state_dir: str, run: str = "run", order_by: Sequenc
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
         ranked = batch_running_accuracy(batch, correct, list(order_by), run)
-        prev = None
-        try:
-            states = spark.read.parquet(state_dir).where(F.col("_state") < batch_id)
-            if states.limit(1).count():
-                prev = states.groupBy(run).agg(F.max_by("n_seen", "_state").alias("__seen"),
-                                               F.max_by("n_correct", "_state").alias("__ok"))
-        except Exception:  # no state yet: first batch
-            prev = None
+        # batch ids count up from 0 and every batch writes the whole state
+        prev = None if batch_id == 0 else spark.read.parquet(f"{state_dir}/_state={batch_id - 1}").select(
+            run, F.col("n_seen").alias("__seen"), F.col("n_correct").alias("__ok"))
         if prev is not None:
             cond = F.col(f"__b.{run}").eqNullSafe(F.col(f"__p.{run}"))
             ranked = (ranked.alias("__b").join(prev.alias("__p"), cond, "left")
@@ -182,15 +211,8 @@ def training_speed_batches(state_dir: str, run: str = "run", order_by: Sequence[
         first = data.groupBy(run).agg(F.min(ts).alias("__bstart"))
         cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__f.{run}"))
         ranked = ranked.alias("__x").join(first.alias("__f"), cond, "left").select("__x.*", "__f.__bstart")
-        prev = None
-        try:
-            states = spark.read.parquet(state_dir).where(F.col("_state") < batch_id)
-            if states.limit(1).count():
-                prev = states.groupBy(run).agg(F.max_by("n_steps", "_state").alias("__ps"),
-                                               F.max_by("n_samples", "_state").alias("__pn"),
-                                               F.max_by("start_ts", "_state").alias("__pt"))
-        except Exception:  # no state yet: first batch
-            prev = None
+        prev = None if batch_id == 0 else spark.read.parquet(f"{state_dir}/_state={batch_id - 1}").select(
+            run, F.col("n_steps").alias("__ps"), F.col("n_samples").alias("__pn"), F.col("start_ts").alias("__pt"))
         if prev is not None:
             cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__p.{run}"))
             ranked = ranked.alias("__x").join(prev.alias("__p"), cond, "left").select(

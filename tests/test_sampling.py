@@ -49,9 +49,7 @@ def test_sample_uses_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_hash_selection_matches_ranking_through_digit_levels(spark, monkeypatch):
-    import mathtide.operators.selection as SEL
-    monkeypatch.setattr(SEL, "FINAL_LIMIT", 40)          # force the digit levels on small data
+def test_hash_selection_matches_ranking(spark):
     df = spark.range(0, 5000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.when(F.col("id") % 7 == 0, None).otherwise("cold")))
     fast = S.train_test_split(df, 0.1, 5, key="id", group="g", positions=False)
@@ -64,15 +62,62 @@ def test_hash_selection_matches_ranking_through_digit_levels(spark, monkeypatch)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
 
 
-def test_first_n_by_key_matches_ranking(spark, monkeypatch):
-    import mathtide.operators.selection as SEL
-    monkeypatch.setattr(SEL, "FINAL_LIMIT", 30)
+def test_first_n_by_key_matches_ranking(spark):
     df = spark.range(-2000, 3000).withColumn("g", (F.abs(F.col("id")) % 4).cast("string"))
     got = sorted(r.id for r in S.take_per_group(df, 77, "g", ["id"]).collect())
     want = sorted(r.id for r in S.running_totals(df, ["id"], ["g"], rank_col="p").where("p < 77").collect())
     assert got == want and len(got) == 4 * 77
 
 
+def test_repeated_and_null_keys_give_exact_sizes(spark):
+    """Keys in pairs, one key of a third of all rows, null keys, equal rows."""
+    pairs = spark.range(0, 2000).withColumn("k", F.floor(F.col("id") / 2))
+    hot = spark.range(0, 3000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")))
+    nulls = spark.range(0, 900).withColumn("k", F.when(F.col("id") % 2 == 0, F.col("id")))
+    equal = spark.range(0, 500).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+    for df in (pairs, hot, nulls, equal):
+        n = df.count()
+        for fraction in (0.0, 0.15, 0.5, 1.0):
+            assert S.sample_fraction(df, fraction, 3, "k").count() == int(n * fraction)
+        one = sorted(map(str, S.sample_fraction(df, 0.15, 3, "k").collect()))
+        two = sorted(map(str, S.sample_fraction(df.repartition(11), 0.15, 3, "k").collect()))
+        assert one == two
+        assert sorted(map(str, S.sample_n(df, 101, 3, "k").collect())) == \
+            sorted(map(str, S.sample_n(df.repartition(7), 101, 3, "k").collect()))
+    first = S.take_per_group(nulls.withColumn("g", F.lit(1)), 50, "g", ["k"]).collect()
+    assert len(first) == 50 and all(r.k is None for r in first)
+
+
+def test_large_samples_are_the_same_rows(spark, monkeypatch):
+    df = spark.range(0, 4000).withColumn("k", F.floor(F.col("id") / 2))
+    small = sorted(r.id for r in S.sample_n(df, 333, 5, "k").collect())
+    monkeypatch.setattr(S, "MERGED_SAMPLE", 10)
+    assert sorted(r.id for r in S.sample_n(df, 333, 5, "k").collect()) == small
+
+
+def test_many_groups(spark):
+    df = spark.range(0, 24_000).withColumn("g", F.col("id") % 12_000)
+    out = S.train_test_split(df, 0.5, 1, key="id", group="g", positions=False)
+    assert out.where("split = 'test'").count() == 12_000
+
+
+def test_draws_do_not_depend_on_folder_or_splits(spark, tmp_dir):
+    from mathtide import api
+    rows = spark.createDataFrame([(f"q{i}", f"#### {i}") for i in range(400)], "question string, answer string")
+    rows.coalesce(1).write.json(f"{tmp_dir}/a")
+    rows.repartition(9).write.json(f"{tmp_dir}/b")
+    def draw(folder):
+        return sorted(r.question for r in api.load_gsm8k(spark, folder, folder, 25)[1].collect())
+    one, block = draw(f"{tmp_dir}/a"), api.create_cot_prompt(spark.read.json(f"{tmp_dir}/a")).first()[0]
+    assert draw(f"{tmp_dir}/b") == one and api.create_cot_prompt(spark.read.json(f"{tmp_dir}/b")).first()[0] == block
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert draw(f"{tmp_dir}/a") == one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_selection_edge_cases(spark):
     df = spark.range(0, 50)
     assert S.sample_fraction(df, 0.0, 1, "id").count() == 0

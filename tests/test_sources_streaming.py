@@ -36,15 +36,15 @@ def test_json_array_numbers_as_text(spark, tmp_dir):
     _write(p, '[{"id": "1", "original_text": " q ", "equation": "x=1", "ans": 5.0},'
               ' {"id": "2", "original_text": "r", "ans": 7}]')
     df = R.read_json_array(spark, os.path.dirname(p), R.PARAMAWPS_SCHEMA)
-    rows = sorted((r.array_pos.pos, r.id, r.original_text, r.equation, r.ans) for r in df.collect())
-    assert rows == [(0, "1", " q ", "x=1", "5.0"), (1, "2", "r", None, "7")]
+    rows = sorted((r.order_key.pos, r.original_text, r.equation, r.ans) for r in df.collect())
+    assert rows == [(0, " q ", "x=1", "5.0"), (1, "r", None, "7")]
 
 
 def test_keyed_json(spark, tmp_dir):
     p = os.path.join(tmp_dir, "dm", "a.json")
     _write(p, '{"k1": {"question_en": "q", "solution_code_en": "s", "answer_en": "1"},'
               ' "k2": {"question_en": "q2", "answer_en": "2"}}')
-    rows = sorted((r.order_key, r.answer_en) for r in R.read_keyed_json(spark, os.path.dirname(p)).collect())
+    rows = sorted((r.key, r.answer_en) for r in R.read_keyed_json(spark, os.path.dirname(p)).collect())
     assert rows == [("k1", "1"), ("k2", "2")]
 
 
@@ -92,11 +92,11 @@ def test_multi_batch_stream_equals_batch(spark, tmp_dir):
     counts = J.run_to_table(J.stream_source_counts(stream), "t-counts", mode="complete")
     want = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
     assert {r.source: r.n for r in counts.collect()} == want
-    kept = J.run_to_table(J.stream_filter_map(J.file_stream(spark, folder, "*.parquet"), ["src1"], "source",
+    kept = J.run_to_table(J.stream_filter_map(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1), ["src1"], "source",
                                               lambda d: d.select("doc_id")), "t-filter")
     expected = docs.where(~F.col("source").startswith("src1")).select("doc_id")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in expected.collect())
-    shuffled = J.run_to_table(J.file_stream(spark, folder, "*.parquet").select("doc_id"), "t-shuffle",
+    shuffled = J.run_to_table(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1).select("doc_id"), "t-shuffle",
                               batch_fn=J.buffer_shuffle(42, "doc_id"))
     per_batch = shuffled.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("shuffle_pos").alias("m")).collect()
     assert len(per_batch) == 3 and all(r.m == r.n - 1 for r in per_batch)

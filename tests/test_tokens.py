@@ -30,18 +30,6 @@ def test_labels_and_budget(spark):
     assert (r.g, r.d, r.m, r.c) == (24, 512, 1048, 512)
 
 
-def test_vocabulary_by_selection_matches_take(spark, monkeypatch):
-    import mathtide.operators.sampling as S
-    import mathtide.operators.selection as SEL
-    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30))) for i in range(200)],
-                                 "id long, text string")
-    want = [(r.token, r.id, r["count"]) for r in T.fit_vocabulary(docs, "text", 20).collect()]
-    monkeypatch.setattr(S, "TAKE_ORDERED_ROWS", 1)      # force the selection path
-    monkeypatch.setattr(SEL, "FINAL_LIMIT", 5)          # and its digit levels
-    got = [(r.token, r.id, r["count"]) for r in T.fit_vocabulary(docs, "text", 20).collect()]
-    assert got == want
-
-
 def test_arrow_tokens_equal_jvm_rule(spark):
     import pyarrow as pa
     texts = ["Héllo, wörld!! a_b 12.5\tx\x0by z", "", None, "¿Qué? ... ok\n\nEnd", "ｘ　ｙ", "a b"]

@@ -68,7 +68,7 @@ def test_running_accuracy(spark):
 def test_collect_votes_chunked(spark):
     rows = [("hot", i, float(i % 3)) for i in range(25)] + [("cold", 0, 1.0)]
     df = spark.createDataFrame(rows, "q string, idx int, a double")
-    whole = {r.q: r["as"] for r in VT.collect_votes(df, "q", "idx", ["a"]).collect()}
+    whole = {r.q: r["as"] for r in VT.collect_votes(df, "q", "idx", ["a"], chunk_size=10**6).collect()}
     assert whole["hot"] == [float(i % 3) for i in range(25)]
     chunks = VT.collect_votes(df, "q", "idx", ["a"], chunk_size=10).collect()
     hot = sorted((r.chunk, r["as"]) for r in chunks if r.q == "hot")
@@ -104,13 +104,22 @@ def test_majority_vote_hot_question_brute_force(spark):
     assert got == want
 
 
-def test_evaluate_keeps_unanswered_as_wrong(spark):
+def test_unanswered_questions_count_as_wrong_in_every_run(spark):
     from mathtide.plans import evaluation as EV
     gold = spark.createDataFrame([(1, "#### 3"), (2, "#### 4"), (3, "#### 5")], "question_id long, answer string")
-    resp = spark.createDataFrame([(1, 0, "so #### 3"), (1, 1, "#### 9"), (2, 0, "it is 4")],
-                                 "question_id long, vote int, response string")
-    res = EV.evaluate(resp, gold, run=None, keep_unanswered=True)
-    got = {r.question_id: (r.majority_answer, r.correct) for r in res.collect()}
-    assert got == {1: (3.0, True), 2: (4.0, True), 3: (None, False)}
-    acc = EV.accuracy_by_run(res, None).first()
-    assert (acc.n_total, acc.n_correct) == (3, 2)
+    resp = spark.createDataFrame([("a", 1, 0, "so #### 3"), ("a", 1, 1, "#### 9"), ("b", 1, 0, "#### 3"),
+                                  ("b", 2, 0, "it is 4"), (None, 3, 0, "5")],
+                                 "run string, question_id long, vote int, response string")
+    res = EV.evaluate(resp, gold)
+    got = {r.run: (r.n_total, r.n_correct) for r in EV.accuracy_by_run(res, gold=gold).collect()}
+    assert got == {"a": (3, 1), "b": (3, 2), None: (3, 1)}
+    answered = {r.run: (r.n_total, r.n_correct) for r in EV.accuracy_by_run(res).collect()}
+    assert answered == {"a": (1, 1), "b": (2, 2), None: (1, 1)}
+
+
+def test_vote_caps_keep_null_keys(spark):
+    from mathtide.plans import evaluation as EV
+    rows = [(None, "q", i) for i in range(3)] + [("r", None, i) for i in range(12)] + [("r", "q", i) for i in range(12)]
+    df = spark.createDataFrame(rows, "run string, q string, v int")
+    for k, want in ((20, 27), (8, 19), (2, 6)):
+        assert EV.votes_for_method(df, ["run", "q"], "v", "maj@k", n_votes=k).count() == want
