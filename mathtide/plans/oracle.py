@@ -752,6 +752,10 @@ def curriculum_files_sql() -> str:
         "p_partkey AS pid", "CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS pid")
 
 
+def curriculum_rejects_sql() -> str:
+    return f"SELECT dataset, n_raw, n_raw - n_kept AS n_dropped FROM ({curriculum_counts_sql()})"
+
+
 def saved_splits_sql() -> str:
     return f"SELECT * FROM ({curriculum_splits_sql()}) WHERE split = 'test'"
 

@@ -496,9 +496,8 @@ def leaderboard_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "family_idx", "colour")
 
 
-def curriculum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14 + H1 + K5: five source files in five formats -> one prepared curriculum."""
-    from mathtide.plans import curriculum as C
+def _curriculum_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The problems written as five source files in five formats and read back."""
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     base = _scratch(spark, "curriculum")
@@ -508,13 +507,26 @@ def curriculum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", "pid")
     W.write_keyed_json(_dmath_fixture(spark, sf_dir), f"{base}/dmath", "pid")
     _in_order(_aqua_fixture(spark, sf_dir)).write.mode("overwrite").json(f"{base}/aqua")
-    rendered = R.load_curriculum(spark, {
+    return R.load_curriculum(spark, {
         "ASDiv": f"{base}/asdiv", "ParaMAWPS": f"{base}/paramawps", "SVAMP": f"{base}/svamp",
         "DMath": f"{base}/dmath", "AQuA": f"{base}/aqua"})
-    out = C.prepare(rendered)
+
+
+def curriculum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 + H1 + K5: five source files in five formats -> one prepared curriculum."""
+    from mathtide.plans import curriculum as C
+    out = C.prepare(_curriculum_from_files(spark, sf_dir))
     return out.select("dataset", "stage", "row_key", "question", "answer", "prompt", "split", "shuffle_pos")
 
 
+def curriculum_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 + E4 on files: records read and records dropped by the formatter, per
+    dataset and in total."""
+    from mathtide.plans import curriculum as C
+    counts = C.dataset_counts(_curriculum_from_files(spark, sf_dir))
+    return counts.select("dataset", "n_raw", (F.col("n_raw") - F.col("n_kept")).alias("n_dropped"))
+
+
 def saved_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + A8: curriculum saved one folder per split; the test split read back."""
     from mathtide.sources import readers as R

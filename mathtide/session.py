@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_SCRATCH: list[str] = []       # scratch paths given out by this process
+
 # Settings chosen for large inputs: adaptive execution re-plans joins and
 # partition counts from runtime statistics, splits skewed join partitions and
 # coalesces tiny shuffle outputs.
@@ -70,9 +72,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path inside the shared checkpoint folder."""
+    """A fresh, unique path inside the shared checkpoint folder; it lasts until
+    ``remove_scratch``."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to scratch paths and return how many there
+    were.  Call it when the frames read from them are no longer needed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -14,10 +14,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from mathtide.session import get_session
+    from mathtide.session import get_session, remove_scratch
     s = get_session("local[4]", shuffle_partitions=4,
                     conf={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="mathtide-test-ckpt-")})
     yield s
+    remove_scratch(s)
     s.stop()
 
 
