@@ -30,7 +30,7 @@ WINDOW = 8
 LEAST_ROWS = 200
 FENCE = 3.0
 #: least interquartile range of each ratio
-FLOOR = {"symbols": 0.05, "repeats": 0.09, "dup_lines": 0.12, "word_length": 1.0, "shouting": 0.08}
+FLOOR = {"symbols": 0.05, "repeats": 0.1, "dup_lines": 0.12, "word_length": 1.0, "shouting": 0.08}
 
 
 def _windows(w: Column) -> Column:
