@@ -5,17 +5,15 @@ few runs (an evaluation has one or two) that is one task for a third of the
 data.  ``running_totals`` keeps the result exact without that bottleneck:
 
 1. range-partition on (group keys, order keys) so a hot group is cut into many
-   contiguous slices, and sort each slice;
-2. in-slice positions come from ``monotonically_increasing_id`` right after
-   the sort (JVM only); when running sums are asked for, one Arrow pass per
-   slice computes positions and sums instead (vectorised pandas cumsum, state
-   carried across batches); the result is checkpointed once to the shared
-   checkpoint folder;
-3. a tiny table of per-(slice, group) totals -- at most ``partitions + groups``
-   rows -- is turned into offsets with a per-group window;
-4. offsets are joined back on (slice, group); the adaptive planner broadcasts
-   them when their runtime size is under the broadcast threshold and falls
-   back to a shuffle join otherwise.
+   contiguous slices, sort each slice, and number its rows with
+   ``monotonically_increasing_id`` (slice id and row index in one long);
+2. checkpoint that once to the shared folder: range bounds come from a sample
+   that depends on arrival order, so two evaluations could cut different slices;
+3. totals per (slice, group), at most slices + groups rows, become offsets by a
+   per-group window;
+4. positions are the row index minus the group's first index in the slice;
+   running sums are a window over (slice, group), never over a whole group;
+   the offsets are joined on the same keys.
 
 The order keys must make a total order within a group (add a unique key as a
 tie-break): rows with equal keys land in the same slice, and a total order
@@ -26,27 +24,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mathtide.session import checkpoint_dir
 
 _PID = "__slice"
-_LRANK = "__lrank"
+_MID = "__mid"
 _GROUP = "__group"
+_LOW_BITS = (1 << 33) - 1      # monotonically_increasing_id: partition id << 33 | row index
 
 
 SLICE_BYTES = 64 << 20
-# an unbounded size estimate (joins multiply them) must not ask for a task each
-MAX_SLICES = 1 << 20
+# Spark's estimate of an input whose size it does not know, such as a checkpoint
+UNKNOWN_BYTES = 1 << 60
 
 
 def _default_slices(df: DataFrame) -> int:
     """At least one slice per core, about SLICE_BYTES per slice by the
-    optimizer's size estimate.
+    optimizer's size estimate; ``spark.sql.shuffle.partitions`` slices where
+    Spark does not know the size.
 
     Slices are sorted (spilling as needed) and streamed batch by batch, so a
     large slice costs time, not memory; the count only sets the parallelism.
@@ -64,7 +62,9 @@ def _default_slices(df: DataFrame) -> int:
         est = min(est, scanned)
     except Py4JError:  # no estimate: the configured partition count
         return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
-    return max(cores, min(MAX_SLICES, -(-est // SLICE_BYTES)))
+    if est >= UNKNOWN_BYTES:
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
+    return max(cores, -(-est // SLICE_BYTES))
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
@@ -78,125 +78,37 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     """
     order_by, partition_by, sums = list(order_by), list(partition_by), list(sums)
     n = num_slices or _default_slices(df)
-    data = df
-    for s in sums:
-        data = data.withColumn(f"__v_{s}", F.coalesce(F.col(s).cast("long"), F.lit(0)))
-    if partition_by:
-        data = data.withColumn(_GROUP, F.xxhash64(*[F.col(c) for c in partition_by]))
-    else:
-        data = data.withColumn(_GROUP, F.lit(0).cast("long"))
-    keys = partition_by + order_by
-    ordered = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
-
-    if not sums:
-        return _ranks_only(df.sparkSession, data, partition_by, keys, ordered, n, rank_col)
-
     vcols = [f"__v_{s}" for s in sums]
-    local_sum_cols = [f"__l_{s}" for s in sums]
-    out_schema = T.StructType(ranged.schema.fields
-                              + [T.StructField(_PID, T.IntegerType(), False),
-                                 T.StructField(_LRANK, T.LongType(), False)]
-                              + [T.StructField(c, T.LongType(), False) for c in local_sum_cols])
-    group_keys = partition_by
-
-    def same_key(a, b):
-        return (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and a == b)
-
-    def slice_totals(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_rank, carry_sums = None, -1, [0] * len(vcols)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if group_keys:
-                g = pdf[group_keys]
-                prev = g.shift(1)
-                same = (g.eq(prev) | (g.isna() & prev.isna())).all(axis=1)
-                first = g.iloc[0].tolist()
-                same.iloc[0] = carry_key is not None and all(
-                    same_key(a, b) for a, b in zip(first, carry_key))
-                last_key = g.iloc[-1].tolist()
-            else:
-                same = pd.Series(True, index=pdf.index)
-                same.iloc[0] = carry_key is not None
-                last_key = []
-            # gid 0 = rows continuing the group open at the end of the last batch
-            gid = (~same).cumsum().to_numpy()
-            cont = (gid == 0).astype("int64")
-            grp = pdf.groupby(gid, sort=False)
-            pdf[_PID] = pid
-            pdf[_LRANK] = grp.cumcount().to_numpy().astype("int64") + cont * (carry_rank + 1)
-            for i, (v, out) in enumerate(zip(vcols, local_sum_cols)):
-                pdf[out] = grp[v].cumsum().to_numpy().astype("int64") + cont * carry_sums[i]
-            carry_key = last_key
-            carry_rank = int(pdf[_LRANK].iloc[-1])
-            carry_sums = [int(pdf[c].iloc[-1]) for c in local_sum_cols]
-            yield pdf
-
-    # The slices are read twice (totals, then the offset join).  Range bounds
-    # come from a sample that depends on arrival order, so two evaluations may
-    # cut different slices; a reliable checkpoint in the shared folder fixes
-    # one cut for both reads and for any rerun after an executor loss.
+    data = df.withColumns({v: F.coalesce(F.col(s).cast("long"), F.lit(0)) for v, s in zip(vcols, sums)}) if sums else df
+    group = F.xxhash64(*partition_by) if partition_by else F.lit(0).cast("long")
+    data = data.withColumn(_GROUP, group)
+    ordered = [F.col(k).asc_nulls_first() for k in partition_by + order_by]
     checkpoint_dir(df.sparkSession)
-    local = ranged.mapInPandas(slice_totals, out_schema).checkpoint(eager=True)
-
-    group_cols = [_GROUP] + partition_by
-    totals = local.groupBy(_PID, *group_cols).agg(
-        F.count(F.lit(1)).alias("__cnt"), *[F.sum(v).alias(f"__t_{v}") for v in vcols])
-    # Per group: all slices holding it, at most num_slices rows.
-    before = Window.partitionBy(*group_cols).orderBy(_PID) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        _PID, *group_cols,
-        F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off_rank"),
-        *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__off_{v}") for v in vcols])
-
-    o = offsets.alias("__o")
-    cond = [F.col(f"__l.{_PID}") == F.col(f"__o.{_PID}"),
-            F.col(f"__l.{_GROUP}") == F.col(f"__o.{_GROUP}")]
-    cond += [F.col(f"__l.{c}").eqNullSafe(F.col(f"__o.{c}")) for c in partition_by]
-    joined = local.alias("__l").join(o, on=cond, how="inner").select(
-        "__l.*", "__o.__off_rank", *[f"__o.__off_{v}" for v in vcols])
-    result = joined.withColumn(rank_col, F.col(_LRANK) + F.col("__off_rank"))
-    for s, v, lc in zip(sums, vcols, local_sum_cols):
-        result = result.withColumn(f"{sum_prefix}{s}", F.col(lc) + F.col(f"__off_{v}"))
-    drop = [_PID, _LRANK, _GROUP, "__off_rank"] + vcols + local_sum_cols + [f"__off_{v}" for v in vcols]
-    return result.drop(*drop)
-
-
-_MID = "__mid"
-_LOW_BITS = (1 << 33) - 1      # monotonically_increasing_id: partition id << 33 | row index
-
-
-def _ranks_only(spark, data: DataFrame, partition_by: list[str], keys: list[str], ordered, n: int,
-                rank_col: str) -> DataFrame:
-    """Ranks without running sums, all in the JVM.
-
-    After the range exchange and the in-slice sort, ``monotonically_increasing_id``
-    numbers rows in sorted order (slice id in the high bits, row index in the
-    low bits); the per-(slice, group) first index and count give the offsets.
-    """
-    numbered = (data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
-                .withColumn(_MID, F.monotonically_increasing_id()))
-    checkpoint_dir(spark)
-    local = (numbered.withColumn(_PID, F.shiftright(F.col(_MID), 33).cast("int"))
-             .withColumn(_LRANK, F.col(_MID).bitwiseAND(F.lit(_LOW_BITS)))
-             .drop(_MID).checkpoint(eager=True))
-    group_cols = [_GROUP] + partition_by
-    totals = local.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias("__cnt"),
-                                                   F.min(_LRANK).alias("__first"))
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *group_cols, "__first",
-                            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off_rank"))
-    cond = [F.col(f"__l.{_PID}") == F.col(f"__o.{_PID}"),
-            F.col(f"__l.{_GROUP}") == F.col(f"__o.{_GROUP}")]
+    local = (data.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
+             .withColumn(_MID, F.monotonically_increasing_id()).checkpoint(eager=True)
+             .withColumn(_PID, F.shiftright(F.col(_MID), 33).cast("int")))
+
+    # the hash stands for the groups in shuffles; equal hashes of different
+    # groups are kept apart by the columns themselves
+    keys = [_PID, _GROUP] + partition_by
+    index = F.col(_MID).bitwiseAND(F.lit(_LOW_BITS))
+    totals = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"), F.min(index).alias("__first"),
+                                      *[F.sum(v).alias(f"__t_{v}") for v in vcols])
+    before = Window.partitionBy(_GROUP, *partition_by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(c):
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = totals.select(*keys, (earlier("__cnt") - F.col("__first")).alias("__off_rank"),
+                            *[earlier(f"__t_{v}").alias(f"__off_{v}") for v in vcols])
+    if sums:
+        inside = Window.partitionBy(*keys).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+        local = local.withColumns({f"__l_{v}": F.sum(v).over(inside) for v in vcols})
+    cond = [F.col(f"__l.{_PID}") == F.col(f"__o.{_PID}"), F.col(f"__l.{_GROUP}") == F.col(f"__o.{_GROUP}")]
     cond += [F.col(f"__l.{c}").eqNullSafe(F.col(f"__o.{c}")) for c in partition_by]
-    joined = local.alias("__l").join(offsets.alias("__o"), on=cond, how="inner") \
-        .select("__l.*", "__o.__first", "__o.__off_rank")
-    return (joined.withColumn(rank_col, F.col(_LRANK) - F.col("__first") + F.col("__off_rank"))
-            .drop(_PID, _LRANK, _GROUP, "__first", "__off_rank"))
+    joined = local.alias("__l").join(offsets.alias("__o"), cond)
+    return joined.select(
+        *[F.col(f"__l.`{c}`") for c in df.columns], (index + F.col("__o.__off_rank")).alias(rank_col),
+        *[(F.col(f"__l.__l_{v}") + F.col(f"__o.__off_{v}")).alias(f"{sum_prefix}{s}") for v, s in zip(vcols, sums)])
 
 
 def global_rank(df: DataFrame, order_by: Sequence[str], rank_col: str = "row_idx",
