@@ -16,9 +16,11 @@ and is one file of fixed-stride records: the record of a slot starts at
 Two passes over the table: the first counts sequences of each run of rows (one
 small row per file split), the second writes.  Runs are found by file and row
 number, so their order, and every slot, is the same at any split size and on
-any cluster.  Only the payload is shuffled, once, by shard; the writer streams a
-shard's sorted records to a temporary name in the shared folder and renames
-it, so a lost executor's work is simply done again.
+any cluster.  Only the payload is shuffled, once, by shard: records that go from
+one batch of documents to the same shard travel as one compressed block.  The
+writer puts a shard's records (at most MOST_RECORDS) into place, writes them to
+a temporary name in the shared folder and renames it, so a lost executor's work
+is simply done again.
 
 Nulls: a null text is empty: one sequence of an end token.  A null doc_id is
 carried.  Repeated rows are sequences of their own.  An empty table writes no
@@ -35,6 +37,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,16 +179,16 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
     per_shard = max(1, min(most_records, -(-total // least_shards)))
     keys = round_keys(key)
     shared = spark.sparkContext.broadcast({f: np.array(v, dtype=np.int64) for f, v in starts.items()})
-    schema = "doc_id {}, seq_no int, n_tokens int, slot long, shard long, payload binary".format(
-        docs.schema["doc_id"].dataType.simpleString())
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        """Sequences with their slots; numbers run on within a run of rows."""
+        """Blocks of sequences for a shard; numbers run on within a run of rows."""
         encode, file, last, number = tokens.encoder(), None, -2, 0
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 piece = b.slice(at, 500)
-                ids, numbers, seq, sizes, data = [], [], [], [], []
+                rows_of, numbers, seq, sizes, data = [], [], [], [], []
                 for k, (f, pos, t) in enumerate(zip(piece.column("__file").to_pylist(),
                                                     piece.column("__pos").to_pylist(), piece.column("text"))):
                     if f != file or pos <= last:
@@ -196,54 +199,76 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
                         number = int(at_run[where, 1])
                     last = pos
                     records, n = sequences(t.as_py(), encode, tokens, length)
-                    for s, record in enumerate(records):
-                        ids.append(k)
-                        numbers.append(number + s)
-                        seq.append(s)
-                        sizes.append(min(length, n - s * length))
-                        data.append(record.tobytes())
-                    number += len(records)
-                slot = slots(np.array(numbers, dtype=np.int64), total, keys)
+                    count = len(records)
+                    rows_of.append(np.full(count, k))
+                    numbers.append(np.arange(number, number + count))
+                    seq.append(np.arange(count))
+                    sizes.append(np.minimum(length, n - np.arange(count) * length))
+                    data.append(records)
+                    number += count
+                slot = slots(np.concatenate(numbers), total, keys)
+                order = np.argsort(slot, kind="stable")
+                slot, records = slot[order], np.concatenate(data)[order]
+                shards, first = np.unique(slot // per_shard, return_index=True)
+                ends = np.append(first, len(slot))
+                offsets = pa.array(ends.astype(np.int32))
+
+                def lists(values):
+                    return pa.ListArray.from_arrays(offsets, values)
+
+                ids = piece.column("doc_id").take(pa.array(np.concatenate(rows_of)[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(seq, pa.int32()),
-                     pa.array(sizes, pa.int32()), pa.array(slot), pa.array(slot // per_shard),
-                     pa.array(data, pa.binary())], ["doc_id", "seq_no", "n_tokens", "slot", "shard", "payload"])
+                    [pa.array(shards), lists(pa.array(slot)), lists(ids),
+                     lists(pa.array(np.concatenate(seq)[order].astype(np.int32))),
+                     lists(pa.array(np.concatenate(sizes)[order].astype(np.int32))),
+                     pa.array([pack.compress(records[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:])], pa.binary())],
+                    ["shard", "slots", "ids", "seqs", "sizes", "block"])
 
     def write(batches):
-        """Stream sorted records to their shards; a shard is whole in one task."""
+        """Write every shard from its blocks; a shard's blocks come together."""
         store, base = file_system(folder)
         store.create_dir(base, recursive=True)
-        open_shard, out, temporary = None, None, None
-
-        def close():
-            if out is not None:
-                out.close()
-                store.move(temporary, f"{base}/{shard_name(open_shard)}")
-
-        for b in batches:
-            shards = b.column("shard").to_numpy()
-            crc = []
-            for k, record in enumerate(b.column("payload")):
-                if shards[k] != open_shard:
-                    close()
-                    open_shard, temporary = int(shards[k]), f"{base}/.{shard_name(int(shards[k]))}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temporary)
-                data = record.as_py()
-                out.write(data)
-                crc.append(zlib.crc32(data))
-            names = [f"{folder}/{shard_name(s)}" for s in shards.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("doc_id", "seq_no", "n_tokens", "slot", "shard")]
-                + [pa.array((b.column("slot").to_numpy() % per_shard) * stride), pa.array(crc, pa.int64()),
-                   pa.array(names, pa.string())],
+        unpack, shard, held = zstandard.ZstdDecompressor(), None, []
+
+        def finish():
+            slot = np.concatenate([h[0] for h in held])
+            order = np.argsort(slot, kind="stable")
+            records = np.concatenate([np.frombuffer(unpack.decompress(h[4]), dtype=tokens.dtype).reshape(-1, length)
+                                      for h in held])[order]
+            temporary = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as out:
+                out.write(records.tobytes())
+            store.move(temporary, f"{base}/{shard_name(shard)}")
+            n = len(slot)
+            ids = pa.concat_arrays([h[1] for h in held]).take(pa.array(order))
+            numbers = [np.concatenate([h[k] for h in held])[order] for k in (2, 3)]
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(numbers[0], pa.int32()), pa.array(numbers[1], pa.int32()), pa.array(slot[order]),
+                 pa.array(np.full(n, shard)), pa.array(slot[order] % per_shard * stride),
+                 pa.array([zlib.crc32(r.tobytes()) for r in records], pa.int64()),
+                 pa.array([f"{folder}/{shard_name(shard)}"] * n, pa.string())],
                 ["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "crc32", "path"])
-        close()
 
-    dealt = rows.select("doc_id", "text", "__file", "__pos").mapInArrow(cut, schema)
-    # a shard's records meet in one task, sorted: at most MOST_RECORDS of them
+        for b in batches:
+            for k in range(b.num_rows):
+                this = b.column("shard")[k].as_py()
+                if held and this != shard:
+                    yield finish()
+                    held = []
+                shard = this
+                held.append((b.column("slots")[k].values.to_numpy(), b.column("ids")[k].values,
+                             b.column("seqs")[k].values.to_numpy(), b.column("sizes")[k].values.to_numpy(),
+                             b.column("block")[k].as_py()))
+        if held:
+            yield finish()
+
+    dealt = rows.select("doc_id", "text", "__file", "__pos").mapInArrow(
+        cut, f"shard long, slots array<long>, ids array<{id_type}>, seqs array<int>, sizes array<int>, block binary")
+    # a shard's records meet in one task: at most MOST_RECORDS of them
     dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shard") \
-        .sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, schema.replace("payload binary", "byte_offset long, crc32 long, path string"))
+        .sortWithinPartitions("shard")
+    return dealt.mapInArrow(write, f"doc_id {id_type}, seq_no int, n_tokens int, slot long, shard long, "
+                                   "byte_offset long, crc32 long, path string")
 
 
 def read_records(folder: str, shard: int, first: int, count: int, length: int = SEQUENCE, tokens=None) -> np.ndarray:
