@@ -24,7 +24,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     rows = stored(docs)
-    return rows.join(simhash.surplus(rows), ["__file", "__pos"], "left_anti").select(*docs.columns)
+    return rows.join(simhash.survivors(rows), ["__file", "__pos"], "left_semi").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,12 +193,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def surplus(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Places (__file, __pos) of the rows of ``docs`` (with both columns) that
-    are not the one row kept of their group: the least doc_id, nulls last, then
-    the first place."""
+def survivors(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """Places (__file, __pos) of the one row of ``docs`` (with both columns) kept
+    of each group: the least doc_id, nulls last, then the first place.  A group
+    of any size is reduced where its rows lie, by a partial aggregate."""
     prints = keep(fingerprints(docs, ("doc_id", "__file", "__pos"), shingle), "prints")
     rows = prints.join(grouped(prints, distance=distance).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__pos")
-    first = rows.groupBy("root").agg(F.min_by(F.struct("__file", "__pos"), order).alias("kept"))
-    return rows.join(first, "root").where(F.struct("__file", "__pos") != F.col("kept")).select("__file", "__pos")
+    return rows.groupBy("root").agg(F.min_by(F.struct("__file", "__pos"), order).alias("kept")).select("kept.*")
