@@ -43,15 +43,20 @@ END = "\n"               # the end token; no word contains a line break
 SEED = 11
 
 
-def token_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(tokens of all texts in order, each text closed by END; tokens per text)."""
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in order, words per text)."""
     lowered = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     lists = pc.ascii_split_whitespace(lowered)
     flat, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(lowered, "").to_numpy(zero_copy_only=False)     # splits into one empty string
-    words = np.where(empty, 0, lengths)
-    # words of empty texts leave, and an end follows each text
-    flat = flat.filter(pa.array(np.repeat(~empty, lengths)))
+    if empty.any():
+        flat = flat.filter(pa.array(np.repeat(~empty, lengths)))
+    return flat, np.where(empty, 0, lengths)
+
+
+def token_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of all texts in order, each text closed by END; tokens per text)."""
+    flat, words = word_lists(texts)
     ends = np.cumsum(words + 1) - 1
     order = np.full(int((words + 1).sum()), -1, dtype=np.int64)
     inside = np.ones(len(order), dtype=bool)
@@ -61,19 +66,22 @@ def token_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([flat, pa.array([END], pa.string())]).take(pa.array(order)), words + 1
 
 
-def pieces(batches, rows: int = 1000):
-    """Batches of at most ``rows`` rows: bounds the tokens held at once."""
+def pieces(batches, rows: int = 250):
+    """Batches of at most ``rows`` rows: bounds the tokens held at once.  What a
+    piece has used goes back to the system before the next."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+            pa.default_memory_pool().release_unused()
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c) over all rows of ``docs`` (text)."""
     def run(batches):
-        for b in pieces(batches, 4000):
-            got = pc.value_counts(token_lists(b.column("text"))[0])
+        for b in pieces(batches, 2000):
+            got = pc.value_counts(word_lists(b.column("text"))[0])
             yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([b.num_rows], pa.int64())], ["token", "c"])
 
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
