@@ -92,3 +92,14 @@ def prefix_sums(df: DataFrame, group: str, order: Sequence[str], values: Sequenc
     out = local.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__i_{v}") for v in values])
     out = out.join(offsets, ["__slice", group])
     return out.select(*df.columns, *[(F.col(f"__i_{v}") + F.col(f"__o_{v}")).alias(f"before_{v}") for v in values])
+
+
+def least_hashed(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` rows (a parameter of some thousands) with the least xxhash64 of
+    ``columns``, ties by the columns.  Rows beyond three times the expected
+    threshold are filtered first, so a task keeps few rows for the merge however
+    many tasks there are."""
+    h = F.xxhash64(*columns)
+    share = 3 * n / max(df.count(), 1)
+    near = df.where(h <= int(-(1 << 63) + share * (1 << 64))) if share < 1 else df
+    return near.orderBy(h, *columns).limit(n)

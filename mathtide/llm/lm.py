@@ -17,8 +17,9 @@ a token's normalised log-probability is a few table look-ups.
 
 Base: sum over tokens of log10((c + 1) / (N + V + 1)).
 
-Frequent tokens (``HEAD`` of them, a bound on the broadcast) are looked up where
-the text is; the others are joined with the counts by token.
+Frequent tokens (at most ``HEAD``, a bound on the broadcast; tokens of equal count
+are in or out together) are looked up where the text is; the others are joined
+with the counts by token.
 
 Nulls: a null text is empty and has one token, its end; a null doc_id is
 carried, and counts as the empty text for the fold.  Repeated rows each get a
@@ -30,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathtide.llm.common import fold, keep
@@ -198,8 +199,13 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, model_words: int = M
     counts = keep(count_tokens(rows.where(~F.col("held_out"))), "counts")
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = total[0] or 0, total[1]
-    # at most ``head`` tokens: the bound on what is broadcast
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    # the least count whose tokens, with all more frequent ones, are at most ``head``: the
+    # bound on what is collected and broadcast (there are under sqrt(2 N) different counts)
+    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    so_many = F.sum("k").over(Window.orderBy(F.desc("c")))
+    floor = by_count.withColumn("so_many", so_many).where(F.col("so_many") <= head).agg(F.min("c")).first()[0]
+    frequent = counts.where(F.col("c") >= floor).collect() if floor is not None else []
+    top = sorted(((r["token"], r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     known = [t for t, _ in top[:model_words]]
     top_c = np.array([c for _, c in top], dtype=np.float64)
     model_c = top_c[:len(known)]
@@ -241,7 +247,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, model_words: int = M
     parts = keep(rows.mapInArrow(run, schema).withColumn("__id", F.monotonically_increasing_id()), "scores")
     # rarer words: those seen in training add log10(c + 1) to their document
     tails = parts.select("__id", F.explode("tail").alias("token"))
-    beyond = counts.where(F.col("c") <= int(top_c[-1])) if top else counts
+    beyond = counts.where(F.col("c") < floor) if floor is not None else counts
     added = tails.join(beyond, "token").groupBy("__id").agg(
         F.count(F.lit(1)).alias("t_known"), F.sum(F.log10(F.col("c") + 1)).alias("t_log"))
     out = parts.drop("tail").join(added, "__id", "left")

@@ -7,7 +7,7 @@ n_lines <= 3``); a lasso logistic regression over the rules keeps few of them;
 and those compile to one Spark column, so scoring is a plain projection.
 
 Fitting uses at most ``SAMPLE`` labelled rows, those with the least xxhash64 of
-their doc_id; only their statistics reach the driver.
+their doc_id and label; only their statistics reach the driver.
 
 Nulls: a null text is the empty text, whose statistics are all 0, and gets a
 score like any other; rows with a null label or doc_id are never learnt from.
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathtide.llm.common import BLANKS, fold, text_or_empty, words
+from mathtide.llm.common import BLANKS, fold, least_hashed, text_or_empty, words
 
 SAMPLE = 20_000
 TREES, DEPTH, CUTS = 40, 3, 24
@@ -65,8 +65,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 def sample_labels(labels: DataFrame, target: str, modulus: int, held: int, size: int = SAMPLE) -> DataFrame:
     """(doc_id, y): at most ``size`` labelled rows outside the held-out fold."""
-    return labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", modulus) != held)) \
-        .select("doc_id", F.col(target).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(size)
+    usable = F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold("doc_id", modulus) != held)
+    return least_hashed(labels.where(usable).select("doc_id", F.col(target).cast("int").alias("y")), ["doc_id", "y"], size)
 
 
 # -- trees ---------------------------------------------------------------------------------------------------------

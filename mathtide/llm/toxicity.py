@@ -8,7 +8,7 @@ document labels exist; the noisy-or's gradient gives the blame to the sentences
 that explain the label.  The sentences with p(s) >= 0.5 are then the located
 ones.
 
-Fitting uses at most ``SAMPLE`` labelled rows (least xxhash64 of doc_id).  The
+Fitting uses at most ``SAMPLE`` labelled rows (least xxhash64 of doc_id and label).  The
 vocabulary is counted by Spark over them: features in at least ``LEAST_DOCS``
 documents, the ``VOCABULARY`` ones most associated with either class.  A bag
 then is small integers; proximal gradient steps with an L1 penalty leave

@@ -228,3 +228,13 @@ def test_no_python_on_native_paths(documents, spark):
     for df in (quality_rules.judge(documents), decontaminate.find(documents, items)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_least_hashed(spark):
+    from mathtide.llm.common import least_hashed
+    df = spark.range(0, 50_000)
+    h = F.xxhash64("id")
+    want = [r["id"] for r in df.orderBy(h, "id").limit(2000).collect()]
+    assert [r["id"] for r in least_hashed(df, ["id"], 2000).collect()] == want
+    assert least_hashed(df.where("id < 10"), ["id"], 2000).count() == 10
+    assert least_hashed(df.where("id < 0"), ["id"], 2000).count() == 0
