@@ -85,8 +85,7 @@ def prepare(rendered: DataFrame, caps: dict[str, int] | None = None, seed: int =
     checkpoint_dir(std.sparkSession)
     keys = std.select("dataset", "row_key").checkpoint()
     parts = [keys.where(~F.col("dataset").isin(*caps))] if caps else [keys]
-    parts += [S.take_per_group(keys.where(F.col("dataset") == name), n, "dataset", ["row_key"])
-              for name, n in caps.items()]
+    parts += [S.take(keys.where(F.col("dataset") == name), n, ["row_key"]) for name, n in caps.items()]
     decided = S.train_test_split(reduce(lambda a, b: a.unionByName(b), parts), test_size, seed,
                                  key="row_key", group="dataset")
     out = std.join(decided, ["dataset", "row_key"]).withColumn("prompt", B.sft_prompt("question", "answer"))
