@@ -223,6 +223,22 @@ def test_leaks_nasty(spark, nasty, empty):
     assert decontaminate.find(nasty, i.where("false")).count() == 0
 
 
+def test_leaks_under_null_and_repeated_ids(spark):
+    """Every row's windows are verified, also where rows share an id and their
+    windows of one length begin at the same word."""
+    item = [f"w{i}" for i in range(20)]
+    decoy = ["first", "words", *item[2:7], *[f"x{i}" for i in range(13)]]
+    texts = [" ".join(decoy)] * 12 + [" ".join(item)] + [" ".join(decoy)] * 12
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for at in (0, 12, 24):
+        own = [t for t in texts if t != " ".join(item)]
+        own.insert(at, " ".join(item))
+        for k in (None, 7):
+            d = spark.createDataFrame([(k, t) for t in own], "doc_id long, text string").coalesce(1)
+            got = [tuple(r) for r in decontaminate.find(d, i).collect()]
+            assert got == [(k, 1, 1.0, 0, 0)]
+
+
 def test_no_python_on_native_paths(documents, spark):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     for df in (quality_rules.judge(documents), decontaminate.find(documents, items)):
