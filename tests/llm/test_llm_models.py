@@ -155,6 +155,37 @@ def test_network_finds_what_it_learnt(spark):
     assert score("some words mail to user.12@mail7.example.com more")[0] < threshold
 
 
+def test_every_run_is_a_candidate():
+    """Runs without a digit count, and windows show every character of a long run."""
+    text = "see QwErTyUiOpAsDfGhJk there"
+    assert [c[:3] for c in secrets.scan(text)[1]] == [(4, 22, 0)]
+    for n in (12, 48, 49, 72, 73, 150, 1000):
+        assert {i for s, e in secrets.pieces(5, 5 + n) for i in range(s, e)} == set(range(5, 5 + n))
+        assert all(e - s <= 48 for s, e in secrets.pieces(5, 5 + n))
+    run = "/".join(["folder"] * 6 + ["kEy4Zq81LmXw0Pd7Rt5u"] + ["folder"] * 6)
+    middle = secrets.CODES[np.frombuffer(b"kEy4Zq81LmXw0Pd7Rt5u", dtype=np.uint8)].tobytes()
+    assert any(middle in w[32:80] for _, _, _, w in secrets.scan(run)[1])
+    run = "0123456789abcdef" + "/folder" * 20
+    assert [y for _, _, y, _ in secrets.scan(run)[1]][::5] == [secrets.OVERLAPS, secrets.BESIDE]
+
+
+def test_secrets_without_digits_are_reported(spark):
+    """Letters-only keys in a form no base rule knows; long words are not."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    def key():
+        return "".join(rng.choice(letters, 32))
+    forms = ["password = {}", 'secret: "{}"', "token={}", "api_key = '{}'", "our passwd: {}"]
+    plain = ["international", "administration", "responsibilities", "--------------", "docs/reference/index"]
+    rows = [(2 * i, f"we use {forms[i % 5].format(key())} here") for i in range(300)]
+    rows += [(2 * i + 1, f"some {plain[i % 5]} of {rng.integers(1000)} things") for i in range(300)]
+    rows += [(1000, f"we use pass: {key()} here"), (1001, "more international things")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find(df).collect()}
+    assert got[1000].startswith("net:13:45") and got[1001] == ""
+
+
 def test_secrets_empty(empty):
     assert secrets.find(empty).count() == 0
 
