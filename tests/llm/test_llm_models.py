@@ -169,6 +169,17 @@ def test_every_run_is_a_candidate():
     assert [y for _, _, y, _ in secrets.scan(run)[1]][::5] == [secrets.OVERLAPS, secrets.BESIDE]
 
 
+def test_threshold_keeps_the_recall():
+    """Also where the classes overlap and positives score below one half."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(2, 28, (600, secrets.WINDOW))
+    y = (rng.random(600) < 0.15).astype(np.float32)
+    p, a, b, threshold = secrets.fit(x, y)
+    held = (np.arange(600) % 3 == 0) & (y == 1)
+    scores = 1 / (1 + np.exp(-(a * secrets.predict(p, x[held]) + b)))
+    assert threshold < 0.5 and (scores >= threshold).mean() >= secrets.RECALL
+
+
 def test_secrets_without_digits_are_reported(spark):
     """Letters-only keys in a form no base rule knows; long words are not."""
     rng = np.random.default_rng(4)
