@@ -223,6 +223,26 @@ def test_leaks_nasty(spark, nasty, empty):
     assert decontaminate.find(nasty, i.where("false")).count() == 0
 
 
+def test_short_items_match_all_windows(spark):
+    """Items of one to four words are found inside longer and shorter documents."""
+    items = {1: "alpha", 2: "beta gamma", 3: "delta eps zeta", 4: "one two three four", 5: "five words are one shingle"}
+    docs = {1: "a long text where Alpha stands, and beta gamma too; alpha again",
+            2: "delta eps zeta", 3: "x one two three four y", 4: "beta x gamma", 5: "say beta gamma",
+            6: "one two three", 7: None, 8: "here five words are one shingle and delta eps zeta", 9: "alphabet betas"}
+    want = {}
+    for d, text in docs.items():
+        w = plain(text or "")
+        for i, item in items.items():
+            iw = plain(item)
+            at = [s for s in range(len(w) - len(iw) + 1) if w[s:s + len(iw)] == iw]
+            if at:
+                want[d, i] = (1.0, 0, at[0])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    it = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.find(df, it).collect()}
+    assert got == want and len(want) == 7
+
+
 def test_leaks_under_null_and_repeated_ids(spark):
     """Every row's windows are verified, also where rows share an id and their
     windows of one length begin at the same word."""
