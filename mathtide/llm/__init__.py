@@ -1 +1 @@
-"""Training-data operators: ten steps of a corpus pipeline as Spark jobs."""
+"""Training-data operators: thirteen steps of a corpus pipeline as Spark jobs."""

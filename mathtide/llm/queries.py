@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mathtide.llm import decontaminate, lm, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, \
-    token_output, toxicity
+from mathtide.llm import conversations, decontaminate, lm, merkle, mixing, packing, quality_classifier, quality_rules, \
+    secrets, sharding, simhash, token_output, toxicity
 from mathtide.llm.common import table
 
 
@@ -49,6 +49,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_secrets": op2_secrets,
@@ -60,6 +74,9 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_repair_conversations": op11_repair_conversations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pack_sequences": op13_pack_sequences,
 }
 
 OP4_SQL = r"""
