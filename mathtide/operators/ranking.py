@@ -41,8 +41,8 @@ SLICE_BYTES = 64 << 20
 UNKNOWN_BYTES = 1 << 60
 
 
-def _default_slices(df: DataFrame) -> int:
-    """At least one slice per core, about SLICE_BYTES per slice by the
+def input_slices(df: DataFrame, least: int | None = None) -> int:
+    """At least one slice per core (or ``least``), about SLICE_BYTES per slice by the
     optimizer's size estimate; ``spark.sql.shuffle.partitions`` slices where
     Spark does not know the size.
 
@@ -50,7 +50,7 @@ def _default_slices(df: DataFrame) -> int:
     large slice costs time, not memory; the count only sets the parallelism.
     """
     spark = df.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, 1)
+    cores = least or max(spark.sparkContext.defaultParallelism, 1)
     def as_int(size):
         return int(size if isinstance(size, int) else size.toString())
     try:
@@ -77,7 +77,7 @@ def running_totals(df: DataFrame, order_by: Sequence[str], partition_by: Sequenc
     including the current one in ``order_by`` order.
     """
     order_by, partition_by, sums = list(order_by), list(partition_by), list(sums)
-    n = num_slices or _default_slices(df)
+    n = num_slices or input_slices(df)
     vcols = [f"__v_{s}" for s in sums]
     data = df.withColumns({v: F.coalesce(F.col(s).cast("long"), F.lit(0)) for v, s in zip(vcols, sums)}) if sums else df
     group = F.xxhash64(*partition_by) if partition_by else F.lit(0).cast("long")

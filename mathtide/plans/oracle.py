@@ -817,11 +817,18 @@ FROM documents WHERE source IS NOT NULL AND NOT starts_with(source, 'src1')"""
 
 
 def stream_shuffle_sql() -> str:
+    """The buffer replayed: a record leaves its slot when the next one draws it."""
     return """
-SELECT doc_id, lang, CAST(0 AS BIGINT) AS batch_id,
-       CAST(buffer * 64 + row_number() OVER (PARTITION BY buffer ORDER BY md5('42:0:' || doc_id), doc_id) - 1 AS BIGINT)
-         AS shuffle_pos
-FROM (SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS buffer FROM documents)"""
+WITH p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
+s AS (
+  SELECT *, CASE WHEN position < 64 THEN position
+                 ELSE CAST('0x' || substr(md5('42:' || position), 1, 8) AS BIGINT) % 64 END AS slot
+  FROM p),
+e AS (SELECT *, lead(position) OVER (PARTITION BY slot ORDER BY position) - 64 AS out FROM s)
+SELECT doc_id, lang, CAST(position AS BIGINT) AS position,
+       CAST(coalesce(out, count(out) OVER () + row_number() OVER (PARTITION BY out IS NULL ORDER BY md5('42:end:' || slot)) - 1)
+            AS BIGINT) AS shuffle_pos
+FROM e"""
 
 
 def stream_head_sql() -> str:

@@ -595,11 +595,12 @@ def stream_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded shuffle of the corpus stream within buffers of 64 records."""
-    from mathtide.streaming import jobs as J
-    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "lang")
-    out = J.run_to_table(stream, "j2", batch_fn=J.buffer_shuffle(42, "doc_id", buffer_size=64))
-    return out.select("doc_id", "lang", "batch_id", "shuffle_pos")
+    """Seeded shuffle of the corpus stream through a buffer of 64 records that
+    is refilled record by record; the corpus arrives in several micro-batches."""
+    from mathtide.streaming import carried
+    stream = _staged(spark, sf_dir, "documents", ["doc_id", "lang"], ["doc_id"], position="position")
+    out = carried.buffer_shuffle(stream, "position", buffer_size=64, seed=42)
+    return out.select("doc_id", "lang", "position", "shuffle_pos")
 
 
 def stream_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -711,42 +712,42 @@ def parquet_footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order) -> DataFrame:
-    """A whole table as a stream of several micro-batches in the given order."""
+def _staged(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order: list[str],
+            position: str | None = None) -> DataFrame:
+    """A whole table as a stream of three micro-batches in the given order."""
     from mathtide.streaming import jobs as J
     path = _scratch(spark, f"staged-{name}")
-    J.stage_in_order(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), order, path, parts=3, files=2)
-    return J.file_stream(spark, path, max_files_per_trigger=2)
+    files = J.stage_in_order(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), order, path, position)
+    return J.file_stream(spark, path, max_files_per_trigger=max(1, -(-files // 3)))
 
 
 def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 per example: running accuracy after every response of the lineitem
-    stream (judged against static gold), carried across micro-batches: the table
-    arrives as three groups of files in question order."""
-    from mathtide.session import scratch_path
+    stream (judged against static gold), carried across micro-batches by Spark's
+    state store: the table arrives in question order."""
+    from mathtide.streaming import carried
     from mathtide.streaming import jobs as J
-    raw = _staged(spark, sf_dir, "lineitem", V._LINEITEM_COLUMNS, F.col("l_orderkey"))
-    resp = V.responses_from(raw)
+    raw = carried.placed(_staged(spark, sf_dir, "lineitem", V._LINEITEM_COLUMNS,
+                                 ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+    resp = V.responses_from(raw, *carried.PLACE)
     gold = V.gold(spark, sf_dir, rebalance=False).select(
         "question_id", A.extract_answer("answer").alias("gold_answer"))
     judged = resp.join(gold, "question_id", "left").select(
-        "run", "question_id", "vote.l_linenumber", "vote.l_partkey", "vote.l_suppkey", "vote_pos",
+        "run", "question_id", "vote.l_linenumber", "vote.l_partkey", "vote.l_suppkey", *carried.PLACE,
         A.is_correct(A.extract_answer("response"), F.col("gold_answer")).alias("correct"))
-    step = J.running_accuracy_batches(scratch_path(spark, "j5-state"), "run", ["question_id", "vote_pos"], "correct")
-    out = J.run_to_table(judged, "j5-running", batch_fn=step)
+    out = J.stream_running_accuracy(judged)
     return out.select("run", "question_id", "l_linenumber", "l_partkey", "l_suppkey", "correct",
                       "example_idx", "running_correct", _r6("running_accuracy").alias("running_accuracy"))
 
 
 def stream_training_speed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6 every 10 steps: the step log as a stream of three groups of files in time
-    order, speed metrics carried across micro-batches."""
-    from mathtide.session import scratch_path
+    """J6 every 10 steps: the step log as a stream in time order, speed metrics
+    carried across micro-batches by Spark's state store."""
+    from mathtide.streaming import carried
     from mathtide.streaming import jobs as J
-    seconds = F.timestamp_diff("SECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("ts"))
-    log = V.step_log_from(_staged(spark, sf_dir, "events", ["event_type", "event_id", "ts", "value"], seconds))
-    step = J.training_speed_batches(scratch_path(spark, "j6-state"))
-    out = J.run_to_table(log, "j6-steps", batch_fn=step)
+    log = V.step_log_from(carried.placed(_staged(spark, sf_dir, "events", ["event_type", "event_id", "ts", "value"],
+                                                 ["ts", "event_id"])), *carried.PLACE)
+    out = J.stream_speed_steps(log)
     return out.select("run", "step", "total_samples", _r6("elapsed_s").alias("elapsed_s"),
                       _r6("samples_per_second").alias("samples_per_second"),
                       _r6("seconds_per_step").alias("seconds_per_step"))

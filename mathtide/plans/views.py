@@ -27,14 +27,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses_from(spread(raw))     # spread the narrow raw columns, then derive
 
 
-def responses_from(lineitem: DataFrame) -> DataFrame:
-    """V1 over a lineitem frame (batch or stream).
+def responses_from(lineitem: DataFrame, *carry: str) -> DataFrame:
+    """V1 over a lineitem frame (batch or stream), with the columns of ``carry``.
 
     run = l_linestatus, question_id = l_orderkey, the vote position is
     (l_linenumber, l_partkey, l_suppkey) -- as a struct ``vote`` and packed in
     ``vote_pos``; the text form depends on l_partkey % 6.
     """
-    li = lineitem.select(*_LINEITEM_COLUMNS)
+    li = lineitem.select(*_LINEITEM_COLUMNS, *carry)
     n = F.floor("l_quantity").cast("long")
     m = F.col("l_suppkey") % 10
     kind = F.col("l_partkey") % 6
@@ -54,7 +54,7 @@ def responses_from(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("question_id"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("vote"),
         pos.alias("vote_pos"),
-        text.alias("response"))
+        text.alias("response"), *carry)
 
 
 def gold(spark: SparkSession, sf_dir: str, rebalance: bool = True) -> DataFrame:
@@ -158,9 +158,9 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_log_from(spread(raw))
 
 
-def step_log_from(events: DataFrame) -> DataFrame:
-    """V7 over an events frame (batch or stream): run = event_type, ordered
+def step_log_from(events: DataFrame, *carry: str) -> DataFrame:
+    """V7 over an events frame (batch or stream), with the columns of ``carry``: run = event_type, ordered
     by (ts, event_id); device batch 4; accumulation length(run) % 4 + 1."""
     return events.select(F.col("event_type").alias("run"), "event_id", "ts", "value",
                          F.lit(4).alias("batch"),
-                         (F.length("event_type") % 4 + 1).cast("int").alias("accumulation"))
+                         (F.length("event_type") % 4 + 1).cast("int").alias("accumulation"), *carry)

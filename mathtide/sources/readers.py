@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from mathtide.operators import filters as C
 from mathtide.operators import shape as B
 from mathtide.operators.ranking import global_rank
+from mathtide.sources.json_records import json_records
 
 QA_SCHEMA = T.StructType([T.StructField("question", T.StringType()),
                           T.StructField("answer", T.StringType())])
@@ -78,23 +79,24 @@ def read_asdiv_xml(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A3: files whose top level is an array of objects (ParaMAWPS, SVAMP).
 
-    Spark's multi-line JSON reader parses each file as a stream; numbers read
-    into string fields keep their JSON text, as ``str()`` does.  A JSON array is
-    one document, so a file is read by one task; large sources come as many
-    files.  A file that is no JSON gives one row of nulls.
+    One file is read by many tasks (``json_records``); numbers read into string
+    fields keep their JSON text, as ``str()`` does.  A file whose strings or
+    brackets do not close is an error.
     """
-    return _with_line_order(spark.read.schema(schema).option("multiLine", True).json(path))
+    found = json_records(spark, path)
+    text = F.regexp_replace("record", r"^[\s\[,]+", "")
+    return found.select(F.from_json(text, schema).alias("rec"), "order_key").select("rec.*", "order_key")
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType = DMATH_VALUE) -> DataFrame:
     """A4: files holding one object id -> record (DMath); one row per id (``key``)
-    in the object's order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__file"), "value")
-    parsed = whole.select("__file", F.posexplode(F.from_json("value", T.MapType(T.StringType(), value_schema)))
-                          .alias("__pos", "key", "rec"))
-    order = F.struct(F.col("__file").alias("file"), F.lit(0).cast("long").alias("block"),
-                     F.col("__pos").cast("long").alias("pos"))
-    return parsed.select(order.alias("order_key"), "key", "rec.*")
+    in the object's order.  One file is read by many tasks (``json_records``); a
+    file whose strings or brackets do not close is an error."""
+    found = json_records(spark, path)
+    text = F.concat(F.lit("{"), F.regexp_replace("record", r"^[\s{,]+", ""), F.lit("}"))
+    parsed = found.select("order_key", F.explode(F.from_json(text, T.MapType(T.StringType(), value_schema)))
+                          .alias("key", "rec"))
+    return parsed.select("order_key", "key", "rec.*")
 
 
 def read_aqua_jsonl(spark: SparkSession, path: str) -> DataFrame:

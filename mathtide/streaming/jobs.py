@@ -1,7 +1,8 @@
 """Streaming forms of the corpus and evaluation operators.
 
 The reference's streams are lazy record iterators with no event time, so
-these are stateless projections or per-key aggregates over file streams.
+these are stateless projections or per-key aggregates over file streams; totals and
+buffers that last from batch to batch are in ``carried``.
 Each runs with an ``availableNow`` trigger into a sink in the shared
 checkpoint folder; the checkpoint there makes a restarted query resume
 exactly where it stopped.
@@ -11,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
 from mathtide.operators import filters as C
 from mathtide.operators import sampling as S
-from mathtide.operators.ranking import global_rank
+from mathtide.operators.ranking import global_rank, input_slices
 from mathtide.session import checkpoint_dir, scratch_path
+from mathtide.streaming.carried import PLACE, run_carried
 
 
 def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", max_bytes_per_trigger: int = 8 << 30,
@@ -34,29 +37,46 @@ def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", max_b
     return reader.parquet(directory)
 
 
-def stage_in_order(df: DataFrame, order: Column, path: str, parts: int = 3, files: int = 2) -> None:
-    """Write ``df`` as ``parts`` x ``files`` Parquet files that a stream reads in
-    ``order``: part by part, each a range of the order, later parts later.  With
-    ``max_files_per_trigger=files`` a part is a micro-batch."""
-    ranked = df.withColumn("__o", order.cast("double"))
-    bounds = ranked.approxQuantile("__o", [i / parts for i in range(1, parts)], 0.01) or [0.0]
-    last = F.lit(False)
-    for bound in [*bounds, float("inf")]:
-        inside = F.coalesce(F.col("__o") <= bound, F.lit(bound == float("inf")))
-        ranked.where(inside & ~last).drop("__o").repartition(files).write.mode("append").parquet(path)
-        last = last | F.coalesce(F.col("__o") <= bound, F.lit(False))
+def stage_in_order(df: DataFrame, order: Sequence[str], path: str, position: str | None = None,
+                   least_files: int = 3) -> int:
+    """Write ``df`` as Parquet files that a stream reads in ``order`` (a total order of the rows); the number of files.
+
+    One range exchange, one file per slice of about 64 MB, written in parallel.
+    A file stream takes files by their modification time, so these are then set
+    in the order of the slices.  ``position`` adds the 0-based place of a row.
+    """
+    spark = df.sparkSession
+    if position:
+        df, order = global_rank(df, list(order), position), [position]
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    files = max(least_files, input_slices(df, 1))
+    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # part-<number>-..., the number of the slice
+    written = sorted((f for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")),
+                     key=lambda f: int(f.getPath().getName().split("-")[1]))
+    last = max((f.getModificationTime() for f in written), default=0)
+    for k, f in enumerate(written):
+        at = last - 10 * (len(written) - 1 - k)
+        store.setTimes(f.getPath(), at, -1)
+        if store.getFileStatus(f.getPath()).getModificationTime() != at:
+            raise ValueError(f"{path}: this store keeps no modification times, so a stream cannot be staged in order")
+    return len(written)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
-                 batch_fn: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+                 batch_fn: Callable[[DataFrame, int], DataFrame] | None = None, out: str | None = None,
+                 checkpoint: str | None = None) -> DataFrame:
     """Drain a stream (availableNow) into parquet in the shared folder; return it as a table.
+    With the ``out`` and ``checkpoint`` of an earlier call the query goes on where that one stopped.
 
     ``mode='complete'`` rewrites the table each micro-batch (aggregates);
     ``batch_fn`` transforms every micro-batch before it is appended.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out = out or scratch_path(spark, f"{name}-out")
+    ckpt = checkpoint or scratch_path(spark, f"{name}-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         data = batch_fn(batch, batch_id) if batch_fn else batch
@@ -80,46 +100,34 @@ def stream_filter_map(stream: DataFrame, exclude_prefixes: Sequence[str], source
     return project(C.exclude_sources(stream, exclude_prefixes, source))
 
 
-def buffer_shuffle(seed: int = 42, key: str | Sequence[str] = "id", buffer_size: int = 10_000,
-                   order_by: str | Sequence[str] | None = None) -> Callable[[DataFrame, int], DataFrame]:
-    """Seeded shuffle within buffers of ``buffer_size`` consecutive records
-    (the stream is never shuffled as a whole).
+class _Enough(Exception):
+    """Raised by a micro-batch that is not needed any more."""
 
-    A micro-batch's records in ``order_by`` order (default: the key) are cut into
-    buffers; within each the positions follow md5('seed:batch:key').
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    order = keys if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
-
-    def shuffle_batch(batch: DataFrame, batch_id: int) -> DataFrame:
-        tagged = batch.withColumns({"batch_id": F.lit(batch_id).cast("long"),
-                                    "__h": S.hash_order(f"{seed}:{batch_id}", keys)})
-        placed = global_rank(tagged, order, "__p").withColumn("__buffer", F.floor(F.col("__p") / buffer_size))
-        inside = Window.partitionBy("__buffer").orderBy("__h", *keys)       # at most buffer_size rows
-        return placed.withColumn("shuffle_pos", F.col("__buffer") * buffer_size + F.row_number().over(inside) - 1) \
-            .drop("__p", "__buffer", "__h")
-    return shuffle_batch
-
-
-def run_head(stream: DataFrame, n: int, name: str, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` records of the stream as a table; the query is stopped
-    once it has them.  Records of a micro-batch count in ``order_by`` order."""
+
+def run_head(stream: DataFrame, n: int, name: str, order_by: Sequence[str], out: str | None = None,
+             checkpoint: str | None = None) -> DataFrame:
+    """The first ``n`` records of the stream as a table.  The micro-batch after
+    the one that completes them ends the query before it reads anything.  Records of a micro-batch
+    count in ``order_by`` order; what earlier micro-batches wrote counts after a restart, too."""
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    have = {"n": 0}
+    out, ckpt = out or scratch_path(spark, f"{name}-out"), checkpoint or scratch_path(spark, f"{name}-ckpt")
+    schema = f"{stream.schema.toDDL()}, _batch long"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if have["n"] < n:
-            path = f"{out}/_batch={batch_id}"
-            S.take(batch, n - have["n"], order_by).write.mode("overwrite").parquet(path)
-            have["n"] += spark.read.parquet(path).count()
+        have = 0 if batch_id == 0 else spark.read.schema(schema).parquet(out).where(F.col("_batch") < batch_id).count()
+        if have >= n and batch_id > 0:
+            raise _Enough
+        # one task's merge of n rows from every partition
+        S.take(batch, n - have, order_by).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     query = (stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(write_batch)
              .trigger(availableNow=True).start())
-    while not query.awaitTermination(0.2):
-        if have["n"] >= n:
-            query.stop()
-    return spark.read.parquet(out).drop("_batch")
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if _Enough.__name__ not in str(e):
+            raise
+    return spark.read.schema(schema).parquet(out).drop("_batch")
 
 
 def stream_source_counts(stream: DataFrame, source: str = "source") -> DataFrame:
@@ -148,97 +156,33 @@ def stream_training_speed(log: DataFrame, run: str = "run", ts: str = "ts", batc
                                 F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def running_accuracy_batches(state_dir: str, run: str = "run", order_by: Sequence[str] = ("question_id",),
-                             correct: str = "correct") -> Callable[[DataFrame, int], DataFrame]:
-    """J5, per example: running accuracy after every example across micro-batches.
-
-    Inside a batch the positions and running counts come from the skew-safe
-    ranking (a run may hold most rows); earlier batches enter through a small
-    per-run totals table (one row per run) kept under ``state_dir`` by batch
-    id.  A replayed batch reads the same earlier state and overwrites its own,
-    so the output stays exactly-once.  Examples arrive in stream order: a later
-    batch's examples come after every earlier batch's.
-    """
-    from mathtide.operators.voting import running_accuracy as batch_running_accuracy
-
-    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        ranked = batch_running_accuracy(batch, correct, list(order_by), run)
-        # batch ids count up from 0 and every batch writes the whole state
-        prev = None if batch_id == 0 else spark.read.parquet(f"{state_dir}/_state={batch_id - 1}").select(
-            run, F.col("n_seen").alias("__seen"), F.col("n_correct").alias("__ok"))
-        if prev is not None:
-            cond = F.col(f"__b.{run}").eqNullSafe(F.col(f"__p.{run}"))
-            ranked = (ranked.alias("__b").join(prev.alias("__p"), cond, "left")
-                      .select("__b.*", "__p.__seen", "__p.__ok"))
-        else:
-            ranked = ranked.withColumn("__seen", F.lit(0).cast("long")).withColumn("__ok", F.lit(0).cast("long"))
-        seen, ok = F.coalesce("__seen", F.lit(0)), F.coalesce("__ok", F.lit(0))
-        out = (ranked.withColumn("example_idx", F.col("example_idx") + seen)
-               .withColumn("running_correct", F.col("running_correct") + ok)
-               .withColumn("running_accuracy", F.col("running_correct") / (F.col("example_idx") + 1))
-               .drop("__seen", "__ok"))
-        # new cumulative state: last example of each run in this batch, plus
-        # runs that were not in this batch
-        now = out.groupBy(run).agg((F.max("example_idx") + 1).alias("n_seen"),
-                                   F.max("running_correct").alias("n_correct"))
-        if prev is not None:
-            carried = prev.alias("__p").join(now.alias("__n"), F.col(f"__p.{run}").eqNullSafe(F.col(f"__n.{run}")),
-                                             "left_anti").select(run, F.col("__seen").alias("n_seen"),
-                                                                 F.col("__ok").alias("n_correct"))
-            now = now.unionByName(carried)
-        now.write.mode("overwrite").parquet(f"{state_dir}/_state={batch_id}")     # batch id from the folder
-        return out
-
-    return fn
-
-
-def training_speed_batches(state_dir: str, run: str = "run", order_by: Sequence[str] = ("ts", "event_id"),
-                           ts: str = "ts", batch: str = "batch", accumulation: str = "accumulation",
-                           world_size: int = 1, every: int = 10) -> Callable[[DataFrame, int], DataFrame]:
-    """J6, every ``every`` steps: samples/second and seconds/step across micro-batches.
-
-    Same pattern as ``running_accuracy_batches``: step numbers and sample
-    totals inside a batch from the skew-safe ranking, earlier batches through
-    a per-run state row (steps, samples, first timestamp) kept by batch id.
-    """
-    from mathtide.operators.ranking import running_totals
-
-    def fn(data: DataFrame, batch_id: int) -> DataFrame:
-        spark = data.sparkSession
-        samples = (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long")
-        ranked = running_totals(data.withColumn("__s", samples), list(order_by), [run], ["__s"], "__r", "cum")
-        first = data.groupBy(run).agg(F.min(ts).alias("__bstart"))
-        cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__f.{run}"))
-        ranked = ranked.alias("__x").join(first.alias("__f"), cond, "left").select("__x.*", "__f.__bstart")
-        prev = None if batch_id == 0 else spark.read.parquet(f"{state_dir}/_state={batch_id - 1}").select(
-            run, F.col("n_steps").alias("__ps"), F.col("n_samples").alias("__pn"), F.col("start_ts").alias("__pt"))
-        if prev is not None:
-            cond = F.col(f"__x.{run}").eqNullSafe(F.col(f"__p.{run}"))
-            ranked = ranked.alias("__x").join(prev.alias("__p"), cond, "left").select(
-                "__x.*", "__p.__ps", "__p.__pn", "__p.__pt")
-        else:
-            ranked = (ranked.withColumn("__ps", F.lit(None).cast("long")).withColumn("__pn", F.lit(None).cast("long"))
-                      .withColumn("__pt", F.lit(None).cast(data.schema[ts].dataType)))
-        steps = ranked.select(
-            run, ts, (F.col("__r") + 1 + F.coalesce("__ps", F.lit(0))).alias("step"),
-            (F.col("cum__s") + F.coalesce("__pn", F.lit(0))).alias("total_samples"),
-            F.coalesce("__pt", "__bstart").alias("start_ts"))
-        elapsed = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col(ts)) / F.lit(1e6)
-        out = (steps.where((F.col("step") % every) == 0).withColumn("elapsed_s", elapsed)
-               .select(run, "step", "total_samples", "elapsed_s",
-                       F.when(F.col("elapsed_s") > 0, F.col("total_samples") / F.col("elapsed_s"))
-                       .alias("samples_per_second"),
-                       (F.col("elapsed_s") / F.col("step")).alias("seconds_per_step")))
-        now = steps.groupBy(run).agg(F.max("step").alias("n_steps"), F.max("total_samples").alias("n_samples"),
-                                     F.min("start_ts").alias("start_ts"))
-        if prev is not None:
-            carried = (prev.alias("__p").join(now.alias("__n"), F.col(f"__p.{run}").eqNullSafe(F.col(f"__n.{run}")),
-                                              "left_anti")
-                       .select(run, F.col("__ps").alias("n_steps"), F.col("__pn").alias("n_samples"),
-                               F.col("__pt").alias("start_ts")))
-            now = now.unionByName(carried)
-        now.write.mode("overwrite").parquet(f"{state_dir}/_state={batch_id}")     # batch id from the folder
-        return out
-
-    return fn
+def stream_running_accuracy(judged: DataFrame, run: str = "run", correct: str = "correct",
+                            out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """J5, per example: running accuracy after every example of a ``placed``
+    stream, in the order it arrives.  Totals per run lie in Spark's state store
+    (``carried``); ``out`` and ``checkpoint`` of an earlier call go on with it."""
+    data = judged.withColumn("__ok", F.coalesce(F.col(correct).cast("boolean"), F.lit(False)).cast("long"))
+
+    def project(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("running_correct__ok", "running_correct").drop("__ok").withColumn(
+            "running_accuracy", F.col("running_correct") / (F.col("example_idx") + 1))
+    return run_carried(data, [run], ["__ok"], "j5-running", project, rank="example_idx", prefix="running_correct",
+                       out=out, checkpoint=checkpoint)
+
+
+def stream_speed_steps(log: DataFrame, run: str = "run", ts: str = "ts", batch: str = "batch",
+                       accumulation: str = "accumulation", world_size: int = 1, every: int = 10,
+                       out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """J6, every ``every`` steps of a ``placed`` stream: samples/second and
+    seconds/step; steps, samples and the first time of a run lie in Spark's state store."""
+    data = log.select(run, ts, *PLACE, (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long").alias("__n"),
+                      F.unix_micros(F.col(ts).cast("timestamp")).alias("__ts"))
+
+    def project(rows: DataFrame) -> DataFrame:
+        step, elapsed = F.col("__step") + 1, (F.col("__ts") - F.col("__first")) / F.lit(1e6)
+        return rows.where(step % every == 0).select(
+            run, step.alias("step"), F.col("cum__n").alias("total_samples"), elapsed.alias("elapsed_s"),
+            F.when(elapsed > 0, F.col("cum__n") / elapsed).alias("samples_per_second"),
+            (elapsed / step).alias("seconds_per_step"))
+    return run_carried(data, [run], ["__n"], "j6-steps", project, first="__ts", rank="__step", prefix="cum",
+                       out=out, checkpoint=checkpoint)

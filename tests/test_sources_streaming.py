@@ -96,10 +96,6 @@ def test_multi_batch_stream_equals_batch(spark, tmp_dir):
                                               lambda d: d.select("doc_id")), "t-filter")
     expected = docs.where(~F.col("source").startswith("src1")).select("doc_id")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in expected.collect())
-    shuffled = J.run_to_table(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1).select("doc_id"), "t-shuffle",
-                              batch_fn=J.buffer_shuffle(42, "doc_id"))
-    per_batch = shuffled.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("shuffle_pos").alias("m")).collect()
-    assert len(per_batch) == 3 and all(r.m == r.n - 1 for r in per_batch)
 
 
 def test_jsonl_line_order_across_splits(spark, tmp_dir):
@@ -116,50 +112,7 @@ def test_jsonl_line_order_across_splits(spark, tmp_dir):
     assert got == ["q%06d" % i for i in range(20000)]
 
 
-def test_stream_running_accuracy_across_batches(spark, tmp_dir):
-    import time
-    from mathtide.operators import voting as VT
-    from mathtide.session import scratch_path
-    from mathtide.streaming import jobs as J
-    folder = os.path.join(tmp_dir, "examples")
-    for part in range(3):                      # one file per micro-batch, keys ascending across files
-        (spark.range(part * 100, part * 100 + 100)
-         .select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("run"), F.col("id").alias("k"),
-                 (F.col("id") % 3 == 0).alias("correct"))
-         .coalesce(1).write.mode("append").parquet(folder))
-        time.sleep(1.1)
-    step = J.running_accuracy_batches(scratch_path(spark, "t-state"), "run", ["k"], "correct")
-    got = J.run_to_table(J.file_stream(spark, folder, "*.parquet", 1), "t-running", batch_fn=step)
-    want = VT.running_accuracy(spark.read.parquet(folder), "correct", ["k"], "run")
-    cols = ["run", "k", "example_idx", "running_correct"]
-    assert sorted(tuple(r) for r in got.select(*cols).collect()) == \
-        sorted(tuple(r) for r in want.select(*cols).collect())
-    assert got.count() == 300
-
-
 def test_result_names():
     assert W.single_results_name("gpt2", 4) == "gpt2_gsm8k_4shot_results.csv"
     assert W.vote_results_name("org/model-7b", True, 8, 0.7) == "model-7b_maj1@8_temp0.7_results.json"
     assert W.vote_results_name("org/model-7b", False, 8, 0.7) == "model-7b_results.json"
-
-
-def test_stream_training_speed_across_batches(spark, tmp_dir):
-    import datetime as dt
-    import time
-    from mathtide.operators import runlog as R
-    from mathtide.session import scratch_path
-    from mathtide.streaming import jobs as J
-    folder = os.path.join(tmp_dir, "steps")
-    t0 = dt.datetime(2024, 1, 1)
-    for part in range(3):
-        rows = [("r" if i % 3 else "s", i, t0 + dt.timedelta(seconds=3 * i), 4, 2)
-                for i in range(part * 40, part * 40 + 40)]
-        spark.createDataFrame(rows, "run string, event_id long, ts timestamp_ntz, batch int, accumulation int") \
-            .coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(1.1)
-    step = J.training_speed_batches(scratch_path(spark, "t-j6"))
-    got = J.run_to_table(J.file_stream(spark, folder, "*.parquet", 1), "t-j6-out", batch_fn=step)
-    want = R.training_speed(spark.read.parquet(folder))
-    cols = ["run", "step", "total_samples", "elapsed_s"]
-    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
-    assert got.count() == want.count() > 0
