@@ -639,6 +639,10 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens,
 FROM full_"""
 
 
+def bpe_roundtrip_sql() -> str:
+    return "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
+
+
 # ------------------------------------------------------------ user code ----
 
 def generated_eval_sql() -> str:

@@ -302,6 +302,32 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.token_budget(F.col("__n_full"), "deepseek-r1", 2048).alias("deepseek_new_tokens"))
 
 
+def _bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B13, pre-training form: the corpus as 1024 ids of a public byte-pair
+    vocabulary, padded with end-of-text, with causal labels."""
+    from mathtide.operators import bpe
+    from mathtide.operators import tokens as T
+    docs = V.corpus(spark, sf_dir).select("doc_id", "text")
+    enc = bpe.encode_bpe(docs, _bpe_path(), n_input_col="n_input")
+    return enc.select("doc_id", "n_input", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
+                      F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+                      F.md5(F.array_join(T.causal_labels(), " ")).alias("labels_md5"))
+
+
+def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the byte-pair vocabulary and decoded."""
+    from mathtide.operators import bpe
+    docs = V.corpus(spark, sf_dir).select("doc_id", "text")
+    ids = bpe.encode_bpe(docs, _bpe_path(), max_length=None, pad=False)
+    back = bpe.decode_bpe(ids, _bpe_path())
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 # ------------------------------------------------------------ user code ----
 
 def stub_generator(prompts, votes):

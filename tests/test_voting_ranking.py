@@ -123,3 +123,32 @@ def test_vote_caps_keep_null_keys(spark):
     df = spark.createDataFrame(rows, "run string, q string, v int")
     for k, want in ((20, 27), (8, 19), (2, 6)):
         assert EV.votes_for_method(df, ["run", "q"], "v", "maj@k", n_votes=k).count() == want
+
+
+def test_totals_move_rows_once(spark):
+    """After the range exchange and its checkpoint rows are not exchanged again, not even for many groups and sums."""
+    df = spark.range(5000).select((F.col("id") % 700).alias("g"), "id", (F.col("id") % 2).alias("v"))
+    out = running_totals(df, ["id"], ["g"], ["v"], num_slices=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    rows, totals = plan.split("BroadcastExchange")
+    assert "Exchange" not in rows and "Window" not in rows
+
+
+def test_totals_of_groups_across_batches_and_slices(spark):
+    from pyspark.sql import Window
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        df = spark.range(4000).select(
+            F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 400).cast("string"))
+            .alias("g"), (F.col("id") % 2 == 0).alias("b.c"), (F.col("id") * 7919 % 4001).alias("k"), "id")
+        for by in (["g"], [], ["g", "id"]):
+            w = Window.partitionBy(*by).orderBy("k")
+            want = df.select("id", F.row_number().over(w) - 1, F.sum(F.col("`b.c`").cast("long")).over(w))
+            for n in (1, 6):
+                got = running_totals(df.withColumnRenamed("b.c", "b"), ["k"], by, ["b"], num_slices=n)
+                assert sorted(map(tuple, got.select("id", "row_idx", "running_b").collect())) == sorted(map(tuple, want.collect()))
+        assert "b.c" in running_totals(df, ["k"], ["g"], num_slices=2).columns
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
