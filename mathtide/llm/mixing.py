@@ -1,14 +1,14 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key; within each source the documents are
-range-sorted by that key, distributed prefix sums of their sizes are taken,
-and the mix is cut at the source's exact budget.  A budget above the source's
+range-sorted by that key, distributed prefix sums of their sizes are taken
+(narrow rows move once, ``running_totals``), and the mix is cut at the source's exact budget.  A budget above the source's
 size repeats it: whole epochs first, then the head of one more epoch in the
 same random order.
 
 Nulls: a null text has size 0, a null source is a source of its own (last), a
 null doc_id is hashed as the empty text.  Rows that are equal in all of these
-are interchangeable.  An empty table gives an empty mix; a source without
+are interchangeable and ordered by their place in the stored table.  An empty table gives an empty mix; a source without
 words gets target 0.
 """
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mathtide.llm.common import prefix_sums, text_or_empty, word_count
+from mathtide.llm.common import stored, text_or_empty, word_count
+from mathtide.operators.ranking import running_totals
 
 WEIGHTS = (3, 1, 2)      # by place of the source in code point order, repeating
 SHARE = 1.5              # the mix's size as a share of all words
@@ -58,12 +59,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """One row per document: doc_id, size, source, source_size, target, taken,
     and the columns of ``carry``.  ``taken`` counts the words that the mix takes
     of the document over all epochs; per source they sum to floor(target)."""
-    sized = docs.select("doc_id", *carry, "source", word_count(text_or_empty()).alias("size"),
+    rows = docs if {"__file", "__pos"} <= set(carry) else stored(docs)
+    sized = rows.select("doc_id", *carry, "source", word_count(text_or_empty()).alias("size"),
+                        # rows equal in all else still fall into different slices
+                        F.xxhash64("__file", "__pos").alias("__place"),
                         F.when(F.col("source").isNull(), F.lit("n")).otherwise(
                             F.concat(F.lit("v"), F.col("source").cast("string"))).alias("__src"),
                         F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
                                           ).cast("binary")).alias("__h"))
-    placed = prefix_sums(sized, "__src", ["__h", "doc_id", "size", *carry], ["size"])
+    placed = running_totals(sized, ["__h", "doc_id", "size", "__place"], ["__src"], ["size"], "__rank", "__upto_") \
+        .withColumn("before_size", F.col("__upto_size") - F.col("size"))
     totals = placed.groupBy("__src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights, share, most)
     targets = targets.select(F.when(F.col("source").isNull(), F.lit("n")).otherwise(
