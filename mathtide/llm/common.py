@@ -103,3 +103,11 @@ def least_hashed(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     share = 3 * n / max(df.count(), 1)
     near = df.where(h <= int(-(1 << 63) + share * (1 << 64))) if share < 1 else df
     return near.orderBy(h, *columns).limit(n)
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row (doc_id, y, text) per row of ``chosen`` (doc_id, y; a bounded sample)
+    that has a document: where an id repeats, the text with the least SHA-256, null first."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", digest).alias("text"))

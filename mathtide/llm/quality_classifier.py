@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathtide.llm.common import BLANKS, fold, least_hashed, text_or_empty, words
+from mathtide.llm.common import BLANKS, fold, labelled_texts, least_hashed, text_or_empty, words
 
 SAMPLE = 20_000
 TREES, DEPTH, CUTS = 40, 3, 24
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, tar
         sample: int = SAMPLE):
     """(rules, weights, intercept) learnt from labelled rows outside the fold."""
     chosen = sample_labels(labels, target, modulus, held, sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")) \
+    rows = with_statistics(labelled_texts(docs, chosen)) \
         .select("doc_id", "y", *[f"__q_{k}" for k in STATISTICS]).orderBy("doc_id", *[f"__q_{k}" for k in STATISTICS])
     data = np.array([tuple(r)[1:] for r in rows.collect()], dtype=float).reshape(-1, len(STATISTICS) + 1)
     y, x = data[:, 0], data[:, 1:]

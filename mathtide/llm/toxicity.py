@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathtide.llm.common import fold, keep
+from mathtide.llm.common import fold, keep, labelled_texts
 from mathtide.llm.quality_classifier import sample_labels
 
 SAMPLE = 8_000
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
         sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     """({word: weight}, bias) learnt from labelled rows outside the fold."""
     chosen = sample_labels(labels, "toxic", modulus, held, sample)
-    rows = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic")
+    rows = keep(labelled_texts(docs, chosen), "toxic")
 
     def vocabulary(batches):
         for batch in batches:
@@ -127,13 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
         for batch in batches:
             found = [_bags(t.as_py(), index) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()),
-                 pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int32())))], ["doc_id", "y", "n", "bags"])
+                [batch.column("at"), batch.column("y").cast(pa.int32()), pa.array([f[0] for f in found], pa.int64()),
+                 pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int32())))], ["at", "y", "n", "bags"])
 
-    data = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(
-        bagged, "doc_id long, y int, n long, bags array<array<int>>").toPandas().sort_values(
-        ["doc_id", "n"], kind="stable")
+    # at most ``sample`` rows, whatever the ids' type and however often one repeats
+    data = rows.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("at"), "text", "y").mapInArrow(
+        bagged, "at long, y int, n long, bags array<array<int>>").toPandas().sort_values(["at", "n"], kind="stable")
     w, b = train(data["y"].to_numpy(), data["n"].to_numpy(), [[list(s) for s in x] for x in data["bags"]], len(names))
     return {x: float(v) for x, v in zip(names, w) if abs(v) > 1e-6}, b
 
