@@ -7,6 +7,9 @@ stage's ``docs``.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,21 @@ from mathtide.llm import decontaminate, mixing, quality_classifier, simhash, tok
 from mathtide.llm.common import keep, stored, table
 
 
+def own_names(stage: Callable) -> Callable:
+    """The stage with the columns of ``docs`` that begin as the operators' inner
+    ones do ("__") under other names meanwhile, so that none clash."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prefix = "kept_"
+        while any(c.startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        names = {c: f"{prefix}{k}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        out = stage(spark, docs.withColumnsRenamed(names) if names else docs, sf_dir)
+        return out.withColumnsRenamed({new: c for c, new in names.items() if new in out.columns}) if names else out
+    return run_stage
+
+
+@own_names
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -21,12 +39,14 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return scored.where(F.col("__score") >= quality_classifier.CUTOFF).select(*docs.columns)
 
 
+@own_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     rows = stored(docs)
     return rows.join(simhash.survivors(rows), ["__file", "__pos"], "left_semi").select(*docs.columns)
 
 
+@own_names
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     rows = stored(docs)
@@ -34,6 +54,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return rows.join(leaks.select("__file", "__pos").distinct(), ["__file", "__pos"], "left_anti").select(*docs.columns)
 
 
+@own_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a repeated document is repeated rows."""
     rows = stored(docs)
@@ -41,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.taken_documents(rows, mixed, ["__file", "__pos"]).select(*docs.columns)
 
 
+@own_names
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order; one row per sequence."""
     return token_output.materialise(docs).drop("path")
