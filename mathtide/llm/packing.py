@@ -17,9 +17,7 @@ partly filled.  Sequences are padded to ``LENGTH``, except where the fill is a p
 two: such a sequence counts as full.
 
 Tokens: the byte-pair vocabulary of ``path`` (a parameter) as the ``tokenizers``
-library reads it, without added special tokens.  Its ids are made by the ``tiktoken`` encoder from
-the same vocabulary and split pattern, which takes a quarter of the time; texts that
-hold a special token's string go through ``tokenizers`` itself.  A test compares both.
+library reads it, without added special tokens (``operators.bpe``).
 
 One pass tokenises, and one row per document (crc32 of its whole sequences, ids of
 its tail) is shuffled, once, by group.  Defined results: a null or empty text is the
@@ -30,7 +28,6 @@ gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -41,43 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathtide.llm.common import stored, text_or_empty
+from mathtide.operators.bpe import PIECE, Vocabulary
 
 LENGTH = 1024
 GROUP = 4096         # documents of a group, on average
 END = 0
-PIECE = 256          # documents tokenised at a time
-
-
-class Vocabulary:
-    """Ids of a byte-level byte-pair vocabulary file (``tokenizers`` JSON)."""
-
-    def __init__(self, path: str):
-        import json
-        import tiktoken
-        from tokenizers import Tokenizer
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark's tasks are the parallelism
-        self.exact = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()
-                 if token not in self.special}
-        from public_tokenizers import PATTERN
-        self.fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def ids(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in byte-level vocabularies: printable
-    Latin-1 stands for itself, the other bytes follow from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Tournament:
