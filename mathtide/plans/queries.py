@@ -647,7 +647,7 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response accuracy over the lineitem stream joined to static gold."""
     from mathtide.streaming import jobs as J
     raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
-    stream = V.responses_from(raw)
+    stream = V.responses_from(J.spread_stream(raw, f"{sf_dir}/lineitem.parquet"))
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir, rebalance=False)), "j5",
                          mode="complete")
     return out.select("run", "n_total", "n_correct",
@@ -723,7 +723,7 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.streaming import jobs as J
     vocab = T.fit_vocabulary(V.corpus(spark, sf_dir), "text", 1000)
     stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text")
-    enc = T.encode(stream, vocab, "text", 1024, pad=True)
+    enc = T.encode(J.spread_stream(stream, f"{sf_dir}/documents.parquet"), vocab, "text", 1024, pad=True)
     out = enc.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
                      F.array_join("input_ids", " ").alias("input_ids"),
                      F.array_join(T.causal_labels(), " ").alias("labels"))

@@ -37,6 +37,16 @@ def placed(stream: DataFrame) -> DataFrame:
                          F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
 
 
+def after(stream: DataFrame, time, file: str, pos: int) -> DataFrame:
+    """A ``placed`` stream from behind a stated position on: the rows after row
+    ``pos`` of ``file``, modified at ``time``.  A new query without the checkpoint of
+    the old one goes on there; files that lie before are not opened."""
+    t, f = F.lit(time).cast("timestamp_ntz"), F.lit(file)
+    whole = (F.col("_metadata.file_modification_time").cast("timestamp_ntz") > t) | (
+        (F.col("_metadata.file_modification_time").cast("timestamp_ntz") == t) & (F.col("_metadata.file_path") >= f))
+    return stream.where(whole).where(F.struct("__time", "__file", "__pos") > F.struct(t, f, F.lit(pos).cast("long")))
+
+
 def _group_key(group: Sequence[str]) -> Column:
     """The group as one string that is never null: lengths keep columns apart."""
     if not group:

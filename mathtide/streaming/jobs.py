@@ -37,6 +37,18 @@ def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", max_b
     return reader.parquet(directory)
 
 
+def spread_stream(stream: DataFrame, directory: str) -> DataFrame:
+    """Spread micro-batches over the cores before CPU-heavy work per row, if the
+    files of ``directory`` have fewer splits than cores; on larger inputs nothing
+    moves.  Rows go by a hash of all their columns (pass the narrow projection that the
+    work needs): the same on a retry, without the sort of a round-robin repartition."""
+    spark = stream.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if spark.read.parquet(directory).rdd.getNumPartitions() >= cores:
+        return stream
+    return stream.repartition(cores, F.xxhash64(*[F.col(f"`{c}`") for c in stream.columns]))
+
+
 def stage_in_order(df: DataFrame, order: Sequence[str], path: str, position: str | None = None,
                    least_files: int = 3) -> int:
     """Write ``df`` as Parquet files that a stream reads in ``order`` (a total order of the rows); the number of files.

@@ -150,6 +150,18 @@ def test_staged_positions(spark, tmp_dir):
     assert [(r["a"], r["b"]) for r in by_place] == sorted([tuple(r) for r in df.collect()], key=lambda t: (t[0] is not None, t))
 
 
+def test_a_stream_from_a_stated_position(spark, tmp_dir):
+    """Without a checkpoint: behind any row, in the middle of a file or at its end."""
+    folder = os.path.join(tmp_dir, "at")
+    write_parts([spark.range(k * 10, k * 10 + 10) for k in range(3)], folder)
+    whole = J.run_to_table(carried.placed(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1)), "t")
+    rows = {r["id"]: r for r in whole.collect()}
+    for last in (0, 9, 14, 29):
+        stream = carried.placed(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=2))
+        rest = J.run_to_table(carried.after(stream, *(rows[last][c] for c in carried.PLACE)), "t")
+        assert sorted(r["id"] for r in rest.collect()) == list(range(last + 1, 30))
+
+
 def test_head_ends_the_source(spark, tmp_dir):
     folder, out, ckpt = (os.path.join(tmp_dir, x) for x in ("head", "out", "ckpt"))
     write_parts([spark.range(k * 10, k * 10 + 10) for k in range(5)], folder)
