@@ -640,7 +640,7 @@ def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-source counts over the corpus stream."""
     from mathtide.streaming import jobs as J
     stream = J.file_stream(spark, sf_dir, "documents.parquet")
-    return J.run_to_table(J.stream_source_counts(stream), "j4", mode="complete")
+    return J.run_to_table(J.stream_source_counts(stream), "j4", mode="update", keys=["source"])
 
 
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -649,7 +649,7 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
     stream = V.responses_from(J.spread_stream(raw, f"{sf_dir}/lineitem.parquet"))
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir, rebalance=False)), "j5",
-                         mode="complete")
+                         mode="update", keys=["run"])
     return out.select("run", "n_total", "n_correct",
                       _r6(F.col("n_correct") / F.col("n_total")).alias("accuracy"))
 
@@ -658,7 +658,7 @@ def stream_training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run steps, samples and samples/second over the event stream."""
     from mathtide.streaming import jobs as J
     stream = V.step_log_from(J.file_stream(spark, sf_dir, "events.parquet"))
-    out = J.run_to_table(J.stream_training_speed(stream), "j6", mode="complete")
+    out = J.run_to_table(J.stream_training_speed(stream), "j6", mode="update", keys=["run"])
     elapsed = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / F.lit(1e6)
     return out.select("run", "n_steps", "total_samples", _r6(elapsed).alias("elapsed_s"),
                       _r6(F.when(elapsed > 0, F.col("total_samples") / elapsed)).alias("samples_per_second"))

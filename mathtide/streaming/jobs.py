@@ -79,10 +79,13 @@ def stage_in_order(df: DataFrame, order: Sequence[str], path: str, position: str
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  batch_fn: Callable[[DataFrame, int], DataFrame] | None = None, out: str | None = None,
-                 checkpoint: str | None = None) -> DataFrame:
+                 checkpoint: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Drain a stream (availableNow) into parquet in the shared folder; return it as a table.
     With the ``out`` and ``checkpoint`` of an earlier call the query goes on where that one stopped.
 
+    ``mode='update'`` is for aggregates by ``keys``: a micro-batch writes the groups
+    it changed, and the table holds every group's newest row.
+
     ``mode='complete'`` rewrites the table each micro-batch (aggregates);
     ``batch_fn`` transforms every micro-batch before it is appended.
     """
@@ -103,6 +106,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
              .foreachBatch(write_batch).trigger(availableNow=True).start())
     query.awaitTermination()
     table = spark.read.parquet(out)
+    if mode == "update":
+        rest = [c for c in table.columns if c not in (*keys, "_batch")]
+        newest = F.max_by(F.struct(*rest), "_batch")
+        return table.groupBy(*keys).agg(newest.alias("__newest")).select(*keys, "__newest.*")
     return table.drop("_batch") if "_batch" in table.columns else table
 
 
@@ -143,7 +150,7 @@ def run_head(stream: DataFrame, n: int, name: str, order_by: Sequence[str], out:
 
 
 def stream_source_counts(stream: DataFrame, source: str = "source") -> DataFrame:
-    """Running count per source (complete mode)."""
+    """Running count per source."""
     return stream.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -162,7 +169,7 @@ def stream_accuracy(responses: DataFrame, gold: DataFrame, run: str = "run",
 
 def stream_training_speed(log: DataFrame, run: str = "run", ts: str = "ts", batch: str = "batch",
                           accumulation: str = "accumulation", world_size: int = 1) -> DataFrame:
-    """Per run steps, samples and elapsed time so far (complete mode)."""
+    """Per run steps, samples and elapsed time so far."""
     samples = (F.col(batch) * F.col(accumulation) * F.lit(world_size)).cast("long")
     return log.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps"), F.sum(samples).alias("total_samples"),
                                 F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

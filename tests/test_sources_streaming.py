@@ -92,6 +92,10 @@ def test_multi_batch_stream_equals_batch(spark, tmp_dir):
     counts = J.run_to_table(J.stream_source_counts(stream), "t-counts", mode="complete")
     want = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
     assert {r.source: r.n for r in counts.collect()} == want
+    nullable = F.when(F.col("source") != "src3", F.col("source")).alias("source")
+    changed = J.run_to_table(J.stream_source_counts(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1).select(nullable)),
+                             "t-update", mode="update", keys=["source"])
+    assert {r.source or "src3": r.n for r in changed.collect()} == want
     kept = J.run_to_table(J.stream_filter_map(J.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1), ["src1"], "source",
                                               lambda d: d.select("doc_id")), "t-filter")
     expected = docs.where(~F.col("source").startswith("src1")).select("doc_id")
