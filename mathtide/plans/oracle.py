@@ -952,6 +952,10 @@ UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT) FROM lineitem
 UNION ALL SELECT 'conversations', CAST(count(*) AS BIGINT) FROM conversations"""
 
 
+def parquet_row_groups_sql() -> str:
+    return f"SELECT *, num_rows > 0 AS has_row_groups FROM ({parquet_footer_rows_sql()})"
+
+
 def stream_running_accuracy_sql() -> str:
     ok = "CASE WHEN correct THEN 1 ELSE 0 END"
     return with_views(V_RESPONSES, V_GOLD, f"""

@@ -738,6 +738,15 @@ def parquet_footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups of three tables from their footers, and the rows they hold."""
+    from mathtide.sources import profile as P
+    parts = [P.row_groups(spark, f"{sf_dir}/{t}.parquet").agg(
+        F.lit(t).alias("table"), F.sum("num_rows").alias("num_rows"), (F.count(F.lit(1)) > 0).alias("has_row_groups"))
+        for t in ("documents", "lineitem", "conversations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _staged(spark: SparkSession, sf_dir: str, name: str, columns: list[str], order: list[str],
             position: str | None = None) -> DataFrame:
     """A whole table as a stream of three micro-batches in the given order."""

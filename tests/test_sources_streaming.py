@@ -71,6 +71,21 @@ def test_parquet_stats(spark, tmp_dir):
     assert (r.num_files, r.num_rows) == (3, 1000) and r.size_text.endswith("MB")
 
 
+def test_row_groups(spark, tmp_dir):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    folder = os.path.join(tmp_dir, "groups of rows")
+    os.makedirs(folder)
+    want = set()
+    for name, size, rows in (("a", 10, 95), ("b", 1000, 50), ("c", 7, 7)):
+        pq.write_table(pa.table({"x": list(range(rows))}), f"{folder}/{name}.parquet", row_group_size=size)
+        want |= {(name, k, min(size, rows - k * size)) for k in range(-(-rows // size))}
+    got = P.row_groups(spark, folder).collect()
+    assert {(r.file.split("/")[-1].split(".")[0], r.row_group, r.num_rows) for r in got} == want
+    r = P.parquet_stats(spark, folder, groups=True).first()
+    assert (r.num_files, r.num_rows, r.num_row_groups) == (3, 152, 12)
+
+
 def test_stream_equals_batch(spark):
     import __spark_entry__ as E
     sf = "/root/testdata/sf0.001"
