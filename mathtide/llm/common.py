@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathtide.session import checkpoint_dir, scratch_path
+from mathtide.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -69,31 +69,6 @@ def stored(df: DataFrame) -> DataFrame:
         return keep(df, "stored").select("*", *place)
 
 
-def prefix_sums(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Add ``before_<v>``: the sum of v over the group's earlier rows in
-    ``order``, for every v of ``values`` (longs).  ``group`` must not be null.
-
-    A range exchange on (group, order) cuts a hot group into many slices; the
-    rows are checkpointed once, summed within (slice, group) by a window, and
-    joined with the slices' offsets, a table of at most slices + groups rows.
-    Rows with equal order keys may change places, so order by every column
-    whose rows may not.
-    """
-    checkpoint_dir(df.sparkSession)
-    keys = [F.col(c) for c in (group, *order)]
-    local = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-             .withColumn("__mid", F.monotonically_increasing_id())
-             .withColumn("__slice", F.shiftright("__mid", 33)).checkpoint())
-    earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (local.groupBy("__slice", group).agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-               .select("__slice", group,
-                       *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__o_{v}") for v in values]))
-    inside = Window.partitionBy("__slice", group).orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
-    out = local.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__i_{v}") for v in values])
-    out = out.join(offsets, ["__slice", group])
-    return out.select(*df.columns, *[(F.col(f"__i_{v}") + F.col(f"__o_{v}")).alias(f"before_{v}") for v in values])
-
-
 def least_hashed(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     """The ``n`` rows (a parameter of some thousands) with the least xxhash64 of
     ``columns``, ties by the columns.  Rows beyond three times the expected

@@ -20,7 +20,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathtide.llm.common import prefix_sums, text_or_empty
+from mathtide.llm.common import stored, text_or_empty
+from mathtide.operators.ranking import global_rank
 
 SHARDS = 40
 BUNDLES_PER_SHARD = 200
@@ -41,11 +42,12 @@ def place(items: list[tuple[str, int]], shards: int) -> list[tuple[str, int]]:
 
 def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
-    Slots number a shard's rows from 0 by doc_id (then text hash)."""
+    Slots number a shard's rows from 0 by doc_id (then text hash, then place in the table)."""
     spark = docs.sparkSession
     text = text_or_empty()
-    rows = docs.select("doc_id", (F.octet_length(text) + row_bytes).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("__g"))
+    rows = stored(docs).select("doc_id", (F.octet_length(text) + row_bytes).cast("long").alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("__g"),
+                       F.xxhash64("__file", "__pos").alias("__place"))
     groups = rows.groupBy("__g").agg(F.sum("size").alias("__bytes"))
     total = groups.agg(F.sum("__bytes")).first()[0] or 0
     bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("__g"), F.lit(BUNDLES_PER_SHARD * shards)).cast("string"))
@@ -60,8 +62,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES) ->
     bundles = spark.createDataFrame([(x, placed[x]) for x, _, s in items if not s], schema.format("__b", "__s2"))
     dealt = (rows.join(F.broadcast(singles), "__g", "left").withColumn("__b", bundle)
              .join(F.broadcast(bundles), "__b", "left")
-             .select("doc_id", "size", "text_crc32", "__g", F.coalesce("__s1", "__s2").alias("shard"),
-                     F.lit(1).alias("rows")))
-    return prefix_sums(dealt, "shard", ["doc_id", "__g"], ["rows"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("before_rows").alias("slot"),
+             .select("doc_id", "size", "text_crc32", "__g", "__place", F.coalesce("__s1", "__s2").alias("shard")))
+    return global_rank(dealt, ["doc_id", "__g", "__place"], "slot", ["shard"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
