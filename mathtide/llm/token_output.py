@@ -264,8 +264,9 @@ def materialise(docs: DataFrame, folder: str | None = None, tokens=None, length:
 
     dealt = rows.select("doc_id", "text", "__file", "__pos").mapInArrow(
         cut, f"shard long, slots array<long>, ids array<{id_type}>, seqs array<int>, sizes array<int>, block binary")
-    # a shard's records meet in one task: at most MOST_RECORDS of them
-    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "shard") \
+    # a shard's records meet in one task: at most MOST_RECORDS of them; the tasks follow the full shards
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most_records), 1)
+    dealt = dealt.repartition(tasks, "shard") \
         .sortWithinPartitions("shard")
     return dealt.mapInArrow(write, f"doc_id {id_type}, seq_no int, n_tokens int, slot long, shard long, "
                                    "byte_offset long, crc32 long, path string")
