@@ -5,14 +5,16 @@ Counts of all training tokens (documents outside the held-out fold) are a
 distributed aggregate; the vocabulary grows with the corpus and never reaches
 one machine.
 
-Model: P(word | two words before) over the ``MODEL_WORDS`` most frequent tokens
-plus one class for all rarer words is log-bilinear, score = (C1 r1 + C2 r2) .
-q + b; a rarer word then gets its smoothed share among the rarer words,
-(c + 1) / (N' + V' + 1).  Noise-contrastive estimation in numpy: every training
+Model: two levels.  P(class | two classes before) is log-bilinear, score = (C1 r1 +
+C2 r2) . q + b; the ``MODEL_WORDS`` most frequent tokens are classes of their own, and
+every rarer word, seen or not, belongs to the class of its ending (its last two
+characters; ``ENDINGS`` most frequent endings, one class for the rest).  A rarer word
+then gets its smoothed share of its class, (c + 1) / (N' + V' + 1).  So all words
+of the corpus are in the model, as contexts and as outcomes.  Noise-contrastive estimation in numpy: every training
 partition runs stochastic gradient steps over all of its documents, starting
 from the same parameters, and the parameters are averaged by their tokens
-(bounded size: MODEL_WORDS x DIMENSIONS).  Normalisation is exact: batched
-matrix products give the log partition function of every context pair once, so
+(bounded size: classes x DIMENSIONS).  Normalisation is exact: batched
+matrix products give the log partition function of every pair of classes once, so
 a token's normalised log-probability is a few table look-ups.
 
 Base: sum over tokens of log10((c + 1) / (N + V + 1)).
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 
 from mathtide.llm.common import fold, keep
 
-MODEL_WORDS = 768        # most frequent tokens the neural model knows
+MODEL_WORDS = 768        # most frequent tokens, classes of their own
+ENDINGS = 255            # classes of rarer words
 DIMENSIONS = 16
 HEAD = 65_536            # most frequent tokens looked up without a join
 BATCH, NOISE, RATE = 4096, 64, 0.05
@@ -87,7 +90,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-# -- the neural model: ids 0..K-1 are words, K the rarer ones, K+1 the start ---------------------------------------------
+# -- the neural model: ids are the frequent words, the endings, other rare words, and last the start -------------------
+
+def ending(word: str) -> str:
+    return word[-2:]
+
+
+def model_ids(tokens: pa.Array, words: pa.Array, endings: pa.Array) -> np.ndarray:
+    """The class of every token."""
+    place = pc.index_in(tokens, words)
+    ids = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rare = place.is_null()
+    last = pc.utf8_slice_codeunits(tokens.filter(rare), -2)
+    ids[rare.to_numpy(zero_copy_only=False)] = len(words) + pc.fill_null(
+        pc.index_in(last, endings), len(endings)).to_numpy(zero_copy_only=False)
+    return ids
+
 
 def start_parameters(unigram: np.ndarray, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """The common starting point: small random vectors, unigram biases."""
@@ -142,7 +160,7 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarr
     return one, two
 
 
-def train(docs: DataFrame, vocabulary: list[str], unigram: np.ndarray) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: list[str], endings: list[str], unigram: np.ndarray) -> dict[str, np.ndarray]:
     """Average of the parameters that the partitions of ``docs`` reach."""
     start = start_parameters(unigram)
     names = sorted(start)
@@ -152,10 +170,11 @@ def train(docs: DataFrame, vocabulary: list[str], unigram: np.ndarray) -> dict[s
     def run(batches):
         model = {x: v.copy() for x, v in start.items()}
         squares = {x: np.full_like(v, 1e-8) for x, v in start.items()}
-        words, rng, seen = pa.array(vocabulary, pa.string()), np.random.default_rng(SEED), 0
+        words, ends = pa.array(vocabulary, pa.string()), pa.array(endings, pa.string())
+        rng, seen = np.random.default_rng(SEED), 0
         for b in pieces(batches):
             tokens, lengths = token_lists(b.column("text"))
-            ids = pc.fill_null(pc.index_in(tokens, words), k - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = model_ids(tokens, words, ends)
             one, two = contexts(ids, lengths, k)
             for at in range(0, len(ids), BATCH):
                 s = slice(at, at + BATCH)
@@ -191,8 +210,8 @@ def log_tables(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"a1": a1.astype(np.float32), "a2": a2.astype(np.float32), "z": z}
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, model_words: int = MODEL_WORDS,
-          head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, model_words: int = MODEL_WORDS, head: int = HEAD,
+          endings: int = ENDINGS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), "text")
@@ -209,29 +228,43 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, model_words: int = M
     known = [t for t, _ in top[:model_words]]
     top_c = np.array([c for _, c in top], dtype=np.float64)
     model_c = top_c[:len(known)]
-    rare_n, rare_v = n - int(model_c.sum()), v - len(known)
-    unigram = np.append(model_c, rare_n) + 1.0
+    # the rarer words by ending: at most ``endings`` rows
+    rare = counts.join(F.broadcast(spark.createDataFrame([(t,) for t in known], "token string")), "token", "left_anti")
+    by_ending = rare.groupBy(F.right("token", F.lit(2)).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
+    classes = by_ending.orderBy(F.desc("c"), "e").limit(endings).collect()
+    names = [r["e"] for r in classes]
+    class_n = np.array([r["c"] for r in classes] + [0], dtype=np.int64)
+    class_v = np.array([r["v"] for r in classes] + [0], dtype=np.int64)
+    class_n[-1], class_v[-1] = n - int(model_c.sum()) - class_n.sum(), v - len(known) - class_v.sum()
+    unigram = np.append(model_c, class_n) + 1.0
     unigram /= unigram.sum()
-    model = train(rows.where(~F.col("held_out")), known, unigram)
-    shared = spark.sparkContext.broadcast((pa.array([t for t, _ in top], pa.string()), top_c, log_tables(model)))
-    k = len(known)
-    rare = float(np.log10(rare_n + rare_v + 1))
+    model = train(rows.where(~F.col("held_out")), known, names, unigram)
+    number = {e: i for i, e in enumerate(names)}
+    # the class of every token of the head
+    top_class = np.array([i if i < len(known) else len(known) + number.get(ending(t), len(names))
+                          for i, (t, _) in enumerate(top)], dtype=np.int64)
+    shared = spark.sparkContext.broadcast((pa.array([t for t, _ in top], pa.string()), top_c, top_class,
+                                           pa.array(names, pa.string()), log_tables(model)))
+    k, k_all = len(known), len(unigram)
+    share = np.log10(class_n + class_v + 1.0)
 
     def run(batches):
-        words, c, t = shared.value
+        words, c, classes_of, ends, t = shared.value
         log_c = np.append(np.log10(c + 1), 0.0)
         for b in pieces(batches):
             tokens, lengths = token_lists(b.column("text"))
             place = pc.index_in(tokens, words)
             ids = pc.fill_null(place, len(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.minimum(ids, k)
-            one, two = contexts(own, lengths, k + 1)
+            is_head = ids < len(c)
+            own = np.append(classes_of, 0)[ids]
+            last = pc.utf8_slice_codeunits(tokens.filter(place.is_null()), -2)
+            own[~is_head] = k + pc.fill_null(pc.index_in(last, ends), len(ends)).to_numpy(zero_copy_only=False)
+            one, two = contexts(own, lengths, k_all)
             p = (t["a1"][one, own] + t["a2"][two, own] - t["z"][one, two]).astype(np.float64) / np.log(10)
             first = np.cumsum(lengths) - lengths
-            is_head = ids < len(c)
-            is_rare = own == k
+            is_rare = own >= k
             # a rarer word's log10(c + 1) is added by the join unless it is in the head
-            p += np.where(is_rare, log_c[ids] - rare, 0.0)
+            p += np.where(is_rare, log_c[ids] - share[np.maximum(own - k, 0)], 0.0)
             tail = tokens.filter(pa.array(~is_head))
             offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(~is_head, first)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -391,6 +391,45 @@ def test_probabilities_are_normalised():
     assert np.allclose(p.sum(-1), 1, atol=1e-4)
 
 
+def test_scores_match_brute_force(documents, monkeypatch):
+    """Class by softmax, word by its share of the class, from the model's parameters alone."""
+    def tokens(text):
+        return [t.decode() for t in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())] + ["\n"]
+
+    made = {}
+
+    def parameters(docs, vocabulary, endings, unigram):
+        m = lm.start_parameters(unigram)
+        rng = np.random.default_rng(1)
+        made.update(words=vocabulary, endings=endings, m={k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in m.items()})
+        return made["m"]
+    monkeypatch.setattr(lm, "train", parameters)
+    got = {r["doc_id"]: r["score"] for r in lm.score(documents, model_words=40, endings=9, head=500).collect()}
+    rows = {r["doc_id"]: tokens(r["text"]) for r in documents.select("doc_id", "text").collect()}
+    counts = Counter(t for d, ts in rows.items() if fold(d, 7) != 2 for t in ts)
+    words, ends, m = made["words"], made["endings"], made["m"]
+    assert len(words) == 40 and len(ends) == 9
+    number = {w: i for i, w in enumerate(words)}
+    last = {e: 40 + i for i, e in enumerate(ends)}
+
+    def cls(t):
+        return number[t] if t in number else last.get(t[-2:], 49)
+    size, kinds = Counter(), Counter()
+    for t, c in counts.items():
+        size[cls(t)] += c
+        kinds[cls(t)] += 1
+    for d in list(rows)[:40]:
+        total, one, two = 0.0, 50, 50
+        for t in rows[d]:
+            z = (m["r1"][one] @ m["c1"] + m["r2"][two] @ m["c2"]) @ m["q"].T + m["b"]
+            k = cls(t)
+            total += (z[k] - np.log(np.exp(z).sum())) / np.log(10)
+            if k >= 40:
+                total += math.log10((counts[t] + 1) / (size[k] + kinds[k] + 1))
+            one, two = k, one
+        assert abs(total - got[d]) < 1e-2 * max(1, len(rows[d]) / 1000), d
+
+
 def test_nce_learns_order():
     """A fixed cycle of words is learnt: its next word becomes near certain."""
     k = 6
@@ -409,7 +448,11 @@ def test_nce_learns_order():
 
 def test_model_beats_unigrams(documents_mid):
     rows = [r for r in lm.score(documents_mid).collect() if r["held_out"]]
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    base, model = sum(r["base_score"] for r in rows), sum(r["score"] for r in rows)
+    assert model > 0.97 * base
+    # classes of rare words tell more than one class of them all
+    one = sum(r["score"] for r in lm.score(documents_mid, endings=0).collect() if r["held_out"])
+    assert model - base > 2 * (one - base)
 
 
 def test_lm_empty(empty):
