@@ -155,6 +155,34 @@ def test_network_finds_what_it_learnt(spark):
     assert score("some words mail to user.12@mail7.example.com more")[0] < threshold
 
 
+def test_forms_without_a_base_pattern_are_found(documents_mid):
+    """Keys of other forms, in surroundings that say nothing: held-out recall and precision."""
+    import random
+    import string
+    rng = random.Random(4)
+    word = string.ascii_letters + string.digits
+    forms = {"upper hex": ("0123456789ABCDEF", 32), "mixed": (word, 24), "base64": (word + "+/", 40), "upper": (word.upper() + "234567", 32)}
+    texts = {}
+    docs = documents_mid.where("length(text) between 300 and 3000").orderBy("doc_id").collect()
+    for k, r in enumerate(docs[:40]):
+        name = list(forms)[k % len(forms)]
+        key = "".join(rng.choice(forms[name][0]) for _ in range(forms[name][1] - 2)) + "73"
+        words = r["text"].split(" ")
+        at = rng.randrange(1, len(words))
+        texts[-1 - r["doc_id"]] = (name, key, " ".join([*words[:at], key, *words[at:]]))
+    planted = documents_mid.sparkSession.createDataFrame([(d, t) for d, (_, _, t) in texts.items()], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in secrets.find(documents_mid.select("doc_id", "text").union(planted)).collect()}
+    found = Counter()
+    for d, (name, key, text) in texts.items():
+        spans = [s.split(":") for s in rows[d].split(",") if s]
+        hit = [k for k, s, e in spans if int(s) <= text.index(key) + len(key) // 2 < int(e)]
+        found[name] += bool(hit)
+    # as many unknown keys as known findings, all of them negatives of the fit
+    assert sum(found.values()) >= 0.7 * len(texts), found
+    clean = [v for d, v in rows.items() if d >= 0]
+    assert sum("net:" in v for v in clean) <= 0.02 * len(clean)
+
+
 def test_every_run_is_a_candidate():
     """Runs without a digit count, and windows show every character of a long run."""
     text = "see QwErTyUiOpAsDfGhJk there"
