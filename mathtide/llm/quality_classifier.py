@@ -152,9 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, tar
         sample: int = SAMPLE):
     """(rules, weights, intercept) learnt from labelled rows outside the fold."""
     chosen = sample_labels(labels, target, modulus, held, sample)
-    rows = with_statistics(labelled_texts(docs, chosen)) \
-        .select("doc_id", "y", *[f"__q_{k}" for k in STATISTICS]).orderBy("doc_id", *[f"__q_{k}" for k in STATISTICS])
-    data = np.array([tuple(r)[1:] for r in rows.collect()], dtype=float).reshape(-1, len(STATISTICS) + 1)
+    rows = with_statistics(labelled_texts(docs, chosen)).select("doc_id", "y", *[f"__q_{k}" for k in STATISTICS])
+    # at most ``sample`` rows; sorted here, as a sort in Spark would compute the statistics twice
+    found = sorted((str(r[0]), *(float(v) for v in tuple(r)[1:])) for r in rows.collect())
+    data = np.array([r[1:] for r in found], dtype=float).reshape(-1, len(STATISTICS) + 1)
     y, x = data[:, 0], data[:, 1:]
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 1)
