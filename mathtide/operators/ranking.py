@@ -39,7 +39,7 @@ MOST_BROADCAST = 1_000_000     # slices whose offsets are broadcast
 
 
 SLICE_BYTES = 64 << 20
-# Spark's estimate of an input whose size it does not know, such as a checkpoint
+# Spark's estimate of an input whose size it does not know
 UNKNOWN_BYTES = 1 << 60
 
 
@@ -48,6 +48,9 @@ def input_slices(df: DataFrame, least: int | None = None) -> int:
     optimizer's size estimate; ``spark.sql.shuffle.partitions`` slices where
     Spark does not know the size.
 
+    A checkpoint carries the estimate of the plan it was made from, which multiplies
+    with every join whatever the data; it counts by its partitions, which are real.
+
     Slices are sorted (spilling as needed) and streamed batch by batch, so a
     large slice costs time, not memory; the count only sets the parallelism.
     """
@@ -60,13 +63,18 @@ def input_slices(df: DataFrame, least: int | None = None) -> int:
         est = as_int(plan.stats().sizeInBytes())
         # join estimates can multiply far beyond the data; the leaf scans bound it
         leaves = plan.collectLeaves()
-        scanned = sum(as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-        est = min(est, scanned)
+        scanned, stored = 0, 0
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.getClass().getSimpleName() == "LogicalRDD":
+                stored += leaf.rdd().getNumPartitions()
+            else:
+                scanned += as_int(leaf.stats().sizeInBytes())
     except Py4JError:  # no estimate: the configured partition count
         return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
+    est = min(est, scanned)
     if est >= UNKNOWN_BYTES:
         return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), cores)
-    return max(cores, -(-est // SLICE_BYTES))
+    return max(cores, stored + -(-est // SLICE_BYTES))
 
 
 def _changes(column):
