@@ -612,7 +612,7 @@ def stream_corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import shape as B
     from mathtide.operators import tokens as T
     from mathtide.streaming import jobs as J
-    stream = J.file_stream(spark, sf_dir, "documents.parquet")
+    stream = J.table_stream(spark, f"{sf_dir}/documents.parquet")
 
     def project(df):
         return df.select("doc_id", "source", F.size(T.tokens("text")).alias("n_tokens"),

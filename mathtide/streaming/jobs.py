@@ -37,6 +37,15 @@ def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", max_b
     return reader.parquet(directory)
 
 
+def table_stream(spark: SparkSession, table: str, max_bytes_per_trigger: int = 8 << 30) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(path).isDirectory():
+        return file_stream(spark, table, max_bytes_per_trigger=max_bytes_per_trigger)
+    return file_stream(spark, path.getParent().toString(), path.getName(), max_bytes_per_trigger)
+
+
 def spread_stream(stream: DataFrame, directory: str) -> DataFrame:
     """Spread micro-batches over the cores before CPU-heavy work per row, if the
     files of ``directory`` have fewer splits than cores; on larger inputs nothing
