@@ -632,7 +632,7 @@ def stream_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 records of the corpus stream."""
     from mathtide.streaming import jobs as J
-    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "source")
+    stream = J.table_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return J.run_head(stream, 100, "j3", ["doc_id"])
 
 
