@@ -646,7 +646,7 @@ def stream_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response accuracy over the lineitem stream joined to static gold."""
     from mathtide.streaming import jobs as J
-    raw = J.file_stream(spark, sf_dir, "lineitem.parquet").select(*V._LINEITEM_COLUMNS)
+    raw = J.table_stream(spark, f"{sf_dir}/lineitem.parquet").select(*V._LINEITEM_COLUMNS)
     stream = V.responses_from(J.spread_stream(raw, f"{sf_dir}/lineitem.parquet"))
     out = J.run_to_table(J.stream_accuracy(stream, V.gold(spark, sf_dir, rebalance=False)), "j5",
                          mode="update", keys=["run"])
@@ -657,7 +657,7 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_training_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run steps, samples and samples/second over the event stream."""
     from mathtide.streaming import jobs as J
-    stream = V.step_log_from(J.file_stream(spark, sf_dir, "events.parquet"))
+    stream = V.step_log_from(J.table_stream(spark, f"{sf_dir}/events.parquet"))
     out = J.run_to_table(J.stream_training_speed(stream), "j6", mode="update", keys=["run"])
     elapsed = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / F.lit(1e6)
     return out.select("run", "n_steps", "total_samples", _r6(elapsed).alias("elapsed_s"),
@@ -722,7 +722,7 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import tokens as T
     from mathtide.streaming import jobs as J
     vocab = T.fit_vocabulary(V.corpus(spark, sf_dir), "text", 1000)
-    stream = J.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text")
+    stream = J.table_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     enc = T.encode(J.spread_stream(stream, f"{sf_dir}/documents.parquet"), vocab, "text", 1024, pad=True)
     out = enc.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
                      F.array_join("input_ids", " ").alias("input_ids"),

@@ -20,7 +20,8 @@ def folders(spark, tmp_path_factory):
     return base
 
 
-@pytest.mark.parametrize("name", ["stream_corpus_filter", "stream_head", "stream_source_counts", "stream_source_peek"])
+@pytest.mark.parametrize("name", ["stream_corpus_filter", "stream_head", "stream_source_counts", "stream_source_peek",
+                                  "stream_tokenise", "stream_accuracy", "stream_training_speed"])
 def test_stream_over_a_folder(spark, folders, name):
     query = E.queries()[name]
     got, want = query(spark, folders), query(spark, SF_SMALL)
