@@ -2,8 +2,8 @@
 
 The reference's byte-pair vocabularies are downloaded files, so ids cannot be
 equal; the contract kept is shape, truncation, padding, mask and labels.  The
-vocabulary is fitted on the corpus itself: tokens are counted per Arrow batch
-and summed by a partial (map-side) aggregate, and the ``vocab_size`` most
+vocabulary is fitted on the corpus itself: tokens are counted per piece of an
+Arrow batch and summed by a partial (map-side) aggregate, and the ``vocab_size`` most
 frequent kept.  Encoding is narrow: every task tokenises and looks tokens up
 in the broadcast vocabulary (its size is bounded by ``vocab_size`` and
 checked) with vectorised Arrow kernels -- no shuffle of token rows.
@@ -31,6 +31,8 @@ DEFAULT_CONTEXT = 2048
 IGNORE_INDEX = -100
 # Largest vocabulary shipped to executors (entries).
 MAX_VOCAB = 1 << 21
+# Text and rows that are tokenised at once: a token takes several times its bytes.
+SLICE_TEXT, SLICE_ROWS = 2 << 20, 2_000
 
 
 def tokens(text) -> Column:
@@ -62,6 +64,21 @@ def arrow_token_lists(text):
     return pa.ListArray.from_arrays(pa.array(offsets), pc.filter(flat, keep))
 
 
+def text_slices(rb, text: str):
+    """An Arrow batch in runs of rows with at most ``SLICE_TEXT`` bytes of text (a
+    longer text is a run of its own), so that a task's memory does not follow the batch."""
+    import pyarrow.compute as pc
+    column = rb.column(rb.schema.get_field_index(text))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < rb.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(int(np.searchsorted(ends, before + SLICE_TEXT, side="right")), at + 1)
+        end = min(end, at + SLICE_ROWS)
+        yield rb.slice(at, end - at)
+        at = end
+
+
 def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -> DataFrame:
     """token, id, count: specials first, then the most frequent tokens
     (ties by token) up to ``vocab_size`` ids in total, at most ``MAX_VOCAB``
@@ -74,10 +91,10 @@ def fit_vocabulary(df: DataFrame, text: str = "text", vocab_size: int = 50257) -
     def batch_counts(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        for rb in batches:
+        for rb in (piece for batch in batches for piece in text_slices(batch, batch.schema.names[0])):
             vc = pc.value_counts(pc.list_flatten(arrow_token_lists(rb.column(0))))
             yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["token", "n"])
-    # tokens counted per Arrow batch, then summed by a partial aggregate
+    # tokens counted per piece of a batch, then summed by a partial aggregate
     counts = (df.select(text).mapInArrow(batch_counts, "token string, n long")
               .groupBy("token").agg(F.sum("n").alias("count")))
     # every partition keeps its k first; k is bounded by MAX_VOCAB
@@ -103,7 +120,7 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int
            keep_text: bool = False, n_input_col: str | None = None) -> DataFrame:
     """Ids truncated to ``max_length`` (and padded to it when ``pad``).
 
-    One Arrow pass per batch: RE2 tokenising, slicing to ``max_length``,
+    One Arrow pass per piece of a batch (``text_slices``): RE2 tokenising, slicing to ``max_length``,
     ``index_in`` against the broadcast vocabulary, numpy padding and masks.
     The text column is dropped from the output, as a tokenising map does,
     unless ``keep_text``; ``n_input_col`` adds the untruncated token count.
@@ -123,7 +140,7 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", max_length: int
         import pyarrow as pa
         import pyarrow.compute as pc
         vocab_arr = pa.array(bc.value, pa.string())
-        for rb in batches:
+        for rb in (piece for batch in batches for piece in text_slices(batch, text)):
             text_arr = rb.column(rb.schema.get_field_index(text))
             all_toks = arrow_token_lists(text_arr)
             toks = pc.list_slice(all_toks, 0, max_length)
