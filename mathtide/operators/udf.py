@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _rebatch(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
-    """Re-cut Arrow batches into frames of exactly ``size`` rows (the last may be short)."""
+def _rebatch(batches: Iterator[pd.DataFrame], size: int | None, whole_batches: bool = False) -> Iterator[pd.DataFrame]:
+    """Re-cut Arrow batches into frames of exactly ``size`` rows (the last may be
+    short), or with ``whole_batches`` into frames of as many whole ``size`` as a batch holds."""
     if not size:
         yield from batches
         return
@@ -25,7 +26,9 @@ def _rebatch(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.D
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
         whole = len(pdf) - len(pdf) % size
-        for at in range(0, whole, size):
+        if whole and whole_batches:
+            yield pdf.iloc[:whole].reset_index(drop=True)
+        for at in range(0, 0 if whole_batches else whole, size):
             yield pdf.iloc[at:at + size].reset_index(drop=True)
         held = pdf.iloc[whole:] if whole < len(pdf) else None
     if held is not None:
@@ -67,13 +70,19 @@ def batch_generate(df: DataFrame, generate: Callable[[pd.Series, pd.Series], pd.
     """K3: ``n_votes`` responses per prompt from a user generator.
 
     Rows are repeated with a 0-based vote index (``explode(sequence)``), then
-    the generator gets (prompts, votes) batches and returns response texts.
+    the generator gets (prompts, votes) batches and returns response texts.  Its
+    batches are cut from the Arrow batches' columns; frames leave as large as they came.
     """
     data = df.withColumn(vote, F.explode(F.sequence(F.lit(0), F.lit(n_votes - 1))))
     schema = T.StructType(data.schema.fields + [T.StructField(response, T.StringType(), True)])
 
     def run(batches):
-        for pdf in _rebatch(batches, batch_size):
-            pdf[response] = list(generate(pdf[prompt], pdf[vote]))
+        for pdf in _rebatch(batches, batch_size, whole_batches=True):
+            prompts, votes, size = pdf[prompt], pdf[vote], batch_size or max(len(pdf), 1)
+            made: list = []
+            for at in range(0, len(pdf), size):
+                made.extend(generate(prompts.iloc[at:at + size].reset_index(drop=True),
+                                     votes.iloc[at:at + size].reset_index(drop=True)))
+            pdf[response] = made
             yield pdf
     return data.mapInPandas(run, schema)

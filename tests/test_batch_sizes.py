@@ -24,3 +24,25 @@ def test_tokenised_pieces_are_bounded(spark, monkeypatch):
     assert out.column("id").to_pylist() == list(range(len(texts)))
     ids = out.column("input_ids").to_pylist()
     assert ids[1] == [0] * 8 and ids[2] == [3] + [0] * 7 and ids[3] == [3, 1] * 4 and ids[-1] == [1] + [0] * 7
+
+
+def test_generator_batches_are_exact_and_frames_stay_large():
+    frames = [pd.DataFrame({"id": range(k, k + n)}) for k, n in ((0, 100), (100, 1), (101, 27), (128, 3))]
+    out = list(U._rebatch(iter(frames), 64, whole_batches=True))
+    assert [len(f) for f in out] == [64, 64, 3]
+    assert list(pd.concat(out)["id"]) == list(range(131))
+    big = list(U._rebatch(iter([pd.DataFrame({"id": range(1000)})]), 64, whole_batches=True))
+    assert [len(f) for f in big] == [960, 40]
+
+
+def test_generated_responses_are_of_their_rows(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def generate(prompts, votes):
+        assert len(prompts) <= 7
+        sizes.add(1)
+        return prompts + ":" + votes.astype(str)
+    df = spark.range(0, 50, numPartitions=1).selectExpr("cast(id as string) as prompt")
+    rows = U.batch_generate(df, generate, n_votes=3, batch_size=7).collect()
+    assert len(rows) == 150 and all(r.response == f"{r.prompt}:{r.vote}" for r in rows)
+    assert sizes.value == 22
