@@ -1,4 +1,4 @@
-"""Row filters (C1-C3, C5, C6).  All are plain predicates Catalyst can push
+"""Row filters (C1-C3, C5, C6).  All but C3 are plain predicates Catalyst can push
 towards the scan."""
 
 from __future__ import annotations
@@ -40,10 +40,14 @@ def drop_unparseable(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     their own partial aggregate rather than an ``observe`` metric, which would
     count twice wherever the plan is evaluated more than once (a range
     partitioner samples its input in a separate pass).
+
+    A row number keeps the filter above the formatter's projections: pushed below
+    them, it would hold every piece of the text anew for each of its uses.
     """
     counts = df.agg(F.count(F.lit(1)).alias("seen"),
                     F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("long").alias("dropped"))
-    return df.where(F.col(col).isNotNull()), counts
+    kept = df.withColumn("__row", F.monotonically_increasing_id()).where(F.col(col).isNotNull() & (F.col("__row") >= 0))
+    return kept.drop("__row"), counts
 
 
 def every_k_steps(df: DataFrame, step: str = "step", k: int = 10, positive: bool = False) -> DataFrame:

@@ -426,10 +426,9 @@ def qa_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.unionByName(test).select("qid", "split", "question", "answer")
 
 
-def _asdiv_fixture(spark, sf_dir, some_without_question: bool = True):
+def _asdiv_fixture(p: DataFrame, some_without_question: bool = True):
     """Problems as ASDiv elements; optional fields absent when empty, and
     (for the C2 check) no Question element on every 17th problem."""
-    p = V.problems(spark, sf_dir)
     question = F.col("question")
     if some_without_question:
         question = F.when(F.col("pid") % 17 != 0, question)
@@ -448,33 +447,29 @@ def asdiv_xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + C2 + B1: <Problem> elements (some without Question) -> rendered text."""
     from mathtide.sources import readers as R
     path = _scratch(spark, "asdiv-xml")
-    (_in_order(_asdiv_fixture(spark, sf_dir)).write.format("xml").option("rowTag", "Problem")
+    (_in_order(_asdiv_fixture(V.problems(spark, sf_dir))).write.format("xml").option("rowTag", "Problem")
      .option("rootTag", "Machine-Reading-Corpus-File").mode("overwrite").save(path))
     return R.load_source(spark, "ASDiv", path)
 
 
-def _paramawps_fixture(spark, sf_dir):
-    p = V.problems(spark, sf_dir)
-    return p.select("pid", F.col("question").alias("original_text"),
+def _paramawps_fixture(p: DataFrame, *carry: str):
+    return p.select("pid", *carry, F.col("question").alias("original_text"),
                     "equation", (F.col("answer").cast("int")).alias("ans"))
 
 
-def _svamp_fixture(spark, sf_dir):
-    p = V.problems(spark, sf_dir)
-    return p.select("pid", F.col("body").alias("Body"),
+def _svamp_fixture(p: DataFrame, *carry: str):
+    return p.select("pid", *carry, F.col("body").alias("Body"),
                     F.col("question").alias("Question"), F.col("equation").alias("Equation"),
                     F.col("answer").cast("int").alias("Answer"))
 
 
-def _dmath_fixture(spark, sf_dir):
-    p = V.problems(spark, sf_dir)
-    return p.select("pid", F.col("question").alias("question_en"),
+def _dmath_fixture(p: DataFrame, *carry: str):
+    return p.select("pid", *carry, F.col("question").alias("question_en"),
                     F.col("equation").alias("solution_code_en"), F.col("answer").alias("answer_en"))
 
 
-def _aqua_fixture(spark, sf_dir):
-    p = V.problems(spark, sf_dir)
-    return p.select("pid", "question", "options", "rationale", "correct")
+def _aqua_fixture(p: DataFrame, *carry: str):
+    return p.select("pid", *carry, "question", "options", "rationale", "correct")
 
 
 def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,8 +477,8 @@ def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     base = _scratch(spark, "json-array")
-    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", "pid")
-    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", "pid")
+    W.write_json_arrays(_paramawps_fixture(V.problems(spark, sf_dir)), f"{base}/paramawps", "pid")
+    W.write_json_arrays(_svamp_fixture(V.problems(spark, sf_dir)), f"{base}/svamp", "pid")
     parts = [R.load_source(spark, n, f"{base}/{n.lower()}").select(F.lit(n).alias("dataset"), "row_key", "text")
              for n in ("ParaMAWPS", "SVAMP")]
     return parts[0].unionByName(parts[1])
@@ -494,7 +489,7 @@ def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     path = _scratch(spark, "keyed-json")
-    W.write_keyed_json(_dmath_fixture(spark, sf_dir), path, key="pid")
+    W.write_keyed_json(_dmath_fixture(V.problems(spark, sf_dir)), path, key="pid")
     return R.load_source(spark, "DMath", path)
 
 
@@ -503,7 +498,7 @@ def aqua_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mathtide.operators import shape as B
     from mathtide.sources import readers as R
     path = _scratch(spark, "aqua-jsonl")
-    _in_order(_aqua_fixture(spark, sf_dir)).write.mode("overwrite").json(path)
+    _in_order(_aqua_fixture(V.problems(spark, sf_dir))).write.mode("overwrite").json(path)
     df = R.load_source(spark, "AQuA", path).withColumn("__s", B.standardise_aqua(F.col("text")))
     return df.select("row_key", "text", F.col("__s.question").alias("question"), F.col("__s.answer").alias("answer"))
 
@@ -524,15 +519,24 @@ def leaderboard_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _curriculum_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The problems written as five source files in five formats and read back."""
+    from concurrent.futures import ThreadPoolExecutor
+    from mathtide.operators.ranking import global_rank
     from mathtide.sources import readers as R
     from mathtide.sources import writers as W
     base = _scratch(spark, "curriculum")
-    (_in_order(_asdiv_fixture(spark, sf_dir, some_without_question=False))
-     .write.format("xml").option("rowTag", "Problem").mode("overwrite").save(f"{base}/asdiv"))
-    W.write_json_arrays(_paramawps_fixture(spark, sf_dir), f"{base}/paramawps", "pid")
-    W.write_json_arrays(_svamp_fixture(spark, sf_dir), f"{base}/svamp", "pid")
-    W.write_keyed_json(_dmath_fixture(spark, sf_dir), f"{base}/dmath", "pid")
-    _in_order(_aqua_fixture(spark, sf_dir)).write.mode("overwrite").json(f"{base}/aqua")
+    # the order of the problems is found once, for the three formats that are cut into files by it
+    ranked = global_rank(V.problems(spark, sf_dir), ["pid"], "rank")
+    plain = ranked.drop("rank")
+    writes = [
+        lambda: (_in_order(_asdiv_fixture(plain, some_without_question=False))
+                 .write.format("xml").option("rowTag", "Problem").mode("overwrite").save(f"{base}/asdiv")),
+        lambda: W.write_json_arrays(_paramawps_fixture(ranked, "rank"), f"{base}/paramawps", "pid", rank="rank"),
+        lambda: W.write_json_arrays(_svamp_fixture(ranked, "rank"), f"{base}/svamp", "pid", rank="rank"),
+        lambda: W.write_keyed_json(_dmath_fixture(ranked, "rank"), f"{base}/dmath", "pid", rank="rank"),
+        lambda: _in_order(_aqua_fixture(plain)).write.mode("overwrite").json(f"{base}/aqua")]
+    with ThreadPoolExecutor(len(writes)) as pool:       # independent jobs
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
     return R.load_curriculum(spark, {
         "ASDiv": f"{base}/asdiv", "ParaMAWPS": f"{base}/paramawps", "SVAMP": f"{base}/svamp",
         "DMath": f"{base}/dmath", "AQuA": f"{base}/aqua"})

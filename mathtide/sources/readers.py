@@ -127,9 +127,8 @@ def _positioned(df: DataFrame, name: str) -> DataFrame:
     return global_rank(df, ["order_key"], name).drop("order_key")
 
 
-def render_source(name: str, df: DataFrame) -> DataFrame:
-    """Source rows -> (row_key, text) in the dataset's rendered form; the row key
-    is the row's position in the source."""
+def _rendered(name: str, df: DataFrame) -> DataFrame:
+    """Source rows -> (order_key, text) in the dataset's rendered form."""
     if name == "ASDiv":
         text = B.render_asdiv("body", "question", "answer", "formula")
     elif name == "ParaMAWPS":
@@ -142,7 +141,13 @@ def render_source(name: str, df: DataFrame) -> DataFrame:
         text = B.render_aqua("question", "options", "rationale", "correct")
     else:
         raise ValueError(f"unknown dataset {name!r}")
-    return _positioned(df.select("order_key", text.alias("text")), "row_key").select("row_key", "text")
+    return df.select("order_key", text.alias("text"))
+
+
+def render_source(name: str, df: DataFrame) -> DataFrame:
+    """Source rows -> (row_key, text) in the dataset's rendered form; the row key
+    is the row's position in the source."""
+    return _positioned(_rendered(name, df), "row_key").select("row_key", "text")
 
 
 _READERS = {
@@ -179,9 +184,11 @@ def load_curriculum(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """
     from mathtide.plans.curriculum import CURRICULUM
     stage = {n: s for n, s, _ in CURRICULUM}
-    parts = [load_source(spark, name, path).select(F.lit(name).alias("dataset"), F.lit(stage[name]).alias("stage"),
-                                                   "row_key", "text")
+    parts = [_rendered(name, _READERS[name](spark, path)).select(
+                 F.lit(name).alias("dataset"), F.lit(stage[name]).alias("stage"), "order_key", "text")
              for name, path in sources.items() if name in _READERS and _exists(spark, path)]
     if not parts:
         return spark.createDataFrame([], "dataset string, stage int, row_key long, text string")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    # one pass positions the rows of all sources, which are read side by side
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return global_rank(every, ["order_key"], "row_key", ["dataset"]).select("dataset", "stage", "row_key", "text")

@@ -66,29 +66,36 @@ def write_results_json(results: DataFrame, summary: DataFrame, path: str, mode:
 
 # ----------------------------------------------------- fixture writers ----
 
-def _in_files(df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
+# Rows of a file: folders and their listing stay few at any size, a file is a few MB
+ROWS_PER_FILE = 10_000
+
+
+def _in_files(df: DataFrame, key: str, rows_per_file: int, rank: str | None) -> DataFrame:
     """Add ``__b``, a folder name per ``rows_per_file`` rows in key order; names
-    sort as the rows do."""
-    ranked = global_rank(df, [key], "__rank")
+    sort as the rows do.  ``rank`` names a column that already holds a row's 0-based
+    position in key order."""
+    ranked = df.withColumnRenamed(rank, "__rank") if rank else global_rank(df, [key], "__rank")
     return ranked.withColumn("__b", F.lpad(F.floor(F.col("__rank") / rows_per_file).cast("string"), 8, "0"))
 
 
-def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = 500) -> None:
+def write_json_arrays(df: DataFrame, path: str, key: str, rows_per_file: int = ROWS_PER_FILE,
+                      rank: str | None = None) -> None:
     """Write rows in ``key`` order as files whose top level is a JSON array
     (ParaMAWPS/SVAMP form); the key itself is not written."""
-    fields = [c for c in df.columns if c != key]
+    fields = [c for c in df.columns if c not in (key, rank)]
     rows = F.array_sort(F.collect_list(F.struct(F.col("__rank"), F.struct(*fields).alias("r"))))
-    grouped = _in_files(df, key, rows_per_file).groupBy("__b").agg(
+    grouped = _in_files(df, key, rows_per_file, rank).groupBy("__b").agg(
         F.to_json(F.transform(rows, lambda x: x["r"])).alias("value"))
     grouped.write.mode("overwrite").partitionBy("__b").text(path)
 
 
-def write_keyed_json(df: DataFrame, path: str, key: str, rows_per_file: int = 500) -> None:
+def write_keyed_json(df: DataFrame, path: str, key: str, rows_per_file: int = ROWS_PER_FILE,
+                     rank: str | None = None) -> None:
     """Write rows in ``key`` order as files each holding one object keyed by
     ``key`` (DMath form)."""
-    fields = [c for c in df.columns if c != key]
+    fields = [c for c in df.columns if c not in (key, rank)]
     rows = F.array_sort(F.collect_list(F.struct(F.col("__rank"), F.col(key).cast("string").alias("k"),
                                                 F.struct(*fields).alias("v"))))
-    grouped = _in_files(df, key, rows_per_file).groupBy("__b").agg(
+    grouped = _in_files(df, key, rows_per_file, rank).groupBy("__b").agg(
         F.to_json(F.map_from_entries(F.transform(rows, lambda x: F.struct(x["k"], x["v"])))).alias("value"))
     grouped.write.mode("overwrite").partitionBy("__b").text(path)
