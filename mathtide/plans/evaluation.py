@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathtide.functions import answers as A
+from mathtide.operators.ranking import input_slices
 from mathtide.operators.voting import (accuracy, first_vote, majority_vote, pair_with_gold,
                                        running_accuracy)
 
+# slices of votes for every SLICE_BYTES of compressed input, and slices that one question's votes may take
+SLICES_PER_INPUT, SALTS = 16, 64
+
 METHODS = ("none", "maj@8", "maj@k", "all")
 
 
@@ -19,19 +23,24 @@ def votes_for_method(votes: DataFrame, question: Sequence[str], order: str,
     """Keep the votes a method looks at.
 
     'none' keeps the first vote per question, 'maj@8' the first 8, 'maj@k' the
-    first ``n_votes``; 'all' keeps every vote.  Spark turns the bounded row number
-    into a group limit before the shuffle, so each task sends at most k votes of
-    a question; null keys are questions like others.  ``evaluate`` answers 'none'
-    with one aggregate instead (``first_vote``).
+    first ``n_votes``; 'all' keeps every vote.  Votes are hashed into slices of a bounded
+    size, a question's into up to SALTS of them; each keeps its k first, and only those
+    meet in the question's slice, so neither step's sort grows with the input or with a
+    question that holds many votes.  Null keys are questions like others.  ``evaluate``
+    answers 'none' with one aggregate instead (``first_vote``).
     """
     if method not in METHODS:
         raise ValueError(f"unknown majority method {method!r}; expected one of {METHODS}")
     if method == "all":
         return votes
     k = 1 if method == "none" else 8 if method == "maj@8" else int(n_votes)
-    first = Window.partitionBy(*question).orderBy(F.col(order).asc_nulls_first())
-    return votes.withColumn("__vote_rank", F.row_number().over(first)).where(F.col("__vote_rank") <= k) \
-        .drop("__vote_rank")
+    slices = max(SLICES_PER_INPUT * input_slices(votes, 1), votes.sparkSession.sparkContext.defaultParallelism)
+    votes = votes.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    for keys in ([*question, "__salt"], list(question)):
+        first = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())
+        votes = votes.repartition(slices, *keys).withColumn("__vote_rank", F.row_number().over(first)) \
+            .where(F.col("__vote_rank") <= k).drop("__vote_rank")
+    return votes.drop("__salt")
 
 
 def evaluate(responses: DataFrame, gold: DataFrame, question: str = "question_id",
