@@ -713,7 +713,9 @@ def curriculum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     (vocabulary of 1000 fitted on the prompts)."""
     from mathtide.operators import tokens as T
     from mathtide.plans import curriculum as C
-    out = C.prepare(C.render_problems(V.problems(spark, sf_dir))).select("dataset", "row_key", "split", "prompt")
+    # the vocabulary and the encoding both read the prompts
+    out = C.prepare(C.render_problems(V.problems(spark, sf_dir))).select(
+        "dataset", "row_key", "split", "prompt").checkpoint()
     vocab = T.fit_vocabulary(out, "prompt", 1000)
     enc = T.encode(out, vocab, "prompt", 512, pad=False, n_input_col="n_input")
     return enc.select("dataset", "row_key", "split", F.size("input_ids").alias("n_tokens"),
